@@ -1,11 +1,440 @@
-"""Registry of the engine's queries and their SQL."""
+"""Registry of the engine's queries: name -> (query, SQL that gives the same rows, or None).
+
+The driver tables stand in for facts: a customer is a company, an order year a
+fiscal year, sums of order prices by status its metrics.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import scalar as S
+from .operators import relational as R
+from .operators import retrieval as T
+from .streaming import telemetry
+
+REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        REGISTRY[f.__name__] = (lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")), sql)
+        return f
+
+    return add
+
 
 def queries():
-    return {}
+    return {name: q for name, (q, _) in REGISTRY.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
+
+
+def money(c: str) -> Column:
+    return F.col(c).cast("decimal(18,2)")
+
+
+def exact_sum(c: str) -> Column:
+    return F.sum(money(c)).cast("double")
+
+
+def facts(t) -> DataFrame:
+    """(ticker, fiscal_year, revenue, cost, assets): one row a company and year."""
+    part = lambda s: F.sum(F.when(F.col("o_orderstatus") == s, money("o_totalprice"))).cast("double")
+    return t("orders").groupBy(F.col("o_custkey").alias("ticker"), F.year("o_orderdate").alias("fiscal_year")).agg(exact_sum("o_totalprice").alias("revenue"), part("F").alias("cost"), part("O").alias("assets"))
+
+
+FACTS = """(SELECT o_custkey AS ticker, CAST(year(o_orderdate) AS INT) AS fiscal_year, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue,
+ CAST(sum(CASE WHEN o_orderstatus='F' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) AS cost,
+ CAST(sum(CASE WHEN o_orderstatus='O' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) AS assets FROM orders GROUP BY 1, 2)"""
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING','MACHINERY') AND c_nationkey IN (1,2,3)")
+def flt_select_rows(t):
+    return R.select_rows(t("customer"), c_mktsegment=["BUILDING", "MACHINERY"], c_nationkey=[1, 2, 3]).select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
+def prj_select_columns(t):
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) AS net, sha256('NET|l_discount|l_extendedprice') AS net_lineage FROM lineitem")
+def prj_derived(t):
+    net = (money("l_extendedprice") * (1 - money("l_discount"))).cast("double")
+    return R.add_derived(t("lineitem"), "net", net, ["l_extendedprice", "l_discount"], "NET").select("l_orderkey", "l_linenumber", "net", "net_lineage")
+
+
+@query("SELECT sha256(CAST(event_id AS VARCHAR)) AS placeholder, event_type FROM events")
+def prj_mask(t):
+    return t("events").select(F.sha2(F.col("event_id").cast("string"), 256).alias("placeholder"), "event_type")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey <= 20 AND o_orderpriority = '1-URGENT' AND year(o_orderdate) IN (1996, 1997)")
+def flt_metadata(t):
+    return t("orders").filter((F.col("o_custkey") <= 20) & (F.col("o_orderpriority") == "1-URGENT") & F.year("o_orderdate").isin(1996, 1997)).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = 1)")
+def flt_exact_one(t):
+    return R.exactly_one(t("lineitem"), "l_orderkey").select("l_orderkey", "l_partkey")
+
+
+@query("SELECT o_custkey FROM orders WHERE year(o_orderdate) IN (1996,1997,1998) GROUP BY 1 HAVING count(DISTINCT year(o_orderdate)) = 3")
+def flt_complete_entities(t):
+    return R.complete_entities(t("orders").withColumn("y", F.year("o_orderdate")), "o_custkey", "y", [1996, 1997, 1998])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice IS NULL THEN 'MISSING_METRIC' WHEN year(o_orderdate) < 1996 THEN 'OUT_OF_COVERAGE' WHEN o_orderstatus = 'P' THEN 'MISSING_SCOPE' ELSE 'OK' END AS status FROM orders")
+def flt_gate(t):
+    status = F.when(F.col("o_totalprice").isNull(), "MISSING_METRIC").when(F.year("o_orderdate") < 1996, "OUT_OF_COVERAGE").when(F.col("o_orderstatus") == "P", "MISSING_SCOPE").otherwise("OK")
+    return t("orders").select("o_orderkey", status.alias("status"))
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, a.n AS lines, b.n AS parts FROM (SELECT l_partkey % 50 AS k, count(*) AS n FROM lineitem WHERE l_partkey % 50 < 40 GROUP BY 1) a FULL OUTER JOIN (SELECT p_partkey % 50 AS k, count(*) AS n FROM part WHERE p_partkey % 50 > 10 GROUP BY 1) b ON a.k = b.k")
+def jn_full_outer(t):
+    a = t("lineitem").groupBy((F.col("l_partkey") % 50).alias("k")).agg(F.count("*").alias("lines")).filter("k < 40")
+    b = t("part").groupBy((F.col("p_partkey") % 50).alias("k")).agg(F.count("*").alias("parts")).filter("k > 10")
+    return a.join(b, "k", "full_outer")
+
+
+@query("SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
+def jn_candidate_chunk(t):
+    return t("lineitem").join(t("orders").filter("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def jn_requirements(t):
+    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)")
+def jn_leakage(t):
+    return t("customer").join(t("orders").filter("o_totalprice > 150000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query(f"SELECT a.ticker, a.fiscal_year, a.revenue, b.revenue AS prior FROM {FACTS} a LEFT JOIN {FACTS} b ON a.ticker = b.ticker AND a.fiscal_year = b.fiscal_year + 1")
+def jn_opening(t):
+    return R.offset_join(facts(t), "ticker", "fiscal_year", "revenue")
+
+
+@query("SELECT e.event_id, (SELECT max(p.event_id) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts = (SELECT max(q.ts) FROM events q WHERE q.user_id = e.user_id AND q.event_type = 'purchase' AND q.ts <= e.ts)) AS last_purchase FROM events e WHERE e.event_type = 'click'")
+def jn_asof_unit(t):
+    e = t("events")
+    right = e.filter("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("last_purchase"))
+    return R.asof_backward(e.filter("event_type = 'click'").select("event_id", "user_id", "ts"), right, "user_id", "ts", "last_purchase").select("event_id", "last_purchase")
+
+
+@query("SELECT l_orderkey, l_linenumber, band FROM lineitem JOIN (SELECT * FROM (VALUES ('A',0,10,'low'),('A',10,30,'mid'),('N',0,25,'low'),('R',5,51,'all')) v(f,lo,hi,band)) s ON l_returnflag = f AND l_quantity >= lo AND l_quantity < hi")
+def jn_header_contain(t):
+    lines = t("lineitem")
+    spans = lines.sparkSession.createDataFrame([("A", 0, 10, "low"), ("A", 10, 30, "mid"), ("N", 0, 25, "low"), ("R", 5, 51, "all")], "l_returnflag string, lo int, hi int, band string")
+    return R.range_join(lines, spans, "l_returnflag", "l_quantity", "lo", "hi").select("l_orderkey", "l_linenumber", "band")
+
+
+@query("SELECT r_name, m, y FROM region CROSS JOIN (VALUES ('ROE'),('ROA')) a(m) CROSS JOIN (VALUES (2022),(2023)) b(y)")
+def jn_cross(t):
+    r = t("region")
+    m, y = r.sparkSession.createDataFrame([("ROE",), ("ROA",)], "m string"), r.sparkSession.createDataFrame([(2022,), (2023,)], "y int")
+    return r.select("r_name").crossJoin(m).crossJoin(y)
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey IS NULL) AS missing, count(*) FILTER (WHERE abs(s - o_totalprice) > 1) AS mismatched FROM (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS s FROM lineitem GROUP BY 1) LEFT JOIN orders ON l_orderkey = o_orderkey")
+def jn_parity(t):
+    s = t("lineitem").groupBy("l_orderkey").agg(exact_sum("l_extendedprice").alias("s"))
+    j = s.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return j.agg(F.count("*").alias("n"), F.count_if(F.col("o_orderkey").isNull()).alias("missing"), F.count_if(F.abs(F.col("s") - F.col("o_totalprice")) > 1).alias("mismatched"))
+
+
+@query("SELECT d.doc_id, b.item_id FROM documents d LEFT JOIN benchmark b ON sha256(coalesce(d.text,'')) = sha256(b.text)")
+def jn_content_reuse(t):
+    d = t("documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    return d.join(t("benchmark").select("item_id", F.sha2("text", 256).alias("h")), "h", "left").select("doc_id", "item_id")
+
+
+@query("SELECT l_returnflag, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty, min(l_quantity) AS min_qty, max(l_quantity) AS max_qty, count(*) AS n FROM lineitem GROUP BY 1")
+def agg_group(t):
+    return t("lineitem").groupBy("l_returnflag").agg(exact_sum("l_quantity").alias("sum_qty"), F.min("l_quantity").alias("min_qty"), F.max("l_quantity").alias("max_qty"), F.count("*").alias("n"))
+
+
+@query(f"SELECT ticker, CASE WHEN count(revenue) >= 2 THEN CAST(sum(CAST(revenue AS DECIMAL(18,2))) * 100 AS BIGINT) // count(revenue) END AS mean_cents FROM {FACTS} GROUP BY 1")
+def agg_average(t):
+    return facts(t).groupBy("ticker").agg(F.when(F.count("revenue") >= 2, F.expr("cast(sum(cast(revenue as decimal(18,2))) * 100 as bigint) div count(revenue)")).alias("mean_cents"))
+
+
+@query(f"SELECT ticker, CASE WHEN revenue IS NULL OR (cost IS NULL AND assets IS NULL) THEN 'MISSING' WHEN abs(revenue - (coalesce(cost,0) + coalesce(assets,0))) <= 2 + 1e-9*abs(revenue) THEN 'PASS' ELSE 'FAIL' END AS status FROM {FACTS}")
+def agg_identities(t):
+    return R.identity_check(facts(t), "ticker", "revenue", ["cost", "assets"])
+
+
+@query("SELECT o_orderstatus, count(*) AS n, count(*) FILTER (WHERE o_totalprice > 100000) AS passed, round(count(*) FILTER (WHERE o_totalprice > 100000) / count(*), 6) AS rate FROM orders GROUP BY 1")
+def agg_quality(t):
+    ok = F.count_if(F.col("o_totalprice") > 100000)
+    return t("orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), ok.alias("passed"), F.round(ok / F.count("*"), 6).alias("rate"))
+
+
+@query("SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1")
+def agg_dup_resolve(t):
+    return R.resolve_duplicates(t("lineitem"), ["l_orderkey"], "l_returnflag", F.col("l_linenumber")).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT c_nationkey, avg(CASE WHEN c_acctbal < 0 THEN 1.0 ELSE 0.0 END) > 0.1 AS flipped FROM customer WHERE c_acctbal <> 0 GROUP BY 1")
+def agg_sign_convention(t):
+    return t("customer").filter("c_acctbal <> 0").groupBy("c_nationkey").agg((F.avg((F.col("c_acctbal") < 0).cast("double")) > 0.1).alias("flipped"))
+
+
+@query("SELECT o_custkey, CAST(min(year(o_orderdate)) AS INT) AS first_year, CAST(max(year(o_orderdate)) AS INT) AS last_year, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS scopes FROM orders GROUP BY 1")
+def agg_companies(t):
+    return t("orders").groupBy("o_custkey").agg(F.min(F.year("o_orderdate")).alias("first_year"), F.max(F.year("o_orderdate")).alias("last_year"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("scopes"))
+
+
+@query("WITH c AS (SELECT l_suppkey, l_linestatus, count(*) n FROM lineitem GROUP BY 1,2), p AS (SELECT l_suppkey, sum(n) total, max(n) top, max_by(l_linestatus, (n, l_linestatus)) mode, count(*) kinds FROM c GROUP BY 1) SELECT l_suppkey, CASE WHEN kinds = 1 OR (total >= 20 AND top >= 0.6*total) THEN mode ELSE 'MIXED' END AS consensus, CAST(total AS BIGINT) AS total FROM p")
+def agg_consensus(t):
+    return R.consensus(t("lineitem"), "l_suppkey", "l_linestatus", share=0.6)
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS kinds, count(*) AS n FROM events GROUP BY 1")
+def agg_profile(t):
+    return t("events").groupBy("user_id").agg(F.countDistinct("event_type").alias("kinds"), F.count("*").alias("n"))
+
+
+@query("SELECT event_type, count(*) AS n, min(value) AS lo, max(value) AS hi, round(avg(value), 4) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
+def agg_distribution(t):
+    return t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.round(F.avg("value"), 4).alias("mean"), *[R.nearest_rank("value", p).alias(a) for p, a in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
+
+
+@query("WITH a AS (SELECT lang, count(*)::DOUBLE n, count(*) FILTER (WHERE quality = 1)::DOUBLE k FROM documents JOIN labels USING (doc_id) GROUP BY 1) SELECT lang, round((k/n + 1.96*1.96/(2*n) - 1.96*sqrt((k/n*(1-k/n) + 1.96*1.96/(4*n))/n))/(1+1.96*1.96/n), 4) AS low, round((k/n + 1.96*1.96/(2*n) + 1.96*sqrt((k/n*(1-k/n) + 1.96*1.96/(4*n))/n))/(1+1.96*1.96/n), 4) AS high FROM a")
+def agg_wilson(t):
+    a = t("documents").select("doc_id", "lang").join(t("labels"), "doc_id").groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("k"), F.count("*").cast("double").alias("n"))
+    low, high = R.wilson(F.col("k"), F.col("n"))
+    return a.select("lang", F.round(low, 4).alias("low"), F.round(high, 4).alias("high"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+def agg_breakdown(t):
+    o = t("orders")
+    return o.groupingSets([[o["o_orderstatus"]], [o["o_orderpriority"]], []], o["o_orderstatus"], o["o_orderpriority"]).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT ticker, CASE WHEN count(*) < 3 THEN NULL ELSE round(regr_slope(revenue, fiscal_year), 2) END AS slope FROM {FACTS} GROUP BY 1")
+def agg_slope(t):
+    return facts(t).groupBy("ticker").agg(F.round(R.slope("revenue", "fiscal_year"), 2).alias("slope"))
+
+
+@query("SELECT event_type, le, n FROM (SELECT event_type, unnest(['10','50','100','+Inf']) AS le, unnest([count(*) FILTER (WHERE value <= 10), count(*) FILTER (WHERE value <= 50), count(*) FILTER (WHERE value <= 100), count(value)]) AS n FROM events GROUP BY 1)")
+def agg_histogram(t):
+    return R.histogram(t("events"), ["event_type"], "value", [10, 50, 100])
+
+
+@query("SELECT user_id, round(1 - count(*) FILTER (WHERE value > 100) / count(*), 6) AS availability FROM events GROUP BY 1")
+def agg_slo(t):
+    return t("events").groupBy("user_id").agg(F.round(1 - F.count_if(F.col("value") > 100) / F.count("*"), 6).alias("availability"))
+
+
+@query("SELECT o_orderpriority, CASE WHEN count(p) = count(*) THEN round(sum(p * o_totalprice), 2) END AS cost FROM orders LEFT JOIN (VALUES ('1-URGENT', 2), ('2-HIGH', 1)) v(m, p) ON m = o_orderpriority GROUP BY 1")
+def agg_cost(t):
+    o = t("orders")
+    prices = F.broadcast(o.sparkSession.createDataFrame([("1-URGENT", 2), ("2-HIGH", 1)], "o_orderpriority string, p int"))  # a price list of two rows
+    cost = F.round(F.sum(F.col("p") * money("o_totalprice")).cast("double"), 2)
+    return o.join(prices, "o_orderpriority", "left").groupBy("o_orderpriority").agg(F.when(F.count("p") == F.count("*"), cost).alias("cost"))
+
+
+@query("SELECT text, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def agg_uniqueness(t):
+    return t("documents").filter("text is not null").groupBy("text").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+@query("SELECT n_regionkey, sha256(string_agg(n_name, '|' ORDER BY n_name)) AS fingerprint FROM nation GROUP BY 1")
+def agg_fingerprint(t):
+    return t("nation").groupBy("n_regionkey").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("n_name")), "|"), 256).alias("fingerprint"))
+
+
+@query("SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer")
+def win_rank(t):
+    return R.rank_rows(t("customer"), ["c_nationkey"], F.desc("c_acctbal"), F.col("c_custkey")).select("c_nationkey", "c_custkey", "rank")
+
+
+@query(f"SELECT a.ticker, a.fiscal_year, round((a.revenue - b.revenue) / nullif(b.revenue, 0) * 100, 4) AS growth FROM {FACTS} a LEFT JOIN {FACTS} b ON a.ticker = b.ticker AND a.fiscal_year = b.fiscal_year + 1")
+def win_growth(t):
+    j = R.offset_join(facts(t), "ticker", "fiscal_year", "revenue")
+    return j.select("ticker", "fiscal_year", F.round(R.growth(F.col("revenue"), F.col("prior")), 4).alias("growth"))
+
+
+@query("WITH e AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN event_type END AS layout FROM events) SELECT event_id, coalesce(layout, last_value(layout IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS layout_carried FROM e")
+def win_carry_layout(t):
+    e = t("events").withColumn("layout", F.when(F.col("event_id") % 3 == 0, F.col("event_type")))
+    return R.carry_forward(e, "user_id", ["ts", "event_id"], "layout").select("event_id", "layout_carried")
+
+
+@query("SELECT conv_id, turn FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before = 'user' AND role = 'assistant'")
+def win_escalation(t):
+    before = F.lag("role").over(W.partitionBy("conv_id").orderBy("turn"))
+    return t("conversations").withColumn("before", before).filter("before = 'user' and role = 'assistant'").select("conv_id", "turn")
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM events")
+def win_increase(t):
+    w = W.partitionBy("user_id").orderBy("s").rangeBetween(-3600, 0)
+    e = t("events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return e.select("event_id", F.count("*").over(w).alias("n"))
+
+
+@query("WITH m AS (SELECT *, value > 50 AS bad, CASE WHEN value > 50 AND NOT coalesce(lag(value > 50) OVER o, false) THEN 1 ELSE 0 END AS st FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id)), r AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM m) SELECT user_id, min(event_id) AS first, max(event_id) AS last, count(*) AS length FROM r WHERE bad GROUP BY user_id, run")
+def win_for_duration(t):
+    return R.alert_runs(t("events"), "user_id", "event_id", F.col("value") > 50)
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cumsum, rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS rk, l_quantity - lag(l_quantity) OVER o AS diff, round(avg(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS 2 PRECEDING), 6) AS rolling FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)")
+def win_pandas(t):
+    o = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return t("lineitem").select(
+        "l_orderkey", "l_linenumber", F.sum(money("l_quantity")).over(o.rowsBetween(W.unboundedPreceding, 0)).cast("double").alias("cumsum"), F.rank().over(W.partitionBy("l_orderkey").orderBy("l_quantity")).alias("rk"),
+        (F.col("l_quantity") - F.lag("l_quantity").over(o)).alias("diff"), F.round(F.avg("l_quantity").over(o.rowsBetween(-2, 0)), 6).alias("rolling"),
+    )
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY CAST(o_totalprice AS VARCHAR) DESC, o_orderkey DESC")
+def srt_sort(t):
+    return t("orders").select("o_orderkey", "o_totalprice").orderBy(F.desc(F.col("o_totalprice").cast("string")), F.desc("o_orderkey"))
+
+
+@query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10")
+def top_n(t):
+    return t("part").select("p_partkey", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey").limit(10)
+
+
+@query("SELECT c_mktsegment, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256(CAST(c_custkey AS VARCHAR))) AS r FROM customer) WHERE r <= 5")
+def smp_stratified(t):
+    return R.top_n(t("customer"), ["c_mktsegment"], 5, F.sha2(F.col("c_custkey").cast("string"), 256)).select("c_mktsegment", "c_custkey")
+
+
+@query("SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer) ORDER BY r, c_nationkey LIMIT 60")
+def smp_roundrobin(t):
+    return R.round_robin(t("customer"), "c_nationkey", 60, F.col("c_custkey")).select("c_nationkey", "c_custkey")
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+def set_union_all(t):
+    return t("customer").select(F.col("c_nationkey").alias("k")).unionByName(t("supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def set_union_distinct(t):
+    return t("customer").select(F.col("c_nationkey").alias("k")).unionByName(t("supplier").select(F.col("s_nationkey").alias("k"))).distinct()
+
+
+@query("SELECT o_custkey AS k FROM orders INTERSECT SELECT user_id FROM events")
+def set_intersect(t):
+    return t("orders").select(F.col("o_custkey").alias("k")).intersect(t("events").select(F.col("user_id").alias("k")))
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT ALL SELECT o_custkey FROM orders")
+def set_except(t):
+    return t("customer").select(F.col("c_custkey").alias("k")).exceptAll(t("orders").select(F.col("o_custkey").alias("k")))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '([\\p{L}\\p{M}\\p{N}\\p{Co}_]+)')) AS n_tokens FROM documents")
+def str_tokenize(t):
+    return t("documents").select("doc_id", F.size(T.tokens(F.coalesce("text", F.lit("")))).alias("n_tokens"))
+
+
+@query(f"SELECT item_id, trim(regexp_replace(translate(lower(text), '{S.MARKED}', '{S.PLAIN}'), '\\s+', ' ', 'g')) AS folded FROM benchmark")
+def str_fold(t):
+    return t("benchmark").select("item_id", S.fold(F.col("text")).alias("folded"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'MISSING' ELSE 'PARSED' END AS status, CASE WHEN p_size % 3 <> 0 THEN -CAST(p_size AS DOUBLE) END AS value FROM part")
+def str_numeric_parse(t):
+    raw = F.when(F.col("p_size") % 3 == 0, F.lit("-")).otherwise(F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(",0)")))
+    status, value = S.parse_number(raw)
+    return t("part").select("p_partkey", status.alias("status"), value.cast("double").alias("value"))
+
+
+@query("SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y FROM orders")
+def dt_report_years(t):
+    return t("orders").select("o_orderkey", S.report_years(F.concat(F.year("o_orderdate").cast("string"), F.lit("-Q"), F.quarter("o_orderdate").cast("string"))).alias("y"))
+
+
+@query("SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(28,6)) / 1000 AS DOUBLE) AS thousands FROM orders")
+def mth_scale(t):
+    return t("orders").select("o_orderkey", S.to_scale(F.col("o_totalprice"), "RAW", "THOUSAND").cast("double").alias("thousands"))
+
+
+@query(f"SELECT ticker, fiscal_year, round((revenue - cost) / nullif(revenue, 0) * 100, 4) AS margin FROM {FACTS}")
+def mth_ratio(t):
+    return facts(t).select("ticker", "fiscal_year", F.round(F.try_divide(F.col("revenue") - F.col("cost"), "revenue") * 100, 4).alias("margin"))
+
+
+@query("SELECT 'f_' || substr(sha256(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)), 1, 20) AS fact_id FROM lineitem")
+def fact_ids(t):
+    return t("lineitem").select(S.fact_id(F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("fact_id"))
+
+
+BM25_SQL = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text,'')), '([\\p{L}\\p{M}\\p{N}\\p{Co}_]+)') AS ts FROM documents),
+f AS (SELECT doc_id, len(ts) AS length, len(list_filter(ts, x -> x = 'the')) AS t0, len(list_filter(ts, x -> x = 'that')) AS t1 FROM d),
+s AS (SELECT count(*) n, avg(length) mean, count(*) FILTER (WHERE t0>0) d0, count(*) FILTER (WHERE t1>0) d1 FROM f)
+SELECT doc_id, round(ln(1+(n-d1+0.5)/(d1+0.5))*t1*2.2/(t1+1.2*(0.25+0.75*length/mean)) + ln(1+(n-d0+0.5)/(d0+0.5))*t0*2.2/(t0+1.2*(0.25+0.75*length/mean)), 6) AS score
+FROM f, s WHERE t0>0 AND t1>0 ORDER BY score DESC, doc_id LIMIT 20"""
+
+
+@query(BM25_SQL)
+def ret_bm25(t):
+    return T.bm25(t("documents"), ["the", "that"], 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 10")
+def ret_vector(t):
+    e = t("embeddings")
+    first = e.filter("vec_id = 0").select("embedding").first()
+    return T.vector_top_k(e, first[0] if first else [], 10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+RRF_LISTS = "(SELECT c_custkey AS doc_id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer QUALIFY r <= 100) a FULL OUTER JOIN (SELECT c_custkey AS doc_id, row_number() OVER (ORDER BY c_name, c_custkey) AS q FROM customer QUALIFY q <= 100) b USING (doc_id)"
+
+
+@query(f"SELECT doc_id, round(coalesce(1.0/(60+r), 0) + coalesce(1.0/(60+q), 0), 8) AS score FROM {RRF_LISTS}")
+def ret_rrf(t):
+    c = t("customer")
+    top = lambda *o: R.top_n(c.orderBy(*o).limit(100).select(F.col("c_custkey").alias("doc_id"), "c_acctbal", "c_name", "c_custkey"), [], 100, *o)
+    fused = T.rrf(top(F.desc("c_acctbal"), F.col("c_custkey")), top(F.col("c_name"), F.col("c_custkey")))
+    return fused.select("doc_id", F.round("score", 8).alias("score"))
+
+
+@query("WITH r AS (SELECT o_custkey AS q, o_orderkey AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders), w AS (SELECT o_custkey AS q, o_orderkey AS d FROM orders WHERE o_orderstatus = 'F') SELECT w.q AS query_id, round(count(r.rank) / count(*), 6) AS recall, round(coalesce(1.0 / min(r.rank), 0), 6) AS rr FROM w LEFT JOIN (SELECT * FROM r WHERE rank <= 3) r ON w.q = r.q AND w.d = r.d GROUP BY 1")
+def agg_recall_mrr(t):
+    o = t("orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"), "o_totalprice", "o_orderstatus")
+    ranked = R.rank_rows(o, ["query_id"], F.desc("o_totalprice"), F.col("doc_id"))
+    out = T.recall_and_mrr(ranked, o.filter("o_orderstatus = 'F'"), 3)
+    return out.select("query_id", F.round("recall", 6).alias("recall"), F.round("rr", 6).alias("rr"))
+
+
+@query("SELECT o_custkey, CAST(sum(CASE WHEN o_orderstatus='F' THEN 1 ELSE 0 END) AS BIGINT) AS f, CAST(sum(CASE WHEN o_orderstatus='O' THEN 1 ELSE 0 END) AS BIGINT) AS o FROM orders GROUP BY 1")
+def udf_pivot(t):
+    return t("orders").groupBy("o_custkey").pivot("o_orderstatus", ["F", "O"]).agg(F.count(F.lit(1))).select("o_custkey", F.coalesce("F", F.lit(0)).alias("f"), F.coalesce("O", F.lit(0)).alias("o"))
+
+
+@query("SELECT p_partkey, 'size' AS variable, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part")
+def udf_melt(t):
+    p = t("part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
+    return p.unpivot("p_partkey", ["size", "price"], "variable", "value")
+
+
+@query("SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r, round(quantile_cont(l_quantity, 0.25), 4) AS q25 FROM lineitem GROUP BY 1")
+def udf_describe(t):
+    return t("lineitem").groupBy("l_returnflag").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"), F.round(F.percentile("l_quantity", 0.25), 4).alias("q25"))
+
+
+@query("SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
+def stm_windows(t):
+    return telemetry.windowed_counts(t("events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.col("total").cast("double").alias("total"))
+
+
+@query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER o >= INTERVAL '30 minutes' OR lag(ts) OVER o IS NULL THEN 1 ELSE 0 END AS st FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def stm_sessions(t):
+    return telemetry.sessions(t("events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
