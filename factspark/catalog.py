@@ -377,7 +377,7 @@ def fact_ids(t):
 
 
 BM25_SQL = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text,'')), '([\\p{L}\\p{M}\\p{N}\\p{Co}_]+)') AS ts FROM documents),
-f AS (SELECT doc_id, len(ts) AS length, len(list_filter(ts, x -> x = 'the')) AS t0, len(list_filter(ts, x -> x = 'that')) AS t1 FROM d),
+f AS (SELECT doc_id, len(ts) AS length, len(list_filter(ts, lambda x: x = 'the')) AS t0, len(list_filter(ts, lambda x: x = 'that')) AS t1 FROM d),
 s AS (SELECT count(*) n, avg(length) mean, count(*) FILTER (WHERE t0>0) d0, count(*) FILTER (WHERE t1>0) d1 FROM f)
 SELECT doc_id, round(ln(1+(n-d1+0.5)/(d1+0.5))*t1*2.2/(t1+1.2*(0.25+0.75*length/mean)) + ln(1+(n-d0+0.5)/(d0+0.5))*t0*2.2/(t0+1.2*(0.25+0.75*length/mean)), 6) AS score
 FROM f, s WHERE t0>0 AND t1>0 ORDER BY score DESC, doc_id LIMIT 20"""
