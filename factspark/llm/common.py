@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +45,15 @@ def whole_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def id_crc(doc_id: Column) -> Column:
     """crc32 of the id as text, for folds."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
+def tidy() -> None:
+    """Give memory that a finished partition has freed back to the system: workers are reused, and their peaks would add up."""
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

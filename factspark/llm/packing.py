@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, table, whole_text
+from .common import saved, small_batches, table, tidy, whole_text
 from .tokens import BYTE_BPE, encoder
 
 LENGTH = 2048
@@ -47,6 +47,7 @@ def _pieces(length: int):
             found = [(doc_id, *p) for doc_id, text in zip(f["doc_id"], f["text"]) for p in pieces_of(text, length)]
             out = pd.DataFrame(found, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
             yield out.astype({"doc_id": "Int64"})
+        tidy()
 
     return run
 

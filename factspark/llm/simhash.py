@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, table, whole_text
+from .common import saved, small_batches, table, tidy, whole_text
 
 BITS = 64
 #: Shingles counted at a time, so that very long texts need bounded memory.
@@ -213,6 +213,7 @@ def _near_features(size: int, seeds: tuple[int, ...]):
             sets = [np.unique(np.array([xxhash.xxh32_intdigest(s) for s in shingles_of(w, size)], np.uint32)).view(np.int32) for w in words]
             fps = [[majority(list(dict.fromkeys(w)), seed) for seed in seeds] for w in words]
             yield pd.DataFrame({"doc_id": f["doc_id"], "shingles": sets, "fps": [np.array(x, np.uint64).view(np.int64) for x in fps]})
+        tidy()
 
     return run
 

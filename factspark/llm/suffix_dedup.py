@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, table
+from .common import saved, small_batches, table, tidy
 
 WIDTH = 400
 #: Bytes of a gram; smaller ones for smaller widths.
@@ -119,6 +119,7 @@ def _spans(width: int, gram: int):
                     out.append(pd.DataFrame({"doc_id": pd.array([doc_id] * len(place), dtype="Int64"), "th": th, "place": place, "first": first, "last": last, "gram": grams.view(np.int64), "span": digests}))
             if out:
                 yield pd.concat(out)
+        tidy()
 
     return run
 
@@ -221,7 +222,7 @@ def _cells(width: int):
         key = rows["gram"].ne(rows["gram"].shift()) | rows["cell"].ne(rows["cell"].shift())
         cell = key.cumsum().to_numpy() - 1
         windows = (rows["last"] - rows["first"] + 1).to_numpy()
-        limit, a = 1_500_000, 0
+        limit, a = 100_000, 0
         ends = np.r_[np.flatnonzero(key.to_numpy())[1:], len(rows)]
         total = np.cumsum(windows)
         while a < len(rows):  # whole cells at a time, about `limit` windows
@@ -231,6 +232,7 @@ def _cells(width: int):
             b = int(fits[-1]) if len(fits) else int(after[0])
             yield from _sorted_cells(rows.iloc[a:b], cell[a:b], width)
             a = b
+        tidy()
 
     return run
 
@@ -281,6 +283,7 @@ def _snippets(width: int):
                 data = text.encode("utf-8", "surrogatepass")
                 out += [(doc_id, th, s["place"], s["first"], s["last"], s["gram"], s["cell"], s["cells"], data[s["first"] : s["last"] + width]) for s in spans]
             yield pd.DataFrame(out, columns=["doc_id", "th", "place", "first", "last", "gram", "cell", "cells", "data"]).astype({"doc_id": "Int64"})
+        tidy()
 
     return run
 

@@ -16,7 +16,7 @@ import numpy as np
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Chunks a worker remembers before it starts afresh (about 150 bytes each).
-CACHE = 600_000
+CACHE = 100_000
 
 
 def vocabulary(name: str) -> str:
