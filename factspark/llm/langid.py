@@ -20,7 +20,7 @@ from .common import id_crc, small_batches, table
 #: Bounded sample: about so many labelled rows a language, and bytes of a dictionary.
 SAMPLE_ROWS = 400
 DICT_BYTES = 131_072
-LEVEL = 3
+LEVEL = 9
 #: A margin below this share of the second-best size is narrow.
 NARROW = 0.0005
 UNKNOWN = "und"
