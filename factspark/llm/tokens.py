@@ -15,8 +15,9 @@ import numpy as np
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
-#: Chunks a worker remembers before it starts afresh (about 150 bytes each).
-CACHE = 100_000
+#: Chunks of a vocabulary that a worker remembers before it starts afresh (about 200 bytes each);
+#: more where every chunk goes to the slower library.
+CACHE = {BYTE_BPE: 100_000, WORD_BPE: 500_000}
 
 
 def vocabulary(name: str) -> str:
@@ -69,7 +70,7 @@ class Encoder:
         for chunk in set(chunks).difference(cache):
             cache[chunk] = self._chunk(chunk) if chunk else b""
         out = b"".join(map(cache.__getitem__, chunks))
-        if len(cache) > CACHE:
+        if len(cache) > CACHE[self.name]:
             cache.clear()
         return out
 
