@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from factspark.llm import ann, bpe, exact_dedup, langid, packing, repair, sharding, simhash, suffix_dedup, toxicity
-from factspark.llm.tokens import WORD_BPE, encoder
+from factspark.llm.tokens import BYTE_BPE, WORD_BPE, encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, th long"
 
@@ -246,3 +246,14 @@ def test_hilbert_is_a_walk():
     keys = ann.hilbert_keys(cells, 3)
     path = cells[np.argsort(keys)]
     assert sorted(keys.tolist()) == list(range(512)) and (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_encoder_matches_library(name):
+    rng, e = random.Random(8), encoder(name)
+    tokens = [t for t in (e.library.decode([i]) for i in range(0, 49000, 7)) if t]
+    odd = "aeiou étñüßœ'’s'tñÀÖİſK. ,-\n\t\xa0\xad¿¡²³¼0123…日"
+    texts = ["".join(rng.choice(tokens) for _ in range(rng.randint(1, 5))) for _ in range(5000)]
+    texts += ["".join(rng.choice(odd) for _ in range(rng.randint(0, 30))) for _ in range(5000)]
+    for text in [*texts, "x" * 10_000, "'S'T don't I'VE", " " * 5000 + "a"]:
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == e.library.encode(text, add_special_tokens=False).ids, ascii(text)
