@@ -3,14 +3,17 @@
 Whole plain Latin texts of the byte-level vocabulary go to tiktoken, which gives
 the library's ids faster. Other texts are cut: a space that precedes a non-space
 is always a boundary between pre-tokens of both vocabularies, so each distinct
-chunk between such spaces is encoded once per worker. Chunks go to the library.
+chunk between such spaces is encoded once per worker. Chunks go to the library;
+plain Latin ones of the word vocabulary go to tiktoken with their bytes renamed.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
+import struct
 
 import numpy as np
 
@@ -21,6 +24,9 @@ WORD_BPE = "word_bpe_49k.json"
 CACHE = {BYTE_BPE: 100_000, WORD_BPE: 500_000}
 #: Printable characters below U+0250 and line feeds.
 PLAIN = re.compile("[\n -~¡-¬®-ɏ]*")
+#: Lower-case chunks of ASCII and letters below U+0250, and their pre-tokens.
+PLAIN_WORDS = re.compile("[!-~ß-öø-ɏ]*")
+WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^a-z0-9ß-öø-ɏ]+")
 #: Longest run without a space that tiktoken gets.
 LONGEST_RUN = 4096
 
@@ -31,6 +37,51 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class WordMerges:
+    """Merges of the word vocabulary by tiktoken.
+
+    tiktoken merges bytes and knows no mark of a word's end, so a byte that ends a
+    word is renamed to one that the words at hand don't use. Words of letters have
+    bytes a-z, 80-BF and C3-C9; the other words are ASCII.
+    """
+
+    def __init__(self, name: str) -> None:
+        with open(vocabulary(name), encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        alphabet, suffix = _byte_of_char(), model["end_of_word_suffix"]
+        ranks = {"".join(pair): 256 + i for i, pair in enumerate(model["merges"])}
+        letters = [*range(0x61, 0x7B), *range(0x80, 0xC0)]
+        self.letters = self._merges(model["vocab"], ranks, alphabet, suffix, {*letters, *range(0xC3, 0xCA)}, {b: bytes([b - 0x60 if b < 0x80 else b - 0x65]) for b in letters})
+        self.ascii = self._merges(model["vocab"], ranks, alphabet, suffix, set(range(0x80)), {b: bytes([b + 0x80]) for b in range(0x80)})
+
+    @staticmethod
+    def _merges(vocab, ranks, alphabet, suffix, inner, renamed):
+        import tiktoken
+
+        merges, ids = {bytes([b]): b for b in range(256)}, [0] * (256 + len(ranks))
+        for token, ident in vocab.items():
+            ends = token.endswith(suffix) and token != suffix
+            body = bytes(alphabet[c] for c in (token[: -len(suffix)] if ends else token))
+            if not inner.issuperset(body) or (ends and body[-1] not in renamed):
+                continue
+            if ends:
+                body = body[:-1] + renamed[body[-1]]
+            if len(body) > 1:
+                merges[body] = ranks[token]
+            ids[merges[body]] = ident
+        one = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=merges, special_tokens={})._core_bpe.encode_single_piece
+        return one, ids, renamed
+
+    def encode(self, chunk: str) -> bytes:
+        """ids of a lower-case chunk that PLAIN_WORDS matches."""
+        out = []
+        for word in WORD.findall(chunk):
+            one, ids, renamed = self.letters if word.isalpha() else self.ascii
+            data = word.encode()
+            out += map(ids.__getitem__, one(data[:-1] + renamed[data[-1]]))
+        return struct.pack(f"<{len(out)}I", *out)
+
+
 class Encoder:
     """ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False)."""
 
@@ -43,7 +94,9 @@ class Encoder:
         self.library.no_truncation()
         self.specials = [(t.content, np.array([i], "<u4").tobytes()) for i, t in sorted(self.library.get_added_tokens_decoder().items())]
         self.spaced = name == BYTE_BPE  # white space belongs to tokens
-        self.fast = None
+        self.fast = self.words = None
+        if name == WORD_BPE:
+            self.words = WordMerges(name)
         if self.spaced:
             import public_tokenizers
             import tiktoken
@@ -54,6 +107,8 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
 
     def _chunk(self, chunk: str) -> bytes:
+        if self.words and len(chunk) < LONGEST_RUN and PLAIN_WORDS.fullmatch(lower := chunk.lower()):
+            return self.words.encode(lower)
         return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _plain(self, text: str) -> bytes:
