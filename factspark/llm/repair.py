@@ -25,24 +25,29 @@ END_ID = 2
 ROUNDS = 8
 #: Pairs replaced in a round at most, and times a pair must occur to be replaced.
 PAIRS, LEAST = 256, 8
+#: Slots in which pairs are counted.
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS
 #: Ids after which a shard is closed.
 SHARD_IDS = 1 << 20
 INDEX_STEP = 1024
 MAGIC = b"RPG1"
 
 
-def _frequent(seq: np.ndarray) -> np.ndarray:
-    """Keys (first << 32 | second) of frequent pairs; no id is the first of one and the second of another."""
-    keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-    slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-    counts = np.bincount(slot, minlength=1 << 20)
+def _frequent(keys: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Keys (first << 32 | second) of frequent pairs; no id is the first of one and the second of another.
+
+    Of the keys that share a slot the last one stands for it, and only its own
+    occurrences count.
+    """
+    stands = np.zeros(SLOTS, np.uint64)
+    stands[slot] = keys
+    counts = np.bincount(slot[stands[slot] == keys], minlength=SLOTS)
     top = np.argpartition(counts, -2 * PAIRS)[-2 * PAIRS :]
-    mark = np.zeros(1 << 20, bool)
-    mark[top[counts[top] >= LEAST]] = True
-    found, n = np.unique(keys[mark[slot]], return_counts=True)
-    order = np.argsort(-n, kind="stable")
+    top = top[counts[top] >= LEAST]
+    found, n = stands[top], counts[top]
     firsts, seconds, chosen = set(), set(), []
-    for i in order[n[order] >= LEAST]:
+    for i in np.lexsort((found, -n)):
         a, b = int(found[i]) >> 32, int(found[i]) & 0xFFFFFFFF
         if (a == b and (a in firsts or a in seconds)) or b in firsts or a in seconds:
             continue
@@ -54,29 +59,36 @@ def _frequent(seq: np.ndarray) -> np.ndarray:
     return np.array(chosen, np.uint64)
 
 
+def _slots(keys: np.ndarray, turn: int) -> np.ndarray:
+    """A slot for each key; keys that share one in a round seldom do in the next."""
+    return ((keys * np.uint64(0x9E3779B97F4A7C15 + 2 * turn)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
     """(rules, symbols): rule i stands for symbol terminals + i and has two symbols."""
-    seq, rules = ids.astype(np.uint32), []
-    for _ in range(ROUNDS):
+    seq, rules, base = ids.astype(np.uint32), [], terminals
+    for turn in range(ROUNDS):
         if len(seq) < 2 * LEAST:
             break
-        pairs = _frequent(seq)
+        keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+        slot = _slots(keys, turn)
+        pairs = _frequent(keys, slot)
         if not len(pairs):
             break
-        keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        order = np.argsort(pairs)
-        at = np.minimum(np.searchsorted(pairs[order], keys), len(pairs) - 1)
-        hit = np.flatnonzero(pairs[order][at] == keys)
+        rule = np.full(SLOTS, -1, np.int32)
+        rule[_slots(pairs, turn)] = np.arange(len(pairs))
+        which = rule[slot]
+        hit = np.flatnonzero(which >= 0)
+        hit = hit[pairs[which[hit]] == keys[hit]]
         # of a run a a a a only every second place starts a pair
         new_run = np.r_[True, np.diff(hit) > 1]
         start = hit[new_run][np.cumsum(new_run) - 1]
         hit = hit[(hit - start) % 2 == 0]
-        base = terminals + sum(map(len, rules))
-        seq = seq.copy()
-        seq[hit] = base + order[at[hit]]
+        seq[hit] = base + which[hit]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq = seq[keep]
+        base += len(pairs)
         rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq
 
