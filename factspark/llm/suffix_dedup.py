@@ -12,8 +12,11 @@ Every byte covered by a string of `width` bytes that also starts elsewhere goes.
    relative to it, are sorted as suffixes by mergesort; two suffixes are compared
    through prefix polynomial hashes and binary search for their common
    extension, and neighbours that agree over `width` bytes are verified byte by
-   byte. A gram with more spans than a task should hold is dealt to several
-   cells, which sort on their own and meet by digests of whole windows.
+   byte. A gram with more spans than a task should hold is refined instead: its
+   windows are split by their place relative to it, again and again. The windows
+   of a part share a longer string, their core; parts whose core occurs once
+   can't repeat, parts equal as a whole are repeated as a whole, and the rest is
+   split until a part is one window.
 4. The intervals found are cut from each document.
 """
 
@@ -32,8 +35,12 @@ from .common import saved, small_batches, table, tidy
 WIDTH = 400
 #: Bytes of a gram; smaller ones for smaller widths.
 GRAM = 128
-#: Spans of a gram that one cell sorts.
+#: Different spans of a gram that one task sorts; grams with more are refined.
 CELL = 2048
+#: Parts into which a refined part is split.
+PARTS = 4
+#: Tasks over which the parts with one core are joined to it.
+SALTS = 8
 #: Window starts handled at a time in a very long text.
 CHUNK = 1 << 22
 #: Multiplier of the polynomial and its inverse modulo 2**64.
@@ -208,7 +215,7 @@ def equal_windows(data: np.ndarray, start: np.ndarray, group: np.ndarray, width:
 
 
 def _cells(width: int):
-    """Rows (doc_id, th, a, b) of repeated stretches, and for grams in several cells (window, a) to be met elsewhere."""
+    """Rows (doc_id, th, a, b) of the repeated stretches of grams, each with all its spans."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -216,10 +223,10 @@ def _cells(width: int):
             held.append(f)
         if not held:
             return
-        rows = pd.concat(held).sort_values(["gram", "cell"], kind="stable").reset_index(drop=True)
+        rows = pd.concat(held).sort_values("gram", kind="stable").reset_index(drop=True)
         if not len(rows):
             return
-        key = rows["gram"].ne(rows["gram"].shift()) | rows["cell"].ne(rows["cell"].shift())
+        key = rows["gram"].ne(rows["gram"].shift())
         cell = key.cumsum().to_numpy() - 1
         windows = (rows["last"] - rows["first"] + 1).to_numpy()
         limit, a = 100_000, 0
@@ -257,22 +264,56 @@ def _sorted_cells(rows: pd.DataFrame, cell: np.ndarray, width: int) -> Iterator[
         new = np.r_[True, (row[hit][1:] != row[hit][:-1]) | (at[hit][1:] != at[hit][:-1] + 1)]
         i = np.flatnonzero(new)
         j = np.r_[i[1:], len(hit)] - 1
-        yield _found(rows, row[hit[i]], at[hit[i]], at[hit[j]] + width, None, False)
-    many = rows["cells"].to_numpy()[row] > 1
-    if many.any():
-        lone = np.flatnonzero(many & ~twice)
-        yield _found(rows, row[lone], at[lone], at[lone] + width, [_window(data, s, width) for s in start[lone]], False)
-        _, one = np.unique(classes[many & twice], return_index=True)
-        known = np.flatnonzero(many & twice)[one]
-        yield _found(rows, row[known], at[known], at[known] + width, [_window(data, s, width) for s in start[known]], True)
+        yield _found(rows, row[hit[i]], at[hit[i]], at[hit[j]] + width)
 
 
-def _window(data: np.ndarray, start: int, width: int) -> bytes:
-    return hashlib.blake2b(data[start : start + width].tobytes(), digest_size=16).digest()
+def _found(rows, row, a, b) -> pd.DataFrame:
+    return pd.DataFrame({"doc_id": rows["doc_id"].array[row], "th": rows["th"].to_numpy()[row], "a": a, "b": b})
 
 
-def _found(rows, row, a, b, window, known) -> pd.DataFrame:
-    return pd.DataFrame({"doc_id": rows["doc_id"].array[row], "th": rows["th"].to_numpy()[row], "a": a, "b": b, "window": window if window is not None else [None] * len(row), "known": known})
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def _parts(width: int, gram: int):
+    """Parts of rows by the distance d of a window's start to its gram: core is what all windows of a part share."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for doc_id, th, place, first, last, lo, hi, data in zip(*(f[c] for c in ("doc_id", "th", "place", "first", "last", "lo", "hi", "data"))):
+                step = -(-(hi - lo + 1) // PARTS)
+                for low in range(lo, hi + 1, step):
+                    high = min(hi, low + step - 1)
+                    a, b = max(first, place - high), min(last, place - low)
+                    if a <= b:
+                        core = data[place - low - first : place - high + width - first]
+                        own = data[a - first : b + width - first]
+                        out.append((doc_id, th, place, a, b, low, high, _digest(core), _digest(b"%d %d " % (place - a, place - b) + own), own))
+            yield pd.DataFrame(out, columns=["doc_id", "th", "place", "first", "last", "lo", "hi", "core", "own", "data"]).astype({"doc_id": "Int64"})
+        tidy()
+
+    return run
+
+
+PART = "doc_id long, th long, place int, first int, last int, lo int, hi int, core binary, own binary, data binary"
+
+
+def _refined(rows: DataFrame, width: int, gram: int) -> list[DataFrame]:
+    """Repeated stretches among the spans of grams that have too many for one task; a level for each splitting."""
+    found, wide = [], width - gram + 1
+    while wide > 1 and not rows.isEmpty():
+        wide = -(-wide // PARTS)
+        parts = saved(rows.mapInPandas(_parts(width, gram), PART), "parts")
+        key = ["lo", "hi", "core"]
+        kinds = saved(parts.groupBy(*key, "own").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "place", "first", "last", "data")).alias("one")), "kinds")
+        twice = kinds.filter("copies > 1").select(*key, "own")
+        found.append(parts.join(twice, [*key, "own"]).select("doc_id", "th", F.col("first").alias("a"), (F.col("last") + width).alias("b")))
+        # a core may be in a third of all documents
+        open_ = kinds.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = kinds.withColumn("salt", F.pmod(F.xxhash64("own"), F.lit(SALTS)).cast("int"))
+        rows = saved(salted.join(open_, [*key, "salt"]).select("one.doc_id", "one.th", "one.place", "one.first", "one.last", "lo", "hi", "one.data"), "open")
+    return found
 
 
 def _snippets(width: int):
@@ -281,8 +322,8 @@ def _snippets(width: int):
             out = []
             for doc_id, th, text, spans in zip(f["doc_id"], f["th"], f["text"], f["spans"]):
                 data = text.encode("utf-8", "surrogatepass")
-                out += [(doc_id, th, s["place"], s["first"], s["last"], s["gram"], s["cell"], s["cells"], data[s["first"] : s["last"] + width]) for s in spans]
-            yield pd.DataFrame(out, columns=["doc_id", "th", "place", "first", "last", "gram", "cell", "cells", "data"]).astype({"doc_id": "Int64"})
+                out += [(doc_id, th, s["place"], s["first"], s["last"], s["gram"], s["hot"], data[s["first"] : s["last"] + width]) for s in spans]
+            yield pd.DataFrame(out, columns=["doc_id", "th", "place", "first", "last", "gram", "hot", "data"]).astype({"doc_id": "Int64"})
         tidy()
 
     return run
@@ -309,17 +350,17 @@ def repeated_stretches(docs: DataFrame, width: int = WIDTH, gram: int | None = N
     same = saved(same, "same")
     whole = spans.join(same.filter("copies > 1").select("gram", "span"), ["gram", "span"]).select("doc_id", "th", F.col("first").alias("a"), (F.col("last") + width).alias("b"))
     open_ = same.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).filter("kinds > 1 and least = 1")
-    cells = F.ceil(F.col("kinds") / CELL).cast("int").alias("cells")
-    dealt = same.join(open_.select("gram", cells), "gram").withColumn("cell", F.pmod(F.xxhash64("span"), F.col("cells")).cast("int"))
-    wanted = dealt.select("one.doc_id", "one.th", F.struct("one.place", "one.first", "one.last", "gram", "cell", "cells").alias("s")).groupBy("doc_id", "th").agg(F.collect_list("s").alias("spans"))  # of one document
+    dealt = same.join(open_.select("gram", (F.col("kinds") > CELL).alias("hot")), "gram")
+    wanted = dealt.select("one.doc_id", "one.th", F.struct("one.place", "one.first", "one.last", "gram", "hot").alias("s")).groupBy("doc_id", "th").agg(F.collect_list("s").alias("spans"))  # of one document
     matched = docs.join(wanted, [docs["doc_id"].eqNullSafe(wanted["doc_id"]), docs["th"] == wanted["th"]]).select(docs["doc_id"], docs["th"], "text", "spans")
     # a row that is there twice is a copy of itself, and one of the two is enough here
-    snippets = matched.mapInPandas(_snippets(width), "doc_id long, th long, place int, first int, last int, gram long, cell int, cells int, data binary")
-    sorted_ = saved(snippets.repartition("gram", "cell").mapInPandas(_cells(width), "doc_id long, th long, a int, b int, window binary, known boolean"), "stretches")
-    local = sorted_.filter("window is null").select("doc_id", "th", "a", "b")
-    met = sorted_.filter("window is not null").groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    across = sorted_.filter("window is not null and not known").join(met, "window").select("doc_id", "th", "a", "b")
-    return whole.unionByName(local).unionByName(across)
+    snippets = saved(matched.mapInPandas(_snippets(width), "doc_id long, th long, place int, first int, last int, gram long, hot boolean, data binary"), "snippets")
+    local = saved(snippets.filter("not hot").repartition("gram").mapInPandas(_cells(width), "doc_id long, th long, a int, b int"), "stretches")
+    hot = snippets.filter("hot").select("doc_id", "th", "place", "first", "last", F.lit(0).alias("lo"), F.lit(width - gram).alias("hi"), "data")
+    out = whole.unionByName(local)
+    for level in _refined(hot, width, gram):
+        out = out.unionByName(level)
+    return out
 
 
 def _cut(text: str, stretches) -> tuple[int, int, int, str, bytes]:
