@@ -206,47 +206,56 @@ def simhash_components(docs: DataFrame, size: int = 3, budget: int = 2, id_col:
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _near_features(size: int, seeds: tuple[int, ...]):
+def _near_features(size: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            words = [words_of(t) for t in f["text"]]
-            sets = [np.unique(np.array([xxhash.xxh32_intdigest(s) for s in shingles_of(w, size)], np.uint32)).view(np.int32) for w in words]
-            fps = [[majority(list(dict.fromkeys(w)), seed) for seed in seeds] for w in words]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "shingles": sets, "fps": [np.array(x, np.uint64).view(np.int64) for x in fps]})
+            sets = [np.unique(np.array([xxhash.xxh32_intdigest(s) for s in shingles_of(words_of(t), size)], np.uint32)).view(np.int32) for t in f["text"]]
+            keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": f["doc_id"], "key": keys, "shingles": sets})
         tidy()
 
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 3, seeds: tuple[int, ...] = (42, 43, 44), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity; shingles that no other text has are counted in n only."""
+    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("codes").alias("s"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("n"), F.col("codes").alias("t"))
+    shared = F.size(F.array_intersect("s", "t"))
+    return pairs.join(left, "a").join(right, "b").filter(shared >= similarity * (F.col("m") + F.col("n") - shared) - 1e-9).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of documents that near-duplicate links join, component_id the smallest of them.
 
-    Candidates are found by trie self-joins of SimHashes over each text's
-    distinct words, one join a seed; a candidate is a link only if the sets of
-    `size`-word shingles have a Jaccard similarity of at least `similarity`. A
-    crowd within the Hamming budget is checked along its trees, not pair by
-    pair. Documents without words, or with a null id, have no links. Documents
-    without links aren't returned, nor is anything for an empty table.
+    Two texts are linked if and only if their sets of `size`-word shingles have
+    a Jaccard similarity of at least `similarity`. Such texts share a shingle
+    among the rarest n - ceil(similarity * n) + 1 of each (prefix filter), so
+    only texts with a common one are compared. Documents without words, or with
+    a null id, have no links. Documents without links aren't returned, nor is
+    anything for an empty table.
     """
     small_batches(docs.sparkSession)
     rows = whole_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).filter(F.col("doc_id").isNotNull())
-    marked = saved(rows.mapInPandas(_near_features(size, seeds), "doc_id long, shingles array<int>, fps array<long>").filter(F.size("shingles") > 0), "features")
-    pairs = None
-    for i in range(len(seeds)):
-        own = marked.select("doc_id", F.col("fps")[i].alias("fp"))
-        first = saved(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-        twins = own.join(first, "fp").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-        edges = link_edges(first.select("fp"), budget, chains=True).distinct()
-        names = first.select(F.col("fp").alias("a"), F.col("first").alias("x"))
-        edges = edges.join(names, "a").join(names.select(F.col("a").alias("b"), F.col("x").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        found = twins.unionByName(edges)
-        pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = saved(pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    sets = marked.select("doc_id", "shingles")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t")), "b")
-    shared = F.size(F.array_intersect("s", "t"))
-    links = both.filter(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b")
-    return components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    marked = saved(rows.mapInPandas(_near_features(size), "doc_id long, key long, shingles array<int>").filter(F.size("shingles") > 0), "features")
+    held = marked.select("doc_id", "key", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    times = held.groupBy("s").count().filter("count > 1")
+    # sorts by frequency; shingles of one text only would come first, are in no other prefix and needn't be kept
+    code = F.shiftleft("count", 32).bitwiseOR(F.col("s").cast("long").bitwiseAND(0xFFFFFFFF))
+    coded = held.join(times, "s").select("doc_id", "key", "n", code.alias("code"))
+    need = F.ceil(similarity * F.col("n") - 1e-9).cast("int")
+    sets = coded.groupBy("doc_id", "key", "n").agg(F.sort_array(F.collect_list("code")).alias("codes")).filter(F.size("codes") >= need)
+    sets = saved(sets, "sets")
+    buckets = sets.select("doc_id", "n", F.explode(F.slice("codes", F.lit(1), F.size("codes") - need + 1)).alias("code")).distinct()
+    return _linked(saved(buckets, "buckets"), sets, similarity).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+
+
+def _linked(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of the links between members (doc_id, n) of one code's bucket."""
+    other = buckets.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), "code")
+    near = (F.col("doc_id") > F.col("b")) & (F.col("n") >= similarity * F.col("m") - 1e-9) & (F.col("m") >= similarity * F.col("n") - 1e-9)
+    pairs = saved(buckets.join(other, "code").filter(near).select(F.col("doc_id").alias("a"), "b").distinct(), "pairs")
+    return components(_verified(pairs, sets, similarity))
 
 
 def op10_simhash(spark, sf_dir):

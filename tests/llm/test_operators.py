@@ -199,6 +199,42 @@ def test_near_duplicates(spark):
     assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()} == {(2, 1)}
 
 
+def near_brute_force(data, size=5, similarity=0.8):
+    """{(doc_id, component_id)} by comparing all pairs."""
+    sets = [(i, set(simhash.shingles_of(simhash.words_of(t), size))) for i, t in data if i is not None and t and t.split()]
+    root = {i: i for i, _ in sets}
+    changed = True
+    links = [(i, j) for i, s in sets for j, t in sets if i < j and len(s & t) >= similarity * len(s | t) - 1e-9]
+    while changed:
+        changed = False
+        for i, j in links:
+            low = min(root[i], root[j])
+            changed |= root[i] != low or root[j] != low
+            root[i] = root[j] = low
+    linked = {i for pair in links for i in pair}
+    return {(i, root[i]) for i in linked if i != root[i]}
+
+
+def near_found(spark, data):
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    return {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect() if r.doc_id != r.component_id}
+
+
+def test_near_duplicates_by_kind_of_edit(spark):
+    rng, data = random.Random(6), []
+    for n in (7, 60, 200, 800):
+        for _ in range(6):
+            base = words(rng, n, "abcdefghijklmnop").split()
+            extra = words(rng, n, "abcdefghijklmnop").split()
+            swap = [*base]
+            swap[n // 2] = "changed"
+            for copy in (base, base + extra[: n * 18 // 100], base[: n - n * 15 // 100], extra[: n // 10] + base, base[n // 3 :] + base[: n // 3], swap, base + extra[: n * 3 // 10]):
+                data.append((len(data), " ".join(copy)))
+    data += [(None, data[0][1]), (5000, None), (5001, ""), (5002, " "), (5003, "one"), (5004, "ONE"), (5005, data[1][1]), (5005, "a second row of one id")]
+    want = near_brute_force(data)
+    assert len(want) > 80 and near_found(spark, data) == want
+
+
 def test_language(spark, empty):
     rng = random.Random(2)
     known_words = {"a": words(rng, 60, "abcdefg").split(), "t": words(rng, 60, "tuvwxyz").split()}
