@@ -25,6 +25,8 @@ from .common import saved, small_batches, table, tidy, whole_text
 BITS = 64
 #: Shingles counted at a time, so that very long texts need bounded memory.
 CHUNK = 65_536
+#: Times that a bucket is compared with one of its members before what is left is compared pair by pair.
+LEADER_ROUNDS = 2
 
 
 def words_of(text: str) -> list[bytes]:
@@ -125,7 +127,7 @@ def forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _links(budget: int, chains: bool):
+def _links(budget: int):
     widths = block_widths(budget)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,10 +144,6 @@ def _links(budget: int, chains: bool):
             root = forest(len(keys), *trie_links(keys, widths[block], budget))
             at = np.flatnonzero(root != np.arange(len(root)))
             yield pd.DataFrame({"a": fps[at].view(np.int64), "b": fps[root[at]].view(np.int64)})
-            if chains and len(at):
-                order = np.lexsort((np.arange(len(root)), root))
-                next_to = np.flatnonzero(root[order][1:] == root[order][:-1]) + 1
-                yield pd.DataFrame({"a": fps[order[next_to]].view(np.int64), "b": fps[order[next_to - 1]].view(np.int64)})
 
     return run
 
@@ -173,18 +171,15 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def link_edges(fps: DataFrame, budget: int, chains: bool = False) -> DataFrame:
-    """Spanning edges (a, b) between distinct fingerprints of column fp that differ in at most `budget` bits.
-
-    With chains, also an edge between neighbours in each task's order of a tree.
-    """
+def link_edges(fps: DataFrame, budget: int) -> DataFrame:
+    """Spanning edges (a, b) between distinct fingerprints of column fp that differ in at most `budget` bits."""
     parts, at = [], 0
     for block, width in enumerate(block_widths(budget)):
         value = F.shiftrightunsigned("fp", BITS - at - width).bitwiseAND((1 << width) - 1)
         parts.append(F.struct(F.lit(block).alias("block"), value.alias("value")))
         at += width
     sent = fps.select("fp", F.explode(F.array(*parts)).alias("p")).select("fp", "p.block", "p.value")
-    return sent.repartition("block", "value").mapInPandas(_links(budget, chains), "a long, b long")
+    return sent.repartition("block", "value").mapInPandas(_links(budget), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, size: int = 3, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,11 +246,40 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
 
 
 def _linked(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) of the links between members (doc_id, n) of one code's bucket."""
-    other = buckets.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), "code")
-    near = (F.col("doc_id") > F.col("b")) & (F.col("n") >= similarity * F.col("m") - 1e-9) & (F.col("m") >= similarity * F.col("n") - 1e-9)
-    pairs = saved(buckets.join(other, "code").filter(near).select(F.col("doc_id").alias("a"), "b").distinct(), "pairs")
-    return components(_verified(pairs, sets, similarity))
+    """(node, root) of the links between members (doc_id, n) of one code's bucket.
+
+    In each of LEADER_ROUNDS the members of a bucket are compared with one of
+    them, which then leaves it; buckets within one component are done. What is
+    still apart after that is compared pair by pair, so that no link between
+    components is lost and a crowd of near copies has no square of pairs.
+    """
+    schema = "node long, root long"
+    roots = buckets.sparkSession.createDataFrame([], schema)
+    for turn in range(LEADER_ROUNDS + 1):
+        if turn:
+            named = buckets.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", "code", F.coalesce("root", "doc_id").alias("comp"))
+        else:
+            named = buckets.withColumn("comp", F.col("doc_id"))
+        named = saved(named, "named")
+        apart = named.groupBy("code").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("code")
+        buckets = saved(named.join(apart, "code", "left_semi"), "buckets")
+        if turn < LEADER_ROUNDS:
+            # the first leaders are the same in many buckets, which makes few pairs; later ones differ
+            order = F.xxhash64("doc_id", "code") if turn else F.col("doc_id")
+            other = buckets.groupBy("code").agg(F.min(F.struct(order.alias("o"), "doc_id", "n", "comp")).alias("l"))
+            other = other.select("code", F.col("l.doc_id").alias("b"), F.col("l.n").alias("m"), F.col("l.comp").alias("other"))
+        else:
+            other = buckets.select("code", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
+        met = buckets.join(other, "code")
+        near = (F.col("comp") != F.col("other")) & (F.col("n") >= similarity * F.col("m") - 1e-9) & (F.col("m") >= similarity * F.col("n") - 1e-9)
+        if turn == LEADER_ROUNDS:
+            near &= F.col("doc_id") > F.col("b")
+        pairs = saved(met.filter(near).select(F.col("doc_id").alias("a"), "b").distinct(), "pairs")
+        if not pairs.isEmpty():
+            roots = components(_verified(pairs, sets, similarity).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        if turn < LEADER_ROUNDS:
+            buckets = met.filter("doc_id <> b or n <> m").select("doc_id", "n", "code")
+    return roots
 
 
 def op10_simhash(spark, sf_dir):

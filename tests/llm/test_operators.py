@@ -235,6 +235,30 @@ def test_near_duplicates_by_kind_of_edit(spark):
     assert len(want) > 80 and near_found(spark, data) == want
 
 
+def test_near_duplicates_in_a_crowd(spark):
+    rng, data = random.Random(7), []
+    shared = words(rng, 40, "abcdefghijklmnop")
+    for _ in range(4):  # families of one template, apart from each other
+        base = (shared + " " + words(rng, 60, "abcdefghijklmnop")).split()
+        data.append((len(data), " ".join(rng.sample(base, len(base)))))
+        for _ in range(12):
+            copy = [*base]
+            for i in rng.sample(range(40, 100), rng.randint(0, 3)):
+                copy[i] = "x%d" % rng.randrange(3)
+            data.append((len(data), " ".join(copy)))
+    # the smallest id of a fingerprint has the words of the others in another order
+    b = words(rng, 100, "abcdefghijklmnop").split()
+    c = [*b]
+    c[50], c[51] = c[51], c[50]
+    data += [(1000, " ".join(reversed(b))), (1001, " ".join(b)), (1002, " ".join(c))]
+    # a chain: each link holds, its ends are apart
+    chain = words(rng, 120, "abcdefghijklmnop").split()
+    data += [(2000 + k, " ".join(chain[8 * k : 8 * k + 80])) for k in range(5)]
+    rng.shuffle(data)
+    want = near_brute_force(data)
+    assert (1002, 1001) in want and near_found(spark, data) == want
+
+
 def test_language(spark, empty):
     rng = random.Random(2)
     known_words = {"a": words(rng, 60, "abcdefg").split(), "t": words(rng, 60, "tuvwxyz").split()}
