@@ -1,9 +1,9 @@
 """Packing by cutting-stock column generation.
 
 A document's ids are cut into full sequences and one remainder. Remainders are
-counted by length class; a linear program over patterns of classes says how
-often each pattern is used, with columns priced by a knapsack dynamic program.
-Rounded down, the patterns take documents by their rank in a class; what is left
+counted by their length in tokens; a linear program over patterns of lengths says
+how often each pattern is used, with columns priced by a knapsack dynamic program.
+Rounded down, the patterns take documents by their rank in a length; what is left
 over is placed by first fit decreasing. Only the histogram reaches the driver.
 """
 
@@ -23,9 +23,7 @@ from .tokens import BYTE_BPE, encoder
 
 LENGTH = 2048
 END_ID = 1
-#: Tokens between the length classes of the linear program, which so has at most LENGTH / STEP rows.
-STEP = 8
-#: Sub-buckets of a class within which ranks are counted; one class may hold a third of all rows.
+#: Sub-buckets of a length within which ranks are counted; one length may hold a third of all rows.
 SUB_BUCKETS = 64
 MAX_COLUMNS = 5000
 #: Share by which the program may stay above its lower bound when it stops.
@@ -84,8 +82,8 @@ def solve(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], i
     if not len(sizes):
         return []
     need = np.array([demand[int(s)] for s in sizes], float)
-    columns, x = first_basis(sizes, need, capacity)
-    inverse = inverted(columns)
+    columns, x, order = first_basis(sizes, need, capacity)
+    inverse = inverted(columns, order)
     # duals are smoothed towards those with the best bound so far; at first a size is worth its share of a sequence
     centre, bound, weight = sizes / capacity, float(need @ sizes) / capacity, 0.9
     for _ in range(MAX_COLUMNS):
@@ -102,7 +100,8 @@ def solve(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], i
             weight = max(0.0, weight - 0.1) if weight > 0.05 else 0.0
             continue
         weight = 0.9
-        direction = inverse @ copies
+        held = np.flatnonzero(copies)
+        direction = inverse[:, held] @ copies[held].astype(float)
         ok = direction > 1e-9
         ratio = np.where(ok, x / np.where(ok, direction, 1), np.inf)
         out = int(ratio.argmin())
@@ -110,7 +109,8 @@ def solve(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], i
         x[out] = ratio[out]
         columns[:, out] = copies
         pivot = inverse[out] / direction[out]
-        inverse -= np.outer(direction, pivot)
+        moved = np.flatnonzero(direction)
+        inverse[moved] -= np.outer(direction[moved], pivot)
         inverse[out] = pivot
     times = np.maximum(np.floor(x + 1e-6), 0).astype(np.int64)
     left = need.astype(np.int64) - columns.astype(np.int64) @ times
@@ -123,42 +123,48 @@ def solve(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], i
     return out + first_fit(dict(zip(sizes.tolist(), left.tolist())), capacity)
 
 
-def inverted(matrix: np.ndarray) -> np.ndarray:
-    """Gauss-Jordan in plain numpy: LAPACK's threads can hang in a process that a JVM shares."""
-    n = len(matrix)
-    both = np.hstack([matrix, np.eye(n)])
-    for i in range(n):
-        at = i + int(np.abs(both[i:, i]).argmax())
-        both[[i, at]] = both[[at, i]]
-        both[i] /= both[i, i]
-        rest = both[:, i].copy()
-        rest[i] = 0
-        both -= np.outer(rest, both[i])
-    return both[:, n:]
+def inverted(matrix: np.ndarray, order: list[int]) -> np.ndarray:
+    """Forward substitution, in plain numpy: LAPACK's threads can hang in a process that a JVM shares.
 
+    Taken in the order, row i of the matrix has entries in column i and in
+    columns before it only.
+    """
+    out = np.zeros_like(matrix)
+    for i in order:
+        out[i, i] = 1
+        for k in np.flatnonzero(matrix[i]):
+            if k != i:
+                out[i] -= matrix[i, k] * out[k]
+        out[i] /= matrix[i, i]
+    return out
 
-def first_basis(sizes: np.ndarray, need: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns as columns, times): fractional first fit decreasing.
+
+def first_basis(sizes: np.ndarray, need: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(patterns as columns, times, order of the columns): fractional first fit decreasing.
 
     Each pattern is used until it exhausts a size, which no later one holds; so
     the columns are triangular and make a basis. Sizes exhausted by the way get
     a pattern of their own that is used zero times.
     """
-    left, columns, x = need.copy(), np.zeros((len(sizes), len(sizes))), np.zeros(len(sizes))
+    left, columns, x, order = need.copy(), np.zeros((len(sizes), len(sizes))), np.zeros(len(sizes)), []
     while (left > 0).any():
         pattern, room = np.zeros(len(sizes)), capacity
         for i in np.flatnonzero(left > 0)[::-1]:
             n = min(room // int(sizes[i]), int(np.ceil(left[i])))
             pattern[i], room = n, room - n * int(sizes[i])
+            if not room:
+                break
         ratio = np.where(pattern > 0, left / np.where(pattern > 0, pattern, 1), np.inf)
         at = int(ratio.argmin())
         columns[:, at], x[at] = pattern, ratio[at]
+        order.append(at)
         left = np.maximum(left - ratio[at] * pattern, 0)
         left[at] = 0
         left[left < 1e-9] = 0
-    for i in np.flatnonzero(columns.sum(axis=0) == 0):
+    for i in np.flatnonzero(columns.sum(axis=0) == 0).tolist():
         columns[i, i] = capacity // sizes[i]
-    return columns, x
+        order.append(i)
+    return columns, x, order
 
 
 def first_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -204,17 +210,16 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     small_batches(spark)
     rows = whole_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     pieces = saved(rows.mapInPandas(_pieces(length), PIECES), "pieces")
-    step = min(STEP, length)
     sub = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SUB_BUCKETS)).cast("int")
-    ranked = pieces.withColumn("size", F.ceil(F.col("length") / step).cast("int")).withColumn("sub", sub)
-    counts = ranked.groupBy("size", "sub").count().collect()  # at most length / step * SUB_BUCKETS rows
+    ranked = pieces.withColumn("size", F.col("length").cast("int")).withColumn("sub", sub)
+    counts = ranked.groupBy("size", "sub").count().collect()  # at most length * SUB_BUCKETS rows
     demand: dict[int, int] = {}
     offsets = []
     for r in sorted(counts, key=lambda r: (r["size"], r["sub"])):
         offsets.append((r["size"], r["sub"], demand.get(r["size"], 0)))
         demand[r["size"]] = demand.get(r["size"], 0) + r["count"]
-    placed = placements(solve(demand, length // step))
-    # both tables are bounded by the number of classes, not by the rows
+    placed = placements(solve(demand, length))
+    # both tables are bounded by the number of lengths, not by the rows
     before = F.broadcast(spark.createDataFrame(offsets, "size int, sub int, before long"))
     where = F.broadcast(spark.createDataFrame(placed, "size int, low long, high long, sequence long, copies long"))
     local = F.row_number().over(W.partitionBy("size", "sub").orderBy("length", "doc_id", "start", "ids_crc32")) - 1

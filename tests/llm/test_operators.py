@@ -142,6 +142,24 @@ def test_packing(docs, empty, rows):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_of_short_texts_is_tight(spark):
+    texts = [None, "", " a", " a b c d e f g h", " a b c d e f g h i j k l m n o p"]
+    docs = spark.createDataFrame([(i, texts[i % 5]) for i in range(600)], "doc_id long, text string")
+    got = packing.pack_documents(docs, length=256).collect()
+    used = {r.sequence_id for r in got}
+    assert len(got) == 600 and len(used) == -(-sum(r.length for r in got) // 256)
+    assert max(r.offset + r.length for r in got) <= 256
+
+
+def test_inverse_of_the_first_basis():
+    rng = np.random.default_rng(1)
+    demand = Counter(rng.integers(1, 200, 3000).tolist())
+    sizes = np.array(sorted(demand))
+    columns, x, order = packing.first_basis(sizes, np.array([demand[int(s)] for s in sizes], float), 256)
+    assert np.allclose(packing.inverted(columns, order) @ columns, np.eye(len(sizes)))
+    assert np.allclose(columns @ x, [demand[int(s)] for s in sizes])
+
+
 def test_column_generation_is_near_bound():
     rng = np.random.default_rng(0)
     demand = Counter(rng.integers(1, 60, 5000).tolist())
