@@ -22,69 +22,67 @@ from .common import saved, small_batches, table, whole_text
 from .tokens import WORD_BPE, encoder
 
 END_ID = 2
-ROUNDS = 8
-#: Pairs replaced in a round at most, and times a pair must occur to be replaced.
-PAIRS, LEAST = 256, 8
-#: Slots in which pairs are counted.
-SLOT_BITS = 20
-SLOTS = 1 << SLOT_BITS
+#: Times that a pair must occur to be replaced.
+LEAST = 8
+#: A round replaces pairs down to this share of the most frequent one's count.
+SHARE = 0.5
 #: Ids after which a shard is closed.
 SHARD_IDS = 1 << 20
 INDEX_STEP = 1024
-MAGIC = b"RPG1"
-
-
-def _frequent(keys: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    """Keys (first << 32 | second) of frequent pairs; no id is the first of one and the second of another.
-
-    Of the keys that share a slot the last one stands for it, and only its own
-    occurrences count.
-    """
-    stands = np.zeros(SLOTS, np.uint64)
-    stands[slot] = keys
-    counts = np.bincount(slot[stands[slot] == keys], minlength=SLOTS)
-    top = np.argpartition(counts, -2 * PAIRS)[-2 * PAIRS :]
-    top = top[counts[top] >= LEAST]
-    found, n = stands[top], counts[top]
+MAGIC = b"RPG2"
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Places of the pairs; of a run a a a a only every second place starts one."""
+    same = np.r_[False, keys[1:] == keys[:-1]]
+    if not same.any():
+        return np.arange(len(keys))
+    at = np.arange(len(keys))
+    start = np.maximum.accumulate(np.where(same, 0, at))
+    return at[(at - start) % 2 == 0]
+
+
+def _frequent(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys (first << 32 | second) of the most frequent pairs; no id is the first of one and the second of another."""
+    keys = np.sort(keys)
+    edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    counts = np.diff(np.r_[edge, len(keys)])
+    top = int(counts.max())
+    if top < LEAST:
+        return np.zeros(0, np.uint64)
+    enough = counts >= max(LEAST, int(top * SHARE))
+    found, n = keys[edge[enough]], counts[enough]
     firsts, seconds, chosen = set(), set(), []
-    for i in np.lexsort((found, -n)):
-        a, b = int(found[i]) >> 32, int(found[i]) & 0xFFFFFFFF
-        if (a == b and (a in firsts or a in seconds)) or b in firsts or a in seconds:
+    for key in found[np.argsort(-n, kind="stable")].tolist():
+        a, b = key >> 32, key & 0xFFFFFFFF
+        if b in firsts or a in seconds or (a == b and (a in firsts or a in seconds)):
             continue
         firsts.add(a)
         seconds.add(b)
-        chosen.append(found[i])
-        if len(chosen) == PAIRS:
-            break
-    return np.array(chosen, np.uint64)
-
-
-def _slots(keys: np.ndarray, turn: int) -> np.ndarray:
-    """A slot for each key; keys that share one in a round seldom do in the next."""
-    return ((keys * np.uint64(0x9E3779B97F4A7C15 + 2 * turn)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        chosen.append(key)
+    return np.sort(np.array(chosen, np.uint64))
 
 
 def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, symbols): rule i stands for symbol terminals + i and has two symbols."""
+    """(rules, symbols): rule i stands for symbol terminals + i and has two symbols.
+
+    Pairs are counted exactly and replaced until none occurs LEAST times.
+    """
     seq, rules, base = ids.astype(np.uint32), [], terminals
-    for turn in range(ROUNDS):
-        if len(seq) < 2 * LEAST:
-            break
+    while len(seq) >= 2 * LEAST:
         keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        slot = _slots(keys, turn)
-        pairs = _frequent(keys, slot)
+        starts = _starts(keys)
+        pairs = _frequent(keys[starts])
         if not len(pairs):
             break
-        rule = np.full(SLOTS, -1, np.int32)
-        rule[_slots(pairs, turn)] = np.arange(len(pairs))
-        which = rule[slot]
-        hit = np.flatnonzero(which >= 0)
-        hit = hit[pairs[which[hit]] == keys[hit]]
-        # of a run a a a a only every second place starts a pair
-        new_run = np.r_[True, np.diff(hit) > 1]
-        start = hit[new_run][np.cumsum(new_run) - 1]
-        hit = hit[(hit - start) % 2 == 0]
-        seq[hit] = base + which[hit]
+        first, second = np.zeros(base, bool), np.zeros(base, bool)
+        first[pairs >> np.uint64(32)] = True
+        second[pairs & np.uint64(0xFFFFFFFF)] = True
+        hit = starts[first[seq[starts]] & second[seq[starts + 1]]]
+        which = np.minimum(np.searchsorted(pairs, keys[hit]), len(pairs) - 1)
+        right = pairs[which] == keys[hit]
+        hit, which = hit[right], which[right]
+        seq[hit] = base + which
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq = seq[keep]
@@ -93,6 +91,20 @@ def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq
 
 
+def packed(values: np.ndarray, bits: int) -> np.ndarray:
+    """Bytes of values of so many bits each."""
+    return np.packbits((values.astype("<u4")[:, None] >> np.arange(bits, dtype=np.uint32) & 1).astype(np.uint8), bitorder="little")
+
+
+def unpacked(data: np.ndarray, bits: int, first: int, n: int) -> np.ndarray:
+    """n values from the first on, which is a multiple of 8."""
+    part = np.unpackbits(data[first // 8 * bits : -(-(first + n) * bits // 8)], bitorder="little", count=n * bits).reshape(n, bits)
+    out = np.zeros(n, np.uint32)
+    for i in range(bits):
+        out |= part[:, i].astype(np.uint32) << np.uint32(i)
+    return out
+
+
 def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     """Ids that each rule expands to; a rule uses earlier ones only."""
     out = np.zeros(len(rules), np.int64)
@@ -123,10 +135,10 @@ def write_shard(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, t
     deep = symbols >= terminals
     each[deep] = lengths[symbols[deep] - terminals]
     index = (np.cumsum(each) - each)[::INDEX_STEP]
-    wide = terminals + len(rules) > 1 << 16
+    bits = (terminals + len(rules)).bit_length()
     null = np.array([d is None for d in doc_ids], np.uint8)
-    head = MAGIC + struct.pack("<IIIIIB", terminals, len(rules), len(symbols), len(doc_ids), len(index), wide)
-    body = [rules.astype("<u4"), lengths.astype("<u4"), symbols.astype("<u4" if wide else "<u2"), index.astype("<u8"), np.array([d or 0 for d in doc_ids], "<i8"), null, np.array(counts, "<u4")]
+    head = MAGIC + struct.pack("<IIIIIB", terminals, len(rules), len(symbols), len(doc_ids), len(index), bits)
+    body = [packed(rules.ravel(), bits), lengths.astype("<u4"), packed(symbols, bits), index.astype("<u8"), np.array([d or 0 for d in doc_ids], "<i8"), null, np.array(counts, "<u4")]
     return head + b"".join(x.tobytes() for x in body)
 
 
@@ -136,7 +148,7 @@ class Shard:
     def __init__(self, data: bytes) -> None:
         if data[:4] != MAGIC:
             raise ValueError("not a shard of this format")
-        self.terminals, rules, symbols, docs, index, wide = struct.unpack_from("<IIIIIB", data, 4)
+        self.terminals, rules, self.n_symbols, docs, index, self.bits = struct.unpack_from("<IIIIIB", data, 4)
         at = 4 + struct.calcsize("<IIIIIB")
 
         def take(kind: str, n: int) -> np.ndarray:
@@ -145,24 +157,27 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.rules = take("<u4", 2 * rules).reshape(-1, 2)
+        self.rules = unpacked(take("u1", -(-2 * rules * self.bits // 8)), self.bits, 0, 2 * rules).reshape(-1, 2)
         self.lengths = take("<u4", rules)
-        self.symbols = take("<u4" if wide else "<u2", symbols)
+        self.packed = take("u1", -(-self.n_symbols * self.bits // 8))
         self.index, ids = take("<u8", index), take("<i8", docs)
         self.doc_ids = [None if null else int(i) for i, null in zip(ids, take("u1", docs))]
         self.counts = take("<u4", docs)
 
+    def symbols(self, first: int, last: int) -> np.ndarray:
+        return unpacked(self.packed, self.bits, first, min(last, self.n_symbols) - first)
+
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.terminals)
+        return expand(self.symbols(0, self.n_symbols), self.rules, self.terminals)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """n ids from a position on, expanding only the symbols that cover them."""
-        if n <= 0 or not len(self.symbols):
+        if n <= 0 or not self.n_symbols:
             return np.zeros(0, np.uint32)
         block = int(np.searchsorted(self.index, start, "right")) - 1
         first, at = block * INDEX_STEP, int(self.index[block])
         last_block = int(np.searchsorted(self.index, start + n, "left"))
-        part = self.symbols[first : last_block * INDEX_STEP]
+        part = self.symbols(first, last_block * INDEX_STEP)
         each = np.ones(len(part), np.int64)
         deep = part >= self.terminals
         each[deep] = self.lengths[part[deep] - self.terminals]

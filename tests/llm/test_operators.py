@@ -181,6 +181,25 @@ def test_repair_round_trip(ids):
         assert (shard.ids(a, 55) == data[a : a + 55]).all()
 
 
+def test_repair_leaves_no_frequent_pair():
+    rng = np.random.default_rng(2)
+    passage = rng.integers(0, 40000, 700)
+    parts = [rng.zipf(1.3, 60000) % 3000, *[passage, rng.integers(0, 3000, 5)] * 60, np.full(999, 7)]
+    ids = np.concatenate(parts).astype("<u4")
+    rules, symbols = repair.compress(ids, 49408)
+    assert (repair.expand(symbols, rules, 49408) == ids).all()
+    seen, at = Counter(), 0
+    pairs = list(zip(symbols[:-1].tolist(), symbols[1:].tolist()))
+    while at < len(pairs):
+        seen[pairs[at]] += 1
+        at += 2 if at + 1 < len(pairs) and pairs[at] == pairs[at + 1] else 1
+    assert max(seen.values()) < repair.LEAST
+    assert repair.expansion_lengths(rules, 49408).max() > 600
+    shard = repair.Shard(repair.write_shard([1], [len(ids)], ids, 49408))
+    for a in range(0, len(ids), 4999):
+        assert (shard.ids(a, 1500) == ids[a : a + 1500]).all()
+
+
 def test_token_files(docs, empty, rows):
     at, want = 0, Counter()
     got = Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in repair.read_ids(repair.write_ids(docs)).collect())
