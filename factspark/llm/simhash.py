@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, small_batches, table, tidy, whole_text
@@ -220,6 +220,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").filter(shared >= similarity * (F.col("m") + F.col("n") - shared) - 1e-9).select("a", "b")
 
 
+def _need(similarity: float, n: Column) -> Column:
+    """Shingles that a set of n must share with one that is similar enough."""
+    return F.ceil(similarity * n - 1e-9).cast("int")
+
+
+def _may_link(marked: DataFrame, similarity: float) -> DataFrame:
+    """The rows without those that a part of the shingles proves to have no link; spares shuffling all shingles.
+
+    Taken are the n - need(n) + k(n) smallest shingles, k(n) a tenth of n. Of a
+    linked pair, all shared shingles in the part that ends first are in the other
+    part too, and these are at least k of its size, which is not below need(n).
+    """
+    k = lambda n: F.greatest(F.lit(1), F.floor(n / 10)).cast("int")
+    n = F.size("shingles")
+    part = marked.select("doc_id", "key", n.alias("n"), F.explode(F.slice("shingles", F.lit(1), n - _need(similarity, n) + k(n))).alias("s"))
+    times = part.groupBy("s").count().filter("count > 1").select("s")
+    met = part.join(times, "s").groupBy("doc_id", "key", "n").agg(F.count("*").alias("met"))
+    kept = saved(met.filter(F.col("met") >= k(_need(similarity, F.col("n")))).select("doc_id", "key").distinct(), "kept")
+    return saved(marked.join(kept, ["doc_id", "key"], "left_semi"), "features")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of documents that near-duplicate links join, component_id the smallest of them.
 
@@ -233,12 +254,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     small_batches(docs.sparkSession)
     rows = whole_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).filter(F.col("doc_id").isNotNull())
     marked = saved(rows.mapInPandas(_near_features(size), "doc_id long, key long, shingles array<int>").filter(F.size("shingles") > 0), "features")
-    held = marked.select("doc_id", "key", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    held = _may_link(marked, similarity).select("doc_id", "key", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     times = held.groupBy("s").count().filter("count > 1")
     # sorts by frequency; shingles of one text only would come first, are in no other prefix and needn't be kept
     code = F.shiftleft("count", 32).bitwiseOR(F.col("s").cast("long").bitwiseAND(0xFFFFFFFF))
     coded = held.join(times, "s").select("doc_id", "key", "n", code.alias("code"))
-    need = F.ceil(similarity * F.col("n") - 1e-9).cast("int")
+    need = _need(similarity, F.col("n"))
     sets = coded.groupBy("doc_id", "key", "n").agg(F.sort_array(F.collect_list("code")).alias("codes")).filter(F.size("codes") >= need)
     sets = saved(sets, "sets")
     buckets = sets.select("doc_id", "n", F.explode(F.slice("codes", F.lit(1), F.size("codes") - need + 1)).alias("code")).distinct()
