@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import numbered, saved, small_batches, table
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -109,21 +109,25 @@ class CuckooIndex:
                 return
 
 
-def _later(a, b):
-    return b if a is None or (b is not None and b > a) else a
+COLUMNS = ["digest", "keep_id", "file", "place", "group_size"]
+GROUPS = "digest binary, keep_id long, file long, place long, group_size long"
 
 
 def _merged(frames: Iterator[pd.DataFrame]) -> CuckooIndex:
+    """The live digests of a partition. A later row of a digest replaces the live one if it is the row that stays: that one is deleted, this one inserted."""
     index = CuckooIndex()
     for frame in frames:
         ids = [None if pd.isna(x) else int(x) for x in frame["keep_id"]]
-        for digest, keep, n in zip(frame["digest"], ids, frame["group_size"]):
-            digest = bytes(digest)
+        for digest, keep, file, place, n in zip(frame["digest"], ids, frame["file"], frame["place"], frame["group_size"]):
+            digest, rank = bytes(digest), (keep is not None, keep or 0, -file, -place)
             entry = index.get(digest)
             if entry is None:
-                index.insert(digest, [keep, int(n)])
+                index.insert(digest, [rank, int(n)])
+            elif rank > entry[1]:
+                n += entry[2]
+                index.delete(digest)
+                index.insert(digest, [rank, int(n)])
             else:
-                entry[1] = _later(entry[1], keep)
                 entry[2] += int(n)
     return index
 
@@ -139,43 +143,64 @@ def _rows(index: CuckooIndex, chunk: int = 20_000) -> Iterator[pd.DataFrame]:
         yield _frame(out)
 
 
-def _frame(rows: list[list]) -> pd.DataFrame:
-    return pd.DataFrame({"digest": [r[0] for r in rows], "keep_id": pd.array([r[1] for r in rows], dtype="Int64"), "group_size": [r[2] for r in rows]})
+def _frame(entries: list[list]) -> pd.DataFrame:
+    found = [(digest, keep if known else None, -file, -place, n) for digest, (known, keep, file, place), n in entries]
+    return pd.DataFrame(found, columns=COLUMNS).astype({"keep_id": "Int64"})
 
 
 def _partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Groups of one batch; the pre-aggregation before the shuffle."""
     for frame in frames:
         if len(frame):
-            yield frame.groupby("digest", sort=False).agg(keep_id=("keep_id", "max"), group_size=("group_size", "sum")).reset_index()
+            n = frame.groupby("digest", sort=False)["group_size"].sum()
+            best = frame.sort_values(["keep_id", "file", "place"], ascending=[False, True, True], na_position="last").drop_duplicates("digest")
+            yield best.assign(group_size=best["digest"].map(n))[COLUMNS]
 
 
 def _index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from _rows(_merged(frames))
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """GROUPS, one row a digest: the row that stays and how many there are, from rows (digest, doc_id, file, place)."""
+    small_batches(rows.sparkSession)
+    own = rows.select("digest", F.col("doc_id").alias("keep_id"), "file", "place", F.lit(1).cast("long").alias("group_size"))
+    return own.mapInPandas(_partial, GROUPS).repartition("digest").mapInPandas(_index, GROUPS)
+
+
+def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    digest = F.unhex(F.sha2(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")), 256)).alias("digest")
+    return saved(numbered(docs).select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), "file", "place", digest), "digests")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, stays.
 
     Equal texts form a group (null counts as empty) and the row with the largest
-    id stays. Null ids lose to any id; rows that repeat an id and a text share
-    one fate. An empty table gives an empty result. Other columns are ignored.
+    id stays. Null ids lose to any id. kept compares ids, so that rows that
+    repeat an id and a text share one fate; stays holds for exactly one row of a
+    group. An empty table gives an empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark, 10_000)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
-    schema = "digest binary, keep_id long, group_size long"
-    partial = rows.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).mapInPandas(_partial, schema)
-    groups = partial.repartition("digest").mapInPandas(_index, schema)
+    rows = _digests(docs, id_col, text_col)
+    groups = _groups(rows).withColumnsRenamed({"file": "_file", "place": "_place"})
+    stays = (F.col("file") == F.col("_file")) & (F.col("place") == F.col("_place"))
     joined = rows.join(groups, "digest")
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), stays.alias("stays"))
 
 
-def op6_exact_dedup(spark, sf_dir):
-    from .common import table
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with one row of each group of equal texts: exact_dedup()'s that stays.
 
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    Rows are told by their address, so that null and repeated ids lose no other
+    text, and of a row that is there twice one stays. An empty table gives an
+    empty result.
+    """
+    stays = _groups(_digests(docs, id_col, text_col)).select("file", "place")
+    return numbered(docs).join(stays, ["file", "place"], "left_semi").select("row.*")
+
+
+def op6_exact_dedup(spark, sf_dir):
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("stays")
 
 
 SQL = """

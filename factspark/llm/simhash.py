@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, table, tidy, whole_text
+from .common import discard, numbered, saved, small_batches, table, tidy, whole_text
 
 BITS = 64
 #: Shingles counted at a time, so that very long texts need bounded memory.
@@ -163,7 +163,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = saved(small, "edges")
+        edges, old = saved(small, "edges"), edges
+        discard(old)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == state:
             break
@@ -201,21 +202,68 @@ def simhash_components(docs: DataFrame, size: int = 3, budget: int = 2, id_col:
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+class _Words(dict):
+    """64-bit hash of each word, remembered; emptied when it has grown too large."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word, 7)
+        return h
+
+
+_hashed = _Words()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
+
+
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's word shingles, each made of its words' hashes; fewer words than `size` are one shingle."""
+    words = words_of(text)
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(_hashed) > 500_000:
+        _hashed.clear()
+    h = np.fromiter(map(_hashed.__getitem__, words), np.uint64, len(words))
+    take = min(size, len(h))
+    n = len(h) - take + 1
+    out = np.full(n, np.uint64(take))
+    for i in range(take):
+        out = _mixed(out) + h[i : i + n]
+    return np.unique(_mixed(out))
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """64-bit SimHash of a set of shingle hashes, mixed anew so that it doesn't hang on their order."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), CHUNK):
+        mixed = _mixed(hashes[i : i + CHUNK] + np.uint64(0x9E3779B97F4A7C15))
+        ones += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def _near_features(size: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            sets = [np.unique(np.array([xxhash.xxh32_intdigest(s) for s in shingles_of(words_of(t), size)], np.uint32)).view(np.int32) for t in f["text"]]
+            sets = [shingle_set(t, size) for t in f["text"]]
             keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "key": keys, "shingles": sets})
+            fps = np.array([set_fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            # the high halves keep the order of the hashes
+            yield pd.DataFrame({"file": f["file"], "place": f["place"], "doc_id": f["doc_id"], "key": keys, "fp": fps, "shingles": [np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in sets]})
         tidy()
 
     return run
 
 
+FEATURES = "file long, place long, doc_id long, key long, fp long, shingles array<int>"
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity; shingles that no other text has are counted in n only."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("codes").alias("s"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n"), F.col("codes").alias("t"))
+    left = sets.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("codes").alias("s"))
+    right = sets.select(F.col("key").alias("b"), F.col("n"), F.col("codes").alias("t"))
     shared = F.size(F.array_intersect("s", "t"))
     return pairs.join(left, "a").join(right, "b").filter(shared >= similarity * (F.col("m") + F.col("n") - shared) - 1e-9).select("a", "b")
 
@@ -226,80 +274,124 @@ def _need(similarity: float, n: Column) -> Column:
 
 
 def _may_link(marked: DataFrame, similarity: float) -> DataFrame:
-    """The rows without those that a part of the shingles proves to have no link; spares shuffling all shingles.
+    """(key, fp, n, shingles) of the different sets, without those that a part of the shingles proves to have no link.
 
-    Taken are the n - need(n) + k(n) smallest shingles, k(n) a tenth of n. Of a
-    linked pair, all shared shingles in the part that ends first are in the other
-    part too, and these are at least k of its size, which is not below need(n).
+    Taken are the n - need(n) + k(n) shingles of smallest hash, k(n) a tenth of n.
+    Of a linked pair, all shared shingles in the part that ends first are in the
+    other part too, and these are at least k of its size, which is not below need(n).
     """
     k = lambda n: F.greatest(F.lit(1), F.floor(n / 10)).cast("int")
     n = F.size("shingles")
-    part = marked.select("doc_id", "key", n.alias("n"), F.explode(F.slice("shingles", F.lit(1), n - _need(similarity, n) + k(n))).alias("s"))
+    part = marked.select("key", n.alias("n"), F.explode(F.slice("shingles", F.lit(1), n - _need(similarity, n) + k(n))).alias("s"))
     times = part.groupBy("s").count().filter("count > 1").select("s")
-    met = part.join(times, "s").groupBy("doc_id", "key", "n").agg(F.count("*").alias("met"))
-    kept = saved(met.filter(F.col("met") >= k(_need(similarity, F.col("n")))).select("doc_id", "key").distinct(), "kept")
-    return saved(marked.join(kept, ["doc_id", "key"], "left_semi"), "features")
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of documents that near-duplicate links join, component_id the smallest of them.
-
-    Two texts are linked if and only if their sets of `size`-word shingles have
-    a Jaccard similarity of at least `similarity`. Such texts share a shingle
-    among the rarest n - ceil(similarity * n) + 1 of each (prefix filter), so
-    only texts with a common one are compared. Documents without words, or with
-    a null id, have no links. Documents without links aren't returned, nor is
-    anything for an empty table.
+    met = part.join(times, "s").groupBy("key", "n").agg(F.count("*").alias("met"))
+    some = met.filter(F.col("met") >= k(_need(similarity, F.col("n")))).select("key")
+    one = marked.groupBy("key").agg(F.min(F.struct("file", "place")).alias("one")).join(some, "key").select("key", "one.file", "one.place")
+    return marked.join(one, ["key", "file", "place"], "left_semi").select("key", "fp", n.alias("n"), "shingles")
+
+
+def near_groups(rows: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 3) -> DataFrame:
+    """(file, place, doc_id, key, root) of the rows (file, place, doc_id, text) that have words; linked rows have one root.
+
+    Two texts are linked if and only if their sets of `size`-word shingles have a
+    Jaccard similarity of at least `similarity`; equal sets (told by 64-bit
+    hashes) are one node. First the binary tries of the sets' SimHashes are
+    joined with themselves, and pairs within `budget` bits are verified: this
+    finds most groups at little cost. Links beyond the budget are found by an
+    exact prefix filter: linked texts share a shingle among the rarest
+    n - ceil(similarity * n) + 1 of each, so those with a common one that are
+    still in different groups are compared.
     """
-    small_batches(docs.sparkSession)
-    rows = whole_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).filter(F.col("doc_id").isNotNull())
-    marked = saved(rows.mapInPandas(_near_features(size), "doc_id long, key long, shingles array<int>").filter(F.size("shingles") > 0), "features")
-    held = _may_link(marked, similarity).select("doc_id", "key", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    small_batches(rows.sparkSession)
+    marked = saved(rows.select("file", "place", "doc_id", "text").mapInPandas(_near_features(size), FEATURES).filter(F.size("shingles") > 0), "features")
+    some = saved(_may_link(marked, similarity), "some")
+    held = some.select("key", "n", F.explode("shingles").alias("s"))
     times = held.groupBy("s").count().filter("count > 1")
     # sorts by frequency; shingles of one text only would come first, are in no other prefix and needn't be kept
     code = F.shiftleft("count", 32).bitwiseOR(F.col("s").cast("long").bitwiseAND(0xFFFFFFFF))
-    coded = held.join(times, "s").select("doc_id", "key", "n", code.alias("code"))
     need = _need(similarity, F.col("n"))
-    sets = coded.groupBy("doc_id", "key", "n").agg(F.sort_array(F.collect_list("code")).alias("codes")).filter(F.size("codes") >= need)
-    sets = saved(sets, "sets")
-    buckets = sets.select("doc_id", "n", F.explode(F.slice("codes", F.lit(1), F.size("codes") - need + 1)).alias("code")).distinct()
-    return _linked(saved(buckets, "buckets"), sets, similarity).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    sets = held.join(times, "s").select("key", "n", code.alias("code")).groupBy("key", "n").agg(F.sort_array(F.collect_list("code")).alias("codes"))  # of one text
+    sets = saved(sets.filter(F.size("codes") >= need), "sets")
+    fps = saved(some.join(sets.select("key"), "key", "left_semi").select("key", "fp"), "fingerprints")
+    roots = components(_verified(_trie_pairs(fps, budget), sets, similarity))
+    buckets = sets.select("key", "n", F.explode(F.slice("codes", F.lit(1), F.size("codes") - need + 1)).alias("code")).distinct()
+    roots = _linked(saved(buckets, "buckets"), sets, similarity, roots)
+    discard(some, sets, fps)
+    slim = marked.select("file", "place", "doc_id", "key")
+    return slim.join(roots.withColumnRenamed("node", "key"), "key", "left").select("file", "place", "doc_id", "key", F.coalesce("root", "key").alias("root"))
+
+
+def _trie_pairs(fps: DataFrame, budget: int) -> DataFrame:
+    """Spanning pairs (a, b) of keys whose fingerprints are equal or linked in the trie."""
+    first = saved(fps.groupBy("fp").agg(F.min("key").alias("first")), "first")
+    equal = fps.join(first, "fp").filter("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    near = link_edges(first.select("fp"), budget).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    left, right = first.select(F.col("fp").alias("x"), F.col("first").alias("a")), first.select(F.col("fp").alias("y"), F.col("first").alias("b"))
+    return saved(equal.unionByName(near.join(left, "x").join(right, "y").select("a", "b")).distinct(), "pairs")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return numbered(docs).select("file", "place", F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).alias("text"))
+
+
+def _surplus(docs: DataFrame, size: int, similarity: float, budget: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows (file, place, doc_id) that have a near-duplicate that stays, with the group's first row and its number of rows."""
+    rows = saved(near_groups(_rows(docs, id_col, text_col), size, similarity, budget), "near")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "place")).alias("first")
+    groups = rows.groupBy("root").agg(first, F.count("*").alias("n")).filter("n > 1")
+    return rows.join(groups, "root").filter("file <> first.file or place <> first.place")
+
 
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id, links) of rows that keep_one() drops: the id of the row that stays, and the other rows of the group.
+
+    near_groups() says what a link is. Rows without words have no links. A null
+    id stays only where its group has no other. Nothing is returned for rows
+    without links, nor for an empty table.
+    """
+    return _surplus(docs, size, similarity, budget, id_col, text_col).select("doc_id", F.col("first.doc_id").alias("component_id"), (F.col("n") - 1).alias("links"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with one row of each group of near-duplicates: the one of smallest id, null ids last.
+
+    Rows are told by their address, so that repeated and null ids lose no other
+    text; of rows that are equal in all columns one stays. Rows without words
+    all stay. An empty table gives an empty result.
+    """
+    gone = _surplus(docs, size, similarity, budget, id_col, text_col).select("file", "place")
+    return numbered(docs).join(gone, ["file", "place"], "left_anti").select("row.*")
 
-def _linked(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) of the links between members (doc_id, n) of one code's bucket.
 
-    In each of LEADER_ROUNDS the members of a bucket are compared with one of
-    them, which then leaves it; buckets within one component are done. What is
+def _linked(buckets: DataFrame, sets: DataFrame, similarity: float, roots: DataFrame) -> DataFrame:
+    """(node, root) of the links between members (key, n) of one code's bucket, and of the links in roots.
+
+    Buckets within one component are done. In each of LEADER_ROUNDS the members
+    of a bucket are compared with one of them, which then leaves it. What is
     still apart after that is compared pair by pair, so that no link between
     components is lost and a crowd of near copies has no square of pairs.
     """
-    schema = "node long, root long"
-    roots = buckets.sparkSession.createDataFrame([], schema)
     for turn in range(LEADER_ROUNDS + 1):
-        if turn:
-            named = buckets.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", "code", F.coalesce("root", "doc_id").alias("comp"))
-        else:
-            named = buckets.withColumn("comp", F.col("doc_id"))
-        named = saved(named, "named")
+        named = saved(buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "code", F.coalesce("root", "key").alias("comp")), "named")
         apart = named.groupBy("code").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("code")
         buckets = saved(named.join(apart, "code", "left_semi"), "buckets")
+        discard(named)
         if turn < LEADER_ROUNDS:
             # the first leaders are the same in many buckets, which makes few pairs; later ones differ
-            order = F.xxhash64("doc_id", "code") if turn else F.col("doc_id")
-            other = buckets.groupBy("code").agg(F.min(F.struct(order.alias("o"), "doc_id", "n", "comp")).alias("l"))
-            other = other.select("code", F.col("l.doc_id").alias("b"), F.col("l.n").alias("m"), F.col("l.comp").alias("other"))
+            order = F.xxhash64("key", "code") if turn else F.col("key")
+            other = buckets.groupBy("code").agg(F.min(F.struct(order.alias("o"), "key", "n", "comp")).alias("l"))
+            other = other.select("code", F.col("l.key").alias("b"), F.col("l.n").alias("m"), F.col("l.comp").alias("other"))
         else:
-            other = buckets.select("code", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
+            other = buckets.select("code", F.col("key").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
         met = buckets.join(other, "code")
         near = (F.col("comp") != F.col("other")) & (F.col("n") >= similarity * F.col("m") - 1e-9) & (F.col("m") >= similarity * F.col("n") - 1e-9)
         if turn == LEADER_ROUNDS:
-            near &= F.col("doc_id") > F.col("b")
-        pairs = saved(met.filter(near).select(F.col("doc_id").alias("a"), "b").distinct(), "pairs")
+            near &= F.col("key") > F.col("b")
+        pairs = saved(met.filter(near).select(F.col("key").alias("a"), "b").distinct(), "pairs")
         if not pairs.isEmpty():
             roots = components(_verified(pairs, sets, similarity).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         if turn < LEADER_ROUNDS:
-            buckets = met.filter("doc_id <> b or n <> m").select("doc_id", "n", "code")
+            buckets = met.filter("key <> b").select("key", "n", "code")
     return roots
 
 

@@ -254,7 +254,7 @@ def near_brute_force(data, size=5, similarity=0.8):
 
 def near_found(spark, data):
     docs = spark.createDataFrame(data, "doc_id long, text string")
-    return {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect() if r.doc_id != r.component_id}
+    return {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect() if r.doc_id != r.component_id and r.doc_id is not None}
 
 
 def test_near_duplicates_by_kind_of_edit(spark):
