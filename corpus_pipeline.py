@@ -1,7 +1,10 @@
 """The corpus pipeline: documents to packed sequences in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-as Parquet and read again as the next stage's docs.
+as Parquet and read again as the next stage's docs. A stage decides by row: null
+and repeated ids, and a row that is there twice, cost no other text. Extra
+columns are carried along, whatever their names; an empty table gives an empty
+result in every stage.
 """
 
 from __future__ import annotations
@@ -11,36 +14,47 @@ from pyspark.sql import functions as F
 from factspark.llm import exact_dedup, langid, packing, simhash, suffix_dedup
 from factspark.llm.common import saved
 
+#: Bytes of the repeated strings that the suffix stage removes: 50 words of five bytes, the space included.
+REPEAT_BYTES = 250
+
 
 def language_id(spark, docs, sf_dir):
-    """Documents whose language the compression classifier accepts; learned from the stage's own labelled rows."""
+    """Documents whose language the compression classifier accepts; learned from the stage's own labelled rows.
+
+    Null texts and texts without a letter go; without any labelled row nothing is accepted.
+    """
     told = langid.predict(docs, langid.fit_dictionaries(docs, lambda doc_id: F.lit(False)))
     return told.filter("accepted").select("row.*")
 
 
 def exact(spark, docs, sf_dir):
-    """Of equal texts, the document with the largest id."""
-    gone = exact_dedup.exact_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+    """Of equal texts, one row: that with the largest id, any id before a null one. Null counts as empty."""
+    return exact_dedup.keep_one(docs)
 
 
 def near(spark, docs, sf_dir):
-    """Of near-duplicates (five words, similarity of 0.8 or more), the document with the smallest id."""
-    linked = simhash.near_duplicates(docs)
-    gone = linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    """Of near-duplicates (five words, similarity of 0.8 or more), one row: that with the smallest id, any id before a null one.
+
+    Rows without words have no near-duplicates and stay.
+    """
+    return simhash.keep_one(docs)
 
 
 def suffix_array(spark, docs, sf_dir):
-    """Texts without the bytes of repeated 400-byte strings; a document of which nothing is left goes."""
-    cut = suffix_dedup.remove_repeats(docs)
+    """Texts without the bytes of repeated strings of REPEAT_BYTES; a document of which nothing is left goes.
+
+    Null, empty and short texts stay as they are. A cut inside a character takes
+    that character. n_chars follows the text where there is such a column.
+    """
+    cut = suffix_dedup.remove_repeats(docs, width=REPEAT_BYTES)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
-    out = cut.filter("n_removed = 0 or n_removed < n_bytes")
-    return out.select(*[{"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.char_length(text)).otherwise(F.col("row.n_chars"))}.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.char_length(text)).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    left = cut.filter("n_removed = 0 or n_removed < n_bytes")
+    return left.select(*[(changed[c] if c in changed else F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def pack(spark, docs, sf_dir):
-    """Pieces of the documents in sequences of 2048 tokens."""
+    """Pieces of the documents in sequences of 2048 tokens; null texts are an end id alone."""
     return packing.pack_documents(docs)
 
 
