@@ -24,85 +24,120 @@ from .tokens import WORD_BPE, encoder
 END_ID = 2
 #: Times that a pair must occur to be replaced.
 LEAST = 8
-#: A round replaces pairs down to this share of the most frequent one's count.
+#: Factor by which the number of times that a pair must occur is lowered, down to LEAST.
 SHARE = 0.5
 #: Ids after which a shard is closed.
 SHARD_IDS = 1 << 20
 INDEX_STEP = 1024
+#: Ids that a reader of all documents decodes at a time.
+READ_IDS = 1 << 16
+#: Longest expansion of a rule that a reader keeps ready.
+TABLE_IDS = 256
 MAGIC = b"RPG2"
 
 
-def _starts(keys: np.ndarray) -> np.ndarray:
-    """Places of the pairs; of a run a a a a only every second place starts one."""
-    same = np.r_[False, keys[1:] == keys[:-1]]
-    if not same.any():
-        return np.arange(len(keys))
-    at = np.arange(len(keys))
-    start = np.maximum.accumulate(np.where(same, 0, at))
-    return at[(at - start) % 2 == 0]
-
-
-def _frequent(keys: np.ndarray) -> np.ndarray:
-    """Sorted keys (first << 32 | second) of the most frequent pairs; no id is the first of one and the second of another."""
-    keys = np.sort(keys)
-    edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    counts = np.diff(np.r_[edge, len(keys)])
-    top = int(counts.max())
-    if top < LEAST:
-        return np.zeros(0, np.uint64)
-    enough = counts >= max(LEAST, int(top * SHARE))
-    found, n = keys[edge[enough]], counts[enough]
-    firsts, seconds, chosen = set(), set(), []
-    for key in found[np.argsort(-n, kind="stable")].tolist():
+def _first_of_runs(at: np.ndarray) -> np.ndarray:
+    """Mask of every second place of each run of neighbouring places, its first included: pairs of a run a a a don't overlap."""
+    keep = np.ones(len(at), bool)
+    twin = np.flatnonzero(at[1:] == at[:-1] + 1) + 1
+    if len(twin):
+        start = np.maximum.accumulate(np.where(np.r_[True, twin[1:] != twin[:-1] + 1], np.arange(len(twin)), 0))
+        keep[twin[(np.arange(len(twin)) - start) % 2 == 0]] = False
+    return keep
+
+
+def _frequent(seq: np.ndarray, counts: np.ndarray, least: int, fresh: np.ndarray | None) -> tuple[np.ndarray, list[int]]:
+    """Sorted keys (first << 32 | second) of pairs that occur `least` times, taken from the most frequent on, and the keys left for later.
+
+    An id of a pair occurs at least as often as the pair, so by the counts of
+    ids rarer ones are left out before pairs are sorted and counted. Where `fresh` marks ids, all
+    other pairs are known to be rarer. No id is the first of one chosen pair and
+    the second of another.
+    """
+    often = (counts >= least)[seq]
+    both = often[:-1] & often[1:]
+    if fresh is not None:
+        new = fresh[seq]
+        both &= new[:-1] | new[1:]
+    twins = np.flatnonzero(both & (seq[1:] == seq[:-1]))
+    both[twins[~_first_of_runs(twins)]] = False
+    at = np.flatnonzero(both)
+    keys = seq[at]
+    keys <<= 32
+    keys |= seq[at + 1]
+    keys.sort()
+    if not len(keys):
+        return keys, []
+    edge = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1]
+    times = np.diff(np.r_[edge, len(keys)])
+    enough = np.flatnonzero(times >= least)
+    found = keys[edge[enough]]
+    firsts, seconds, chosen, later = set(), set(), [], []
+    for key in found[np.argsort(-times[enough], kind="stable")].tolist():
         a, b = key >> 32, key & 0xFFFFFFFF
         if b in firsts or a in seconds or (a == b and (a in firsts or a in seconds)):
+            later.append(key)
             continue
         firsts.add(a)
         seconds.add(b)
         chosen.append(key)
-    return np.sort(np.array(chosen, np.uint64))
+    return np.sort(np.array(chosen, np.int64)), later
 
 
 def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
     """(rules, symbols): rule i stands for symbol terminals + i and has two symbols.
 
-    Pairs are counted exactly and replaced until none occurs LEAST times.
+    Pairs are counted exactly and replaced, frequent ones first: the number of
+    times that a pair must occur falls with each round until it is LEAST, and
+    rounds go on until no pair occurs so often.
     """
-    seq, rules, base = ids.astype(np.uint32), [], terminals
+    seq, rules, base = ids.astype(np.int64), [], terminals
+    counts, fresh = np.bincount(seq, minlength=terminals), None
+    least = max(LEAST, int(counts.max() * SHARE))
     while len(seq) >= 2 * LEAST:
-        keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        starts = _starts(keys)
-        pairs = _frequent(keys[starts])
-        if not len(pairs):
+        pairs, later = _frequent(seq, counts, least, fresh)
+        if not len(pairs) and least == LEAST:
             break
+        if least == LEAST:
+            fresh = np.zeros(base + len(pairs), bool)
+            fresh[base:] = True
+            fresh[[key >> 32 for key in later]] = True
+        least = max(LEAST, int(least * SHARE))
+        if not len(pairs):
+            continue
         first, second = np.zeros(base, bool), np.zeros(base, bool)
-        first[pairs >> np.uint64(32)] = True
-        second[pairs & np.uint64(0xFFFFFFFF)] = True
-        hit = starts[first[seq[starts]] & second[seq[starts + 1]]]
-        which = np.minimum(np.searchsorted(pairs, keys[hit]), len(pairs) - 1)
-        right = pairs[which] == keys[hit]
-        hit, which = hit[right], which[right]
-        seq[hit] = base + which
+        first[pairs >> 32] = True
+        second[pairs & 0xFFFFFFFF] = True
+        at = np.flatnonzero(first[seq[:-1]] & second[seq[1:]])
+        keys = seq[at] << 32 | seq[at + 1]
+        which = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+        right = np.flatnonzero(pairs[which] == keys)
+        right = right[_first_of_runs(at[right])]
+        hit = at[right]
+        seq[hit] = base + which[right]
+        used = np.bincount(which[right], minlength=len(pairs))
+        np.subtract.at(counts, pairs >> 32, used)
+        np.subtract.at(counts, pairs & 0xFFFFFFFF, used)
+        counts = np.r_[counts, used]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq = seq[keep]
         base += len(pairs)
-        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq
+        rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1).astype(np.uint32))
+    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq.astype(np.uint32)
 
 
 def packed(values: np.ndarray, bits: int) -> np.ndarray:
     """Bytes of values of so many bits each."""
-    return np.packbits((values.astype("<u4")[:, None] >> np.arange(bits, dtype=np.uint32) & 1).astype(np.uint8), bitorder="little")
+    wide = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    return np.packbits(wide[:, :bits], bitorder="little")
 
 
 def unpacked(data: np.ndarray, bits: int, first: int, n: int) -> np.ndarray:
     """n values from the first on, which is a multiple of 8."""
-    part = np.unpackbits(data[first // 8 * bits : -(-(first + n) * bits // 8)], bitorder="little", count=n * bits).reshape(n, bits)
-    out = np.zeros(n, np.uint32)
-    for i in range(bits):
-        out |= part[:, i].astype(np.uint32) << np.uint32(i)
-    return out
+    wide = np.zeros((n, 32), np.uint8)
+    wide[:, :bits] = np.unpackbits(data[first // 8 * bits : -(-(first + n) * bits // 8)], bitorder="little", count=n * bits).reshape(n, bits)
+    return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
 
 
 def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
@@ -114,19 +149,61 @@ def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
-    """The ids of a run of symbols."""
+    """The ids of a run of symbols, rule by rule."""
     seq = symbols.astype(np.int64)
     while (deep := seq >= terminals).any():
-        width = 1 + deep
-        at = np.cumsum(width) - width
-        out = np.empty(int(width.sum()), np.int64)
-        out[at[~deep]] = seq[~deep]
-        pair = rules[seq[deep] - terminals]
-        out[at[deep]], out[at[deep] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
+        seq = _opened(seq, deep, rules, terminals)
     return seq.astype(np.uint32)
 
 
+def _opened(seq: np.ndarray, deep: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
+    """seq with its nonterminals at `deep` replaced by their two symbols."""
+    width = 1 + deep
+    at = np.cumsum(width) - width
+    out = np.empty(int(width.sum()), np.int64)
+    out[at[~deep]] = seq[~deep]
+    pair = rules[seq[deep] - terminals]
+    out[at[deep]], out[at[deep] + 1] = pair[:, 0], pair[:, 1]
+    return out
+
+
+class Expansions:
+    """What the rules of up to TABLE_IDS ids expand to, laid out once; longer ones are opened until they are so short."""
+
+    def __init__(self, rules: np.ndarray, lengths: np.ndarray, terminals: int) -> None:
+        self.rules, self.lengths, self.terminals = rules, lengths.astype(np.int64), terminals
+        short = lengths <= TABLE_IDS
+        self.at = np.cumsum(np.where(short, self.lengths, 0)) - np.where(short, self.lengths, 0)
+        self.flat = np.empty(int(self.lengths[short].sum()), np.int64)
+        for i in np.flatnonzero(short).tolist():
+            to = int(self.at[i])
+            for symbol in rules[i].tolist():
+                if symbol < terminals:
+                    self.flat[to] = symbol
+                    to += 1
+                else:
+                    a, n = int(self.at[symbol - terminals]), int(lengths[symbol - terminals])
+                    self.flat[to : to + n] = self.flat[a : a + n]
+                    to += n
+
+    def ids(self, symbols: np.ndarray) -> np.ndarray:
+        seq = symbols.astype(np.int64)
+        while True:
+            deep = seq >= self.terminals
+            rule = np.where(deep, seq - self.terminals, 0)
+            n = np.where(deep, self.lengths[rule], 1) if len(self.rules) else np.ones(len(seq), np.int64)
+            long = n > TABLE_IDS
+            if not long.any():
+                break
+            seq = _opened(seq, long, self.rules, self.terminals)
+        out = np.repeat(seq, n)
+        spread = np.repeat(deep, n)
+        if spread.any():
+            place = np.arange(len(out)) - np.repeat(np.cumsum(n) - n - np.where(deep, self.at[rule], 0), n)
+            out[spread] = self.flat[place[spread]]
+        return out.astype(np.uint32)
+
+
 def write_shard(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, terminals: int) -> bytes:
     """The bytes of a shard file."""
     rules, symbols = compress(ids, terminals)
@@ -163,29 +240,39 @@ class Shard:
         self.index, ids = take("<u8", index), take("<i8", docs)
         self.doc_ids = [None if null else int(i) for i, null in zip(ids, take("u1", docs))]
         self.counts = take("<u4", docs)
+        self.held: tuple = (-1, None, None)
+        self.expansions = Expansions(self.rules, self.lengths, self.terminals)
 
     def symbols(self, first: int, last: int) -> np.ndarray:
         return unpacked(self.packed, self.bits, first, min(last, self.n_symbols) - first)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols(0, self.n_symbols), self.rules, self.terminals)
+        return self.expansions.ids(self.symbols(0, self.n_symbols))
+
+    def _block(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, places after each) of a block of the index; the last block is remembered."""
+        if self.held[0] != block:
+            part = self.symbols(block * INDEX_STEP, (block + 1) * INDEX_STEP)
+            each = np.ones(len(part), np.int64)
+            deep = part >= self.terminals
+            each[deep] = self.lengths[part[deep] - self.terminals]
+            self.held = (block, part, int(self.index[block]) + np.cumsum(each))
+        return self.held[1:]
 
     def ids(self, start: int, n: int) -> np.ndarray:
-        """n ids from a position on, expanding only the symbols that cover them."""
-        if n <= 0 or not self.n_symbols:
-            return np.zeros(0, np.uint32)
+        """n ids from a position on: the index and the expansion lengths tell which symbols cover them, and only these are expanded."""
+        out = []
         block = int(np.searchsorted(self.index, start, "right")) - 1
-        first, at = block * INDEX_STEP, int(self.index[block])
-        last_block = int(np.searchsorted(self.index, start + n, "left"))
-        part = self.symbols(first, last_block * INDEX_STEP)
-        each = np.ones(len(part), np.int64)
-        deep = part >= self.terminals
-        each[deep] = self.lengths[part[deep] - self.terminals]
-        ends = at + np.cumsum(each)
-        a = int(np.searchsorted(ends, start, "right"))
-        b = int(np.searchsorted(ends, start + n, "left")) + 1
-        skip = start - int(ends[a] - each[a])
-        return expand(part[a:b], self.rules, self.terminals)[skip : skip + n]
+        at, stop = start, start + n
+        while at < stop and block < len(self.index):
+            part, ends = self._block(block)
+            a = int(np.searchsorted(ends, at, "right"))
+            b = int(np.searchsorted(ends, stop, "left")) + 1
+            found = self.expansions.ids(part[a:b])
+            before = int(ends[a - 1]) if a else int(self.index[block])
+            out.append(found[at - before : stop - before])
+            at, block = min(stop, int(ends[min(b, len(ends)) - 1])), block + 1
+        return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
 def _shards(name: str, end_id: int):
@@ -233,9 +320,14 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         for part, first, data in zip(f["part"], f["first"], f["data"]):
             shard = Shard(bytes(data))
-            ids, counts = shard.all_ids().astype("<u4"), shard.counts.astype(np.int64)
+            counts = shard.counts.astype(np.int64)
             at = np.cumsum(counts) - counts
-            crc = [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(at, counts)]
+            crc, first_doc = [], 0
+            for stop in [*np.flatnonzero(np.diff(at // READ_IDS)) + 1, len(at)]:  # a run of documents at a time
+                begin = int(at[first_doc]) if first_doc < len(at) else 0
+                ids = shard.ids(begin, int(counts[first_doc:stop].sum())).astype("<u4").tobytes()
+                crc += [zlib.crc32(ids[4 * (a - begin) : 4 * (a - begin + n)]) for a, n in zip(at[first_doc:stop].tolist(), counts[first_doc:stop].tolist())]
+                first_doc = stop
             yield pd.DataFrame({"part": part, "doc_id": pd.array(shard.doc_ids, dtype="Int64"), "start": first + at, "n_tokens": counts, "ids_crc32": crc})
 
 

@@ -12,11 +12,10 @@ Every byte covered by a string of `width` bytes that also starts elsewhere goes.
    relative to it, are sorted as suffixes by mergesort; two suffixes are compared
    through prefix polynomial hashes and binary search for their common
    extension, and neighbours that agree over `width` bytes are verified byte by
-   byte. A gram with more spans than a task should hold is refined instead: its
-   windows are split by their place relative to it, again and again. The windows
-   of a part share a longer string, their core; parts whose core occurs once
-   can't repeat, parts equal as a whole are repeated as a whole, and the rest is
-   split until a part is one window.
+   byte. The windows of a gram with more spans than a task should hold are first
+   dealt out by their place relative to it: those of a part share a longer
+   string, their core, and only parts with one core can hold equal windows. So a
+   gram is split, by place and core, until each part is small enough to sort.
 4. The intervals found are cut from each document.
 """
 
@@ -30,13 +29,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, table, tidy
+from .common import discard, saved, small_batches, table, tidy
 
 WIDTH = 400
 #: Bytes of a gram; smaller ones for smaller widths.
 GRAM = 128
 #: Different spans of a gram that one task sorts; grams with more are refined.
 CELL = 2048
+#: Windows that a task sorts at a time; cells are not cut.
+CELL_WINDOWS = 100_000
 #: Parts into which a refined part is split.
 PARTS = 4
 #: Tasks over which the parts with one core are joined to it.
@@ -215,35 +216,42 @@ def equal_windows(data: np.ndarray, start: np.ndarray, group: np.ndarray, width:
 
 
 def _cells(width: int):
-    """Rows (doc_id, th, a, b) of the repeated stretches of grams, each with all its spans."""
+    """Rows (doc_id, th, a, b) of the repeated stretches of cells; the rows come sorted by cell, each with all its spans."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
+        windows = 0
         for f in frames:
+            if not len(f):
+                continue
             held.append(f)
-        if not held:
-            return
-        rows = pd.concat(held).sort_values("gram", kind="stable").reset_index(drop=True)
-        if not len(rows):
-            return
-        key = rows["gram"].ne(rows["gram"].shift())
-        cell = key.cumsum().to_numpy() - 1
-        windows = (rows["last"] - rows["first"] + 1).to_numpy()
-        limit, a = 100_000, 0
-        ends = np.r_[np.flatnonzero(key.to_numpy())[1:], len(rows)]
-        total = np.cumsum(windows)
-        while a < len(rows):  # whole cells at a time, about `limit` windows
-            done = total[a - 1] if a else 0
-            after = ends[ends > a]
-            fits = after[total[after - 1] - done <= limit]
-            b = int(fits[-1]) if len(fits) else int(after[0])
-            yield from _sorted_cells(rows.iloc[a:b], cell[a:b], width)
-            a = b
+            windows += int((f["last"] - f["first"] + 1).sum())
+            if windows >= CELL_WINDOWS:
+                rows = pd.concat(held, ignore_index=True)
+                whole = int(np.searchsorted(rows["cell"].to_numpy(), rows["cell"].iloc[-1]))  # the last cell may go on
+                yield from _in_turn(rows.iloc[:whole], width)
+                held = [rows.iloc[whole:]]
+                windows = int((held[0]["last"] - held[0]["first"] + 1).sum())
+        if held:
+            yield from _in_turn(pd.concat(held, ignore_index=True), width)
         tidy()
 
     return run
 
 
+def _in_turn(rows: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+    """Whole cells, about CELL_WINDOWS windows at a time."""
+    cells, n = rows["cell"].to_numpy(), (rows["last"] - rows["first"] + 1).to_numpy()
+    ends = np.r_[np.flatnonzero(cells[1:] != cells[:-1]) + 1, len(rows)] if len(rows) else np.zeros(0, np.int64)
+    a, load = 0, 0
+    total = np.cumsum(n)
+    for i, end in enumerate(ends.tolist()):
+        load = int(total[end - 1] - (total[a - 1] if a else 0))
+        if load >= CELL_WINDOWS or i == len(ends) - 1:
+            yield from _sorted_cells(rows.iloc[a:end], np.unique(cells[a:end], return_inverse=True)[1], width)
+            a = end
+
+
 def _sorted_cells(rows: pd.DataFrame, cell: np.ndarray, width: int) -> Iterator[pd.DataFrame]:
     data = np.frombuffer(b"".join(map(bytes, rows["data"])), np.uint8)
     first, last, place = (rows[c].to_numpy() for c in ("first", "last", "place"))
@@ -299,6 +307,15 @@ def _parts(width: int, gram: int):
 PART = "doc_id long, th long, place int, first int, last int, lo int, hi int, core binary, own binary, data binary"
 
 
+SPANS = "doc_id long, th long, place int, first int, last int"
+STRETCHES = "doc_id long, th long, a int, b int"
+
+
+def _sorted_out(cells: DataFrame, width: int) -> DataFrame:
+    """Repeated stretches of cells (cell, doc_id, th, place, first, last, data), by suffix sort."""
+    return saved(cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(_cells(width), STRETCHES), "stretches")
+
+
 def _refined(rows: DataFrame, width: int, gram: int) -> list[DataFrame]:
     """Repeated stretches among the spans of grams that have too many for one task; a level for each splitting."""
     found, wide = [], width - gram + 1
@@ -310,9 +327,12 @@ def _refined(rows: DataFrame, width: int, gram: int) -> list[DataFrame]:
         twice = kinds.filter("copies > 1").select(*key, "own")
         found.append(parts.join(twice, [*key, "own"]).select("doc_id", "th", F.col("first").alias("a"), (F.col("last") + width).alias("b")))
         # a core may be in a third of all documents
-        open_ = kinds.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        open_ = kinds.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key, (F.col("n") > CELL).alias("hot"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         salted = kinds.withColumn("salt", F.pmod(F.xxhash64("own"), F.lit(SALTS)).cast("int"))
-        rows = saved(salted.join(open_, [*key, "salt"]).select("one.doc_id", "one.th", "one.place", "one.first", "one.last", "lo", "hi", "one.data"), "open")
+        dealt = salted.join(open_, [*key, "salt"])
+        dealt = saved(dealt.select(F.xxhash64(*key).alias("cell"), "hot", "one.doc_id", "one.th", "one.place", "one.first", "one.last", "lo", "hi", "one.data"), "open")
+        found.append(_sorted_out(dealt.filter("not hot"), width))
+        rows = dealt.filter("hot")
     return found
 
 
@@ -323,7 +343,7 @@ def _snippets(width: int):
             for doc_id, th, text, spans in zip(f["doc_id"], f["th"], f["text"], f["spans"]):
                 data = text.encode("utf-8", "surrogatepass")
                 out += [(doc_id, th, s["place"], s["first"], s["last"], s["gram"], s["hot"], data[s["first"] : s["last"] + width]) for s in spans]
-            yield pd.DataFrame(out, columns=["doc_id", "th", "place", "first", "last", "gram", "hot", "data"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "th", "place", "first", "last", "cell", "hot", "data"]).astype({"doc_id": "Int64"})
         tidy()
 
     return run
@@ -343,19 +363,20 @@ def merged(stretches) -> list[tuple[int, int]]:
 def repeated_stretches(docs: DataFrame, width: int = WIDTH, gram: int | None = None) -> DataFrame:
     """(doc_id, th, a, b): stretches [a, b) of bytes whose every window of `width` starts elsewhere too; th is the text's hash."""
     gram = gram or min(GRAM, max(1, width // 3))
-    spans = saved(docs.filter(F.octet_length("text") >= width).mapInPandas(_spans(width, gram), "doc_id long, th long, place int, first int, last int, gram long, span binary"), "spans")
-    often = spans.groupBy("gram").count().filter("count > 1").select("gram")
-    spans = saved(spans.join(often, "gram"), "spans")
-    same = spans.groupBy("gram", "span").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "place", "first", "last")).alias("one"))
-    same = saved(same, "same")
+    spans = saved(docs.filter(F.octet_length("text") >= width).mapInPandas(_spans(width, gram), f"{SPANS}, gram long, span binary"), "spans")
+    # counts are written before they are joined: then Spark can split the rows of a gram that is in a third of all documents
+    often = saved(spans.groupBy("gram").count().filter("count > 1").select("gram"), "often")
+    every, spans = spans, saved(spans.join(often, "gram"), "spans")
+    discard(every, often)
+    same = saved(spans.groupBy("gram", "span").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "place", "first", "last")).alias("one")), "same")
     whole = spans.join(same.filter("copies > 1").select("gram", "span"), ["gram", "span"]).select("doc_id", "th", F.col("first").alias("a"), (F.col("last") + width).alias("b"))
     open_ = same.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).filter("kinds > 1 and least = 1")
-    dealt = same.join(open_.select("gram", (F.col("kinds") > CELL).alias("hot")), "gram")
+    dealt = same.join(saved(open_.select("gram", (F.col("kinds") > CELL).alias("hot")), "open"), "gram")
     wanted = dealt.select("one.doc_id", "one.th", F.struct("one.place", "one.first", "one.last", "gram", "hot").alias("s")).groupBy("doc_id", "th").agg(F.collect_list("s").alias("spans"))  # of one document
     matched = docs.join(wanted, [docs["doc_id"].eqNullSafe(wanted["doc_id"]), docs["th"] == wanted["th"]]).select(docs["doc_id"], docs["th"], "text", "spans")
     # a row that is there twice is a copy of itself, and one of the two is enough here
-    snippets = saved(matched.mapInPandas(_snippets(width), "doc_id long, th long, place int, first int, last int, gram long, hot boolean, data binary"), "snippets")
-    local = saved(snippets.filter("not hot").repartition("gram").mapInPandas(_cells(width), "doc_id long, th long, a int, b int"), "stretches")
+    snippets = saved(matched.mapInPandas(_snippets(width), f"{SPANS}, cell long, hot boolean, data binary"), "snippets")
+    local = _sorted_out(snippets.filter("not hot"), width)
     hot = snippets.filter("hot").select("doc_id", "th", "place", "first", "last", F.lit(0).alias("lo"), F.lit(width - gram).alias("hi"), "data")
     out = whole.unionByName(local)
     for level in _refined(hot, width, gram):
@@ -403,14 +424,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int | None = None,
     every = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
     found = saved(repeated_stretches(every.select("doc_id", "th", "text"), width, gram), "repeats")
     lists = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("stretches"))  # of one document
-    joined = every.join(lists, [every["doc_id"].eqNullSafe(lists["doc_id"]), every["th"] == lists["th"]], "left")
+    slim = every.select("row", "doc_id", "th")  # the text is in the row, and is shuffled once
+    joined = slim.join(lists, [slim["doc_id"].eqNullSafe(lists["doc_id"]), slim["th"] == lists["th"]], "left")
     cut = F.pandas_udf(_kept, f"{SCHEMA}, kept_text string") if keep_text else F.pandas_udf(_counted, SCHEMA)
-    out = joined.select("row", cut("text", "stretches").alias("cut"))
+    out = joined.select("row", cut(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")), "stretches").alias("cut"))
     return out.select("row", *(f"cut.{c}" for c in COUNTS), *(["cut.kept_text"] if keep_text else []))
 
 
 def op4_suffix_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    # the struct holds the id alone, so that the text is shuffled once
-    slim = docs.select("doc_id", "text")
-    return remove_repeats(slim, keep_text=False).select("row.doc_id", *COUNTS)
+    return remove_repeats(docs.select("doc_id", "text")).select("row.doc_id", *COUNTS, "kept_text")

@@ -27,6 +27,11 @@ PLAIN = re.compile("[\n -~¡-¬®-ɏ]*")
 #: Lower-case chunks of ASCII and letters below U+0250, and their pre-tokens.
 PLAIN_WORDS = re.compile("[!-~ß-öø-ɏ]*")
 WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^a-z0-9ß-öø-ɏ]+")
+#: Lower-case texts of such chunks, spaces and line feeds.
+PLAIN_TEXT = re.compile("[\n -~ß-öø-ɏ]*")
+#: Bytes of lower-case letters in such texts, and the classes of all bytes there: c for comma and full stop, p for other marks.
+LETTER_BYTES = bytes([*range(0x61, 0x7B), *range(0x80, 0x100)])
+CLASSES = bytes(32 if b in b" \n" else 99 if b in b",." else 97 if b in LETTER_BYTES or 0x30 <= b <= 0x39 else 112 for b in range(256))
 #: Longest run without a space that tiktoken gets.
 LONGEST_RUN = 4096
 
@@ -72,6 +77,12 @@ class WordMerges:
         one = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=merges, special_tokens={})._core_bpe.encode_single_piece
         return one, ids, renamed
 
+    def word(self, data: bytes) -> bytes:
+        """ids of one word of lower-case letters, in UTF-8."""
+        one, ids, renamed = self.letters
+        found = one(data[:-1] + renamed[data[-1]])
+        return struct.pack(f"<{len(found)}I", *map(ids.__getitem__, found))
+
     def encode(self, chunk: str) -> bytes:
         """ids of a lower-case chunk that PLAIN_WORDS matches."""
         out = []
@@ -82,6 +93,18 @@ class WordMerges:
         return struct.pack(f"<{len(out)}I", *out)
 
 
+class WordCache(dict):
+    """ids of what stands between spaces in a plain text; what is new is encoded and remembered."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = self.encode(word)
+        return found
+
+
 class Encoder:
     """ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False)."""
 
@@ -105,6 +128,30 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.cache: dict[str, bytes] = {}
+        self.plain_cache = WordCache(self._plain_word)
+
+    def _plain_word(self, word: bytes) -> bytes:
+        if not word.translate(None, LETTER_BYTES):
+            return self.words.word(word) if len(word) < LONGEST_RUN else self._chunk(word.decode())
+        return self._chunk(word.decode())
+
+    def _plain_words(self, text: str) -> bytes | None:
+        """ids of a text by whole words; None unless it has plain characters only and no comma or full stop stands by another mark.
+
+        Words of the vocabulary never go across a change between letters, digits
+        and punctuation, so spaces around commas and full stops alter nothing.
+        """
+        lower = text.lower()
+        if not PLAIN_TEXT.fullmatch(lower):
+            return None
+        data = lower.encode()
+        classes = data.translate(CLASSES)
+        if b"cc" in classes or b"cp" in classes or b"pc" in classes:
+            return None
+        out = b"".join(map(self.plain_cache.__getitem__, data.replace(b",", b" , ").replace(b".", b" . ").split()))
+        if len(self.plain_cache) > CACHE[self.name]:
+            self.plain_cache.clear()
+        return out
 
     def _chunk(self, chunk: str) -> bytes:
         if self.words and len(chunk) < LONGEST_RUN and PLAIN_WORDS.fullmatch(lower := chunk.lower()):
@@ -114,6 +161,8 @@ class Encoder:
     def _plain(self, text: str) -> bytes:
         if self.fast and PLAIN.fullmatch(text) and max(map(len, text.split(" "))) < LONGEST_RUN:
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        if self.words and (ids := self._plain_words(text)) is not None:
+            return ids
         if self.spaced:
             head, *rest = text.split(" ")
             chunks = [head]
