@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that one Arrow batch of whole texts may hold in a Python worker; a longer text is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 

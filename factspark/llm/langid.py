@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, small_batches, table
+from .common import id_crc, small_batches, table, tidy
 
 #: Bounded sample: about so many labelled rows a language, and bytes of a dictionary.
 SAMPLE_ROWS = 400
@@ -87,9 +88,11 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "te
     known = tuple(sorted(dictionaries.items()))
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")
-    def tell(text: pd.Series) -> pd.DataFrame:
-        found = [classify(t, known) for t in text]
-        return pd.DataFrame({"lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "accepted": [x[0] != UNKNOWN and x[2] >= NARROW for x in found]})
+    def tell(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for text in texts:
+            found = [classify(t, known) for t in text]
+            yield pd.DataFrame({"lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "accepted": [x[0] != UNKNOWN and x[2] >= NARROW for x in found]})
+        tidy()
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), tell(F.col(text_col)).alias("told"))
     return rows.select("row", "told.lang_pred", "told.score", "told.accepted")

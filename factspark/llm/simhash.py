@@ -202,17 +202,6 @@ def simhash_components(docs: DataFrame, size: int = 3, budget: int = 2, id_col:
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-class _Words(dict):
-    """64-bit hash of each word, remembered; emptied when it has grown too large."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word, 7)
-        return h
-
-
-_hashed = _Words()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -224,9 +213,7 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_hashed) > 500_000:
-        _hashed.clear()
-    h = np.fromiter(map(_hashed.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     take = min(size, len(h))
     n = len(h) - take + 1
     out = np.full(n, np.uint64(take))

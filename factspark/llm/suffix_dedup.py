@@ -400,18 +400,16 @@ COUNTS = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 SCHEMA = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _counted(text: pd.Series, stretches: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_cut(t, s)[:4] for t, s in zip(text, stretches)], columns=COUNTS)
+def _kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for text, stretches in batches:
+        found = [_cut(t, s) for t, s in zip(text, stretches)]
+        # a cut may fall inside a character; what then isn't one is left out of the text
+        yield pd.DataFrame([(*x[:4], x[4].decode("utf-8", "ignore")) for x in found], columns=[*COUNTS, "kept_text"])
+    tidy()
 
 
-def _kept(text: pd.Series, stretches: pd.Series) -> pd.DataFrame:
-    found = [_cut(t, s) for t, s in zip(text, stretches)]
-    # a cut may fall inside a character; what then isn't one is left out of the text
-    return pd.DataFrame([(*x[:4], x[4].decode("utf-8", "ignore")) for x in found], columns=[*COUNTS, "kept_text"])
-
-
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """All columns of docs in a struct `row`, with n_bytes, n_removed, n_spans, kept_sha256 and, if keep_text, kept_text.
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of docs in a struct `row`, with n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
 
     Bytes covered by a string of `width` bytes that starts anywhere else too, in
     the same document or another, are removed, all copies of them. Null and
@@ -426,9 +424,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int | None = None,
     lists = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("stretches"))  # of one document
     slim = every.select("row", "doc_id", "th")  # the text is in the row, and is shuffled once
     joined = slim.join(lists, [slim["doc_id"].eqNullSafe(lists["doc_id"]), slim["th"] == lists["th"]], "left")
-    cut = F.pandas_udf(_kept, f"{SCHEMA}, kept_text string") if keep_text else F.pandas_udf(_counted, SCHEMA)
+    cut = F.pandas_udf(_kept, f"{SCHEMA}, kept_text string")
     out = joined.select("row", cut(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")), "stretches").alias("cut"))
-    return out.select("row", *(f"cut.{c}" for c in COUNTS), *(["cut.kept_text"] if keep_text else []))
+    return out.select("row", *(f"cut.{c}" for c in COUNTS), "cut.kept_text")
 
 
 def op4_suffix_dedup(spark, sf_dir):
