@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import discard, numbered, saved, small_batches, table, tidy, whole_text
@@ -148,14 +148,20 @@ def _links(budget: int):
     return run
 
 
+def _counted(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """Edges, written, with their number and a sum of their hashes, which are observed while they are written."""
+    seen = Observation()
+    out = saved(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "edges")
+    return out, seen.get
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node on an edge (a, b), root the smallest node of its component.
 
     Alternates large-star and small-star until the edges are stars. Minima are
     pre-aggregated, hubs are split by the skew join.
     """
-    edges = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+    edges, state = _counted(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     while state["n"]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -163,12 +169,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        edges, old = saved(small, "edges"), edges
+        old, before = edges, state
+        edges, state = _counted(small)
         discard(old)
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if now == state:
+        if state == before:
             break
-        state = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -301,7 +306,9 @@ def near_groups(rows: DataFrame, size: int = 5, similarity: float = 0.8, budget:
     sets = saved(sets.filter(F.size("codes") >= need), "sets")
     fps = saved(some.join(sets.select("key"), "key", "left_semi").select("key", "fp"), "fingerprints")
     roots = components(_verified(_trie_pairs(fps, budget), sets, similarity))
-    buckets = sets.select("key", "n", F.explode(F.slice("codes", F.lit(1), F.size("codes") - need + 1)).alias("code")).distinct()
+    # after: the codes behind this one, which bound what a pair that meets here first can share
+    buckets = sets.select("key", "n", F.size("codes").alias("m"), F.posexplode(F.slice("codes", F.lit(1), F.size("codes") - need + 1)).alias("pos", "code"))
+    buckets = buckets.select("key", "n", (F.col("m") - F.col("pos") - 1).alias("after"), "code")
     roots = _linked(saved(buckets, "buckets"), sets, similarity, roots)
     discard(some, sets, fps)
     slim = marked.select("file", "place", "doc_id", "key")
@@ -359,26 +366,30 @@ def _linked(buckets: DataFrame, sets: DataFrame, similarity: float, roots: DataF
     components is lost and a crowd of near copies has no square of pairs.
     """
     for turn in range(LEADER_ROUNDS + 1):
-        named = saved(buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "code", F.coalesce("root", "key").alias("comp")), "named")
+        named = saved(buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "after", "code", F.coalesce("root", "key").alias("comp")), "named")
         apart = named.groupBy("code").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("code")
         buckets = saved(named.join(apart, "code", "left_semi"), "buckets")
         discard(named)
+        if buckets.isEmpty():
+            break
         if turn < LEADER_ROUNDS:
             # the first leaders are the same in many buckets, which makes few pairs; later ones differ
             order = F.xxhash64("key", "code") if turn else F.col("key")
             other = buckets.groupBy("code").agg(F.min(F.struct(order.alias("o"), "key", "n", "comp")).alias("l"))
             other = other.select("code", F.col("l.key").alias("b"), F.col("l.n").alias("m"), F.col("l.comp").alias("other"))
         else:
-            other = buckets.select("code", F.col("key").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
+            other = buckets.select("code", F.col("key").alias("b"), F.col("n").alias("m"), F.col("after").alias("behind"), F.col("comp").alias("other"))
         met = buckets.join(other, "code")
         near = (F.col("comp") != F.col("other")) & (F.col("n") >= similarity * F.col("m") - 1e-9) & (F.col("m") >= similarity * F.col("n") - 1e-9)
         if turn == LEADER_ROUNDS:
             near &= F.col("key") > F.col("b")
+            # a linked pair passes this where it meets first, in the rarest code that it shares
+            near &= 1 + F.least("after", "behind") >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9
         pairs = saved(met.filter(near).select(F.col("key").alias("a"), "b").distinct(), "pairs")
         if not pairs.isEmpty():
             roots = components(_verified(pairs, sets, similarity).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         if turn < LEADER_ROUNDS:
-            buckets = met.filter("key <> b").select("key", "n", "code")
+            buckets = met.filter("key <> b").select("key", "n", "after", "code")
     return roots
 
 
