@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .functions import periods as P
 from .functions import scalar as S
 from .operators import relational as R
 from .operators import retrieval as T
+from .sources import scratch
 from .streaming import telemetry
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -29,10 +31,17 @@ def query(sql: str | None = None):
 
 
 def queries():
+    _register()
     return {name: q for name, (q, _) in REGISTRY.items()}
 
 
+def _register() -> None:
+    """The other modules of queries add theirs when they are imported."""
+    from . import catalog_documents, catalog_statements  # noqa: F401
+
+
 def oracle_sql():
+    _register()
     return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
 
 
@@ -76,9 +85,10 @@ def prj_mask(t):
     return t("events").select(F.sha2(F.col("event_id").cast("string"), 256).alias("placeholder"), "event_type")
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey <= 20 AND o_orderpriority = '1-URGENT' AND year(o_orderdate) IN (1996, 1997)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) IN (1996, 1997)")
 def flt_metadata(t):
-    return t("orders").filter((F.col("o_custkey") <= 20) & (F.col("o_orderpriority") == "1-URGENT") & F.year("o_orderdate").isin(1996, 1997)).select("o_orderkey", "o_custkey")
+    return t("orders").filter((F.col("o_orderpriority") == "1-URGENT") & F.year("o_orderdate").isin(1996, 1997)).select("o_orderkey", "o_custkey")
+
 
 
 @query("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = 1)")
@@ -97,11 +107,11 @@ def flt_gate(t):
     return t("orders").select("o_orderkey", status.alias("status"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, a.n AS lines, b.n AS parts FROM (SELECT l_partkey % 50 AS k, count(*) AS n FROM lineitem WHERE l_partkey % 50 < 40 GROUP BY 1) a FULL OUTER JOIN (SELECT p_partkey % 50 AS k, count(*) AS n FROM part WHERE p_partkey % 50 > 10 GROUP BY 1) b ON a.k = b.k")
+@query("SELECT coalesce(l_partkey, p_partkey) AS k, l_orderkey, l_linenumber, p_size FROM lineitem FULL OUTER JOIN part ON l_partkey = p_partkey")
 def jn_full_outer(t):
-    a = t("lineitem").groupBy((F.col("l_partkey") % 50).alias("k")).agg(F.count("*").alias("lines")).filter("k < 40")
-    b = t("part").groupBy((F.col("p_partkey") % 50).alias("k")).agg(F.count("*").alias("parts")).filter("k > 10")
-    return a.join(b, "k", "full_outer")
+    a = t("lineitem").select(F.col("l_partkey").alias("k"), "l_orderkey", "l_linenumber")
+    return a.join(t("part").select(F.col("p_partkey").alias("k"), "p_size"), "k", "full_outer")
+
 
 
 @query("SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
@@ -184,9 +194,11 @@ def agg_dup_resolve(t):
     return R.resolve_duplicates(t("lineitem"), ["l_orderkey"], "l_returnflag", F.col("l_linenumber")).select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT c_nationkey, avg(CASE WHEN c_acctbal < 0 THEN 1.0 ELSE 0.0 END) > 0.1 AS flipped FROM customer WHERE c_acctbal <> 0 GROUP BY 1")
+@query("WITH n AS (SELECT c_nationkey, avg(CASE WHEN c_acctbal < 2000 THEN 1.0 ELSE 0.0 END) > 0.5 AS flipped FROM customer WHERE c_acctbal <> 2000 GROUP BY 1) SELECT c_custkey, CASE WHEN flipped THEN 2000 - c_acctbal ELSE c_acctbal - 2000 END AS cost FROM customer JOIN n USING (c_nationkey)")
 def agg_sign_convention(t):
-    return t("customer").filter("c_acctbal <> 0").groupBy("c_nationkey").agg((F.avg((F.col("c_acctbal") < 0).cast("double")) > 0.1).alias("flipped"))
+    c = t("customer").select("c_custkey", "c_nationkey", (F.col("c_acctbal") - 2000).alias("v"))
+    return R.majority_positive(c, "c_nationkey", "v").select("c_custkey", F.col("v").alias("cost"))
+
 
 
 @query("SELECT o_custkey, CAST(min(year(o_orderdate)) AS INT) AS first_year, CAST(max(year(o_orderdate)) AS INT) AS last_year, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS scopes FROM orders GROUP BY 1")
@@ -222,9 +234,11 @@ def agg_breakdown(t):
     return o.groupingSets([[o["o_orderstatus"]], [o["o_orderpriority"]], []], o["o_orderstatus"], o["o_orderpriority"]).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT ticker, CASE WHEN count(*) < 3 THEN NULL ELSE round(regr_slope(revenue, fiscal_year), 2) END AS slope FROM {FACTS} GROUP BY 1")
+@query(f"""SELECT ticker, CASE WHEN count(*) < 3 THEN NULL WHEN min(x) = max(x) THEN 0.0 ELSE round((CAST(count(*) AS DOUBLE) * CAST(sum(x*y) AS DOUBLE) - CAST(sum(x) AS DOUBLE) * CAST(sum(y) AS DOUBLE))
+ / (CAST(count(*) AS DOUBLE) * CAST(sum(x*x) AS DOUBLE) - CAST(sum(x) AS DOUBLE) * CAST(sum(x) AS DOUBLE)), 4) END AS slope FROM (SELECT ticker, CAST(fiscal_year - 2000 AS DECIMAL(12,0)) x, CAST(revenue AS DECIMAL(18,2)) y FROM {FACTS}) GROUP BY 1""")
 def agg_slope(t):
-    return facts(t).groupBy("ticker").agg(F.round(R.slope("revenue", "fiscal_year"), 2).alias("slope"))
+    return facts(t).groupBy("ticker").agg(F.round(R.slope("revenue", "fiscal_year"), 4).alias("slope"))
+
 
 
 @query("SELECT event_type, le, n FROM (SELECT event_type, unnest(['10','50','100','+Inf']) AS le, unnest([count(*) FILTER (WHERE value <= 10), count(*) FILTER (WHERE value <= 50), count(*) FILTER (WHERE value <= 100), count(value)]) AS n FROM events GROUP BY 1)")
@@ -278,16 +292,21 @@ def win_escalation(t):
     return t("conversations").withColumn("before", before).filter("before = 'user' and role = 'assistant'").select("conv_id", "turn")
 
 
-@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM events")
+@query("WITH e AS (SELECT user_id, epoch_us(ts) // 1000000 AS s, count(*) AS n, count(*) FILTER (WHERE value > 50) AS bad FROM events GROUP BY 1, 2), c AS (SELECT user_id, s, sum(n) OVER o AS total, sum(bad) OVER o AS bad FROM e WINDOW o AS (PARTITION BY user_id ORDER BY s)), i AS (SELECT user_id, s, total - first_value(total) OVER l AS tl, bad - first_value(bad) OVER l AS bl, total - first_value(total) OVER h AS th, bad - first_value(bad) OVER h AS bh FROM c WINDOW l AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW), h AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 14400 PRECEDING AND CURRENT ROW)) SELECT user_id, s, coalesce(tl > 0 AND bl / tl > 0.5 AND th > 0 AND bh / th > 0.5, false) AS burning FROM i")
 def win_increase(t):
-    w = W.partitionBy("user_id").orderBy("s").rangeBetween(-3600, 0)
-    e = t("events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return e.select("event_id", F.count("*").over(w).alias("n"))
+    e = t("events").groupBy("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("b"))
+    w = W.partitionBy("user_id").orderBy("s").rowsBetween(W.unboundedPreceding, 0)
+    c = e.select("user_id", "s", F.sum("n").over(w).alias("total"), F.sum("b").over(w).alias("bad"))
+    over = lambda seconds: F.try_divide(R.counter_increase(c, "user_id", "s", "bad", seconds), R.counter_increase(c, "user_id", "s", "total", seconds)) > 0.5
+    return c.select("user_id", "s", F.coalesce(over(86400) & over(14400), F.lit(False)).alias("burning"))
+
 
 
-@query("WITH m AS (SELECT *, value > 50 AS bad, CASE WHEN value > 50 AND NOT coalesce(lag(value > 50) OVER o, false) THEN 1 ELSE 0 END AS st FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id)), r AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM m) SELECT user_id, min(event_id) AS first, max(event_id) AS last, count(*) AS length FROM r WHERE bad GROUP BY user_id, run")
+@query("WITH e AS (SELECT user_id, epoch_us(ts) // 1000000 AS s, max(value) AS v FROM events GROUP BY 1, 2), m AS (SELECT *, v > 50 AS bad, CASE WHEN v > 50 AND NOT coalesce(lag(v > 50) OVER o, false) THEN 1 ELSE 0 END AS st FROM e WINDOW o AS (PARTITION BY user_id ORDER BY s)), r AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY s) AS run FROM m), b AS (SELECT *, min(s) OVER (PARTITION BY user_id, run) AS begin FROM r WHERE bad) SELECT user_id, min(s) AS first, max(s) AS last, count(*) AS length, min(CASE WHEN s - begin >= 7200 THEN s END) AS fired_at FROM b GROUP BY user_id, run")
 def win_for_duration(t):
-    return R.alert_runs(t("events"), "user_id", "event_id", F.col("value") > 50)
+    e = t("events").groupBy("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s")).agg(F.max("value").alias("v"))
+    return R.alert_runs(e, "user_id", "s", F.col("v") > 50, for_s=7200)
+
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cumsum, rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS rk, l_quantity - lag(l_quantity) OVER o AS diff, round(avg(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS 2 PRECEDING), 6) AS rolling FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)")
@@ -344,21 +363,30 @@ def str_tokenize(t):
     return t("documents").select("doc_id", F.size(T.tokens(F.coalesce("text", F.lit("")))).alias("n_tokens"))
 
 
-@query(f"SELECT item_id, trim(regexp_replace(translate(lower(text), '{S.MARKED}', '{S.PLAIN}'), '\\s+', ' ', 'g')) AS folded FROM benchmark")
+@query("SELECT item_id, trim(regexp_replace(lower(replace(strip_accents(text), 'ß', 'ss')), '\\s+', ' ', 'g')) AS folded FROM benchmark")
 def str_fold(t):
     return t("benchmark").select("item_id", S.fold(F.col("text")).alias("folded"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'MISSING' ELSE 'PARSED' END AS status, CASE WHEN p_size % 3 <> 0 THEN -CAST(p_size AS DOUBLE) END AS value FROM part")
+
+@query("""SELECT p_partkey, form, CASE form WHEN 'dash' THEN 'MISSING' WHEN 'anglo' THEN 'AMBIGUOUS' WHEN 'word' THEN 'NOT_NUMERIC' WHEN 'open' THEN 'MALFORMED' ELSE 'PARSED' END AS status,
+ CASE form WHEN 'paren' THEN -p_retailprice WHEN 'grouped' THEN p_retailprice WHEN 'plus' THEN CAST(p_size AS DOUBLE) WHEN 'percent' THEN CAST(p_size AS DOUBLE) END AS value, form = 'percent' AS percent
+ FROM part CROSS JOIN (VALUES ('dash'),('anglo'),('word'),('open'),('paren'),('grouped'),('plus'),('percent')) v(form)""")
 def str_numeric_parse(t):
-    raw = F.when(F.col("p_size") % 3 == 0, F.lit("-")).otherwise(F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(",0)")))
-    status, value = S.parse_number(raw)
-    return t("part").select("p_partkey", status.alias("status"), value.cast("double").alias("value"))
+    printed, size = F.translate(F.format_number("p_retailprice", 2), ",.", ".,"), F.col("p_size").cast("string")
+    forms = {"dash": F.lit(" – "), "anglo": F.lit("1,234,567"), "word": F.concat(F.lit("a"), size), "open": F.concat(F.lit("("), size), "paren": F.concat(F.lit("("), printed, F.lit(")")), "grouped": printed, "plus": F.concat(F.lit("+"), size), "percent": F.concat(size, F.lit(" %"))}
+    rows = t("part").select("p_partkey", F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("raw")) for k, v in forms.items()])).alias("f")).select("p_partkey", "f.*")
+    status, value, percent = S.parse_number(F.col("raw"))
+    return rows.select("p_partkey", "form", status.alias("status"), value.cast("double").alias("value"), percent.alias("percent"))
 
 
-@query("SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y FROM orders")
+
+@query("SELECT o_custkey, list_sort(list(DISTINCT CAST(year(o_orderdate) AS INT)))::VARCHAR AS years FROM orders GROUP BY 1")
 def dt_report_years(t):
-    return t("orders").select("o_orderkey", S.report_years(F.concat(F.year("o_orderdate").cast("string"), F.lit("-Q"), F.quarter("o_orderdate").cast("string"))).alias("y"))
+    period = F.concat(F.year("o_orderdate").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("-Q"), F.quarter("o_orderdate"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("-"), F.month("o_orderdate"), F.lit("M"))).otherwise(F.lit("")))
+    listed = t("orders").groupBy("o_custkey").agg(F.collect_list(period).alias("p"))
+    return listed.select("o_custkey", F.concat(F.lit("["), F.array_join(P.report_years(F.col("p")), ", "), F.lit("]")).alias("years"))
+
 
 
 @query("SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(28,6)) / 1000 AS DOUBLE) AS thousands FROM orders")
@@ -377,36 +405,42 @@ def fact_ids(t):
 
 
 BM25_SQL = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text,'')), '([\\p{L}\\p{M}\\p{N}\\p{Co}_]+)') AS ts FROM documents),
-f AS (SELECT doc_id, len(ts) AS length, len(list_filter(ts, lambda x: x = 'the')) AS t0, len(list_filter(ts, lambda x: x = 'that')) AS t1 FROM d),
-s AS (SELECT count(*) n, avg(length) mean, count(*) FILTER (WHERE t0>0) d0, count(*) FILTER (WHERE t1>0) d1 FROM f)
-SELECT doc_id, round(ln(1+(n-d1+0.5)/(d1+0.5))*t1*2.2/(t1+1.2*(0.25+0.75*length/mean)) + ln(1+(n-d0+0.5)/(d0+0.5))*t0*2.2/(t0+1.2*(0.25+0.75*length/mean)), 6) AS score
-FROM f, s WHERE t0>0 AND t1>0 ORDER BY score DESC, doc_id LIMIT 20"""
+s AS (SELECT count(*) n, avg(len(ts)) mean FROM d), p AS (SELECT doc_id, len(ts) AS length, unnest(ts) AS token FROM d),
+q AS (SELECT * FROM (VALUES (1, 'the'), (1, 'that'), (2, 'und'), (2, 'die'), (3, 'les')) v(query_id, token)),
+tf AS (SELECT query_id, token, doc_id, length, count(*) AS tf FROM p JOIN q USING (token) GROUP BY ALL), df AS (SELECT query_id, token, count(*) AS df FROM tf GROUP BY ALL),
+need AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1),
+sc AS (SELECT query_id, doc_id, count(*) AS got, sum(ln(1+(n-df+0.5)/(df+0.5))*tf*2.2/(tf+1.2*(0.25+0.75*length/mean))) AS score FROM tf JOIN df USING (query_id, token), s GROUP BY ALL)
+SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc JOIN need USING (query_id) WHERE got = need QUALIFY rank <= 20"""
 
 
 @query(BM25_SQL)
 def ret_bm25(t):
-    return T.bm25(t("documents"), ["the", "that"], 20).select("doc_id", F.round("score", 6).alias("score"))
+    docs = t("documents")
+    asked = docs.sparkSession.createDataFrame([(1, "the that"), (2, "Und die"), (3, "les")], "query_id int, text string")
+    return T.search_index(scratch.index_of(docs), asked, 20).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 10")
+
+@query("SELECT query_id, vec_id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0) WHERE rank <= 10")
 def ret_vector(t):
     e = t("embeddings")
-    first = e.filter("vec_id = 0").select("embedding").first()
-    return T.vector_top_k(e, first[0] if first else [], 10).select("vec_id", F.round("score", 6).alias("score"))
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return T.vector_search(e, asked, 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
 
 
 RRF_LISTS = "(SELECT c_custkey AS doc_id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer QUALIFY r <= 100) a FULL OUTER JOIN (SELECT c_custkey AS doc_id, row_number() OVER (ORDER BY c_name, c_custkey) AS q FROM customer QUALIFY q <= 100) b USING (doc_id)"
 
 
-@query(f"SELECT doc_id, round(coalesce(1.0/(60+r), 0) + coalesce(1.0/(60+q), 0), 8) AS score FROM {RRF_LISTS}")
+@query(f"SELECT doc_id, round(score, 8) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, coalesce(1.0/(60+r), 0) + coalesce(1.0/(60+q), 0) AS score FROM {RRF_LISTS}) QUALIFY rank <= 150")
 def ret_rrf(t):
-    c = t("customer")
-    top = lambda *o: R.top_n(c.orderBy(*o).limit(100).select(F.col("c_custkey").alias("doc_id"), "c_acctbal", "c_name", "c_custkey"), [], 100, *o)
-    fused = T.rrf(top(F.desc("c_acctbal"), F.col("c_custkey")), top(F.col("c_name"), F.col("c_custkey")))
-    return fused.select("doc_id", F.round("score", 8).alias("score"))
+    c = t("customer").select(F.lit(1).alias("query_id"), F.col("c_custkey").alias("doc_id"), "c_acctbal", "c_name")
+    top = lambda *o: R.top_n(c, ["query_id"], 100, *o)
+    return T.fused([top(F.desc("c_acctbal"), F.col("doc_id")), top(F.col("c_name"), F.col("doc_id"))], 150).select("doc_id", F.round("score", 8).alias("score"), "rank")
+
 
 
-@query("WITH r AS (SELECT o_custkey AS q, o_orderkey AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders), w AS (SELECT o_custkey AS q, o_orderkey AS d FROM orders WHERE o_orderstatus = 'F') SELECT w.q AS query_id, round(count(r.rank) / count(*), 6) AS recall, round(coalesce(1.0 / min(r.rank), 0), 6) AS rr FROM w LEFT JOIN (SELECT * FROM r WHERE rank <= 3) r ON w.q = r.q AND w.d = r.d GROUP BY 1")
+@query("WITH r AS (SELECT o_custkey AS q, o_orderkey AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders), w AS (SELECT o_custkey AS q, o_orderkey AS d FROM orders WHERE o_orderstatus = 'F') SELECT w.q AS query_id, round(count(r.rank) / count(*), 6) AS recall, round(1.0 / min(r.rank), 6) AS rr FROM w LEFT JOIN (SELECT * FROM r WHERE rank <= 3) r ON w.q = r.q AND w.d = r.d GROUP BY 1")
 def agg_recall_mrr(t):
     o = t("orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"), "o_totalprice", "o_orderstatus")
     ranked = R.rank_rows(o, ["query_id"], F.desc("o_totalprice"), F.col("doc_id"))

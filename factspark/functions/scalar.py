@@ -1,51 +1,187 @@
-"""Scalar functions as column expressions."""
+"""Scalar functions as column expressions; JVM-side but for Unicode normalisation, which Spark lacks."""
 
 from __future__ import annotations
 
+import html
+import unicodedata
+from decimal import Decimal
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Magnitudes of the scales.
 SCALES = {"RAW": 1, "THOUSAND": 1_000, "MILLION": 1_000_000, "BILLION": 1_000_000_000}
-#: Vietnamese letters with marks, and what they fold to.
-MARKED = "àáảãạăằắẳẵặâầấẩẫậđèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵäöüßñçëï"
-PLAIN = "aaaaaaaaaaaaaaaaadeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyyaousncei"
+#: What stands for a missing figure.
+MISSING = ("", "-", "‒", "–", "—", "―", "−")
+
+
+def _settled(text: str) -> str:
+    while (plain := html.unescape(text)) != text:
+        text = plain
+    return text
+
+
+@F.pandas_udf(StringType())
+def _normalized(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", _settled(unicodedata.normalize("NFKC", x))).split()))
+
+
+@F.pandas_udf(StringType())
+def _folded(text: pd.Series) -> pd.Series:
+    def one(x: str | None) -> str | None:
+        if x is None:
+            return None
+        marked = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", x).translate({0x111: "d", 0x110: "D"}))
+        return " ".join("".join(c for c in marked if not unicodedata.combining(c)).casefold().split())
+
+    return text.map(one)
+
+
+@F.pandas_udf(StringType())
+def _folded_in_place(text: pd.Series) -> pd.Series:
+    def one(c: str) -> str:
+        if c in "đĐ":
+            return "d" if c == "đ" else "D"
+        base = unicodedata.normalize("NFD", c)[0]
+        return c if unicodedata.combining(base) else base
+
+    return text.map(lambda x: None if x is None else "".join(map(one, x)))
+
+
+def normalize(text: Column) -> Column:
+    """NFKC, HTML entities decoded until none is left, white space single; null stays null."""
+    return _normalized(text)
 
 
 def fold(text: Column) -> Column:
-    """Lower case without marks, single-spaced; as long as its input but for white space."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), r"\s+", " "))
+    """Case-folded text of compatibility characters without marks, single-spaced; đ is d."""
+    return _folded(text)
+
+
+def fold_punct(text: Column) -> Column:
+    """fold() with all but letters a-z and digits as single spaces."""
+    return F.trim(F.regexp_replace(fold(text), "[^0-9a-z]+", " "))
+
+
+def fold_in_place(text: Column) -> Column:
+    """Marks stripped character by character, so that places still hold; case stays."""
+    return _folded_in_place(text)
+
+
+def label_key(label: Column) -> Column:
+    """Folded label without line ordinals in front and parentheses behind; nested ones are taken off in turn, four deep."""
+    out = fold(label)
+    for _ in range(4):
+        out = F.trim(F.regexp_replace(out, r"\s*\([^()]*(\([^()]*\)[^()]*)*\)\s*$", ""), F.lit(" :.-"))
+        out = F.trim(F.regexp_replace(out, r"^(([0-9]+(\.[0-9]+)*|[ivxlc]+|[a-z])\s*[.)\-:]\s*|[0-9]{1,2}\s+|[a-e] - )", ""))
+    return out
+
 
+def answer_norm(text: Column) -> Column:
+    """Letters, digits, full stops and hyphens of the lower-cased text."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.\-]", "")
 
-def parse_number(raw: Column) -> tuple[Column, Column]:
-    """(status, decimal) of a printed number: dots or spaces group thousands, a comma starts decimals, parentheses negate.
 
-    MISSING for empty text and dashes; AMBIGUOUS where commas group before a dot;
-    NOT_NUMERIC without digits; MALFORMED otherwise.
+def phrase_count(text: Column, phrase: str) -> Column:
+    """Times that a folded text holds a phrase as whole words."""
+    return F.regexp_count(text, F.lit(rf"(?<![0-9a-z])\Q{phrase}\E(?![0-9a-z])"))
+
+
+def parse_number(raw: Column) -> tuple[Column, Column, Column]:
+    """(status, decimal, percent) of a printed number.
+
+    Dots or single spaces group thousands, a comma starts decimals, parentheses
+    or a minus negate, a plus is allowed. MISSING for empty text and dashes;
+    AMBIGUOUS for numbers grouped or pointed the other way; MALFORMED for what
+    has a sign, parenthesis, percent mark or leading digit but no such form;
+    NOT_NUMERIC otherwise. Null counts as missing. Decimals beyond 38 digits or
+    18 places are MALFORMED here, as Spark can't hold them.
     """
-    t = F.trim(raw)
-    body = F.regexp_replace(F.regexp_replace(t, r"^\((.*)\)$", "-$1"), r"%$", "")
-    grouped = body.rlike(r"^-?\d{1,3}([. ]\d{3})+(,\d+)?$")
-    plain = body.rlike(r"^-?\d+(,\d+)?$")
-    value = F.when(grouped | plain, F.regexp_replace(F.regexp_replace(body, r"[. ]", ""), ",", ".").try_cast("decimal(38,6)"))
+    t = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"[\s ]+", " "))
+    percent = t.endswith("%")
+    body = F.when(percent, F.rtrim(F.substring(t, F.lit(1), F.length(t) - 1))).otherwise(t)
+    inner = r"\((?![+\-])([^()]+)\)"
+    wrapped = body.rlike(rf"^{inner}$")
+    signed = body.rlike(r"^[+\-]")
+    figure = F.when(wrapped, F.substring(body, F.lit(2), F.length(body) - 2)).when(signed, F.substring(body, F.lit(2), F.length(body))).otherwise(body)
+    negative = wrapped | body.startswith("-")
+    good = figure.rlike(r"^([0-9]+|[0-9]{1,3}(\.[0-9]{3})+|[0-9]{1,3}( [0-9]{3})+|[0-9]+,[0-9]+|[0-9]{1,3}(\.[0-9]{3})+,[0-9]+)$")
+    plain = F.regexp_replace(F.regexp_replace(figure, "[. ]", ""), ",", ".")
+    value = F.when(good & ~t.isin(*MISSING), F.when(negative, F.concat(F.lit("-"), plain)).otherwise(plain).try_cast("decimal(38,6)"))
+    other = figure.rlike(r"^([0-9]{1,3}(,[0-9]{3}){2,}(\.[0-9]+)?|[0-9]{1,3}(,[0-9]{3})+\.[0-9]+|[0-9]+\.[0-9]+)$")
+    odd = (~wrapped & body.rlike(r"^\(|\)$")) | body.contains("%") | (figure == "")
     status = (
-        F.when(raw.isNull() | t.isin("", "-", "–"), "MISSING").when(grouped | plain, "PARSED").when(~t.rlike(r"\d"), "NOT_NUMERIC")
-        .when(body.rlike(r"^-?\d{1,3}(,\d{3})*\.\d+$"), "AMBIGUOUS").otherwise("MALFORMED")
+        F.when(t.isin(*MISSING), "MISSING").when(odd, "MALFORMED").when(good, "PARSED").when(other, "AMBIGUOUS")
+        .when(percent | wrapped | signed | figure.rlike(r"^[0-9+\-(−]"), "MALFORMED").when(t.contains("%"), "MALFORMED").otherwise("NOT_NUMERIC")
     )
-    return status, value
+    return status, F.when(status == "PARSED", value), percent & (t != "%")
 
 
 def to_scale(value: Column, source: str, target: str) -> Column:
-    """Exact change of magnitude; unknown scales and percent are errors."""
+    """Exact change of magnitude; PERCENT only to itself; unknown or missing scales are errors."""
+    if source == target == "PERCENT":
+        return value.cast("decimal(38,6)")
     if source not in SCALES or target not in SCALES:
         raise ValueError(f"no conversion from {source} to {target}")
     return (value.cast("decimal(28,6)") * SCALES[source] / SCALES[target]).cast("decimal(38,6)")
 
 
-def report_years(period: Column) -> Column:
-    """The year of YYYY, YYYY-Qn or YYYY-nM; null otherwise."""
-    return F.when(period.rlike(r"^\d{4}(-Q[1-4]|-\d{1,2}M)?$"), F.substring(period, 1, 4).cast("int"))
+def figure(raw: Column, label: Column, scale: Column) -> Column:
+    """A printed figure in base units: number times scale; lines per share are not scaled, percentages are no figures."""
+    status, value, percent = parse_number(raw)
+    factor = F.coalesce(*[F.when(scale == name, F.lit(n)) for name, n in SCALES.items()])
+    per_share = fold(label).rlike("tren (mot )?co phieu|per share")
+    return F.when((status == "PARSED") & ~percent, value * F.when(per_share, F.lit(1)).otherwise(factor))
+
+
+def unit_scale(text: Column) -> Column:
+    """The scale that a folded declaration of the currency unit names last; null without one."""
+    said = F.regexp_extract_all(text, F.lit(r"((?:don vi(?: tinh)?|dvt)\s*:?\s*(?:trieu |nghin |ngan |ty )?\s*(?:vnd|dong)\b)"), 1)
+    last = F.when(F.size(said) > 0, F.element_at(said, -1))
+    return F.when(last.rlike("trieu"), "MILLION").when(last.rlike("nghin|ngan"), "THOUSAND").when(last.rlike(r"\bty\b"), "BILLION").when(last.isNotNull(), "RAW")
+
+
+def close(left: Column, right: Column) -> Column:
+    """Equal within four units in the last place of the right value, and 1e-12 at least."""
+    size = F.greatest(F.abs(right), F.lit(2.2250738585072014e-308))
+    ulp = F.pow(F.lit(2.0), F.floor(F.log2(size)) - 52)
+    return F.abs(left - right) <= F.greatest(4 * ulp, F.lit(1e-12))
+
+
+def relatively_close(left: Column, right: Column, tolerance: float) -> Column:
+    """Equal within a share of the larger; both zero are equal."""
+    return F.abs(left - right) <= tolerance * F.greatest(F.abs(left), F.abs(right))
+
+
+def perturb(value: Column, i: Column) -> Column:
+    """The metamorphic probe of the i-th row."""
+    return value * (F.lit(1.1) + (i % 7) / 10) + i % 7 + 17
+
+
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(F.transform(v, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
+
+
+def unit_vector(v: Column) -> Column:
+    """The vector over its length; a zero vector stays."""
+    n = norm(v)
+    return F.when(n == 0, v.cast("array<double>")).otherwise(F.transform(v, lambda x: x.cast("double") / n))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine within [-1, 1]; null for a zero vector."""
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot, norm(a) * norm(b))))
 
 
 def fact_id(*parts: Column) -> Column:
     return F.concat(F.lit("f_"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 20))
+
+
+def canonical_decimal(value: Decimal) -> str:
+    """Plain digits without trailing zeros; no minus before zero."""
+    text = format(value, "f")
+    text = text.rstrip("0").rstrip(".") if "." in text else text
+    return "0" if text in ("-0", "") else text

@@ -16,13 +16,6 @@ def select_rows(df: DataFrame, **allowed: Sequence) -> DataFrame:
     return df.filter(reduce(Column.__and__, tests, F.lit(True)))
 
 
-def non_empty(df: DataFrame, what: str) -> DataFrame:
-    """The frame itself; raises if it has no row."""
-    if df.isEmpty():
-        raise ValueError(f"{what}: no rows")
-    return df
-
-
 def add_derived(df: DataFrame, name: str, formula: Column, inputs: Sequence[str], formula_id: str) -> DataFrame:
     """A derived column and the digest of its formula and sorted inputs; an existing name is an error."""
     if name in df.columns:
@@ -97,6 +90,13 @@ def resolve_duplicates(df: DataFrame, keys: Sequence[str], value: str, *preferen
     return top_n(df.join(agreed, list(keys), "left_semi"), keys, 1, *preference).drop("rank")
 
 
+def majority_positive(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Values with their sign turned in keys where most of the non-zero ones are negative."""
+    habit = df.filter(F.col(value) != 0).groupBy(key).agg((F.count_if(F.col(value) < 0) * 2 > F.count("*")).alias("_turn"))
+    turned = F.when(F.col("_turn"), -F.col(value)).otherwise(F.col(value))
+    return df.join(habit, key, "left").withColumn(value, turned).drop("_turn")
+
+
 def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """95% score interval, null for no trials."""
     p = F.try_divide(successes.cast("double"), n)
@@ -112,8 +112,11 @@ def nearest_rank(value: str, p: float) -> Column:
 
 
 def slope(y: str, x: str) -> Column:
-    """Least squares; null for under three points, 0 if x does not vary."""
-    return F.when(F.count("*") < 3, None).when(F.min(x) == F.max(x), F.lit(0.0)).otherwise(F.regr_slope(y, x))
+    """Least squares over decimals, x counted from 2000, divided once; null for under three points, 0 if x does not vary."""
+    n, fx, fy = F.count("*").cast("decimal(20,0)"), (F.col(x) - 2000).cast("decimal(12,0)"), F.col(y).cast("decimal(18,2)")
+    top = n.cast("double") * F.sum(fx * fy).cast("double") - F.sum(fx).cast("double") * F.sum(fy).cast("double")
+    bottom = n.cast("double") * F.sum(fx * fx).cast("double") - F.sum(fx).cast("double") * F.sum(fx).cast("double")
+    return F.when(F.count("*") < 3, None).when(F.min(x) == F.max(x), F.lit(0.0)).otherwise(F.try_divide(top, bottom))
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, bounds: Sequence[float]) -> DataFrame:
@@ -131,15 +134,77 @@ def identity_check(lines: DataFrame, key: str, total: str, parts: Sequence[str],
     return lines.select(key, F.when(absent, "MISSING").when(off <= 2 * unit + 1e-9 * F.abs(F.col(total)), "PASS").otherwise("FAIL").alias("status"))
 
 
-def alert_runs(df: DataFrame, key: str, at: str, bad: Column) -> DataFrame:
-    """Maximal runs of rows for which `bad` holds: key, first, last, length (gaps and islands)."""
+def alert_runs(df: DataFrame, key: str, at: str, bad: Column, for_s: float = 0) -> DataFrame:
+    """Maximal runs of rows for which `bad` holds (gaps and islands): key, first, last, length, fired_at.
+
+    `at` is in seconds; fired_at is the first row at least `for_s` seconds after the run began, null if there is none.
+    """
     order = W.partitionBy(key).orderBy(at)
-    marked = df.withColumn("_bad", bad).withColumn("_start", (F.col("_bad") & ~F.coalesce(F.lag("_bad").over(order), F.lit(False))).cast("int"))
+    marked = df.withColumn("_bad", F.coalesce(bad, F.lit(False))).withColumn("_start", (F.col("_bad") & ~F.coalesce(F.lag("_bad").over(order), F.lit(False))).cast("int"))
     run = marked.withColumn("_run", F.sum("_start").over(order)).filter("_bad")
-    return run.groupBy(key, "_run").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("length")).drop("_run")
+    run = run.withColumn("_begin", F.min(at).over(W.partitionBy(key, "_run")))
+    fired = F.min(F.when(F.col(at) - F.col("_begin") >= for_s, F.col(at))).alias("fired_at")
+    return run.groupBy(key, "_run").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("length"), fired).drop("_run")
+
+
+def counter_increase(df: DataFrame, key: str, at: str, counter: str, seconds: int) -> Column:
+    """Increase of a cumulative counter since the first sample at most `seconds` before; never negative."""
+    w = W.partitionBy(key).orderBy(at).rangeBetween(-seconds, 0)
+    return F.greatest(F.lit(0), F.col(counter) - F.first(counter).over(w))
 
 
 def round_robin(df: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
     """First rows of every key, then second ones, until n."""
     turn = rank_rows(df, [key], *order)
     return turn.orderBy("rank", key).limit(n)
+
+
+def banded(df: DataFrame, value: str, bounds: Sequence[float]) -> DataFrame:
+    """Column band of half-open ranges, the last one closed; null outside."""
+    out = F.lit(None).cast("string")
+    for i in range(len(bounds) - 2, -1, -1):
+        low, high, last = bounds[i], bounds[i + 1], i == len(bounds) - 2
+        inside = (F.col(value) >= low) & ((F.col(value) <= high) if last else (F.col(value) < high))
+        out = F.when(inside, F.lit(f"[{low},{high}{']' if last else ')'}")).otherwise(out)
+    return df.withColumn("band", out)
+
+
+def slo(events: DataFrame, keys: Sequence[str], bad: Column, answered: Column, fast: Column, target: float) -> DataFrame:
+    """(keys, requests, bad, availability, budget_spent, latency_attainment); the last is null without answers."""
+    share = F.try_divide(F.count_if(bad), F.count("*"))
+    return events.groupBy(*keys).agg(
+        F.count("*").alias("requests"), F.count_if(bad).alias("bad"), F.round(1 - share, 6).alias("availability"),
+        F.round(share / (1 - target), 4).alias("budget_spent"), F.round(F.try_divide(F.count_if(answered & fast), F.count_if(answered)), 6).alias("latency_attainment"),
+    )
+
+
+def sets_equal(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: whether both frames hold the same distinct rows; one aggregation, no join."""
+    both = a.withColumn("_l", F.lit(1)).withColumn("_r", F.lit(0)).unionByName(b.withColumn("_l", F.lit(0)).withColumn("_r", F.lit(1)))
+    seen = both.groupBy(*a.columns).agg(F.max("_l").alias("l"), F.max("_r").alias("r"))
+    return seen.agg((F.count_if(F.col("l") != F.col("r")) == 0).alias("equal"))
+
+
+def public(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
+    """The allowed columns only; one that is not there is an error."""
+    return df.select(*[F.col(f"`{c}`") for c in allowed])
+
+
+def eligible(df: DataFrame, column: str, wanted: Sequence[str], known: Sequence[str]) -> DataFrame:
+    """Rows of the wanted kinds, which must be some of the known ones."""
+    if not wanted or not set(wanted) <= set(known):
+        raise ValueError(f"unknown or no kinds: {sorted(wanted)}")
+    return df.filter(F.col(column).isin(*wanted))
+
+
+def sliced(facts: DataFrame, tickers: Sequence | None = None, metrics: Sequence[str] | None = None) -> DataFrame:
+    """Facts of the tickers and metrics; without either a slice is unbounded, which is an error."""
+    if not tickers and not metrics:
+        raise ValueError("CATALOG_SLICE_UNBOUNDED")
+    return select_rows(facts, ticker=tickers or None, metric=metrics or None)
+
+
+def preferred(df: DataFrame, keys: Sequence[str], fit: Column) -> DataFrame:
+    """Rows that fit; all rows of a key where none does."""
+    some = df.withColumn("_fit", F.coalesce(fit, F.lit(False))).withColumn("_some", F.max("_fit").over(W.partitionBy(*keys)))
+    return some.filter(F.col("_fit") | ~F.col("_some")).drop("_fit", "_some")

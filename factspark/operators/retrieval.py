@@ -17,13 +17,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}\p{N}\p{Co}_]+)"), 1)
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(token, doc_id, tf, length)."""
-    t = docs.select(F.col(id_col).alias("doc_id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("ts"))
-    t = t.select("doc_id", F.size("ts").alias("length"), F.explode("ts").alias("token"))
-    return t.groupBy("token", "doc_id").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
-
-
 def bm25(docs: DataFrame, words: list[str], k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The k best documents that hold all words: doc_id, score, rank; ties to smaller ids."""
     words = sorted({w.lower() for w in words})
@@ -67,6 +60,85 @@ def rrf(*ranked: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def recall_and_mrr(ranked: DataFrame, wanted: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
-    """Recall at k and reciprocal rank (0 without a hit) of every query that wants something."""
+    """Recall at k and reciprocal rank (null without a hit; a mean over queries counts it as 0) of every query that wants something."""
     hits = wanted.select(query, doc).distinct().join(ranked.select(query, doc, "rank").filter(F.col("rank") <= k), [query, doc], "left")
-    return hits.groupBy(query).agg((F.count("rank") / F.count("*")).alias("recall"), F.coalesce(1.0 / F.min("rank"), F.lit(0.0)).alias("rr"))
+    return hits.groupBy(query).agg((F.count("rank") / F.count("*")).alias("recall"), (1.0 / F.min("rank")).alias("rr"))
+
+
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> None:
+    """Store a BM25 index: postings partitioned by a hash of the token, documents with their lengths and `keep` columns, and totals.
+
+    The texts are read once, here; queries read their tokens' partitions only.
+    """
+    t = docs.select(F.col(id_col).alias("doc_id"), *keep, tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("ts"))
+    found = t.select("doc_id", *keep, F.size("ts").alias("length"), F.explode("ts").alias("token"))
+    counted = found.groupBy("token", "doc_id", *keep, "length").agg(F.count("*").alias("tf"))
+    bucket = F.pmod(F.xxhash64("token"), F.lit(INDEX_PARTS)).cast("int")
+    counted.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("token").write.partitionBy("bucket").parquet(f"{path}/postings")
+    t.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("mean")).write.parquet(f"{path}/totals")
+
+
+#: Partitions of a stored index.
+INDEX_PARTS = 16
+
+
+def search_index(index: str, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+    """(query_id, rank, doc_id, score): the k best documents that hold all words of a text of the query.
+
+    queries: (query_id, text), several texts a query; a document keeps the score
+    of its best one. `where` filters documents by kept columns before the ranking;
+    the statistics are those of all documents.
+    """
+    spark = queries.sparkSession
+    asked = queries.select("query_id", F.xxhash64("text").alias("t"), F.array_distinct(tokens(F.col("text"))).alias("ws"))
+    asked = asked.filter(F.size("ws") > 0).select("query_id", "t", F.size("ws").alias("need"), F.explode("ws").alias("token"))
+    asked = asked.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(INDEX_PARTS)).cast("int"))
+    totals = spark.read.parquet(f"{index}/totals")
+    posted = spark.read.parquet(f"{index}/postings").join(F.broadcast(asked.select("bucket", "token").distinct()), ["bucket", "token"], "left_semi")  # the words of the queries
+    df = posted.groupBy("token").agg(F.count("*").alias("df"))
+    if where is not None:
+        posted = posted.filter(where)
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    hits = asked.join(posted, ["bucket", "token"]).join(df, "token").crossJoin(F.broadcast(totals))  # totals is one row
+    scored = hits.groupBy("query_id", "t", "doc_id", "need").agg(F.count("*").alias("got"), F.sum(part).alias("score")).filter("got = need")
+    best = scored.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    return top_n(best, ["query_id"], k, F.desc("score"), F.col("doc_id"))
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): the k largest inner products of every query with all rows.
+
+    The stated queries (query_id, q) are a bounded set and go to every task; Spark
+    keeps a task's own k best of a query before anything is shuffled.
+    """
+    asked = F.broadcast(queries.select("query_id", "q"))  # a stated, bounded query set
+    scored = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("_v")).join(asked, F.lit(True)).select("query_id", "vec_id", dot(F.col("_v"), F.col("q")).alias("score"))
+    return top_n(scored, ["query_id"], k, F.desc("score"), F.col("vec_id"))
+
+
+def checked_ranks(ranked: DataFrame, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
+    """(query, status): OK, DUPLICATE where a list names a document twice, RANK_INVALID where ranks aren't 1 to n."""
+    seen = ranked.groupBy(query).agg(F.count("*").alias("n"), F.countDistinct(doc).alias("docs"), F.countDistinct("rank").alias("ranks"), F.min("rank").alias("a"), F.max("rank").alias("b"))
+    fine = (F.col("ranks") == F.col("n")) & (F.col("a") == 1) & (F.col("b") == F.col("n"))
+    return seen.select(query, F.when(F.col("docs") < F.col("n"), "DUPLICATE").when(~F.coalesce(fine, F.lit(False)), "RANK_INVALID").otherwise("OK").alias("status"))
+
+
+def fused(lists: list[DataFrame], k: int, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
+    """Reciprocal rank fusion of ranked lists (query, doc, rank): query, doc, score, rank; ties to smaller documents."""
+    parts = [r.select(query, doc, (F.lit(1.0) / (RRF_K + F.col("rank"))).alias("part")) for r in lists]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return top_n(both.groupBy(query, doc).agg(F.sum("part").alias("score")), [query], k, F.desc("score"), F.col(doc))
+
+
+#: Candidates of a stage for each result wanted.
+DEPTH = 5
+
+
+def hybrid(lexical: DataFrame, semantic: DataFrame, relevance: DataFrame, k: int) -> DataFrame:
+    """Fused candidates of both lists at DEPTH times k, ordered anew by relevance (query_id, doc_id, logit): query_id, rank, doc_id, logit, rrf."""
+    deep = [r.filter(F.col("rank") <= DEPTH * k) for r in (lexical, semantic)]
+    near = fused(deep, DEPTH * k).withColumnRenamed("score", "rrf").drop("rank")
+    return top_n(near.join(relevance, ["query_id", "doc_id"]), ["query_id"], k, F.desc("logit"), F.desc("rrf"), F.col("doc_id"))
