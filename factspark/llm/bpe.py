@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, whole_text
+from .common import numbered, small_batches, table
 from .tokens import BYTE_BPE, decimals, encoder, token_bytes
 
 #: Characters of a leaf; texts of up to two leaves are not split.
@@ -170,11 +170,12 @@ def encode_documents(docs: DataFrame, leaf: int = LEAF, id_col: str = "doc_id",
     encoded where they are read. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    rows = whole_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    # a row is named by its address, which is the same if a lost executor's part is computed again
+    rows = numbered(docs).select(F.concat_ws(":", "file", "place").alias("row"), F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).alias("text"))
     long = F.char_length("text") > 2 * leaf
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    short = rows.filter(~long).mapInPandas(_short, schema)
-    parts = rows.filter(long).withColumn("row", F.expr("uuid()")).mapInPandas(_split(leaf), "row string, doc_id long, part int, text string")
+    short = rows.filter(~long).select("doc_id", "text").mapInPandas(_short, schema)
+    parts = rows.filter(long).mapInPandas(_split(leaf), "row string, doc_id long, part int, text string")
     leaves = parts.repartition("row", "part").mapInPandas(_leaves, "row string, doc_id long, part int, text string, ids binary")
     return short.unionByName(leaves.groupBy("row").applyInPandas(_joined, schema))
 

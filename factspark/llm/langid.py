@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import id_crc, small_batches, table, tidy
 
-#: Bounded sample: about so many labelled rows a language, and bytes of a dictionary.
+#: Bounded sample: about so many labelled rows a language reach the driver; a dictionary takes so many bytes
+#: of them, and so many of one text at most, so that no single text fills it.
 SAMPLE_ROWS = 400
 DICT_BYTES = 131_072
+TEXT_BYTES = 16_384
 LEVEL = 9
 #: A margin below this share of the second-best size is narrow.
 NARROW = 0.0005
@@ -49,7 +51,7 @@ def fit_dictionaries(docs: DataFrame, held_out, id_col: str = "doc_id", text_col
         for _, text in sorted(found):
             if size >= DICT_BYTES:
                 break
-            parts.append(text.encode()[:16_384])
+            parts.append(text.encode("utf-8", "surrogatepass")[:TEXT_BYTES])
             size += len(parts[-1])
         if data := b"\n".join(parts)[-DICT_BYTES:]:
             out[lang] = data

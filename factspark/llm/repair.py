@@ -46,8 +46,8 @@ def _first_of_runs(at: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _frequent(seq: np.ndarray, counts: np.ndarray, least: int, fresh: np.ndarray | None) -> tuple[np.ndarray, list[int]]:
-    """Sorted keys (first << 32 | second) of pairs that occur `least` times, taken from the most frequent on, and the keys left for later.
+def _frequent(seq: np.ndarray, counts: np.ndarray, least: int, fresh: np.ndarray | None) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """Sorted keys (first << 32 | second) of pairs that occur `least` times, taken from the most frequent on, the keys left for later, and the places counted.
 
     An id of a pair occurs at least as often as the pair, so by the counts of
     ids rarer ones are left out before pairs are sorted and counted. Where `fresh` marks ids, all
@@ -67,7 +67,7 @@ def _frequent(seq: np.ndarray, counts: np.ndarray, least: int, fresh: np.ndarray
     keys |= seq[at + 1]
     keys.sort()
     if not len(keys):
-        return keys, []
+        return keys, [], at
     edge = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1]
     times = np.diff(np.r_[edge, len(keys)])
     enough = np.flatnonzero(times >= least)
@@ -81,7 +81,7 @@ def _frequent(seq: np.ndarray, counts: np.ndarray, least: int, fresh: np.ndarray
         firsts.add(a)
         seconds.add(b)
         chosen.append(key)
-    return np.sort(np.array(chosen, np.int64)), later
+    return np.sort(np.array(chosen, np.int64)), later, at
 
 
 def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +95,7 @@ def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
     counts, fresh = np.bincount(seq, minlength=terminals), None
     least = max(LEAST, int(counts.max() * SHARE))
     while len(seq) >= 2 * LEAST:
-        pairs, later = _frequent(seq, counts, least, fresh)
+        pairs, later, at = _frequent(seq, counts, least, fresh)
         if not len(pairs) and least == LEAST:
             break
         if least == LEAST:
@@ -108,8 +108,9 @@ def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
         first, second = np.zeros(base, bool), np.zeros(base, bool)
         first[pairs >> 32] = True
         second[pairs & 0xFFFFFFFF] = True
-        at = np.flatnonzero(first[seq[:-1]] & second[seq[1:]])
-        keys = seq[at] << 32 | seq[at + 1]
+        left, right = seq[at], seq[at + 1]
+        some = np.flatnonzero(first[left] & second[right])
+        at, keys = at[some], left[some] << 32 | right[some]
         which = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
         right = np.flatnonzero(pairs[which] == keys)
         right = right[_first_of_runs(at[right])]
