@@ -49,7 +49,8 @@ REQUIREMENTS = [("1", "NET", "2023"), ("2", "COST", "2022"), ("3", "TAX", "2024"
 @query(values([("1", "b", "RESOLVED"), ("2", "d", "AMBIGUOUS"), ("2", "e", "AMBIGUOUS"), ("3", "f", "AMBIGUOUS"), ("3", "g", "AMBIGUOUS"), ("4", "i", "RESOLVED"), ("5", None, "UNRESOLVED"), ("6", "d", "AMBIGUOUS"), ("6", "e", "AMBIGUOUS"), ("7", None, "UNRESOLVED")], "requirement_id, cell_id, status"))
 def jn_schema_link(t):
     cells = rows_of(t, CELLS, "cell_id string, table_id string, report_id string, report_year int, table_class string, metric string, period string, value double")
-    return L.link_schema(rows_of(t, REQUIREMENTS, "requirement_id string, metric string, period string"), cells)
+    asked = rows_of(t, REQUIREMENTS, "requirement_id string, metric string, period string")
+    return L.link_schema(asked.withColumn("question_id", F.lit("q")), cells.withColumn("question_id", F.lit("q"))).drop("question_id")
 
 
 RULES = [("REVENUE", "INCOME", ["01", "10"], r"doanh thu"), ("NET_REVENUE", "INCOME", ["10"], r"doanh thu thuan"), ("CASH", "BALANCE", ["110"], r"^tien")]

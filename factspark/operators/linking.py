@@ -52,35 +52,31 @@ def match_basis(metric: Column, period: Column, row_labels: Column, column_label
 
 
 def link_schema(requirements: DataFrame, cells: DataFrame) -> DataFrame:
-    """(requirement_id, cell_id, status) of requirements (requirement_id, metric, period) and cells.
+    """(question_id, requirement_id, cell_id, status) of requirements (question_id, requirement_id, metric, period) and cells.
 
-    cells (cell_id, table_id, report_id, report_year, table_class, metric, period,
-    value). A null metric or period asks for nothing. Cells of a report of the
+    cells (question_id, cell_id, table_id, report_id, report_year, table_class,
+    metric, period, value) are what was found for a question. A null metric or
+    period asks for nothing. Cells of a report of the
     period's year go before others; one figure printed again in its report is
     taken once, from an income statement, else from the table with most cells.
     One cell left is RESOLVED, several are AMBIGUOUS, none is one UNRESOLVED row
-    with a null cell_id. Matching is by equal keys, so that no pair of a
-    requirement and a cell is made which doesn't match.
+    with a null cell_id.
     """
-    sized = cells.join(cells.groupBy("table_id").agg(F.count("*").alias("cells")), "table_id")
-    asked = requirements.select("requirement_id", F.col("metric").alias("m"), F.col("period").alias("p"))
-    same = {"m": sized["metric"], "p": sized["period"]}
-    wanted = {"m": asked["m"].isNotNull(), "p": asked["p"].isNotNull()}
-    parts = []
-    for keys in (("m", "p"), ("m",), ("p",)):
-        only = reduce(Column.__and__, [wanted[k] if k in keys else ~wanted[k] for k in same])
-        parts.append(asked.filter(only).join(sized, [asked[k] == same[k] for k in keys]))
-    met = reduce(DataFrame.unionByName, parts)
-    one = W.partitionBy("requirement_id")
+    sizes = cells.groupBy("question_id", "table_id").agg(F.count("*").alias("cells"))
+    sized = cells.join(sizes, ["question_id", "table_id"])
+    asked = requirements.select("question_id", "requirement_id", F.col("metric").alias("m"), F.col("period").alias("p"))
+    met = asked.join(sized, "question_id").filter("(m is null or m = metric) and (p is null or p = period)")
+    one = W.partitionBy("question_id", "requirement_id")
     met = met.withColumn("year", F.coalesce(F.col("report_year").cast("string") == F.substring("p", 1, 4), F.lit(False)))
     met = met.withColumn("years", F.max("year").over(one)).filter(F.col("year") == F.col("years"))
     # a set of one value is told by its ends; a null value is never the same figure
     ends = lambda c: F.min(c).over(one) == F.max(c).over(one)
     met = met.withColumn("single", ends("report_id") & ends("value") & (F.count("value").over(one) == F.count("*").over(one)))
-    order = W.partitionBy("requirement_id").orderBy(F.coalesce(F.col("table_class") != "INCOME_STATEMENT", F.lit(True)), F.desc("cells"), "cell_id")
+    order = one.orderBy(F.coalesce(F.col("table_class") != "INCOME_STATEMENT", F.lit(True)), F.desc("cells"), "cell_id")
     met = met.withColumn("at", F.row_number().over(order)).filter(~F.coalesce("single", F.lit(False)) | (F.col("at") == 1))
-    met = met.withColumn("left", F.count("*").over(one)).select("requirement_id", "cell_id", F.when(F.col("left") == 1, "RESOLVED").otherwise("AMBIGUOUS").alias("status"))
-    return requirements.select("requirement_id").join(met, "requirement_id", "left").select("requirement_id", "cell_id", F.coalesce("status", F.lit("UNRESOLVED")).alias("status"))
+    met = met.withColumn("left", F.count("*").over(one)).select("question_id", "requirement_id", "cell_id", F.when(F.col("left") == 1, "RESOLVED").otherwise("AMBIGUOUS").alias("status"))
+    keys = ["question_id", "requirement_id"]
+    return requirements.select(*keys).join(met, keys, "left").select(*keys, "cell_id", F.coalesce("status", F.lit("UNRESOLVED")).alias("status"))
 
 
 def only_match(matches: Sequence[tuple[str, Column]]) -> Column:
