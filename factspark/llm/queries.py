@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, langid, packing, repair, sharding, simhash, suffix_dedup, toxicity
+from . import ann, bpe, exact_dedup, filter_audit, langid, packing, repair, resampling, sharding, simhash, suffix_dedup, toxicity
 
 
 def queries():
@@ -17,8 +17,10 @@ def queries():
         "op8_token_ids": repair.op8_token_ids,
         "op9_language_id": langid.op9_language_id,
         "op10_simhash": simhash.op10_simhash,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_resampling": resampling.op13_resampling,
     }
 
 
 def oracle_sql():
-    return {"op6_exact_dedup": exact_dedup.SQL}
+    return {"op6_exact_dedup": exact_dedup.SQL, "op12_filter_audit": filter_audit.SQL, "op13_resampling": resampling.SQL}
