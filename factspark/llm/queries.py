@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, filter_audit, langid, packing, repair, resampling, sharding, simhash, suffix_dedup, toxicity
+from . import ann, bpe, exact_dedup, filter_audit, jaccard, langid, packing, repair, resampling, sharding, simhash, suffix_dedup, toxicity
 
 
 def queries():
@@ -17,10 +17,11 @@ def queries():
         "op8_token_ids": repair.op8_token_ids,
         "op9_language_id": langid.op9_language_id,
         "op10_simhash": simhash.op10_simhash,
+        "op11_jaccard_join": jaccard.op11_jaccard_join,
         "op12_filter_audit": filter_audit.op12_filter_audit,
         "op13_resampling": resampling.op13_resampling,
     }
 
 
 def oracle_sql():
-    return {"op6_exact_dedup": exact_dedup.SQL, "op12_filter_audit": filter_audit.SQL, "op13_resampling": resampling.SQL}
+    return {"op6_exact_dedup": exact_dedup.SQL, "op11_jaccard_join": jaccard.SQL, "op12_filter_audit": filter_audit.SQL, "op13_resampling": resampling.SQL}
