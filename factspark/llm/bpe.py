@@ -146,7 +146,7 @@ def _split(leaf: int):
         for f in frames:
             for row, doc_id, text in zip(f["row"], f["doc_id"], f["text"]):
                 parts = _leaf_texts(text, leaf)
-                yield pd.DataFrame({"row": row, "doc_id": pd.array([doc_id] * len(parts), dtype="Int64"), "part": range(len(parts)), "text": parts})
+                yield pd.DataFrame({"row": row, "doc_id": [doc_id] * len(parts), "part": range(len(parts)), "text": parts})
 
     return split
 
@@ -170,14 +170,15 @@ def encode_documents(docs: DataFrame, leaf: int = LEAF, id_col: str = "doc_id",
     encoded where they are read. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    # a row is named by its address, which is the same if a lost executor's part is computed again
-    rows = numbered(docs).select(F.concat_ws(":", "file", "place").alias("row"), F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).alias("text"))
+    # a row is named by its address, which is the same if a lost executor's part is computed again; ids are text in Python, see whole_text()
+    rows = numbered(docs).select(F.concat_ws(":", "file", "place").alias("row"), F.col(f"row.`{id_col}`").cast("string").alias("doc_id"), F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).alias("text"))
     long = F.char_length("text") > 2 * leaf
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
     short = rows.filter(~long).select("doc_id", "text").mapInPandas(_short, schema)
-    parts = rows.filter(long).mapInPandas(_split(leaf), "row string, doc_id long, part int, text string")
-    leaves = parts.repartition("row", "part").mapInPandas(_leaves, "row string, doc_id long, part int, text string, ids binary")
-    return short.unionByName(leaves.groupBy("row").applyInPandas(_joined, schema))
+    parts = rows.filter(long).mapInPandas(_split(leaf), "row string, doc_id string, part int, text string")
+    leaves = parts.repartition("row", "part").mapInPandas(_leaves, "row string, doc_id string, part int, text string, ids binary")
+    every = short.unionByName(leaves.groupBy("row").applyInPandas(_joined, schema))
+    return every.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op3_bpe(spark, sf_dir):

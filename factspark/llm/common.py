@@ -76,8 +76,12 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def whole_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) only, null text as empty; other columns can't clash from here on."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """(doc_id, text) only, null text as empty; other columns can't clash from here on.
+
+    The id is text: pandas would make a column of longs with a null in it one of
+    floats, which hold no id above 2**53. Cast it back behind Python.
+    """
+    return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def id_crc(doc_id: Column) -> Column:

@@ -109,17 +109,17 @@ class CuckooIndex:
                 return
 
 
-COLUMNS = ["digest", "keep_id", "file", "place", "group_size"]
-GROUPS = "digest binary, keep_id long, file long, place long, group_size long"
+COLUMNS = ["digest", "known", "keep_id", "file", "place", "group_size"]
+#: known is 0 for a null id, keep_id 0 then: a column without nulls keeps its longs in pandas.
+GROUPS = "digest binary, known int, keep_id long, file long, place long, group_size long"
 
 
 def _merged(frames: Iterator[pd.DataFrame]) -> CuckooIndex:
     """The live digests of a partition. A later row of a digest replaces the live one if it is the row that stays: that one is deleted, this one inserted."""
     index = CuckooIndex()
     for frame in frames:
-        ids = [None if pd.isna(x) else int(x) for x in frame["keep_id"]]
-        for digest, keep, file, place, n in zip(frame["digest"], ids, frame["file"], frame["place"], frame["group_size"]):
-            digest, rank = bytes(digest), (keep is not None, keep or 0, -file, -place)
+        for digest, known, keep, file, place, n in zip(*(frame[c] for c in COLUMNS)):
+            digest, rank = bytes(digest), (known, keep, -file, -place)
             entry = index.get(digest)
             if entry is None:
                 index.insert(digest, [rank, int(n)])
@@ -144,8 +144,7 @@ def _rows(index: CuckooIndex, chunk: int = 20_000) -> Iterator[pd.DataFrame]:
 
 
 def _frame(entries: list[list]) -> pd.DataFrame:
-    found = [(digest, keep if known else None, -file, -place, n) for digest, (known, keep, file, place), n in entries]
-    return pd.DataFrame(found, columns=COLUMNS).astype({"keep_id": "Int64"})
+    return pd.DataFrame([(digest, known, keep, -file, -place, n) for digest, (known, keep, file, place), n in entries], columns=COLUMNS)
 
 
 def _partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,7 +152,7 @@ def _partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         if len(frame):
             n = frame.groupby("digest", sort=False)["group_size"].sum()
-            best = frame.sort_values(["keep_id", "file", "place"], ascending=[False, True, True], na_position="last").drop_duplicates("digest")
+            best = frame.sort_values(["known", "keep_id", "file", "place"], ascending=[False, False, True, True]).drop_duplicates("digest")
             yield best.assign(group_size=best["digest"].map(n))[COLUMNS]
 
 
@@ -164,8 +163,9 @@ def _index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _groups(rows: DataFrame) -> DataFrame:
     """GROUPS, one row a digest: the row that stays and how many there are, from rows (digest, doc_id, file, place)."""
     small_batches(rows.sparkSession)
-    own = rows.select("digest", F.col("doc_id").alias("keep_id"), "file", "place", F.lit(1).cast("long").alias("group_size"))
-    return own.mapInPandas(_partial, GROUPS).repartition("digest").mapInPandas(_index, GROUPS)
+    own = rows.select("digest", F.col("doc_id").isNotNull().cast("int").alias("known"), F.coalesce("doc_id", F.lit(0)).alias("keep_id"), "file", "place", F.lit(1).cast("long").alias("group_size"))
+    groups = own.mapInPandas(_partial, GROUPS).repartition("digest").mapInPandas(_index, GROUPS)
+    return groups.withColumn("keep_id", F.when(F.col("known") == 1, F.col("keep_id"))).drop("known")
 
 
 def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

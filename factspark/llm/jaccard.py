@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, numbered, saved, small_batches, table, tidy
-from .simhash import components, shingle_set
+from .graph import components
+from .shingles import shingle_set
 
 #: Members of a list that all others are compared with in a turn, and the turns.
 LEADERS, TURNS = 8, 2
@@ -200,7 +201,9 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     """
     rows = saved(ngram_sets(docs, size, id_col, text_col), "grams")
     some = may_link(rows, percent)
-    sets = saved(rare_first(rows.join(some, ["key", "file", "place"], "left_semi").select("key", "n", "grams"), percent), "sets")
+    held = saved(rows.join(some, ["key", "file", "place"], "left_semi").select("key", "n", "grams"), "held")
+    sets = saved(rare_first(held, percent), "sets")
+    discard(held)
     roots = saved(joined(sets, percent), "roots")
     discard(some, sets)
     keys = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))

@@ -29,7 +29,7 @@ MAX_COLUMNS = 5000
 #: Share by which the program may stay above its lower bound when it stops.
 GAP = 0.001
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pieces_of(text: str, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
@@ -43,8 +43,7 @@ def _pieces(length: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             found = [(doc_id, *p) for doc_id, text in zip(f["doc_id"], f["text"]) for p in pieces_of(text, length)]
-            out = pd.DataFrame(found, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(found, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
         tidy()
 
     return run
@@ -208,8 +207,8 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = whole_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    pieces = saved(rows.mapInPandas(_pieces(length), PIECES), "pieces")
+    cut = whole_text(docs, id_col, text_col).mapInPandas(_pieces(length), PIECES)
+    pieces = saved(cut.withColumn("doc_id", F.col("doc_id").cast("long")), "pieces")
     sub = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SUB_BUCKETS)).cast("int")
     ranked = pieces.withColumn("size", F.col("length").cast("int")).withColumn("sub", sub)
     counts = ranked.groupBy("size", "sub").count().collect()  # at most length * SUB_BUCKETS rows

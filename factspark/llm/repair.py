@@ -313,7 +313,7 @@ def write_ids(docs: DataFrame, name: str = WORD_BPE, end_id: int = END_ID, id_co
     """
     small_batches(docs.sparkSession)
     rows = whole_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("doc_id", F.col("doc_id").cast("string"))
     return saved(ordered.mapInPandas(_shards(name, end_id), "part int, block int, first long, n_ids long, data binary"), "token-ids")
 
 

@@ -28,11 +28,12 @@ def words(text: Column) -> Column:
 def features(words: Column, longest: int, buckets: int) -> Column:
     """The bucket of every run of 1 to `longest` words, repeats included."""
     bucket = lambda run: (F.crc32(run.cast("binary")) % buckets).cast("int")
-    runs = [F.transform(words, bucket)]
-    for n in range(2, longest + 1):
+
+    def runs(n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, n=n: bucket(F.array_join(F.slice(words, i, n), " "))))
-    return runs[0] if longest == 1 else F.concat(*runs)
+        return F.transform(starts, lambda i: bucket(F.array_join(F.slice(words, i, n), " ")))
+
+    return F.concat(F.transform(words, bucket), *(runs(n) for n in range(2, longest + 1)))
 
 
 def histogram(rows: DataFrame) -> dict[int, int]:

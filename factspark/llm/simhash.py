@@ -17,29 +17,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, numbered, saved, small_batches, table, tidy, whole_text
+from . import jaccard
+from .common import discard, numbered, saved, small_batches, table, whole_text
+from .graph import components
+from .shingles import mixed, shingle_set, shingles_of, words_of  # noqa: F401
 
 BITS = 64
 #: Shingles counted at a time, so that very long texts need bounded memory.
 CHUNK = 65_536
-#: Times that a bucket is compared with one of its members before what is left is compared pair by pair.
-LEADER_ROUNDS = 2
-
-
-def words_of(text: str) -> list[bytes]:
-    """A-Z lower-cased, split at space and U+0009 to U+000D."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
-def shingles_of(words: list[bytes], size: int) -> list[bytes]:
-    if not words:
-        return []
-    if len(words) < size:
-        return [b" ".join(words)]
-    return list(map(b" ".join, zip(*(words[i:] for i in range(size)))))
 
 
 def fingerprint(text: str, size: int = 3) -> int:
@@ -148,35 +136,6 @@ def _links(budget: int):
     return run
 
 
-def _counted(edges: DataFrame) -> tuple[DataFrame, dict]:
-    """Edges, written, with their number and a sum of their hashes, which are observed while they are written."""
-    seen = Observation()
-    out = saved(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "edges")
-    return out, seen.get
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node on an edge (a, b), root the smallest node of its component.
-
-    Alternates large-star and small-star until the edges are stars. Minima are
-    pre-aggregated, hubs are split by the skew join.
-    """
-    edges, state = _counted(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    while state["n"]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        old, before = edges, state
-        edges, state = _counted(small)
-        discard(old)
-        if state == before:
-            break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
 def link_edges(fps: DataFrame, budget: int) -> DataFrame:
     """Spanning edges (a, b) between distinct fingerprints of column fp that differ in at most `budget` bits."""
     parts, at = [], 0
@@ -197,8 +156,8 @@ def simhash_components(docs: DataFrame, size: int = 3, budget: int = 2, id_col:
     component's id unless it has no other. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    rows = whole_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    marked = saved(rows.mapInPandas(_fingerprints(size), "doc_id long, fp long"), "fingerprints")
+    rows = whole_text(docs, id_col, text_col)
+    marked = saved(rows.mapInPandas(_fingerprints(size), "doc_id string, fp long").withColumn("doc_id", F.col("doc_id").cast("long")), "fingerprints")
     distinct = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(link_edges(distinct, budget))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -207,112 +166,40 @@ def simhash_components(docs: DataFrame, size: int = 3, budget: int = 2, id_col:
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(32))
-
-
-def shingle_set(text: str, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word shingles, each made of its words' hashes; fewer words than `size` are one shingle."""
-    words = words_of(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    take = min(size, len(h))
-    n = len(h) - take + 1
-    out = np.full(n, np.uint64(take))
-    for i in range(take):
-        out = _mixed(out) + h[i : i + n]
-    return np.unique(_mixed(out))
-
-
 def set_fingerprint(hashes: np.ndarray) -> int:
     """64-bit SimHash of a set of shingle hashes, mixed anew so that it doesn't hang on their order."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), CHUNK):
-        mixed = _mixed(hashes[i : i + CHUNK] + np.uint64(0x9E3779B97F4A7C15))
-        ones += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        again = mixed(hashes[i : i + CHUNK] + np.uint64(0x9E3779B97F4A7C15))
+        ones += np.unpackbits(again.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def _near_features(size: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            sets = [shingle_set(t, size) for t in f["text"]]
-            keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            fps = np.array([set_fingerprint(s) for s in sets], np.uint64).view(np.int64)
-            # the high halves keep the order of the hashes
-            yield pd.DataFrame({"file": f["file"], "place": f["place"], "doc_id": f["doc_id"], "key": keys, "fp": fps, "shingles": [np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in sets]})
-        tidy()
-
-    return run
-
-
-FEATURES = "file long, place long, doc_id long, key long, fp long, shingles array<int>"
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity; shingles that no other text has are counted in n only."""
-    left = sets.select(F.col("key").alias("a"), F.col("n").alias("m"), F.col("codes").alias("s"))
-    right = sets.select(F.col("key").alias("b"), F.col("n"), F.col("codes").alias("t"))
-    shared = F.size(F.array_intersect("s", "t"))
-    return pairs.join(left, "a").join(right, "b").filter(shared >= similarity * (F.col("m") + F.col("n") - shared) - 1e-9).select("a", "b")
-
-
-def _need(similarity: float, n: Column) -> Column:
-    """Shingles that a set of n must share with one that is similar enough."""
-    return F.ceil(similarity * n - 1e-9).cast("int")
-
-
-def _may_link(marked: DataFrame, similarity: float) -> DataFrame:
-    """(key, fp, n, shingles) of the different sets, without those that a part of the shingles proves to have no link.
-
-    Taken are the n - need(n) + k(n) shingles of smallest hash, k(n) a tenth of n.
-    Of a linked pair, all shared shingles in the part that ends first are in the
-    other part too, and these are at least k of its size, which is not below need(n).
-    """
-    k = lambda n: F.greatest(F.lit(1), F.floor(n / 10)).cast("int")
-    n = F.size("shingles")
-    part = marked.select("key", n.alias("n"), F.explode(F.slice("shingles", F.lit(1), n - _need(similarity, n) + k(n))).alias("s"))
-    times = part.groupBy("s").count().filter("count > 1").select("s")
-    met = part.join(times, "s").groupBy("key", "n").agg(F.count("*").alias("met"))
-    some = met.filter(F.col("met") >= k(_need(similarity, F.col("n")))).select("key")
-    one = marked.groupBy("key").agg(F.min(F.struct("file", "place")).alias("one")).join(some, "key").select("key", "one.file", "one.place")
-    return marked.join(one, ["key", "file", "place"], "left_semi").select("key", "fp", n.alias("n"), "shingles")
+def _set_fingerprints(grams: pd.Series) -> pd.Series:
+    return pd.Series(np.array([set_fingerprint(np.asarray(g, np.int64).view(np.uint64)) for g in grams], np.uint64).view(np.int64))
 
 
-def near_groups(rows: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 3) -> DataFrame:
-    """(file, place, doc_id, key, root) of the rows (file, place, doc_id, text) that have words; linked rows have one root.
+def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(file, place, doc_id, root) of the rows of docs that have words; linked rows have one root.
 
     Two texts are linked if and only if their sets of `size`-word shingles have a
-    Jaccard similarity of at least `similarity`; equal sets (told by 64-bit
-    hashes) are one node. First the binary tries of the sets' SimHashes are
-    joined with themselves, and pairs within `budget` bits are verified: this
-    finds most groups at little cost. Links beyond the budget are found by an
-    exact prefix filter: linked texts share a shingle among the rarest
-    n - ceil(similarity * n) + 1 of each, so those with a common one that are
-    still in different groups are compared.
+    Jaccard similarity of at least `similarity` (in hundredths); shingles and
+    sets are told by 64-bit hashes, equal sets are one node. First the binary
+    tries of the sets' SimHashes are joined with themselves, and pairs within
+    `budget` bits are verified: this finds most groups at little cost. Links
+    beyond the budget are found by the prefix join of n-grams, which leaves out
+    what is in one group already.
     """
-    small_batches(rows.sparkSession)
-    marked = saved(rows.select("file", "place", "doc_id", "text").mapInPandas(_near_features(size), FEATURES).filter(F.size("shingles") > 0), "features")
-    some = saved(_may_link(marked, similarity), "some")
-    held = some.select("key", "n", F.explode("shingles").alias("s"))
-    times = held.groupBy("s").count().filter("count > 1")
-    # sorts by frequency; shingles of one text only would come first, are in no other prefix and needn't be kept
-    code = F.shiftleft("count", 32).bitwiseOR(F.col("s").cast("long").bitwiseAND(0xFFFFFFFF))
-    need = _need(similarity, F.col("n"))
-    sets = held.join(times, "s").select("key", "n", code.alias("code")).groupBy("key", "n").agg(F.sort_array(F.collect_list("code")).alias("codes"))  # of one text
-    sets = saved(sets.filter(F.size("codes") >= need), "sets")
-    fps = saved(some.join(sets.select("key"), "key", "left_semi").select("key", "fp"), "fingerprints")
-    roots = components(_verified(_trie_pairs(fps, budget), sets, similarity))
-    # after: the codes behind this one, which bound what a pair that meets here first can share
-    buckets = sets.select("key", "n", F.size("codes").alias("m"), F.posexplode(F.slice("codes", F.lit(1), F.size("codes") - need + 1)).alias("pos", "code"))
-    buckets = buckets.select("key", "n", (F.col("m") - F.col("pos") - 1).alias("after"), "code")
-    roots = _linked(saved(buckets, "buckets"), sets, similarity, roots)
-    discard(some, sets, fps)
-    slim = marked.select("file", "place", "doc_id", "key")
-    return slim.join(roots.withColumnRenamed("node", "key"), "key", "left").select("file", "place", "doc_id", "key", F.coalesce("root", "key").alias("root"))
+    percent = round(100 * similarity)
+    rows = saved(jaccard.ngram_sets(docs, size, id_col, text_col).filter("n > 0"), "grams")
+    some = jaccard.may_link(rows, percent)
+    held = saved(rows.join(some, ["key", "file", "place"], "left_semi").select("key", "n", "grams"), "held")
+    sets = saved(jaccard.rare_first(held, percent), "sets")
+    fps = saved(held.join(sets.select("key"), "key", "left_semi").select("key", F.pandas_udf(_set_fingerprints, "long")("grams").alias("fp")), "fingerprints")
+    pairs = _trie_pairs(fps, budget)
+    roots = saved(jaccard.joined(sets, percent, components(jaccard.verified(pairs, sets, percent))), "roots")
+    discard(some, held, sets, fps, pairs)
+    return rows.select("file", "place", "doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("file", "place", "doc_id", F.coalesce("root", "key").alias("root"))
 
 
 def _trie_pairs(fps: DataFrame, budget: int) -> DataFrame:
@@ -324,13 +211,9 @@ def _trie_pairs(fps: DataFrame, budget: int) -> DataFrame:
     return saved(equal.unionByName(near.join(left, "x").join(right, "y").select("a", "b")).distinct(), "pairs")
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return numbered(docs).select("file", "place", F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).alias("text"))
-
-
 def _surplus(docs: DataFrame, size: int, similarity: float, budget: int, id_col: str, text_col: str) -> DataFrame:
     """The rows (file, place, doc_id) that have a near-duplicate that stays, with the group's first row and its number of rows."""
-    rows = saved(near_groups(_rows(docs, id_col, text_col), size, similarity, budget), "near")
+    rows = saved(near_groups(docs, size, similarity, budget, id_col, text_col), "near")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "place")).alias("first")
     groups = rows.groupBy("root").agg(first, F.count("*").alias("n")).filter("n > 1")
     return rows.join(groups, "root").filter("file <> first.file or place <> first.place")
@@ -357,41 +240,5 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: in
     return numbered(docs).join(gone, ["file", "place"], "left_anti").select("row.*")
 
 
-def _linked(buckets: DataFrame, sets: DataFrame, similarity: float, roots: DataFrame) -> DataFrame:
-    """(node, root) of the links between members (key, n) of one code's bucket, and of the links in roots.
-
-    Buckets within one component are done. In each of LEADER_ROUNDS the members
-    of a bucket are compared with one of them, which then leaves it. What is
-    still apart after that is compared pair by pair, so that no link between
-    components is lost and a crowd of near copies has no square of pairs.
-    """
-    for turn in range(LEADER_ROUNDS + 1):
-        named = saved(buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "after", "code", F.coalesce("root", "key").alias("comp")), "named")
-        apart = named.groupBy("code").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("code")
-        buckets = saved(named.join(apart, "code", "left_semi"), "buckets")
-        discard(named)
-        if buckets.isEmpty():
-            break
-        if turn < LEADER_ROUNDS:
-            # the first leaders are the same in many buckets, which makes few pairs; later ones differ
-            order = F.xxhash64("key", "code") if turn else F.col("key")
-            other = buckets.groupBy("code").agg(F.min(F.struct(order.alias("o"), "key", "n", "comp")).alias("l"))
-            other = other.select("code", F.col("l.key").alias("b"), F.col("l.n").alias("m"), F.col("l.comp").alias("other"))
-        else:
-            other = buckets.select("code", F.col("key").alias("b"), F.col("n").alias("m"), F.col("after").alias("behind"), F.col("comp").alias("other"))
-        met = buckets.join(other, "code")
-        near = (F.col("comp") != F.col("other")) & (F.col("n") >= similarity * F.col("m") - 1e-9) & (F.col("m") >= similarity * F.col("n") - 1e-9)
-        if turn == LEADER_ROUNDS:
-            near &= F.col("key") > F.col("b")
-            # a linked pair passes this where it meets first, in the rarest code that it shares
-            near &= 1 + F.least("after", "behind") >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9
-        pairs = saved(met.filter(near).select(F.col("key").alias("a"), "b").distinct(), "pairs")
-        if not pairs.isEmpty():
-            roots = components(_verified(pairs, sets, similarity).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        if turn < LEADER_ROUNDS:
-            buckets = met.filter("key <> b").select("key", "n", "after", "code")
-    return roots
-
-
 def op10_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))

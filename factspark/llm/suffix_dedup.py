@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved, small_batches, table, tidy
+from .common import discard, numbered, saved, small_batches, table, tidy
 
 WIDTH = 400
 #: Bytes of a gram; smaller ones for smaller widths.
@@ -120,11 +120,11 @@ def _spans(width: int, gram: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for doc_id, th, text in zip(f["doc_id"], f["th"], f["text"]):
+            for file, row, text in zip(f["file"], f["row"], f["text"]):
                 data = text.encode("utf-8", "surrogatepass")
                 for place, first, last, grams in spans_of(data, width, gram):
                     digests = [hashlib.blake2b(data[a : b + width], digest_size=16, salt=(p - a).to_bytes(8, "little")).digest() for p, a, b in zip(place.tolist(), first.tolist(), last.tolist())]
-                    out.append(pd.DataFrame({"doc_id": pd.array([doc_id] * len(place), dtype="Int64"), "th": th, "place": place, "first": first, "last": last, "gram": grams.view(np.int64), "span": digests}))
+                    out.append(pd.DataFrame({"file": file, "row": row, "place": place, "first": first, "last": last, "gram": grams.view(np.int64), "span": digests}))
             if out:
                 yield pd.concat(out)
         tidy()
@@ -215,8 +215,8 @@ def equal_windows(data: np.ndarray, start: np.ndarray, group: np.ndarray, width:
     return classes
 
 
-def _cells(width: int):
-    """Rows (doc_id, th, a, b) of the repeated stretches of cells; the rows come sorted by cell, each with all its spans."""
+def _cells(width: int, keep_first: bool):
+    """Rows (file, row, a, b) of the repeated stretches of cells; the rows come sorted by cell, each with all its spans."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -229,17 +229,17 @@ def _cells(width: int):
             if windows >= CELL_WINDOWS:
                 rows = pd.concat(held, ignore_index=True)
                 whole = int(np.searchsorted(rows["cell"].to_numpy(), rows["cell"].iloc[-1]))  # the last cell may go on
-                yield from _in_turn(rows.iloc[:whole], width)
+                yield from _in_turn(rows.iloc[:whole], width, keep_first)
                 held = [rows.iloc[whole:]]
                 windows = int((held[0]["last"] - held[0]["first"] + 1).sum())
         if held:
-            yield from _in_turn(pd.concat(held, ignore_index=True), width)
+            yield from _in_turn(pd.concat(held, ignore_index=True), width, keep_first)
         tidy()
 
     return run
 
 
-def _in_turn(rows: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+def _in_turn(rows: pd.DataFrame, width: int, keep_first: bool) -> Iterator[pd.DataFrame]:
     """Whole cells, about CELL_WINDOWS windows at a time."""
     cells, n = rows["cell"].to_numpy(), (rows["last"] - rows["first"] + 1).to_numpy()
     ends = np.r_[np.flatnonzero(cells[1:] != cells[:-1]) + 1, len(rows)] if len(rows) else np.zeros(0, np.int64)
@@ -248,11 +248,11 @@ def _in_turn(rows: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
     for i, end in enumerate(ends.tolist()):
         load = int(total[end - 1] - (total[a - 1] if a else 0))
         if load >= CELL_WINDOWS or i == len(ends) - 1:
-            yield from _sorted_cells(rows.iloc[a:end], np.unique(cells[a:end], return_inverse=True)[1], width)
+            yield from _sorted_cells(rows.iloc[a:end], np.unique(cells[a:end], return_inverse=True)[1], width, keep_first)
             a = end
 
 
-def _sorted_cells(rows: pd.DataFrame, cell: np.ndarray, width: int) -> Iterator[pd.DataFrame]:
+def _sorted_cells(rows: pd.DataFrame, cell: np.ndarray, width: int, keep_first: bool) -> Iterator[pd.DataFrame]:
     data = np.frombuffer(b"".join(map(bytes, rows["data"])), np.uint8)
     first, last, place = (rows[c].to_numpy() for c in ("first", "last", "place"))
     n = last - first + 1
@@ -263,9 +263,12 @@ def _sorted_cells(rows: pd.DataFrame, cell: np.ndarray, width: int) -> Iterator[
     start = origin[row] + step
     group = cell[row] * (width + 1) + (place[row] - first[row] - step)
     classes = equal_windows(data, start, group, width)
+    at = first[row] + step
     _, inverse, counts = np.unique(classes, return_inverse=True, return_counts=True)
     twice = counts[inverse] > 1
-    at = first[row] + step
+    if keep_first:  # of equal windows, that of smallest address stays
+        order = np.lexsort((at, rows["row"].to_numpy()[row], rows["file"].to_numpy()[row], inverse))
+        twice[order[np.r_[True, np.diff(inverse[order]) != 0]]] = False
     # neighbouring repeated windows of a span become one stretch
     hit = np.flatnonzero(twice)
     if len(hit):
@@ -276,7 +279,7 @@ def _sorted_cells(rows: pd.DataFrame, cell: np.ndarray, width: int) -> Iterator[
 
 
 def _found(rows, row, a, b) -> pd.DataFrame:
-    return pd.DataFrame({"doc_id": rows["doc_id"].array[row], "th": rows["th"].to_numpy()[row], "a": a, "b": b})
+    return pd.DataFrame({"file": rows["file"].to_numpy()[row], "row": rows["row"].to_numpy()[row], "a": a, "b": b})
 
 
 def _digest(data: bytes) -> bytes:
@@ -289,7 +292,7 @@ def _parts(width: int, gram: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for doc_id, th, place, first, last, lo, hi, data in zip(*(f[c] for c in ("doc_id", "th", "place", "first", "last", "lo", "hi", "data"))):
+            for file, row, place, first, last, lo, hi, data in zip(*(f[c] for c in ("file", "row", "place", "first", "last", "lo", "hi", "data"))):
                 step = -(-(hi - lo + 1) // PARTS)
                 for low in range(lo, hi + 1, step):
                     high = min(hi, low + step - 1)
@@ -297,41 +300,49 @@ def _parts(width: int, gram: int):
                     if a <= b:
                         core = data[place - low - first : place - high + width - first]
                         own = data[a - first : b + width - first]
-                        out.append((doc_id, th, place, a, b, low, high, _digest(core), _digest(b"%d %d " % (place - a, place - b) + own), own))
-            yield pd.DataFrame(out, columns=["doc_id", "th", "place", "first", "last", "lo", "hi", "core", "own", "data"]).astype({"doc_id": "Int64"})
+                        out.append((file, row, place, a, b, low, high, _digest(core), _digest(b"%d %d " % (place - a, place - b) + own), own))
+            yield pd.DataFrame(out, columns=["file", "row", "place", "first", "last", "lo", "hi", "core", "own", "data"])
         tidy()
 
     return run
 
 
-PART = "doc_id long, th long, place int, first int, last int, lo int, hi int, core binary, own binary, data binary"
+PART = "file long, row long, place int, first int, last int, lo int, hi int, core binary, own binary, data binary"
+
 
+SPANS = "file long, row long, place int, first int, last int"
+STRETCHES = "file long, row long, a int, b int"
 
-SPANS = "doc_id long, th long, place int, first int, last int"
-STRETCHES = "doc_id long, th long, a int, b int"
 
+def _sorted_out(cells: DataFrame, width: int, keep_first: bool) -> DataFrame:
+    """Repeated stretches of cells (cell, file, row, place, first, last, data), by suffix sort."""
+    return saved(cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(_cells(width, keep_first), STRETCHES), "stretches")
 
-def _sorted_out(cells: DataFrame, width: int) -> DataFrame:
-    """Repeated stretches of cells (cell, doc_id, th, place, first, last, data), by suffix sort."""
-    return saved(cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(_cells(width), STRETCHES), "stretches")
 
+def _copies(spans: DataFrame, kinds: DataFrame, key: list[str], width: int, keep_first: bool) -> DataFrame:
+    """Stretches of the spans that are equal as a whole to another; with keep_first, without the one of smallest address."""
+    twice = kinds.filter("copies > 1").select(*key, F.col("one.file").alias("f"), F.col("one.row").alias("r"), F.col("one.place").alias("p"))
+    met = spans.join(twice, key)
+    if keep_first:
+        met = met.filter((F.col("file") != F.col("f")) | (F.col("row") != F.col("r")) | (F.col("place") != F.col("p")))
+    return met.select("file", "row", F.col("first").alias("a"), (F.col("last") + width).alias("b"))
 
-def _refined(rows: DataFrame, width: int, gram: int) -> list[DataFrame]:
+
+def _refined(rows: DataFrame, width: int, gram: int, keep_first: bool) -> list[DataFrame]:
     """Repeated stretches among the spans of grams that have too many for one task; a level for each splitting."""
     found, wide = [], width - gram + 1
     while wide > 1 and not rows.isEmpty():
         wide = -(-wide // PARTS)
         parts = saved(rows.mapInPandas(_parts(width, gram), PART), "parts")
         key = ["lo", "hi", "core"]
-        kinds = saved(parts.groupBy(*key, "own").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "place", "first", "last", "data")).alias("one")), "kinds")
-        twice = kinds.filter("copies > 1").select(*key, "own")
-        found.append(parts.join(twice, [*key, "own"]).select("doc_id", "th", F.col("first").alias("a"), (F.col("last") + width).alias("b")))
+        kinds = saved(parts.groupBy(*key, "own").agg(F.count("*").alias("copies"), F.min(F.struct("file", "row", "place", "first", "last", "data")).alias("one")), "kinds")
+        found.append(_copies(parts, kinds, [*key, "own"], width, keep_first))
         # a core may be in a third of all documents
         open_ = kinds.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key, (F.col("n") > CELL).alias("hot"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         salted = kinds.withColumn("salt", F.pmod(F.xxhash64("own"), F.lit(SALTS)).cast("int"))
         dealt = salted.join(open_, [*key, "salt"])
-        dealt = saved(dealt.select(F.xxhash64(*key).alias("cell"), "hot", "one.doc_id", "one.th", "one.place", "one.first", "one.last", "lo", "hi", "one.data"), "open")
-        found.append(_sorted_out(dealt.filter("not hot"), width))
+        dealt = saved(dealt.select(F.xxhash64(*key).alias("cell"), "hot", "one.file", "one.row", "one.place", "one.first", "one.last", "lo", "hi", "one.data"), "open")
+        found.append(_sorted_out(dealt.filter("not hot"), width, keep_first))
         rows = dealt.filter("hot")
     return found
 
@@ -340,10 +351,10 @@ def _snippets(width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for doc_id, th, text, spans in zip(f["doc_id"], f["th"], f["text"], f["spans"]):
+            for file, row, text, spans in zip(f["file"], f["row"], f["text"], f["spans"]):
                 data = text.encode("utf-8", "surrogatepass")
-                out += [(doc_id, th, s["place"], s["first"], s["last"], s["gram"], s["hot"], data[s["first"] : s["last"] + width]) for s in spans]
-            yield pd.DataFrame(out, columns=["doc_id", "th", "place", "first", "last", "cell", "hot", "data"]).astype({"doc_id": "Int64"})
+                out += [(file, row, s["place"], s["first"], s["last"], s["gram"], s["hot"], data[s["first"] : s["last"] + width]) for s in spans]
+            yield pd.DataFrame(out, columns=["file", "row", "place", "first", "last", "cell", "hot", "data"])
         tidy()
 
     return run
@@ -360,26 +371,29 @@ def merged(stretches) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_stretches(docs: DataFrame, width: int = WIDTH, gram: int | None = None) -> DataFrame:
-    """(doc_id, th, a, b): stretches [a, b) of bytes whose every window of `width` starts elsewhere too; th is the text's hash."""
+def repeated_stretches(docs: DataFrame, width: int = WIDTH, gram: int | None = None, keep_first: bool = False) -> DataFrame:
+    """(file, row, a, b): stretches [a, b) of bytes whose every window of `width` starts elsewhere too; with keep_first, at a smaller address.
+
+    docs has the address (file, row) of each text, of longs without nulls.
+    """
     gram = gram or min(GRAM, max(1, width // 3))
     spans = saved(docs.filter(F.octet_length("text") >= width).mapInPandas(_spans(width, gram), f"{SPANS}, gram long, span binary"), "spans")
     # counts are written before they are joined: then Spark can split the rows of a gram that is in a third of all documents
     often = saved(spans.groupBy("gram").count().filter("count > 1").select("gram"), "often")
     every, spans = spans, saved(spans.join(often, "gram"), "spans")
     discard(every, often)
-    same = saved(spans.groupBy("gram", "span").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "place", "first", "last")).alias("one")), "same")
-    whole = spans.join(same.filter("copies > 1").select("gram", "span"), ["gram", "span"]).select("doc_id", "th", F.col("first").alias("a"), (F.col("last") + width).alias("b"))
-    open_ = same.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).filter("kinds > 1 and least = 1")
+    same = saved(spans.groupBy("gram", "span").agg(F.count("*").alias("copies"), F.min(F.struct("file", "row", "place", "first", "last")).alias("one")), "same")
+    whole = _copies(spans, same, ["gram", "span"], width, keep_first)
+    # where all copies go, a gram whose spans are all copied is done
+    open_ = same.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).filter("kinds > 1" if keep_first else "kinds > 1 and least = 1")
     dealt = same.join(saved(open_.select("gram", (F.col("kinds") > CELL).alias("hot")), "open"), "gram")
-    wanted = dealt.select("one.doc_id", "one.th", F.struct("one.place", "one.first", "one.last", "gram", "hot").alias("s")).groupBy("doc_id", "th").agg(F.collect_list("s").alias("spans"))  # of one document
-    matched = docs.join(wanted, [docs["doc_id"].eqNullSafe(wanted["doc_id"]), docs["th"] == wanted["th"]]).select(docs["doc_id"], docs["th"], "text", "spans")
-    # a row that is there twice is a copy of itself, and one of the two is enough here
+    wanted = dealt.select("one.file", "one.row", F.struct("one.place", "one.first", "one.last", "gram", "hot").alias("s")).groupBy("file", "row").agg(F.collect_list("s").alias("spans"))  # of one document
+    matched = docs.join(wanted, ["file", "row"]).select("file", "row", "text", "spans")
     snippets = saved(matched.mapInPandas(_snippets(width), f"{SPANS}, cell long, hot boolean, data binary"), "snippets")
-    local = _sorted_out(snippets.filter("not hot"), width)
-    hot = snippets.filter("hot").select("doc_id", "th", "place", "first", "last", F.lit(0).alias("lo"), F.lit(width - gram).alias("hi"), "data")
+    local = _sorted_out(snippets.filter("not hot"), width, keep_first)
+    hot = snippets.filter("hot").select("file", "row", "place", "first", "last", F.lit(0).alias("lo"), F.lit(width - gram).alias("hi"), "data")
     out = whole.unionByName(local)
-    for level in _refined(hot, width, gram):
+    for level in _refined(hot, width, gram, keep_first):
         out = out.unionByName(level)
     return out
 
@@ -408,22 +422,22 @@ def _kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFra
     tidy()
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int | None = None, text_col: str = "text", keep_first: bool = False) -> DataFrame:
     """All columns of docs in a struct `row`, with n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
 
     Bytes covered by a string of `width` bytes that starts anywhere else too, in
-    the same document or another, are removed, all copies of them. Null and
+    the same document or another, are removed: all copies of them, or with
+    keep_first all but the one of smallest address. Null and
     empty texts, and those shorter than `width`, lose nothing (null counts as
     empty). Null and repeated ids are rows like others. An empty table gives an
     empty result.
     """
     small_batches(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    every = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    found = saved(repeated_stretches(every.select("doc_id", "th", "text"), width, gram), "repeats")
-    lists = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("stretches"))  # of one document
-    slim = every.select("row", "doc_id", "th")  # the text is in the row, and is shuffled once
-    joined = slim.join(lists, [slim["doc_id"].eqNullSafe(lists["doc_id"]), slim["th"] == lists["th"]], "left")
+    every = numbered(docs)
+    text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
+    found = saved(repeated_stretches(every.select("file", F.col("place").alias("row"), text.alias("text")), width, gram, keep_first), "repeats")
+    lists = found.groupBy("file", F.col("row").alias("place")).agg(F.collect_set(F.struct("a", "b")).alias("stretches"))  # of one document
+    joined = every.join(lists, ["file", "place"], "left")  # the text is in the row, and is shuffled once
     cut = F.pandas_udf(_kept, f"{SCHEMA}, kept_text string")
     out = joined.select("row", cut(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")), "stretches").alias("cut"))
     return out.select("row", *(f"cut.{c}" for c in COUNTS), "cut.kept_text")

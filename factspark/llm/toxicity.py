@@ -216,7 +216,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             s = np.array([m.score(*word_ids(t)) for t in f["text"]])
             yield pd.DataFrame({"doc_id": f["doc_id"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double, predicted int")
+    # ids are text in Python, see whole_text()
+    scored = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, score double, predicted int")
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _held_out(doc_id):

@@ -77,3 +77,24 @@ def test_long_texts_in_chunks(monkeypatch):
     whole = windows()
     monkeypatch.setattr(suffix_dedup, "CHUNK", 256)
     assert whole == windows() and sorted(whole) == list(range(len(data) - 89))
+
+
+@pytest.mark.parametrize("cell", [2, 2048])
+def test_first_copies_stay(spark, tmp_path, monkeypatch, cell):
+    rng = random.Random(4)
+    monkeypatch.setattr(suffix_dedup, "CELL", cell)
+    passages, width = [words(rng, 14) for _ in range(4)], 40
+    rows = [(i, " ".join([words(rng, 4), *rng.sample(passages, 3), words(rng, 4)])) for i in range(30)] + [(None, None), (7, ""), (7, passages[0])]
+    path = f"{tmp_path}/one"
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    got = Counter((r.row.doc_id, r.kept_text) for r in suffix_dedup.remove_repeats(spark.read.parquet(path), width, keep_first=True).collect())
+    seen, want = set(), Counter()
+    for doc_id, t in rows:
+        d = (t or "").encode()
+        gone = np.zeros(len(d), bool)
+        for i in range(len(d) - width + 1):
+            if d[i : i + width] in seen:
+                gone[i : i + width] = True
+            seen.add(d[i : i + width])
+        want[doc_id, bytes(b for b, g in zip(d, gone) if not g).decode()] += 1
+    assert got == want
