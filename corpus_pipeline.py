@@ -41,15 +41,16 @@ def near(spark, docs, sf_dir):
 
 
 def suffix_array(spark, docs, sf_dir):
-    """Texts without the bytes of repeated strings of REPEAT_BYTES; a document of which nothing is left goes.
+    """Texts without the bytes of repeated strings of REPEAT_BYTES, all copies but that of smallest address.
 
-    Null, empty and short texts stay as they are. A cut inside a character takes
+    So each passage stays in one document; a document that is cut and left without
+    anything but white space goes. Null, empty and short texts stay as they are. A cut inside a character takes
     that character. n_chars follows the text where there is such a column.
     """
-    cut = suffix_dedup.remove_repeats(docs, width=REPEAT_BYTES)
+    cut = suffix_dedup.remove_repeats(docs, width=REPEAT_BYTES, keep_first=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
     changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.char_length(text)).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
-    left = cut.filter("n_removed = 0 or n_removed < n_bytes")
+    left = cut.filter((F.col("n_removed") == 0) | F.col("kept_text").rlike("\\S"))
     return left.select(*[(changed[c] if c in changed else F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
