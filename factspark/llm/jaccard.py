@@ -33,26 +33,52 @@ LEADERS, TURNS = 8, 2
 CLASSES, CLASS_BITS = 8, 16
 
 
-def _grams(size: int):
-    @F.pandas_udf("n int, key long, grams array<long>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for t in texts:
-            sets = [shingle_set(x, size) for x in t]
+def _sets(texts: pd.Series, size: int) -> list[np.ndarray]:
+    return [shingle_set(x, size) for x in texts]
+
+
+def _marks(size: int, percent: int):
+    """Size, hash and part of each set; see may_link() for what the part is."""
+
+    @F.pandas_udf("n int, key long, part array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            sets = _sets(texts, size)
             keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"n": [len(s) for s in sets], "key": keys, "grams": [s.view(np.int64) for s in sets]})
+            parts = [s[: len(s) - (percent * len(s) + 99) // 100 + max(1, len(s) // 10)] if len(s) else s for s in sets]
+            yield pd.DataFrame({"n": [len(s) for s in sets], "key": keys, "part": [s.view(np.int64) for s in parts]})
         tidy()
 
     return run
 
 
-def ngram_sets(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(file, place, doc_id, n, key, grams): the distinct n-grams of each row as hashes in unsigned order, and the hash of the set.
+def _grams(size: int):
+    @F.pandas_udf("array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([s.view(np.int64) for s in _sets(texts, size)])
+        tidy()
 
-    The id stays in the JVM. Null and empty texts have an empty set.
-    """
+    return run
+
+
+def addressed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(file, place, doc_id, text) of each row, null text as empty."""
     small_batches(docs.sparkSession)
-    rows = numbered(docs).select("file", "place", F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).alias("text"))
-    return rows.select("file", "place", "doc_id", _grams(size)("text").alias("f")).select("file", "place", "doc_id", "f.*")
+    return numbered(docs).select("file", "place", F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).alias("text"))
+
+
+def ngram_marks(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(file, place, doc_id, n, key, part) of rows (file, place, doc_id, text): the size and the hash of each row's set of n-grams, and a part of it.
+
+    The id stays in the JVM. Empty texts have an empty set.
+    """
+    return rows.select("file", "place", "doc_id", _marks(size, percent)("text").alias("f")).select("file", "place", "doc_id", "f.*")
+
+
+def ngram_sets(rows: DataFrame, some: DataFrame, size: int) -> DataFrame:
+    """(key, n, grams) of the rows in some (file, place, key, n): whole sets, as hashes; only these texts are looked at again."""
+    return rows.select("file", "place", "text").join(some, ["file", "place"]).select("key", "n", _grams(size)("text").alias("grams"))
 
 
 def _need(n: Column, percent: int) -> Column:
@@ -65,19 +91,19 @@ def _overlap(n: Column, m: Column, percent: int) -> Column:
     return F.floor((percent * (n + m).cast("long") + 99 + percent) / (100 + percent)).cast("int")
 
 
-def may_link(sets: DataFrame, percent: int) -> DataFrame:
-    """One row (file, place, key) of each different set, without those that a part of the n-grams proves to have no link.
+def may_link(marks: DataFrame, percent: int) -> DataFrame:
+    """One row (file, place, key, n) of each different set, without those that a part of the n-grams proves to have no link.
 
-    Taken are the n - need(n) + k(n) n-grams of smallest hash, k(n) a tenth of n.
+    The part has the n - need(n) + k(n) n-grams of smallest hash, k(n) a tenth of n.
     Of a linked pair, all shared n-grams in the part that ends first are in the
     other part too, and these are at least k of its size, which is not below need(n).
     """
     k = lambda n: F.greatest(F.lit(1), F.floor(n / 10)).cast("int")
     n = F.col("n")
-    part = sets.filter("n > 0").select("key", "n", F.explode(F.slice("grams", F.lit(1), n - _need(n, percent) + k(n))).alias("s"))
+    part = marks.select("key", "n", F.explode("part").alias("s"))
     times = saved(part.groupBy("s").count().filter("count > 1").select("s"), "times")
     met = part.join(times, "s").groupBy("key", "n").agg(F.count("*").alias("met")).filter(F.col("met") >= k(_need(n, percent))).select("key")
-    some = saved(sets.groupBy("key").agg(F.min(F.struct("file", "place")).alias("one")).join(met, "key").select("key", "one.file", "one.place"), "some")
+    some = saved(marks.groupBy("key", "n").agg(F.min(F.struct("file", "place")).alias("one")).join(met, "key").select("key", "n", "one.file", "one.place"), "some")
     discard(times)
     return some
 
@@ -199,18 +225,19 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col
     no other; repeated ids are rows of their own. An empty table gives an empty
     result. Other columns are ignored.
     """
-    rows = saved(ngram_sets(docs, size, id_col, text_col), "grams")
-    some = may_link(rows, percent)
-    held = saved(rows.join(some, ["key", "file", "place"], "left_semi").select("key", "n", "grams"), "held")
+    texts = addressed(docs, id_col, text_col)
+    marks = saved(ngram_marks(texts, size, percent), "marks")
+    some = may_link(marks, percent)
+    held = saved(ngram_sets(texts, some, size), "held")
     sets = saved(rare_first(held, percent), "sets")
     discard(held)
     roots = saved(joined(sets, percent), "roots")
     discard(some, sets)
-    keys = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    keys = marks.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     rooted = keys.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "first", "n", F.coalesce("root", "key").alias("root"))
     whole = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"))
     named = saved(rooted.join(whole, "root").select("key", "component_id", "component_size"), "named")
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(named, "key", "left")
+    out = marks.select("doc_id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(named, "key", "left")
     alone = F.col("n") == 0
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.lit(1).cast("long")).otherwise(F.col("component_size")).alias("component_size"))
 

@@ -191,15 +191,16 @@ def near_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget:
     what is in one group already.
     """
     percent = round(100 * similarity)
-    rows = saved(jaccard.ngram_sets(docs, size, id_col, text_col).filter("n > 0"), "grams")
-    some = jaccard.may_link(rows, percent)
-    held = saved(rows.join(some, ["key", "file", "place"], "left_semi").select("key", "n", "grams"), "held")
+    texts = jaccard.addressed(docs, id_col, text_col)
+    marks = saved(jaccard.ngram_marks(texts, size, percent).filter("n > 0"), "marks")
+    some = jaccard.may_link(marks, percent)
+    held = saved(jaccard.ngram_sets(texts, some, size), "held")
     sets = saved(jaccard.rare_first(held, percent), "sets")
     fps = saved(held.join(sets.select("key"), "key", "left_semi").select("key", F.pandas_udf(_set_fingerprints, "long")("grams").alias("fp")), "fingerprints")
     pairs = _trie_pairs(fps, budget)
     roots = saved(jaccard.joined(sets, percent, components(jaccard.verified(pairs, sets, percent))), "roots")
     discard(some, held, sets, fps, pairs)
-    return rows.select("file", "place", "doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("file", "place", "doc_id", F.coalesce("root", "key").alias("root"))
+    return marks.select("file", "place", "doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("file", "place", "doc_id", F.coalesce("root", "key").alias("root"))
 
 
 def _trie_pairs(fps: DataFrame, budget: int) -> DataFrame:
