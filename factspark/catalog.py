@@ -22,9 +22,25 @@ from .streaming import telemetry
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
+class Tables:
+    """The given tables by name: t(name) as they are, t.stream(name) as a stream of their files."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def stream(self, name: str, files: int = 64) -> DataFrame:
+        """At most so many files a batch. The path is a pattern, since a stream of one plain path must be of a folder."""
+        return self.spark.readStream.schema(self(name).schema).option("maxFilesPerTrigger", files).parquet(f"{self.sf_dir}/{name}.parque[t]")
+
+
 def query(sql: str | None = None):
     def add(f):
-        REGISTRY[f.__name__] = (lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")), sql)
+        if f.__name__ in REGISTRY:
+            raise ValueError(f"there is a query {f.__name__} already")
+        REGISTRY[f.__name__] = (lambda spark, sf_dir: f(Tables(spark, sf_dir)), sql)
         return f
 
     return add
@@ -37,7 +53,7 @@ def queries():
 
 def _register() -> None:
     """The other modules of queries add theirs when they are imported."""
-    from . import catalog_documents, catalog_evidence, catalog_linking, catalog_questions, catalog_statements  # noqa: F401
+    from . import catalog_documents, catalog_evidence, catalog_linking, catalog_questions, catalog_statements, catalog_streaming  # noqa: F401
 
 
 def oracle_sql():
@@ -90,7 +106,6 @@ def flt_metadata(t):
     return t("orders").filter((F.col("o_orderpriority") == "1-URGENT") & F.year("o_orderdate").isin(1996, 1997)).select("o_orderkey", "o_custkey")
 
 
-
 @query("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = 1)")
 def flt_exact_one(t):
     return R.exactly_one(t("lineitem"), "l_orderkey").select("l_orderkey", "l_partkey")
@@ -113,7 +128,6 @@ def jn_full_outer(t):
     return a.join(t("part").select(F.col("p_partkey").alias("k"), "p_size"), "k", "full_outer")
 
 
-
 @query("SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
 def jn_candidate_chunk(t):
     return t("lineitem").join(t("orders").filter("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey")
@@ -173,22 +187,6 @@ def agg_group(t):
     return t("lineitem").groupBy("l_returnflag").agg(exact_sum("l_quantity").alias("sum_qty"), F.min("l_quantity").alias("min_qty"), F.max("l_quantity").alias("max_qty"), F.count("*").alias("n"))
 
 
-@query(f"SELECT ticker, CASE WHEN count(revenue) >= 2 THEN CAST(sum(CAST(revenue AS DECIMAL(18,2))) * 100 AS BIGINT) // count(revenue) END AS mean_cents FROM {FACTS} GROUP BY 1")
-def agg_average(t):
-    return facts(t).groupBy("ticker").agg(F.when(F.count("revenue") >= 2, F.expr("cast(sum(cast(revenue as decimal(18,2))) * 100 as bigint) div count(revenue)")).alias("mean_cents"))
-
-
-@query(f"SELECT ticker, CASE WHEN revenue IS NULL OR (cost IS NULL AND assets IS NULL) THEN 'MISSING' WHEN abs(revenue - (coalesce(cost,0) + coalesce(assets,0))) <= 2 + 1e-9*abs(revenue) THEN 'PASS' ELSE 'FAIL' END AS status FROM {FACTS}")
-def agg_identities(t):
-    return R.identity_check(facts(t), "ticker", "revenue", ["cost", "assets"])
-
-
-@query("SELECT o_orderstatus, count(*) AS n, count(*) FILTER (WHERE o_totalprice > 100000) AS passed, round(count(*) FILTER (WHERE o_totalprice > 100000) / count(*), 6) AS rate FROM orders GROUP BY 1")
-def agg_quality(t):
-    ok = F.count_if(F.col("o_totalprice") > 100000)
-    return t("orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), ok.alias("passed"), F.round(ok / F.count("*"), 6).alias("rate"))
-
-
 @query("SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1")
 def agg_dup_resolve(t):
     return R.resolve_duplicates(t("lineitem"), ["l_orderkey"], "l_returnflag", F.col("l_linenumber")).select("l_orderkey", "l_linenumber")
@@ -200,12 +198,6 @@ def agg_sign_convention(t):
     return R.majority_positive(c, "c_nationkey", "v").select("c_custkey", F.col("v").alias("cost"))
 
 
-
-@query("SELECT o_custkey, CAST(min(year(o_orderdate)) AS INT) AS first_year, CAST(max(year(o_orderdate)) AS INT) AS last_year, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS scopes FROM orders GROUP BY 1")
-def agg_companies(t):
-    return t("orders").groupBy("o_custkey").agg(F.min(F.year("o_orderdate")).alias("first_year"), F.max(F.year("o_orderdate")).alias("last_year"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("scopes"))
-
-
 @query("WITH c AS (SELECT l_suppkey, l_linestatus, count(*) n FROM lineitem GROUP BY 1,2), p AS (SELECT l_suppkey, sum(n) total, max(n) top, max_by(l_linestatus, (n, l_linestatus)) mode, count(*) kinds FROM c GROUP BY 1) SELECT l_suppkey, CASE WHEN kinds = 1 OR (total >= 20 AND top >= 0.6*total) THEN mode ELSE 'MIXED' END AS consensus, CAST(total AS BIGINT) AS total FROM p")
 def agg_consensus(t):
     return R.consensus(t("lineitem"), "l_suppkey", "l_linestatus", share=0.6)
@@ -240,17 +232,11 @@ def agg_slope(t):
     return facts(t).groupBy("ticker").agg(F.round(R.slope("revenue", "fiscal_year"), 4).alias("slope"))
 
 
-
 @query("SELECT event_type, le, n FROM (SELECT event_type, unnest(['10','50','100','+Inf']) AS le, unnest([count(*) FILTER (WHERE value <= 10), count(*) FILTER (WHERE value <= 50), count(*) FILTER (WHERE value <= 100), count(value)]) AS n FROM events GROUP BY 1)")
 def agg_histogram(t):
     return R.histogram(t("events"), ["event_type"], "value", [10, 50, 100])
 
 
-@query("SELECT user_id, round(1 - count(*) FILTER (WHERE value > 100) / count(*), 6) AS availability FROM events GROUP BY 1")
-def agg_slo(t):
-    return t("events").groupBy("user_id").agg(F.round(1 - F.count_if(F.col("value") > 100) / F.count("*"), 6).alias("availability"))
-
-
 @query("SELECT o_orderpriority, CASE WHEN count(p) = count(*) THEN round(sum(p * o_totalprice), 2) END AS cost FROM orders LEFT JOIN (VALUES ('1-URGENT', 2), ('2-HIGH', 1)) v(m, p) ON m = o_orderpriority GROUP BY 1")
 def agg_cost(t):
     o = t("orders")
@@ -301,14 +287,12 @@ def win_increase(t):
     return c.select("user_id", "s", F.coalesce(over(86400) & over(14400), F.lit(False)).alias("burning"))
 
 
-
 @query("WITH e AS (SELECT user_id, epoch_us(ts) // 1000000 AS s, max(value) AS v FROM events GROUP BY 1, 2), m AS (SELECT *, v > 50 AS bad, CASE WHEN v > 50 AND NOT coalesce(lag(v > 50) OVER o, false) THEN 1 ELSE 0 END AS st FROM e WINDOW o AS (PARTITION BY user_id ORDER BY s)), r AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY s) AS run FROM m), b AS (SELECT *, min(s) OVER (PARTITION BY user_id, run) AS begin FROM r WHERE bad) SELECT user_id, min(s) AS first, max(s) AS last, count(*) AS length, min(CASE WHEN s - begin >= 7200 THEN s END) AS fired_at FROM b GROUP BY user_id, run")
 def win_for_duration(t):
     e = t("events").groupBy("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s")).agg(F.max("value").alias("v"))
     return R.alert_runs(e, "user_id", "s", F.col("v") > 50, for_s=7200)
 
 
-
 @query("SELECT l_orderkey, l_linenumber, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cumsum, rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS rk, l_quantity - lag(l_quantity) OVER o AS diff, round(avg(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS 2 PRECEDING), 6) AS rolling FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)")
 def win_pandas(t):
     o = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -368,7 +352,6 @@ def str_fold(t):
     return t("benchmark").select("item_id", S.fold(F.col("text")).alias("folded"))
 
 
-
 @query("""SELECT p_partkey, form, CASE form WHEN 'dash' THEN 'MISSING' WHEN 'anglo' THEN 'AMBIGUOUS' WHEN 'word' THEN 'NOT_NUMERIC' WHEN 'open' THEN 'MALFORMED' ELSE 'PARSED' END AS status,
  CASE form WHEN 'paren' THEN -p_retailprice WHEN 'grouped' THEN p_retailprice WHEN 'plus' THEN CAST(p_size AS DOUBLE) WHEN 'percent' THEN CAST(p_size AS DOUBLE) END AS value, form = 'percent' AS percent
  FROM part CROSS JOIN (VALUES ('dash'),('anglo'),('word'),('open'),('paren'),('grouped'),('plus'),('percent')) v(form)""")
@@ -380,7 +363,6 @@ def str_numeric_parse(t):
     return rows.select("p_partkey", "form", status.alias("status"), value.cast("double").alias("value"), percent.alias("percent"))
 
 
-
 @query("SELECT o_custkey, list_sort(list(DISTINCT CAST(year(o_orderdate) AS INT)))::VARCHAR AS years FROM orders GROUP BY 1")
 def dt_report_years(t):
     period = F.concat(F.year("o_orderdate").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("-Q"), F.quarter("o_orderdate"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("-"), F.month("o_orderdate"), F.lit("M"))).otherwise(F.lit("")))
@@ -388,17 +370,11 @@ def dt_report_years(t):
     return listed.select("o_custkey", F.concat(F.lit("["), F.array_join(P.report_years(F.col("p")), ", "), F.lit("]")).alias("years"))
 
 
-
 @query("SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(28,6)) / 1000 AS DOUBLE) AS thousands FROM orders")
 def mth_scale(t):
     return t("orders").select("o_orderkey", S.to_scale(F.col("o_totalprice"), "RAW", "THOUSAND").cast("double").alias("thousands"))
 
 
-@query(f"SELECT ticker, fiscal_year, round((revenue - cost) / nullif(revenue, 0) * 100, 4) AS margin FROM {FACTS}")
-def mth_ratio(t):
-    return facts(t).select("ticker", "fiscal_year", F.round(F.try_divide(F.col("revenue") - F.col("cost"), "revenue") * 100, 4).alias("margin"))
-
-
 @query("SELECT 'f_' || substr(sha256(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)), 1, 20) AS fact_id FROM lineitem")
 def fact_ids(t):
     return t("lineitem").select(S.fact_id(F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("fact_id"))
@@ -420,7 +396,6 @@ def ret_bm25(t):
     return T.search_index(scratch.index_of(docs), asked, 20).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-
 @query("SELECT query_id, vec_id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0) WHERE rank <= 10")
 def ret_vector(t):
     e = t("embeddings")
@@ -428,7 +403,6 @@ def ret_vector(t):
     return T.vector_search(e, asked, 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-
 RRF_LISTS = "(SELECT c_custkey AS doc_id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer QUALIFY r <= 100) a FULL OUTER JOIN (SELECT c_custkey AS doc_id, row_number() OVER (ORDER BY c_name, c_custkey) AS q FROM customer QUALIFY q <= 100) b USING (doc_id)"
 
 
@@ -439,7 +413,6 @@ def ret_rrf(t):
     return T.fused([top(F.desc("c_acctbal"), F.col("doc_id")), top(F.col("c_name"), F.col("doc_id"))], 150).select("doc_id", F.round("score", 8).alias("score"), "rank")
 
 
-
 @query("WITH r AS (SELECT o_custkey AS q, o_orderkey AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders), w AS (SELECT o_custkey AS q, o_orderkey AS d FROM orders WHERE o_orderstatus = 'F') SELECT w.q AS query_id, round(count(r.rank) / count(*), 6) AS recall, round(1.0 / min(r.rank), 6) AS rr FROM w LEFT JOIN (SELECT * FROM r WHERE rank <= 3) r ON w.q = r.q AND w.d = r.d GROUP BY 1")
 def agg_recall_mrr(t):
     o = t("orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"), "o_totalprice", "o_orderstatus")
