@@ -37,6 +37,10 @@ def _sets(texts: pd.Series, size: int) -> list[np.ndarray]:
     return [shingle_set(x, size) for x in texts]
 
 
+def _keys(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+
+
 def _marks(size: int, percent: int):
     """Size, hash and part of each set; see may_link() for what the part is."""
 
@@ -44,7 +48,7 @@ def _marks(size: int, percent: int):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = _sets(texts, size)
-            keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            keys = _keys(sets)
             parts = [s[: len(s) - (percent * len(s) + 99) // 100 + max(1, len(s) // 10)] if len(s) else s for s in sets]
             yield pd.DataFrame({"n": [len(s) for s in sets], "key": keys, "part": [s.view(np.int64) for s in parts]})
         tidy()
@@ -52,11 +56,12 @@ def _marks(size: int, percent: int):
     return run
 
 
-def _grams(size: int):
-    @F.pandas_udf("array<long>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _keyed(size: int):
+    @F.pandas_udf("key long, n int, grams array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([s.view(np.int64) for s in _sets(texts, size)])
+            sets = _sets(texts, size)
+            yield pd.DataFrame({"key": _keys(sets), "n": [len(s) for s in sets], "grams": [s.view(np.int64) for s in sets]})
         tidy()
 
     return run
@@ -77,8 +82,16 @@ def ngram_marks(rows: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def ngram_sets(rows: DataFrame, some: DataFrame, size: int) -> DataFrame:
-    """(key, n, grams) of the rows in some (file, place, key, n): whole sets, as hashes; only these texts are looked at again."""
-    return rows.select("file", "place", "text").join(some, ["file", "place"]).select("key", "n", _grams(size)("text").alias("grams"))
+    """(key, n, grams) of the rows in some (file, place): whole sets, as hashes; only these texts are looked at again.
+
+    The rows are told by bitmaps, a bit a row of a file: while these are small
+    enough for Spark to broadcast, no text is shuffled.
+    """
+    at = [F.bitmap_bucket_number("place").alias("bucket"), F.bitmap_bit_position("place").alias("bit")]
+    bits = saved(some.select("file", *at).groupBy("file", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits")), "bits")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = rows.select("file", "place", "text", *at).join(bits, ["file", "bucket"]).filter(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1)
+    return held.select(_keyed(size)("text").alias("f")).select("f.*")
 
 
 def _need(n: Column, percent: int) -> Column:
