@@ -12,16 +12,34 @@ PRIOR_WORDS = ("namtruoc", "kytruoc", "sodaunam", "sodauky", "daunam", "dauky")
 LONGEST_RANGE = 30
 
 
+# What joins two years to a range.
+RANGE_MARKS, RANGE_WORDS, YEAR_WORDS = ("-", "–"), ("đến", "den", "tới", "toi", "to"), ("năm", "nam")
+
+
 def years(text: Column) -> Column:
-    """Distinct years of a text in order; a range of up to 30 years stands for all between."""
-    ranges = F.regexp_extract_all(text, F.lit(r"(?<!\d)((?:19|20)\d{2}\s*(?:-|–|đến|den|tới|toi|to)\s*(?:năm\s*|nam\s*)?(?:19|20)\d{2})(?!\d)"), 1)
+    """Distinct years of a text in order; a range of up to 30 years stands for all between.
+
+    The text is read piece by piece: years, dashes and words. Two years make a
+    range if nothing but a dash or a joining word, and a word for year behind
+    it, stands between them; a year ends one range at most.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"((?<!\d)(?:19|20)\d{2}(?!\d)|[-–]|\p{L}+|\d+|[^\s\p{L}\d])"), 1)
+    empty = F.array().cast("array<int>")
 
-    def spread(r: Column) -> Column:
-        a, b = F.substring(r, 1, 4).cast("int"), F.substring(r, -4, 4).cast("int")
-        return F.when(F.abs(a - b) <= LONGEST_RANGE, F.sequence(F.least(a, b), F.greatest(a, b))).otherwise(F.array().cast("array<int>"))
+    def read(state: Column, p: Column) -> Column:
+        year = F.when(p.rlike(r"^(19|20)\d{2}$"), p.cast("int"))
+        open_, joined = state["open"], state["joined"]
+        range_ = year.isNotNull() & open_.isNotNull() & joined
+        spread = F.when(range_ & (F.abs(year - open_) <= LONGEST_RANGE), F.sequence(F.least(year, open_), F.greatest(year, open_)))
+        joins = open_.isNotNull() & ~joined & p.isin(*RANGE_MARKS, *RANGE_WORDS)
+        waits = open_.isNotNull() & joined & p.isin(*YEAR_WORDS) & ~state["waits"]
+        return F.struct(
+            F.concat(state["found"], F.coalesce(spread, F.when(year.isNotNull(), F.array(year)), empty)).alias("found"),
+            F.when(range_, F.lit(None).cast("int")).when(year.isNotNull(), year).when(joins | waits, open_).alias("open"), (joins | waits).alias("joined"), waits.alias("waits"),
+        )
 
-    single = F.transform(F.regexp_extract_all(text, F.lit(YEAR), 1), lambda y: y.cast("int"))
-    return F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform(ranges, spread)), single)))
+    start = F.struct(empty.alias("found"), F.lit(None).cast("int").alias("open"), F.lit(False).alias("joined"), F.lit(False).alias("waits"))
+    return F.array_sort(F.array_distinct(F.aggregate(pieces, start, read)["found"]))
 
 
 def report_years(periods: Column) -> Column:
@@ -52,18 +70,23 @@ def periods(text: Column) -> Column:
 
 
 def column_period(header: Column, report_year: Column) -> Column:
-    """CURRENT or PRIOR of a folded column header, by its words, dates and years; null if neither or both.
+    """CURRENT or PRIOR of a folded column header; null if nothing in it tells, or if what tells disagrees.
 
-    1 January of the report's year is the end of the year before.
+    Each word of the fixed lists, each date and each other year is a vote: +1 for
+    the report's year, -1 for the one before. 1 January of the report's year is
+    the end of the year before; other years don't vote.
     """
-    compact = F.replace(header, F.lit(" "), F.lit(""))
-    date = r"(\d{1,2}\s*[/.\-]\s*\d{1,2}\s*[/.\-]\s*(?:19|20)\d{2})"
-    parts = F.transform(F.regexp_extract_all(header, F.lit(date), 1), lambda d: F.transform(F.split(d, r"\s*[/.\-]\s*"), lambda x: x.cast("int")))
-    bare = F.transform(F.regexp_extract_all(F.regexp_replace(header, date, " "), F.lit(YEAR), 1), lambda y: y.cast("int"))
-    own = lambda d: (d[2] == report_year) & ~((d[0] == 1) & (d[1] == 1))
-    current = compact.rlike("|".join(CURRENT_WORDS)) | F.exists(parts, own) | F.array_contains(bare, report_year)
-    prior = compact.rlike("|".join(PRIOR_WORDS)) | F.exists(parts, lambda d: ~own(d) & ((d[2] == report_year) | (d[2] == report_year - 1))) | F.array_contains(bare, report_year - 1)
-    return F.when(current == prior, F.lit(None)).when(current, "CURRENT").otherwise("PRIOR")
+    compact = F.translate(header, " ", "")
+    words = [F.when(compact.contains(w), v) for v, named in ((1, CURRENT_WORDS), (-1, PRIOR_WORDS)) for w in named]
+    pieces = F.regexp_extract_all(header, F.lit(r"((?:\d{1,2}\s*[/.\-]\s*\d{1,2}\s*[/.\-]\s*)?(?<!\d)(?:19|20)\d{2}(?!\d))"), 1)
+
+    def vote(piece: Column) -> Column:
+        since = report_year - F.substring(piece, -4, 4).cast("int")
+        new_year = piece.rlike(r"^0?1\s*[/.\-]\s*0?1\s*[/.\-]")
+        return F.when(since == 0, F.when(new_year, -1).otherwise(1)).when((since == 1), -1)
+
+    votes = F.filter(F.concat(F.array(*words), F.transform(pieces, vote)), lambda v: v.isNotNull())
+    return F.when(F.size(F.array_distinct(votes)) == 1, F.when(votes[0] > 0, "CURRENT").otherwise("PRIOR"))
 
 
 def path_period(label: Column, report_year: Column) -> Column:

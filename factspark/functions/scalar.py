@@ -70,13 +70,40 @@ def fold_in_place(text: Column) -> Column:
     return _folded_in_place(text)
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _without_notes(words: Column) -> Column:
+    """An array of words without the parentheses behind them: what closes at the end is followed back to where it opens."""
+    opened = lambda w: F.length(F.regexp_replace(w, r"[^()]", "")) - 2 * F.length(F.regexp_replace(w, r"[^(]", ""))  # noqa: E731  closing less opening ones
+
+    def back(state: Column, word: Column) -> Column:
+        depth = state["depth"] + opened(word)
+        inside = (state["depth"] > 0) | ((F.size(state["kept"]) == 0) & word.endswith(")"))
+        whole = (depth == 0) & word.startswith("(")
+        return F.struct(F.when(inside & ~whole, F.greatest(depth, F.lit(0))).otherwise(0).alias("depth"), F.when(inside, state["kept"]).otherwise(F.concat(F.array(word), state["kept"])).alias("kept"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+    return F.aggregate(F.reverse(words), start, back)["kept"]
+
+
 def label_key(label: Column) -> Column:
-    """Folded label without line ordinals in front and parentheses behind; nested ones are taken off in turn, four deep."""
-    out = fold(label)
-    for _ in range(4):
-        out = F.trim(F.regexp_replace(out, r"\s*\([^()]*(\([^()]*\)[^()]*)*\)\s*$", ""), F.lit(" :.-"))
-        out = F.trim(F.regexp_replace(out, r"^(([0-9]+(\.[0-9]+)*|[ivxlc]+|[a-z])\s*[.)\-:]\s*|[0-9]{1,2}\s+|[a-e] - )", ""))
-    return out
+    """Folded label without ordinals in front and parentheses behind.
+
+    Ordinals are leading words of digits and dots, of Roman numerals or of one
+    letter, with a mark behind, and bare numbers of two digits at most or dotted ones; they go
+    until a word is none. Parentheses at the end go with all that they hold.
+    """
+    spaced = F.regexp_replace(F.regexp_replace(fold(label), r"\(", " ("), r"(?<=[).:])(?=[^\s).:0-9])|(?<=\))(?=[0-9])", " ")
+    words = F.filter(F.split(spaced, " +"), lambda w: F.regexp_replace(w, "[:.\\-]", "") != "")
+    ordinal = lambda w: w.rlike(r"^([0-9]+(\.[0-9]+)*|[ivxlc]+|[a-z])[.)\-:]$|^[0-9]{1,2}(\.[0-9]{1,2})*$")
+
+    def drop(kept: Column, word: Column) -> Column:
+        return F.when((F.size(kept) == 0) & ordinal(word), kept).otherwise(F.concat(kept, F.array(word)))
+
+    return let(F.aggregate(_without_notes(words), F.array().cast("array<string>"), drop), lambda w: F.trim(F.array_join(w, " "), F.lit(" :.-")))
 
 
 def answer_norm(text: Column) -> Column:
@@ -99,24 +126,56 @@ def parse_number(raw: Column) -> tuple[Column, Column, Column]:
     NOT_NUMERIC otherwise. Null counts as missing. Decimals beyond 38 digits or
     18 places are MALFORMED here, as Spark can't hold them.
     """
-    t = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"[\s ]+", " "))
+    text = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"[\s ]+", " "))
+    told = let(text, _number)
+    status = told["status"]
+    return status, F.when(status == "PARSED", told["value"]), told["percent"]
+
+
+def _shape(figure: Column) -> Column:
+    """How digits are parted: (groups of digits, separators in order); null unless groups and single separators alternate."""
+    apart = F.struct(F.split(figure, "[., ]").alias("groups"), F.regexp_replace(figure, "[0-9]", "").alias("marks"))
+    return F.when(figure.rlike("^[0-9]+([., ][0-9]+)*$"), apart)
+
+
+def _thousands(groups: Column) -> Column:
+    """Three digits in every group but the first, which has one to three."""
+    return (F.length(groups[0]) <= 3) & F.forall(F.slice(groups, F.lit(2), F.greatest(F.size(groups) - 1, F.lit(0))), lambda g: F.length(g) == 3)
+
+
+def _judged(shape: Column) -> Column:
+    """GOOD for grouping dots or spaces and a decimal comma, OTHER for the marks the other way round; null for neither."""
+    groups, marks = shape["groups"], shape["marks"]
+    whole = F.slice(groups, F.lit(1), F.greatest(F.size(groups) - 1, F.lit(1)))  # without what follows the last mark
+    good = (marks == "") | (marks == ",") | (marks.rlike(r"^(\.+| +)$") & _thousands(groups)) | (marks.rlike(r"^\.+,$") & _thousands(whole))
+    other = (marks == ".") | (marks.rlike("^,,+$") & _thousands(groups)) | (marks.rlike(r"^,+\.$") & _thousands(whole))
+    return F.when(shape.isNull(), F.lit(None)).when(good, "GOOD").when(other, "OTHER")
+
+
+def _number(t: Column) -> Column:
     percent = t.endswith("%")
     body = F.when(percent, F.rtrim(F.substring(t, F.lit(1), F.length(t) - 1))).otherwise(t)
-    inner = r"\((?![+\-])([^()]+)\)"
-    wrapped = body.rlike(rf"^{inner}$")
-    signed = body.rlike(r"^[+\-]")
-    figure = F.when(wrapped, F.substring(body, F.lit(2), F.length(body) - 2)).when(signed, F.substring(body, F.lit(2), F.length(body))).otherwise(body)
-    negative = wrapped | body.startswith("-")
-    good = figure.rlike(r"^([0-9]+|[0-9]{1,3}(\.[0-9]{3})+|[0-9]{1,3}( [0-9]{3})+|[0-9]+,[0-9]+|[0-9]{1,3}(\.[0-9]{3})+,[0-9]+)$")
-    plain = F.regexp_replace(F.regexp_replace(figure, "[. ]", ""), ",", ".")
-    value = F.when(good & ~t.isin(*MISSING), F.when(negative, F.concat(F.lit("-"), plain)).otherwise(plain).try_cast("decimal(38,6)"))
-    other = figure.rlike(r"^([0-9]{1,3}(,[0-9]{3}){2,}(\.[0-9]+)?|[0-9]{1,3}(,[0-9]{3})+\.[0-9]+|[0-9]+\.[0-9]+)$")
-    odd = (~wrapped & body.rlike(r"^\(|\)$")) | body.contains("%") | (figure == "")
-    status = (
-        F.when(t.isin(*MISSING), "MISSING").when(odd, "MALFORMED").when(good, "PARSED").when(other, "AMBIGUOUS")
-        .when(percent | wrapped | signed | figure.rlike(r"^[0-9+\-(−]"), "MALFORMED").when(t.contains("%"), "MALFORMED").otherwise("NOT_NUMERIC")
-    )
-    return status, F.when(status == "PARSED", value), percent & (t != "%")
+
+    def signs(b: Column) -> Column:
+        wrapped = b.startswith("(") & b.endswith(")") & (F.length(b) > 2) & ~F.substring(b, F.lit(2), F.length(b) - 2).rlike(r"^[+\-]|[()]")
+        signed = b.rlike(r"^[+\-]")
+        bare = F.when(wrapped, F.substring(b, F.lit(2), F.length(b) - 2)).when(signed, F.substring(b, F.lit(2), F.length(b))).otherwise(b)
+        return F.struct(wrapped.alias("wrapped"), signed.alias("signed"), (wrapped | b.startswith("-")).alias("negative"), bare.alias("bare"), b.alias("body"))
+
+    def judged(x: Column) -> Column:
+        return F.struct(*[x[c].alias(c) for c in ("wrapped", "signed", "negative", "bare", "body")], let(_shape(x["bare"]), _judged).alias("judged"))
+
+    def told(x: Column) -> Column:
+        plain = F.translate(F.translate(x["bare"], ". ", ""), ",", ".")
+        odd = (~x["wrapped"] & x["body"].rlike(r"^\(|\)$")) | x["body"].contains("%") | (x["bare"] == "")
+        status = (
+            F.when(t.isin(*MISSING), "MISSING").when(odd, "MALFORMED").when(x["judged"] == "GOOD", "PARSED").when(x["judged"] == "OTHER", "AMBIGUOUS")
+            .when(percent | x["wrapped"] | x["signed"] | x["bare"].rlike(r"^[0-9+\-(−]"), "MALFORMED").otherwise("NOT_NUMERIC")
+        )
+        value = F.when(x["judged"] == "GOOD", F.concat(F.when(x["negative"], "-").otherwise(""), plain).try_cast("decimal(38,6)"))
+        return F.struct(status.alias("status"), value.alias("value"), (percent & (t != "%")).alias("percent"))
+
+    return let(let(let(body, signs), judged), told)
 
 
 def to_scale(value: Column, source: str, target: str) -> Column:
@@ -136,11 +195,31 @@ def figure(raw: Column, label: Column, scale: Column) -> Column:
     return F.when((status == "PARSED") & ~percent, value * F.when(per_share, F.lit(1)).otherwise(factor))
 
 
+# Folded words before a unit that scale it, and those that name the currency.
+UNIT_SCALES = {"trieu": "MILLION", "nghin": "THOUSAND", "ngan": "THOUSAND", "ty": "BILLION"}
+CURRENCIES = ("vnd", "dong")
+
+
 def unit_scale(text: Column) -> Column:
-    """The scale that a folded declaration of the currency unit names last; null without one."""
-    said = F.regexp_extract_all(text, F.lit(r"((?:don vi(?: tinh)?|dvt)\s*:?\s*(?:trieu |nghin |ngan |ty )?\s*(?:vnd|dong)\b)"), 1)
-    last = F.when(F.size(said) > 0, F.element_at(said, -1))
-    return F.when(last.rlike("trieu"), "MILLION").when(last.rlike("nghin|ngan"), "THOUSAND").when(last.rlike(r"\bty\b"), "BILLION").when(last.isNotNull(), "RAW")
+    """The scale that a folded declaration of the currency unit names last; null without one.
+
+    A declaration is "don vi", "don vi tinh" or "dvt", then a scale or none, then a
+    currency, with a colon or spaces between; read word by word.
+    """
+    words = F.filter(F.split(F.regexp_replace(text, r"[^0-9a-z]+", " "), " "), lambda w: w != "")
+
+    def read(state: Column, word: Column) -> Column:
+        asks, scale = state["asks"], F.coalesce(*[F.when(word == k, v) for k, v in UNIT_SCALES.items()])
+        begins = (word == "dvt") | ((word == "vi") & (state["before"] == "don"))
+        goes_on = asks & ((word == "tinh") & (state["before"] == "vi") | scale.isNotNull() & state["scale"].isNull())
+        said = asks & word.isin(*CURRENCIES)
+        return F.struct(
+            (begins | goes_on).alias("asks"), F.when(begins, F.lit(None).cast("string")).when(goes_on, F.coalesce(scale, state["scale"])).alias("scale"),
+            F.when(said, F.coalesce(state["scale"], F.lit("RAW"))).otherwise(state["found"]).alias("found"), word.alias("before"),
+        )
+
+    none = F.lit(None).cast("string")
+    return F.aggregate(words, F.struct(F.lit(False).alias("asks"), none.alias("scale"), none.alias("found"), F.lit("").alias("before")), read)["found"]
 
 
 def close(left: Column, right: Column) -> Column:
