@@ -110,17 +110,24 @@ def mentions(texts: DataFrame, lexicon: DataFrame, id_col: str, text_col: str, r
     return found.select(id_col, "s.*").join(known, "phrase").select(id_col, "first", "last", "phrase", "kind", "concept")
 
 
-def resolution(found: DataFrame, kind: str, id_col: str) -> DataFrame:
-    """(id, concepts, status) of a kind: RESOLVED for one concept, AMBIGUOUS where a phrase has several, MULTIPLE for more phrases; concepts in the order of the text.
+def spans_of(found: DataFrame, id_col: str) -> DataFrame:
+    """(id, spans): the mentions of each text in one sorted array."""
+    return found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("first", "last", "kind", "concept"))).alias("spans"))  # of one text
 
-    Texts without a mention have no row here; left join and call them UNRESOLVED.
-    """
-    own = found.filter(F.col("kind") == kind)
-    at = own.groupBy(id_col, "first").agg(F.countDistinct("concept").alias("choices"), F.array_sort(F.collect_set("concept")).alias("concepts"))  # of one phrase
-    whole = at.groupBy(id_col).agg(F.max("choices").alias("choices"), F.array_sort(F.collect_list(F.struct("first", "concepts"))).alias("l"))  # of one text
-    concepts = F.array_distinct(F.flatten(F.transform("l", lambda x: x["concepts"])))
-    status = F.when(F.col("choices") > 1, "AMBIGUOUS").when(F.size(concepts) > 1, "MULTIPLE").otherwise("RESOLVED")
-    return whole.select(id_col, concepts.alias("concepts"), status.alias("status"))
+
+def resolved(spans: Column, kind: str) -> tuple[Column, Column]:
+    """(concepts, status) of a kind among the spans of a text: RESOLVED for one concept, AMBIGUOUS where a phrase has several, MULTIPLE for more phrases, UNRESOLVED for none; concepts in the order of the text."""
+    own = F.filter(F.coalesce(spans, F.array().cast("array<struct<first: int, last: int, kind: string, concept: string>>")), lambda s: s["kind"] == kind)
+    concepts = F.array_distinct(F.transform(own, lambda s: s["concept"]))
+    phrases = F.size(F.array_distinct(F.transform(own, lambda s: s["first"])))
+    status = F.when(F.size(own) == 0, "UNRESOLVED").when(F.size(own) > phrases, "AMBIGUOUS").when(F.size(concepts) > 1, "MULTIPLE").otherwise("RESOLVED")
+    return concepts, status
+
+
+def resolution(found: DataFrame, kind: str, id_col: str) -> DataFrame:
+    """(id, concepts, status) of a kind, see resolved(); texts without a mention have no row here."""
+    concepts, status = resolved(F.col("spans"), kind)
+    return spans_of(found.filter(F.col("kind") == kind), id_col).select(id_col, concepts.alias("concepts"), status.alias("status"))
 
 
 def scope(text: Column, context: Column | None = None) -> tuple[Column, Column]:
@@ -174,22 +181,21 @@ def understand(questions: DataFrame, companies: DataFrame, id_col: str = "questi
     names = companies.select(F.lit("company").alias("kind"), F.col("concept").cast("string").alias("concept"), S.fold(F.col("phrase")).alias("phrase"))
     found = mentions(asked, names, id_col, "_folded")
     terms = mentions(asked, spark.createDataFrame(X.terms(), "kind string, concept string, phrase string"), id_col, "_terms")
-    ratio_spans = terms.filter("kind = 'ratio'").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_spans"))  # of one text
-    who, what, made = (resolution(f, kind, id_col).withColumnsRenamed({"concepts": kind, "status": f"{kind}_status"}) for f, kind in ((found, "company"), (terms, "metric"), (terms, "ratio")))
     out = asked
-    for side in (who, what, made, ratio_spans):
-        out = out.join(side, id_col, "left")
+    for side, name in ((found, "_companies"), (terms, "_named")):
+        out = out.join(spans_of(side, id_col).withColumnRenamed("spans", name), id_col, "left")
+    companies_, company_status = resolved(F.col("_companies"), "company")
+    metrics, ratios = (resolved(F.col("_named"), kind)[0] for kind in ("metric", "ratio"))
+    out = out.withColumns({"companies": companies_, "company_status": company_status, "metrics": metrics, "ratios": ratios})
     # the words of a ratio's own name are no cues
     blank = lambda t, s: F.concat(F.substring(t, F.lit(1), s["first"]), F.repeat(F.lit(" "), s["last"] - s["first"]), F.substring(t, s["last"] + 1, F.length(t)))
-    cues = F.coalesce(F.aggregate("_spans", F.col("_terms"), blank), F.col("_terms"))
+    cues = F.coalesce(F.aggregate(F.filter("_named", lambda s: s["kind"] == "ratio"), F.col("_terms"), blank), F.col("_terms"))
     lower = F.lower("_asked")
-    none = F.array().cast("array<string>")
     parts = F.create_map(*[x for r, (_, needed) in X.RATIOS.items() for x in (F.lit(r), F.array(*map(F.lit, needed)))])
-    metrics, ratios = F.coalesce("metric", none), F.coalesce("ratio", none)
     value, status = scope(lower)
     return out.select(
-        F.col(id_col), F.coalesce("company", none).alias("companies"), F.coalesce("company_status", F.lit("UNRESOLVED")).alias("company_status"), metrics.alias("metrics"), ratios.alias("ratios"),
-        F.array_distinct(F.concat(metrics, F.flatten(F.transform(ratios, lambda r: F.element_at(parts, r))))).alias("required_metrics"), P.years(F.col("_asked")).alias("years"),
+        F.col(id_col), "companies", "company_status", "metrics", "ratios",
+        F.array_distinct(F.concat("metrics", F.flatten(F.transform("ratios", lambda r: F.element_at(parts, r))))).alias("required_metrics"), P.years(F.col("_asked")).alias("years"),
         value.alias("scope"), status.alias("scope_status"), operation(lower, cues).alias("operation"), X.says(F.col("_folded"), *X.RANKING_CUES).alias("ranking"),
-        requested_scale(lower).alias("requested_scale"), unknown_tickers(F.col("_asked"), F.transform(F.coalesce("company", none), lambda c: F.upper(c))).alias("unknown_tickers"),
+        requested_scale(lower).alias("requested_scale"), unknown_tickers(F.col("_asked"), F.transform("companies", lambda c: F.upper(c))).alias("unknown_tickers"),
     )

@@ -28,10 +28,20 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def index_of(docs: DataFrame) -> str:
-    """The stored BM25 index of a table's files, built once a session."""
+    """The stored BM25 index of a table's files, built once a session and anew when a file has changed."""
     spark = docs.sparkSession
-    key = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in sorted(docs.inputFiles())]
+    states = [(p.toString(), s.getLen(), s.getModificationTime()) for p in paths for s in [p.getFileSystem(conf).getFileStatus(p)]]
+    key = (spark.sparkContext.applicationId, *states)
     if key not in _indexes:
         _indexes[key] = folder(spark, "bm25")
         retrieval.write_index(docs, _indexes[key])
     return _indexes[key]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once and read back, for plans that use it several times."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

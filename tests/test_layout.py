@@ -36,7 +36,7 @@ def test_a_header_that_is_in_no_span_stands_alone():
 
 
 def test_the_band_ends_at_a_gap_and_odd_rows_have_no_say(spark):
-    many = "".join(row(f"l{i}", str(i + 1000), "5") for i in range(19))
+    many = "".join(row(f"l{i}", str(i + 10000), "5") for i in range(19))
     got = paths(spark, row("", "Old", "New") + row("", "", "") + row("", "Lost", "Lost") + many + row("a", "b", "7"))
     assert got == {1: ["Old"], 2: ["New"]}
     # 2 of 12 rows begin elsewhere: no body, no paths
