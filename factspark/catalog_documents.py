@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import query
-from .catalog_statements import rows_of, values
+from .catalog_statements import per_customer, per_customer_sql, rows_of, values
 from .functions import scalar as S
 from .operators import documents as D
 from .operators import relational as R
@@ -32,10 +32,10 @@ def doc_pages(t):
     return D.pages(reports(t)).select("report_id", "page_index", "page_number")
 
 
-@query(values([("a", 0, 1, ""), ("a", 1, 3, ""), ("a", 2, 3, "DUPLICATE_PAGE_NUMBER,NON_MONOTONIC_PAGE_NUMBER"), ("a", 3, 2, "NON_MONOTONIC_PAGE_NUMBER")], "report_id, page_index, page_number, issues"))
+@query(per_customer_sql([("a", 0, 1, ""), ("a", 1, 3, ""), ("a", 2, 3, "DUPLICATE_PAGE_NUMBER,NON_MONOTONIC_PAGE_NUMBER"), ("a", 3, 2, "NON_MONOTONIC_PAGE_NUMBER")], "report_id, page_index, page_number, issues", "report_id"))
 def win_page_order(t):
     raw = [("a", "before\n===== PAGE 1 =====\nx\n===== PAGE 3 =====\ny\n===== PAGE 0 =====\n===== PAGE 3 =====  \nz\n===== PAGE 2 =====\n"), ("b", "no marker")]
-    return D.pages(rows_of(t, raw, "report_id string, raw_text string")).select("report_id", "page_index", "page_number", F.array_join("issues", ",").alias("issues"))
+    return D.pages(per_customer(t, raw, "report_id string, raw_text string", "report_id")).select("report_id", "page_index", "page_number", F.array_join("issues", ",").alias("issues"))
 
 
 @query("SELECT CAST(n_regionkey AS VARCHAR) AS report_id, count(*) AS cells, 'PARSED' AS status FROM customer JOIN nation ON c_nationkey = n_nationkey CROSS JOIN (VALUES (1), (2), (3)) v(x) GROUP BY 1")
@@ -46,9 +46,9 @@ def doc_cells(t):
 ODD = [("a", "===== PAGE 1 =====\n<table><tr><td rowspan=\"2\">A</td><td>B &amp; C</td></tr><tr><td colspan=x>D<table><tr><td>in</td></tr></table></td></tr></table> text <TABLE><tr><td>open<td>E")]
 
 
-@query(values([(0, "RECOVERED", 0, 0, "A"), (0, "RECOVERED", 0, 1, "B & C"), (0, "RECOVERED", 1, 0, "A"), (0, "RECOVERED", 1, 1, "Din"), (1, "RECOVERED", 0, 0, "open"), (1, "RECOVERED", 0, 1, "E")], "table_index, status, grid_row, grid_column, text"))
+@query(per_customer_sql([("a", 0, "RECOVERED", 0, 0, "A"), ("a", 0, "RECOVERED", 0, 1, "B & C"), ("a", 0, "RECOVERED", 1, 0, "A"), ("a", 0, "RECOVERED", 1, 1, "Din"), ("a", 1, "RECOVERED", 0, 0, "open"), ("a", 1, "RECOVERED", 0, 1, "E")], "report_id, table_index, status, grid_row, grid_column, text", "report_id"))
 def doc_grid(t):
-    return D.slots(D.pages(rows_of(t, ODD, "report_id string, raw_text string"))).select("table_index", "status", "grid_row", "grid_column", "text")
+    return D.slots(D.pages(per_customer(t, ODD, "report_id string, raw_text string", "report_id"))).select("report_id", "table_index", "status", "grid_row", "grid_column", "text")
 
 
 @query("SELECT c_custkey, c_acctbal AS balance, 'Customer > Balance' AS path, c_name AS label FROM customer")
@@ -76,9 +76,9 @@ def doc_represent(t):
 UNITS = [("a", 1, 4), ("a", 2, 5), ("a", 3, 2), ("a", 4, 20), ("a", 5, 1), ("b", 1, 10)]
 
 
-@query(values([("a", 1, 0), ("a", 2, 0), ("a", 3, 1), ("a", 4, 2), ("a", 5, 3), ("b", 1, 0)], "k, spot, chunk"))
+@query(per_customer_sql([("a", 1, 0), ("a", 2, 0), ("a", 3, 1), ("a", 4, 2), ("a", 5, 3), ("b", 1, 0)], "k, spot, chunk", "k"))
 def doc_chunk(t):
-    return D.chunks(rows_of(t, UNITS, "k string, spot int, size int"), "k", "spot", "size", 10).select("k", "spot", "chunk")
+    return D.chunks(per_customer(t, UNITS, "k string, spot int, size int", "k"), "k", "spot", "size", 10).select("k", "spot", "chunk")
 
 
 @query("SELECT e.conv_id AS page, e.turn AS table_at, e.turn - 1 AS text_at FROM conversations e JOIN (SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS f FROM conversations) b USING (conv_id, turn) WHERE role = 'assistant' AND before = 'user'")
@@ -214,9 +214,9 @@ def ret_hybrid(t):
 RANKED = [("a", "x", 1), ("a", "y", 2), ("b", "x", 1), ("b", "x", 2), ("c", "x", 1), ("c", "y", 3), ("d", "x", 2)]
 
 
-@query(values([("a", "OK"), ("b", "DUPLICATE"), ("c", "RANK_INVALID"), ("d", "RANK_INVALID")], "query_id, status"))
+@query(per_customer_sql([("a", "OK"), ("b", "DUPLICATE"), ("c", "RANK_INVALID"), ("d", "RANK_INVALID")], "query_id, status", "query_id"))
 def ret_checked_ranks(t):
-    return T.checked_ranks(rows_of(t, RANKED, "query_id string, doc_id string, rank int"))
+    return T.checked_ranks(per_customer(t, RANKED, "query_id string, doc_id string, rank int", "query_id"))
 
 
 # plans and verification

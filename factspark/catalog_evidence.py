@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import query
-from .catalog_statements import rows_of, values
+from .catalog_statements import per_customer, per_customer_sql
 from .operators import evidence as E
 from .operators import relational as R
 
 SPANS = [("q", "a", 0, 4), ("q", "b", 2, 9), ("q", "c", 9, 12), ("q", "d", 10, 12), ("q", "e", 20, 21), ("r", "x", 0, 3), ("r", "y", 2, 5)]
 
 
-@query(values([("q", "b"), ("q", "c"), ("q", "e"), ("r", "x")], "k, name"))
+@query(per_customer_sql([("q", "b"), ("q", "c"), ("q", "e"), ("r", "x")], "k, name", "k"))
 def jn_overlap_anti(t):
-    return E.longest_matches(rows_of(t, SPANS, "k string, name string, start int, stop int"), "k").select("k", "name")
+    return E.longest_matches(per_customer(t, SPANS, "k string, name string, start int, stop int", "k"), "k").select("k", "name")
 
 
 @query("SELECT l_orderkey, CASE WHEN count(o_orderkey) = 0 THEN 'UNBOUND' WHEN count(*) > 1 THEN 'NOT_UNIQUE' ELSE 'OK' END AS status FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_custkey % 3 <> 0) ON l_orderkey = o_orderkey GROUP BY 1")

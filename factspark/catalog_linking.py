@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import query
-from .catalog_statements import rows_of, values
+from .catalog_statements import per_customer, per_customer_sql, rows_of, values
 from .operators import linking as L
 
 CANDIDATES = [("t", "TABLE", "T1", None, ["c1", "c2", "c1"]), ("p", "TEXT", None, "P1", None), ("q", "TEXT", None, "P9", None)]
@@ -14,19 +14,19 @@ LINKS = [("T1", "P1"), ("T1", "P1"), ("T2", "P1")]
 
 
 def _candidates(t):
-    return rows_of(t, CANDIDATES, "candidate_id string, source_type string, table_id string, paragraph_id string, cells array<string>")
+    return per_customer(t, CANDIDATES, "candidate_id string, source_type string, table_id string, paragraph_id string, cells array<string>", "candidate_id", "table_id", "paragraph_id", "cells")
 
 
 def _links(t):
-    return rows_of(t, LINKS, "table_id string, paragraph_id string")
+    return per_customer(t, LINKS, "table_id string, paragraph_id string", "table_id", "paragraph_id")
 
 
-@query(values([("t", "h1", "DIRECT"), ("t", "h2", "DIRECT"), ("t", "h3", "LINKED"), ("p", "h3", "DIRECT"), ("p", "h1", "LINKED"), ("p", "h2", "LINKED"), ("p", "h4", "LINKED")], "candidate_id, hint_id, association"))
+@query(per_customer_sql([("t", "h1", "DIRECT"), ("t", "h2", "DIRECT"), ("t", "h3", "LINKED"), ("p", "h3", "DIRECT"), ("p", "h1", "LINKED"), ("p", "h2", "LINKED"), ("p", "h4", "LINKED")], "candidate_id, hint_id, association", "candidate_id", "hint_id"))
 def jn_hints(t):
-    return L.candidate_hints(_candidates(t), rows_of(t, HINTS, "hint_id string, source_ref string, table_id string, kind string"), _links(t))
+    return L.candidate_hints(_candidates(t), per_customer(t, HINTS, "hint_id string, source_ref string, table_id string, kind string", "hint_id", "source_ref", "table_id"), _links(t))
 
 
-@query(values([("p", "T1 T2"), ("q", "")], "candidate_id, table_ids"))
+@query(per_customer_sql([("p", "{c}:T1 {c}:T2"), ("q", "")], "candidate_id, table_ids", "candidate_id"))
 def ret_narrative(t):
     return L.narrative_tables(_candidates(t), _links(t)).select("candidate_id", F.array_join("table_ids", " ").alias("table_ids"))
 
@@ -46,36 +46,36 @@ CELLS = [
 REQUIREMENTS = [("1", "NET", "2023"), ("2", "COST", "2022"), ("3", "TAX", "2024"), ("4", "DEBT", "2024"), ("5", "NONE", "2024"), ("6", "COST", None), ("7", None, "1999")]
 
 
-@query(values([("1", "b", "RESOLVED"), ("2", "d", "AMBIGUOUS"), ("2", "e", "AMBIGUOUS"), ("3", "f", "AMBIGUOUS"), ("3", "g", "AMBIGUOUS"), ("4", "i", "RESOLVED"), ("5", None, "UNRESOLVED"), ("6", "d", "AMBIGUOUS"), ("6", "e", "AMBIGUOUS"), ("7", None, "UNRESOLVED")], "requirement_id, cell_id, status"))
+@query(per_customer_sql([("q", *r) for r in [("1", "b", "RESOLVED"), ("2", "d", "AMBIGUOUS"), ("2", "e", "AMBIGUOUS"), ("3", "f", "AMBIGUOUS"), ("3", "g", "AMBIGUOUS"), ("4", "i", "RESOLVED"), ("5", None, "UNRESOLVED"), ("6", "d", "AMBIGUOUS"), ("6", "e", "AMBIGUOUS"), ("7", None, "UNRESOLVED")]], "question_id, requirement_id, cell_id, status", "question_id"))
 def jn_schema_link(t):
-    cells = rows_of(t, CELLS, "cell_id string, table_id string, report_id string, report_year int, table_class string, metric string, period string, value double")
-    asked = rows_of(t, REQUIREMENTS, "requirement_id string, metric string, period string")
-    return L.link_schema(asked.withColumn("question_id", F.lit("q")), cells.withColumn("question_id", F.lit("q"))).drop("question_id")
+    cells = per_customer(t, [("q", *r) for r in CELLS], "question_id string, cell_id string, table_id string, report_id string, report_year int, table_class string, metric string, period string, value double", "question_id")
+    asked = per_customer(t, [("q", *r) for r in REQUIREMENTS], "question_id string, requirement_id string, metric string, period string", "question_id")
+    return L.link_schema(asked, cells)
 
 
 RULES = [("REVENUE", "INCOME", ["01", "10"], r"doanh thu"), ("NET_REVENUE", "INCOME", ["10"], r"doanh thu thuan"), ("CASH", "BALANCE", ["110"], r"^tien")]
 CODED = [("a", "INCOME", "01", "Doanh thu bán hàng"), ("b", "INCOME", "10", "Doanh thu thuần"), ("c", "INCOME", "01", "Chi phí"), ("d", "BALANCE", "110", "Tiền"), ("e", "BALANCE", None, "Tiền"), ("f", "CTCK", "20", "Doanh thu")]
 
 
-@query(values([("a", "REVENUE"), ("b", None), ("c", None), ("d", "CASH"), ("e", None), ("f", "REVENUE")], "id, metric"))
+@query(per_customer_sql([("a", "REVENUE"), ("b", None), ("c", None), ("d", "CASH"), ("e", None), ("f", "REVENUE")], "id, metric", "id"))
 def str_metric_code(t):
-    rows = rows_of(t, CODED, "id string, statement string, code string, label string")
+    rows = per_customer(t, CODED, "id string, statement string, code string, label string", "id")
     return rows.select("id", L.metric_of_code(F.col("statement"), F.col("code"), F.col("label"), RULES, {("CTCK", "20"): "REVENUE"}).alias("metric"))
 
 
-@query(values([("a", None), ("b", None), ("c", None), ("d", "CASH"), ("e", "CASH"), ("f", None)], "id, metric"))
+@query(per_customer_sql([("a", None), ("b", None), ("c", None), ("d", "CASH"), ("e", "CASH"), ("f", None)], "id, metric", "id"))
 def str_bank_label(t):
-    rows = rows_of(t, CODED, "id string, statement string, code string, label string")
+    rows = per_customer(t, CODED, "id string, statement string, code string, label string", "id")
     return rows.select("id", L.metric_of_label(F.col("statement"), F.col("label"), [("CASH", "BALANCE", "tien"), ("SALES", "INCOME", "doanh")]).alias("metric"))
 
 
 WINDOWS = [("a", "Bảng cân đối kế toán"), ("b", "Báo cáo kết quả kinh doanh"), ("c", "Bảng cân đối kế toán và kết quả kinh doanh"), ("d", "Thuyết minh"), ("e", None)]
 
 
-@query(values([("a", "BALANCE_SHEET"), ("b", "INCOME_STATEMENT"), ("c", None), ("d", None), ("e", None)], "id, class"))
+@query(per_customer_sql([("a", "BALANCE_SHEET"), ("b", "INCOME_STATEMENT"), ("c", None), ("d", None), ("e", None)], "id, class", "id"))
 def str_table_class(t):
     rules = [("BALANCE_SHEET", "can doi ke toan"), ("INCOME_STATEMENT", "ket qua (hoat dong )?kinh doanh")]
-    return rows_of(t, WINDOWS, "id string, text string").select("id", L.table_class(F.col("text"), rules).alias("class"))
+    return per_customer(t, WINDOWS, "id string, text string", "id").select("id", L.table_class(F.col("text"), rules).alias("class"))
 
 
 GRID = [
@@ -86,14 +86,14 @@ GRID = [
 GRID_SCHEMA = "table_id string, grid_row int, slots array<string>, texts array<string>, header_end int"
 
 
-@query(values([(3, "Tiền", "110", "c"), (6, "Nợ", "300", "p")], "grid_row, label, code, cell_id"))
+@query(per_customer_sql([("T", 3, "Tiền", "110", "c"), ("T", 6, "Nợ", "300", "p")], "table_id, grid_row, label, code, cell_id", "table_id"))
 def doc_rows(t):
-    return L.data_rows(rows_of(t, GRID, GRID_SCHEMA), 2, 0, 1).drop("table_id")
+    return L.data_rows(per_customer(t, GRID, GRID_SCHEMA, "table_id"), 2, 0, 1)
 
 
-@query(values([(1, "TÀI SẢN", None, "s3", "s4"), (2, "Ngắn hạn", None, None, None), (3, "Tiền", "110", "c", "d"), (4, "Thuế", None, None, None), (6, "Nợ", "300", "p", "q")], "grid_row, label, code, current_id, prior_id"))
+@query(per_customer_sql([("T", 1, "TÀI SẢN", None, "s3", "s4"), ("T", 2, "Ngắn hạn", None, None, None), ("T", 3, "Tiền", "110", "c", "d"), ("T", 4, "Thuế", None, None, None), ("T", 6, "Nợ", "300", "p", "q")], "table_id, grid_row, label, code, current_id, prior_id", "table_id"))
 def doc_lines(t):
-    return L.printed_lines(rows_of(t, GRID, GRID_SCHEMA), 2, 3, 0, 1).drop("table_id")
+    return L.printed_lines(per_customer(t, GRID, GRID_SCHEMA, "table_id"), 2, 3, 0, 1)
 
 
 @query("WITH s AS (SELECT conv_id, min(turn) AS started FROM conversations WHERE turn >= 2 AND role = 'assistant' GROUP BY 1) SELECT conv_id, turn FROM conversations JOIN s USING (conv_id) WHERE turn >= started")
@@ -117,10 +117,11 @@ RUNS = [
 ]
 
 
-@query(values([("a", ""), ("b", "PROGRAM_ID_MISMATCH SUCCESS_OUTPUT_MISSING"), ("c", "OUTPUT_KIND_MISMATCH ORDERED_VALUE_COUNT_MISMATCH"), ("d", "INVALID_SCALE_STRUCTURE INVALID_UNIT_STRUCTURE ORDERED_VALUES_ORDER_MISMATCH"), ("e", "INVALID_CANONICAL_DECIMAL")], "id, reasons"))
+@query(per_customer_sql([("a", ""), ("b", "PROGRAM_ID_MISMATCH SUCCESS_OUTPUT_MISSING"), ("c", "OUTPUT_KIND_MISMATCH ORDERED_VALUE_COUNT_MISMATCH"), ("d", "INVALID_SCALE_STRUCTURE INVALID_UNIT_STRUCTURE ORDERED_VALUES_ORDER_MISMATCH"), ("e", "INVALID_CANONICAL_DECIMAL")], "id, reasons", "id"))
 def ver_numeric(t):
     datum = "array<struct<value: double, scale: string, unit: string>>"
-    rows = rows_of(t, RUNS, f"id string, program string, ran string, kind string, wanted_kind string, vals {datum}, wanted {datum}")
+    data = lambda v: v and [dict(zip(("value", "scale", "unit"), x)) for x in v]
+    rows = per_customer(t, [(*r[:5], *map(data, r[5:])) for r in RUNS], f"id string, program string, ran string, kind string, wanted_kind string, vals {datum}, wanted {datum}", "id")
     return rows.select("id", F.array_join(L.numeric_reasons(*map(F.col, ("program", "ran", "kind", "wanted_kind", "vals", "wanted"))), " ").alias("reasons"))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .catalog import FACTS, facts, query
 from .functions import periods as P
@@ -29,6 +33,38 @@ def rows_of(t, rows, schema: str) -> DataFrame:
     return t("region").sparkSession.createDataFrame(rows, schema)
 
 
+def per_customer(t, rows, schema: str, *ids: str) -> DataFrame:
+    """The rows for each customer of the given table, whose number is put before what the columns `ids` hold."""
+    names = re.findall(r"(?:^|, )(\w+) (?![^<]*>)", schema)
+    held = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    every = t("customer").select(F.col("c_custkey").cast("string").alias("_c"), F.explode(F.from_json(F.lit(held), f"array<struct<{schema}>>")).alias("r")).select("_c", "r.*")
+    for c in ids:
+        own = lambda x: F.concat("_c", F.lit(":"), x)
+        every = every.withColumn(c, F.transform(c, own) if isinstance(every.schema[c].dataType, ArrayType) else own(F.col(c)))
+    return every.drop("_c")
+
+
+def per_customer_sql(rows, names: str, *ids: str) -> str:
+    """What per_customer() rows must give; {c}: in other texts stands for the customer's number."""
+    told = [f"c_custkey || ':' || {n} AS {n}" if n in ids else n if not any(isinstance(r[i], str) for r in rows) else f"replace({n}, '{{c}}', c_custkey::VARCHAR) AS {n}" for i, n in enumerate(names.split(", "))]
+    return f"SELECT {', '.join(told)} FROM customer CROSS JOIN ({values(rows, names)}) v"
+
+
+def worded(t, texts: list[str], key: str = "o_orderkey"):
+    """Of an order, the text that its number picks, with its year and the ones before in place of {y}, {y-1}, {y-2}, {y-3}, and its number for {k}."""
+    out = F.element_at(F.array(*map(F.lit, texts)), (F.pmod(key, F.lit(len(texts))) + 1).cast("int"))
+    for back in range(4):
+        out = F.replace(out, F.lit(f"{{y-{back}}}" if back else "{y}"), (F.year("o_orderdate") - back).cast("string"))
+    return F.replace(out, F.lit("{k}"), F.col("o_orderkey").cast("string"))
+
+
+def worded_sql(texts: list[str | None]) -> str:
+    out = "[" + ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in texts) + f"][1 + o_orderkey % {len(texts)}]"
+    for back in range(4):
+        out = f"replace({out}, '{'{'}y{f'-{back}' if back else ''}{'}'}', (year(o_orderdate) - {back})::VARCHAR)"
+    return f"replace({out}, '{{k}}', o_orderkey::VARCHAR)"
+
+
 def values(rows, names: str) -> str:
     """SQL of literal rows: what a fixture must give."""
     def lit(v) -> str:
@@ -58,18 +94,18 @@ CHECKED = [
 ]
 
 
-@query(values(CHECKED, "report_id, identity, col, status"))
+@query(per_customer_sql(CHECKED, "report_id, identity, col, status", "report_id"))
 def agg_identities(t):
-    lines = rows_of(t, LINES, "report_id string, statement string, code string, col string, value double, unit int")
+    lines = per_customer(t, LINES, "report_id string, statement string, code string, col string, value double, unit int", "report_id")
     return M.check_identities(lines).filter("status <> 'MISSING'")
 
 
 GUARDED = [("A", "TOTAL_ASSETS", 100.0), ("A", "TOTAL_CAPITAL", 100.0), ("A", "LIABILITIES", 60.0), ("A", "EQUITY", 30.0), ("B", "NET_REVENUE", 10.0), ("B", "COGS", 4.0), ("B", "GROSS_PROFIT", 6.0), ("B", "LNST", 5.0), ("C", "TOTAL_ASSETS", 9.0), ("C", "TOTAL_CAPITAL", 5.0)]
 
 
-@query(values([("A", "TOTAL_ASSETS"), ("A", "TOTAL_CAPITAL"), ("B", "NET_REVENUE"), ("B", "COGS"), ("B", "GROSS_PROFIT"), ("B", "LNST")], "ticker, metric"))
+@query(per_customer_sql([("A", "TOTAL_ASSETS"), ("A", "TOTAL_CAPITAL"), ("B", "NET_REVENUE"), ("B", "COGS"), ("B", "GROSS_PROFIT"), ("B", "LNST")], "ticker, metric", "ticker"))
 def agg_guard(t):
-    rows = rows_of(t, GUARDED, "ticker string, metric string, value double").withColumn("fiscal_year", F.lit(2020)).withColumn("scope", F.lit("RIENG"))
+    rows = per_customer(t, GUARDED, "ticker string, metric string, value double", "ticker").withColumn("fiscal_year", F.lit(2020)).withColumn("scope", F.lit("RIENG"))
     return M.guard(rows).select("ticker", "metric")
 
 
@@ -81,9 +117,9 @@ def agg_quality(t):
 DUPLICATES = [("a", 5.0, None, False, 1), ("a", 5.0, "10", True, 2), ("a", 5.0, "10", False, 3), ("b", 5.0, "10", False, 1), ("b", 6.0, None, False, 2), ("c", 5.0, "10", False, 1), ("c", 6.0, "11", False, 2), ("d", 7.0, None, True, 1), ("d", 7.0, None, False, 2), ("e", 7.0, None, False, 1), ("e", 8.0, None, False, 2)]
 
 
-@query(values([("a", 3), ("b", 1), ("d", 2)], "metric, spot"))
+@query(per_customer_sql([("a", 3), ("b", 1), ("d", 2)], "metric, spot", "metric"))
 def win_keep_first(t):
-    return M.resolve_metrics(rows_of(t, DUPLICATES, "metric string, value double, line_code string, carried boolean, spot int"), ["metric"], "spot").select("metric", "spot")
+    return M.resolve_metrics(per_customer(t, DUPLICATES, "metric string, value double, line_code string, carried boolean, spot int", "metric"), ["metric"], "spot").select("metric", "spot")
 
 
 @query(f"SELECT ticker, metric, CASE WHEN count(DISTINCT fiscal_year) = 3 THEN sum(v) END AS total FROM (SELECT ticker, fiscal_year, 'NET_REVENUE' AS metric, revenue AS v FROM {FACTS} UNION ALL SELECT ticker, fiscal_year, 'LNST', assets FROM {FACTS} WHERE assets IS NOT NULL) WHERE fiscal_year BETWEEN 1996 AND 1998 GROUP BY 1, 2")
@@ -108,14 +144,14 @@ def jn_next_year_confirm(t):
 HINTS = [("a", 1, "MILLION", "VND"), ("a", 2, "THOUSAND", "VND"), ("b", 1, "MILLION", None), ("b", 1, "THOUSAND", None), ("c", 2, "RAW", "VND"), ("c", 1, "MILLION", "VND"), ("d", 3, None, None), ("e", 2, None, "VND"), ("e", 2, "RAW", "VND"), ("f", 1, "MILLION", "VND"), ("f", 1, "MILLION", "USD")]
 
 
-@query(values([("a", "RESOLVED", "MILLION", "VND"), ("b", "AMBIGUOUS", None, None), ("c", "AMBIGUOUS", None, None), ("d", "UNRESOLVED", None, None), ("e", "RESOLVED", "RAW", "VND"), ("f", "AMBIGUOUS", None, None)], "cell, status, scale, unit"))
+@query(per_customer_sql([("a", "RESOLVED", "MILLION", "VND"), ("b", "AMBIGUOUS", None, None), ("c", "AMBIGUOUS", None, None), ("d", "UNRESOLVED", None, None), ("e", "RESOLVED", "RAW", "VND"), ("f", "AMBIGUOUS", None, None)], "cell, status, scale, unit", "cell"))
 def agg_scale_resolve(t):
-    return M.resolve_scale(rows_of(t, HINTS, "cell string, level int, scale string, unit string"), ["cell"])
+    return M.resolve_scale(per_customer(t, HINTS, "cell string, level int, scale string, unit string", "cell"), ["cell"])
 
 
-@query(values([("a", None, "AMBIGUOUS"), ("b", None, "AMBIGUOUS"), ("c", "MILLION", "UNIT_HINT"), ("e", "RAW", "UNIT_HINT"), ("f", "MILLION", "UNIT_HINT")], "cell, scale, basis"))
+@query(per_customer_sql([("a", None, "AMBIGUOUS"), ("b", None, "AMBIGUOUS"), ("c", "MILLION", "UNIT_HINT"), ("e", "RAW", "UNIT_HINT"), ("f", "MILLION", "UNIT_HINT")], "cell, scale, basis", "cell"))
 def agg_table_scale(t):
-    hints = rows_of(t, HINTS, "cell string, level int, scale string, unit string").filter("scale is not null")
+    hints = per_customer(t, HINTS, "cell string, level int, scale string, unit string", "cell").filter("scale is not null")
     return M.table_scale(hints, ["cell"])
 
 
@@ -212,64 +248,62 @@ def top_pandas(t):
     return one("nlargest", F.desc("c_acctbal"), "c_custkey").unionByName(one("nsmallest", "c_acctbal", "c_custkey"))
 
 
-PERIODS = [("2023", 4), ("2022-Q4", 1), ("2023-Q2", 2), ("2023-9M", 3)]
+PERIODS = ["{y}", "{y-1}-Q4", "{y}-Q2", "{y}-9M"]
 
 
-@query(values([(p, r) for p, r in PERIODS], "period, rank"))
+@query("SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate) - CASE WHEN o_orderkey % 4 = 1 THEN 1 ELSE 0 END, [13, 12, 6, 9][1 + o_orderkey % 4], o_orderkey) AS INT) AS rank FROM orders")
 def srt_chrono(t):
-    rows = rows_of(t, [(p,) for p, _ in PERIODS], "period string").withColumn("k", F.lit(1))
-    return R.rank_rows(rows, ["k"], P.chronological(F.col("period"))).select("period", "rank")
+    return R.rank_rows(t("orders").withColumn("period", worded(t, PERIODS)), ["o_custkey"], P.chronological(F.col("period")), F.col("o_orderkey")).select("o_orderkey", F.col("rank").cast("int").alias("rank"))
 
 
 TEXTS = [
-    ("n1", "normalize", "ＡＢ &amp;amp; c\r\n d", "AB & c d"), ("n2", "fold", "Đơn vị tính:  TRIỆU ĐỒNG ﬁ Straße", "don vi tinh: trieu dong fi strasse"), ("n3", "fold_punct", "Nợ/Vốn (chủ)", "no von chu"),
-    ("n4", "fold_in_place", "Năm Đầu", "Nam Dau"), ("n5", "label_key", "IV. 1. Lợi nhuận sau thuế (60 = 50 - 51) (*)", "loi nhuan sau thue"), ("n6", "label_key", "18.1 Vốn góp", "von gop"), ("n7", "answer_norm", "12,5 % -Ab!", "125-ab"),
-    ("n8", "period_label", "2022 triệu đồng", "2022"), ("n9", "period_label", "Quý 3 năm 2021", "2021-Q3"), ("n10", "period_label", "Q2/2020", "2020-Q2"), ("n11", "period_label", "năm 2020", None), ("n12", "unit", "don vi tinh: trieu dong", "MILLION"), ("n13", "unit", "dvt: vnd", "RAW"), ("n14", "unit", "gia vang", None),
+    ("n1", "normalize", "ＡＢ &amp;amp; c\r\n {k}", "AB & c {k}"), ("n2", "fold", "Đơn vị tính:  TRIỆU ĐỒNG ﬁ Straße {k}", "don vi tinh: trieu dong fi strasse {k}"), ("n3", "fold_punct", "Nợ/Vốn (chủ) {k}", "no von chu {k}"),
+    ("n4", "fold_in_place", "Năm {y} Đầu", "Nam {y} Dau"), ("n5", "label_key", "IV. 1. Lợi nhuận sau thuế {y} (60 = 50 - 51) (*)", "loi nhuan sau thue {y}"), ("n6", "label_key", "18.1 Vốn góp", "von gop"), ("n7", "answer_norm", "12,5 % -Ab!", "125-ab"),
+    ("n8", "period_label", "{y} triệu đồng", "{y}"), ("n9", "period_label", "Quý 3 năm {y}", "{y}-Q3"), ("n10", "period_label", "Q2/{y}", "{y}-Q2"), ("n11", "period_label", "năm {y}", None), ("n12", "unit", "don vi tinh: trieu dong", "MILLION"), ("n13", "unit", "dvt: vnd", "RAW"), ("n14", "unit", "gia vang", None),
 ]
 
 
-@query(values([(k, want) for k, _, _, want in TEXTS], "k, out"))
+@query(f"SELECT o_orderkey, {worded_sql([want for *_, want in TEXTS])} AS out FROM orders")
 def str_functions(t):
-    rows = rows_of(t, [(k, f, x) for k, f, x, _ in TEXTS], "k string, f string, x string")
     made = {"normalize": S.normalize, "fold": S.fold, "fold_punct": S.fold_punct, "fold_in_place": S.fold_in_place, "label_key": S.label_key, "answer_norm": S.answer_norm, "period_label": P.period_label, "unit": S.unit_scale}
-    parts = [rows.filter(F.col("f") == name).select("k", f(F.col("x")).alias("out")) for name, f in made.items()]
+    rows = t("orders").select("o_orderkey", worded(t, [x for _, _, x, _ in TEXTS]).alias("x"), F.element_at(F.array(*[F.lit(f) for _, f, _, _ in TEXTS]), (F.pmod("o_orderkey", F.lit(len(TEXTS))) + 1).cast("int")).alias("f"))
+    parts = [rows.filter(F.col("f") == name).select("o_orderkey", f(F.col("x")).alias("out")) for name, f in made.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-SPANS = [("a", "doanh thu 2019 - 2021 va 2018", "[2018, 2019, 2020, 2021]"), ("b", "tu 1950 den 2020", "[1950, 2020]"), ("c", "ma 12020 va 2020", "[2020]"), ("d", "khong co", "[]"), ("e", "2021 đến năm 2019", "[2019, 2020, 2021]")]
+SPANS = [("doanh thu {y-2} - {y} va {y-3}", "[{y-3}, {y-2}, {y-1}, {y}]"), ("tu 1950 den {y}", "[1950, {y}]"), ("ma 1{y} va {y}", "[{y}]"), ("khong co", "[]"), ("{y} đến năm {y-2}", "[{y-2}, {y-1}, {y}]")]
 
 
-@query(values([(k, y) for k, _, y in SPANS], "k, years"))
+@query(f"SELECT o_orderkey, {worded_sql([want for _, want in SPANS])} AS years FROM orders")
 def dt_years(t):
-    rows = rows_of(t, [(k, x) for k, x, _ in SPANS], "k string, x string")
-    return rows.select("k", F.concat(F.lit("["), F.array_join(P.years(F.col("x")), ", "), F.lit("]")).alias("years"))
+    return t("orders").select("o_orderkey", F.concat(F.lit("["), F.array_join(P.years(worded(t, [x for x, _ in SPANS])).cast("array<string>"), ", "), F.lit("]")).alias("years"))
 
 
-NAMED = [("a", "doanh thu quy 3/2021 va nam 2020", "2020,2021-Q3"), ("b", "luy ke 9 thang 2022", "2022-9M"), ("c", "da quy 2021", "2021"), ("d", "quy 1 nam 2020, quy 2 nam 2020", "2020-Q1,2020-Q2")]
+NAMED = [("doanh thu quy 3/{y} va nam {y-1}", "{y-1},{y}-Q3"), ("luy ke 9 thang {y}", "{y}-9M"), ("da quy {y}", "{y}"), ("quy 1 nam {y}, quy 2 nam {y}", "{y}-Q1,{y}-Q2")]
 
 
-@query(values([(k, y) for k, _, y in NAMED], "k, periods"))
+@query(f"SELECT o_orderkey, {worded_sql([want for _, want in NAMED])} AS periods FROM orders")
 def dt_periods(t):
-    return rows_of(t, [(k, x) for k, x, _ in NAMED], "k string, x string").select("k", F.array_join(P.periods(F.col("x")), ",").alias("periods"))
+    return t("orders").select("o_orderkey", F.array_join(P.periods(worded(t, [x for x, _ in NAMED])), ",").alias("periods"))
 
 
-HEADERS = [("a", "nam nay", "CURRENT"), ("b", "so dau nam", "PRIOR"), ("c", "31/12/2022", "CURRENT"), ("d", "01/01/2022", "PRIOR"), ("e", "2021", "PRIOR"), ("f", "2022 2021", None), ("g", "thuyet minh", None), ("h", "31.12.2021 vnd", "PRIOR")]
+HEADERS = [("nam nay", "CURRENT"), ("so dau nam", "PRIOR"), ("31/12/{y}", "CURRENT"), ("01/01/{y}", "PRIOR"), ("{y-1}", "PRIOR"), ("{y} {y-1}", None), ("thuyet minh", None), ("31.12.{y-1} vnd", "PRIOR"), ("so cuoi ky {y-3}", "CURRENT")]
 
 
-@query(values([(k, w) for k, _, w in HEADERS], "k, period"))
+@query(f"SELECT o_orderkey, {worded_sql([want for _, want in HEADERS])} AS period FROM orders")
 def dt_column_period(t):
-    return rows_of(t, [(k, x) for k, x, _ in HEADERS], "k string, x string").select("k", P.column_period(F.col("x"), F.lit(2022)).alias("period"))
+    return t("orders").select("o_orderkey", P.column_period(worded(t, [x for x, _ in HEADERS]), F.year("o_orderdate")).alias("period"))
 
 
-PAIRS = [("a", "nam nay", "nam truoc", 1), ("b", "2021", "2022", 2), ("c", "x", "so dau nam", 1), ("d", "x", "y", None)]
+PAIRS = [("nam nay", "nam truoc", 1), ("{y-1}", "{y}", 2), ("x", "so dau nam", 1), ("x", "y", None)]
 
 
-@query(values([(k, w) for k, _, _, w in PAIRS], "k, current"))
+@query("SELECT o_orderkey, [1, 2, 1, NULL][1 + o_orderkey % 4] AS current FROM orders")
 def dt_orientation(t):
-    return rows_of(t, [r[:3] for r in PAIRS], "k string, a string, b string").select("k", P.current_first(F.col("a"), F.col("b"), F.lit(2022)).alias("current"))
+    return t("orders").select("o_orderkey", P.current_first(worded(t, [a for a, _, _ in PAIRS]), worded(t, [b for _, b, _ in PAIRS]), F.year("o_orderdate")).alias("current"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(year(o_orderdate) AS INT) END AS y FROM orders")
