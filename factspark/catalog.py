@@ -53,7 +53,7 @@ def queries():
 
 def _register() -> None:
     """The other modules of queries add theirs when they are imported."""
-    from . import catalog_documents, catalog_evidence, catalog_layout, catalog_linking, catalog_questions, catalog_statements, catalog_stores, catalog_streaming  # noqa: F401
+    from . import catalog_documents, catalog_evidence, catalog_hints, catalog_layout, catalog_linking, catalog_questions, catalog_statements, catalog_stores, catalog_streaming  # noqa: F401
 
 
 def oracle_sql():

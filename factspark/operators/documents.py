@@ -181,10 +181,3 @@ def adjacent(blocks: DataFrame) -> DataFrame:
     order = W.partitionBy("page").orderBy("at")
     near = blocks.withColumn("before", F.lag("kind").over(order)).withColumn("from", F.lag("at").over(order))
     return near.filter("kind = 'TABLE' and before = 'TEXT'").select("page", F.col("at").alias("table_at"), F.col("from").alias("text_at"))
-
-
-def window_text(blocks: DataFrame, text: str, most: int = 1200) -> DataFrame:
-    """For each table (page, start, end) the last `most` characters between the table before it and its start."""
-    before = F.coalesce(F.lag("end").over(W.partitionBy("page").orderBy("start")), F.lit(0))
-    begin = F.greatest(before, F.col("start") - most)
-    return blocks.withColumn("window", F.substring(F.col(text), begin + 1, F.col("start") - begin))
