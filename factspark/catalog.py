@@ -396,6 +396,20 @@ def ret_bm25(t):
     return T.search_index(scratch.index_of(docs), asked, 20).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(BM25_SQL.replace("SELECT doc_id, regexp", "SELECT doc_id, lang, regexp").replace("SELECT doc_id, len(ts)", "SELECT doc_id, lang, len(ts)").replace(
+    "(VALUES (1, 'the'), (1, 'that'), (2, 'und'), (2, 'die'), (3, 'les')) v(query_id, token)", "(VALUES (1, 1, 'the'), (1, 1, 'that'), (1, 2, 'of'), (2, 3, 'und')) v(query_id, t, token)"
+).replace("SELECT query_id, token, doc_id, length, count(*) AS tf FROM p JOIN q USING (token)", "SELECT query_id, t, token, doc_id, lang, length, count(*) AS tf FROM p JOIN q USING (token)").replace(
+    "SELECT query_id, token, count(*) AS df FROM tf", "SELECT query_id, t, token, count(*) AS df FROM tf").replace("SELECT query_id, count(*) AS need FROM q GROUP BY 1", "SELECT query_id, t, count(*) AS need FROM q GROUP BY ALL").replace(
+    "SELECT query_id, doc_id, count(*) AS got", "SELECT query_id, t, doc_id, lang, count(*) AS got").replace("JOIN df USING (query_id, token), s", "JOIN df USING (query_id, t, token), s").replace(
+    "FROM sc JOIN need USING (query_id) WHERE got = need", "FROM (SELECT query_id, doc_id, max(score) AS score FROM sc JOIN need USING (query_id, t) WHERE got = need AND lang = 'en' GROUP BY ALL)"))
+def ret_bm25_where(t):
+    """Two texts of one query, of which a document keeps the better score, over English documents; the statistics are of all."""
+    docs = t("documents")
+    asked = docs.sparkSession.createDataFrame([(1, "the that"), (1, "of"), (2, "und")], "query_id int, text string")
+    found = T.search_index(scratch.index_of(docs, ("lang",)), asked, 20, where=F.col("lang") == "en")
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("SELECT query_id, vec_id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0) WHERE rank <= 10")
 def ret_vector(t):
     e = t("embeddings")
@@ -437,6 +451,24 @@ def udf_describe(t):
     return t("lineitem").groupBy("l_returnflag").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"), F.round(F.percentile("l_quantity", 0.25), 4).alias("q25"))
 
 
+@query("SELECT o_orderkey, round(100 * (o_totalprice - lag(o_totalprice) OVER w) / nullif(lag(o_totalprice) OVER w, 0), 6) AS pct_change, round(ln(o_totalprice), 6) AS log FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+def udf_pct_change(t):
+    return R.pct_change(t("orders"), "o_custkey", "o_totalprice", "o_orderdate", "o_orderkey").select("o_orderkey", F.round(100 * F.col("pct_change"), 6).alias("pct_change"), F.round(F.log("o_totalprice"), 6).alias("log"))
+
+
+@query("SELECT event_id, TRY_CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS k FROM events WHERE value IS NOT NULL AND user_id % 3 <> 0")
+def udf_dropna(t):
+    """to_numeric of texts, and rows without a null."""
+    e = t("events").withColumn("kept", F.when(F.col("user_id") % 3 != 0, F.col("user_id")))
+    return e.dropna(subset=["value", "kept"]).select("event_id", F.regexp_extract("props", "[0-9]+", 0).try_cast("double").alias("k"))
+
+
+@query("""SELECT c, count(v) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, min(v) AS min, round(quantile_cont(v, 0.25), 4) AS q25, round(quantile_cont(v, 0.5), 4) AS q50, round(quantile_cont(v, 0.75), 4) AS q75, max(v) AS max
+FROM (SELECT 'quantity' AS c, l_quantity AS v FROM lineitem UNION ALL SELECT 'price', l_extendedprice FROM lineitem) GROUP BY c""")
+def udf_describe_all(t):
+    return R.describe(t("lineitem").select(F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price")))
+
+
 @query("SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
 def stm_windows(t):
     return telemetry.windowed_counts(t("events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.col("total").cast("double").alias("total"))

@@ -126,14 +126,6 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bounds: Sequence[f
     return df.groupBy(*keys).agg(F.array(*cells).alias("cells")).select(*keys, F.explode("cells").alias("c")).select(*keys, "c.le", "c.n")
 
 
-def identity_check(lines: DataFrame, key: str, total: str, parts: Sequence[str], unit: float = 1.0) -> DataFrame:
-    """PASS or FAIL of total = sum(parts) within 2 units + 1e-9 of the total; MISSING without total or any part."""
-    summed = reduce(Column.__add__, [F.coalesce(F.col(p), F.lit(0)) for p in parts])
-    absent = F.col(total).isNull() | (F.coalesce(*map(F.col, parts)).isNull())
-    off = F.abs(F.col(total) - summed)
-    return lines.select(key, F.when(absent, "MISSING").when(off <= 2 * unit + 1e-9 * F.abs(F.col(total)), "PASS").otherwise("FAIL").alias("status"))
-
-
 def alert_runs(df: DataFrame, key: str, at: str, bad: Column, for_s: float = 0) -> DataFrame:
     """Maximal runs of rows for which `bad` holds (gaps and islands): key, first, last, length, fired_at.
 
@@ -208,3 +200,20 @@ def preferred(df: DataFrame, keys: Sequence[str], fit: Column) -> DataFrame:
     """Rows that fit; all rows of a key where none does."""
     some = df.withColumn("_fit", F.coalesce(fit, F.lit(False))).withColumn("_some", F.max("_fit").over(W.partitionBy(*keys)))
     return some.filter(F.col("_fit") | ~F.col("_some")).drop("_fit", "_some")
+
+
+def pct_change(df: DataFrame, key: str, value: str, *order: str) -> DataFrame:
+    """df with the change of a value since the row before of its key, as a share of that; null for the first row and after a zero or null."""
+    before = F.lag(value).over(W.partitionBy(key).orderBy(*order))
+    return df.withColumn("pct_change", F.try_divide(F.col(value) - before, before))
+
+
+def describe(df: DataFrame) -> DataFrame:
+    """(c, n, mean, std, min, q25, q50, q75, max) of each numeric column, nulls left out; quantiles are interpolated, exactly, in one pass over counted values."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for c in df.columns])).alias("x")).select("x.*")
+    counted = long.filter("v IS NOT NULL").groupBy("c", "v").agg(F.count("*").alias("k"))  # percentile() weighs values by their counts
+    q = lambda p: F.round(F.percentile("v", F.lit(p), F.col("k")), 4)
+    n, s = F.sum("k"), F.sum(F.col("v") * F.col("k"))
+    spread = long.groupBy("c").agg(F.round(F.stddev_samp("v"), 4).alias("std"))
+    out = counted.groupBy("c").agg(n.alias("n"), F.round(s / n, 4).alias("mean"), F.min("v").alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max("v").alias("max"))
+    return out.join(spread, "c").select("c", "n", "mean", "std", "min", "q25", "q50", "q75", "max")

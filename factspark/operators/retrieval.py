@@ -17,48 +17,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}\p{N}\p{Co}_]+)"), 1)
 
 
-def bm25(docs: DataFrame, words: list[str], k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The k best documents that hold all words: doc_id, score, rank; ties to smaller ids."""
-    words = sorted({w.lower() for w in words})
-    t = docs.select(F.col(id_col).alias("doc_id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("ts"))
-
-    def occurrences(word: str) -> Column:
-        return F.size(F.filter("ts", lambda x: x == word))
-
-    tfs = [occurrences(w).alias(f"tf{i}") for i, w in enumerate(words)]
-    t = t.select("doc_id", F.size("ts").alias("length"), *tfs)
-    stats = t.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]).first()
-    if not stats["n"]:
-        return t.select("doc_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    hit, score = F.lit(True), F.lit(0.0)
-    for i in range(len(words)):
-        tf = F.col(f"tf{i}")
-        idf = F.log(F.lit(1 + (stats["n"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)))
-        hit = hit & (tf > 0)
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(stats["mean"] or 1.0)))
-    found = t.filter(hit).select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
-    return top_n(found, [], k, F.desc("score"), F.col("doc_id"))
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Exact inner product: vec_id, score; ties to smaller ids."""
-    q = F.array(*map(F.lit, map(float, query)))
-    return vectors.select(F.col(id_col).alias("vec_id"), dot(F.col(vector_col), q).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
-
-
-def rrf(*ranked: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Reciprocal rank fusion of (key, rank) lists."""
-    parts = [r.select(key, (F.lit(1.0) / (RRF_K + F.col("rank"))).alias("part")) for r in ranked]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    return both.groupBy(key).agg(F.sum("part").alias("score"), F.count("*").alias("lists"))
-
-
 def recall_and_mrr(ranked: DataFrame, wanted: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
     """Recall at k and reciprocal rank (null without a hit; a mean over queries counts it as 0) of every query that wants something."""
     hits = wanted.select(query, doc).distinct().join(ranked.select(query, doc, "rank").filter(F.col("rank") <= k), [query, doc], "left")
@@ -94,7 +56,7 @@ def search_index(index: str, queries: DataFrame, k: int, where: Column | None =
     asked = asked.filter(F.size("ws") > 0).select("query_id", "t", F.size("ws").alias("need"), F.explode("ws").alias("token"))
     asked = asked.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(INDEX_PARTS)).cast("int"))
     totals = spark.read.parquet(f"{index}/totals")
-    posted = spark.read.parquet(f"{index}/postings").join(F.broadcast(asked.select("bucket", "token").distinct()), ["bucket", "token"], "left_semi")  # the words of the queries
+    posted = spark.read.parquet(f"{index}/postings").join(asked.select("bucket", "token").distinct(), ["bucket", "token"], "left_semi")  # broadcast by Spark while the words are few
     df = posted.groupBy("token").agg(F.count("*").alias("df"))
     if where is not None:
         posted = posted.filter(where)

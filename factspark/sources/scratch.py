@@ -27,16 +27,16 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def index_of(docs: DataFrame) -> str:
+def index_of(docs: DataFrame, keep: tuple[str, ...] = ()) -> str:
     """The stored BM25 index of a table's files, built once a session and anew when a file has changed."""
     spark = docs.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     paths = [jvm.org.apache.hadoop.fs.Path(f) for f in sorted(docs.inputFiles())]
     states = [(p.toString(), s.getLen(), s.getModificationTime()) for p in paths for s in [p.getFileSystem(conf).getFileStatus(p)]]
-    key = (spark.sparkContext.applicationId, *states)
+    key = (spark.sparkContext.applicationId, keep, *states)
     if key not in _indexes:
         _indexes[key] = folder(spark, "bm25")
-        retrieval.write_index(docs, _indexes[key])
+        retrieval.write_index(docs, _indexes[key], keep=keep)
     return _indexes[key]
 
 
