@@ -9,6 +9,7 @@ instead. Both give the same mentions.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,7 +23,7 @@ from ..functions import scalar as S
 #: What a lexicon may hold to be broadcast: rows, and characters of all its phrases.
 BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 8_000_000
 SPAN = "array<struct<first: int, last: int, phrase: string>>"
-_automata: dict[int, object] = {}
+_automata: dict[str, object] = {}
 
 
 def longest_first(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -43,7 +44,7 @@ def _structs(spans: list[tuple[int, int, str]]) -> list[dict]:
     return [{"first": a, "last": b, "phrase": p} for a, b, p in spans]
 
 
-def _by_automaton(shared, key: int):
+def _by_automaton(shared, key: str):
     """One pass over each text; a worker builds the automaton of a lexicon once."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -101,7 +102,7 @@ def mentions(texts: DataFrame, lexicon: DataFrame, id_col: str, text_col: str, r
     asked = texts.select(F.col(id_col), F.col(text_col).alias("_text"))
     if size["n"] <= rows and size["chars"] <= chars:
         shared = spark.sparkContext.broadcast([r["phrase"] for r in phrases.collect()])  # within the limits just checked
-        found = asked.select(id_col, F.explode(F.pandas_udf(_by_automaton(shared, id(shared)), SPAN)("_text")).alias("s"))
+        found = asked.select(id_col, F.explode(F.pandas_udf(_by_automaton(shared, uuid.uuid4().hex), SPAN)("_text")).alias("s"))
     else:
         counts = sorted(r["n"] for r in phrases.select(F.size(F.regexp_extract_all("phrase", F.lit("([0-9a-z]+)"), 1)).alias("n")).distinct().collect())  # a number of words each
         spans = asked.select(id_col, F.explode(F.pandas_udf(_runs(counts), SPAN)("_text")).alias("s")).select(id_col, "s.*").join(phrases, "phrase")
