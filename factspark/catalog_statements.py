@@ -33,11 +33,19 @@ def rows_of(t, rows, schema: str) -> DataFrame:
     return t("region").sparkSession.createDataFrame(rows, schema)
 
 
+#: Customers whose rows per_customer() makes in one task.
+CUSTOMERS_A_TASK = 20_000
+
+
 def per_customer(t, rows, schema: str, *ids: str) -> DataFrame:
     """The rows for each customer of the given table, whose number is put before what the columns `ids` hold."""
     names = re.findall(r"(?:^|, )(\w+) (?![^<]*>)", schema)
     held = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
-    every = t("customer").select(F.col("c_custkey").cast("string").alias("_c"), F.explode(F.from_json(F.lit(held), f"array<struct<{schema}>>")).alias("r")).select("_c", "r.*")
+    customers = t("customer").select(F.col("c_custkey").cast("string").alias("_c"))
+    parts = 1 + customers.count() // CUSTOMERS_A_TASK
+    if parts > 1:  # else a small file makes all rows in one task
+        customers = customers.repartition(parts, "_c")
+    every = customers.select("_c", F.explode(F.from_json(F.lit(held), f"array<struct<{schema}>>")).alias("r")).select("_c", "r.*")
     for c in ids:
         own = lambda x: F.concat("_c", F.lit(":"), x)
         every = every.withColumn(c, F.transform(c, own) if isinstance(every.schema[c].dataType, ArrayType) else own(F.col(c)))

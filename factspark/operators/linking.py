@@ -62,10 +62,12 @@ def link_schema(requirements: DataFrame, cells: DataFrame) -> DataFrame:
     One cell left is RESOLVED, several are AMBIGUOUS, none is one UNRESOLVED row
     with a null cell_id.
     """
-    sizes = cells.groupBy("question_id", "table_id").agg(F.count("*").alias("cells"))
-    sized = cells.join(sizes, ["question_id", "table_id"])
-    asked = requirements.select("question_id", "requirement_id", F.col("metric").alias("m"), F.col("period").alias("p"))
-    met = asked.join(sized, "question_id").filter("(m is null or m = metric) and (p is null or p = period)")
+    # tables of one question lie together, so that their sizes and the join need no second shuffle; no estimate of Spark's may send either side to the driver
+    per_table = F.count("*").over(W.partitionBy("question_id", "table_id"))
+    sized = cells.filter("table_id is not null").repartition("question_id").withColumn("cells", per_table).withColumn("found", F.lit(True))
+    asked = requirements.select("question_id", "requirement_id", F.col("metric").alias("m"), F.col("period").alias("p")).alias("a")
+    same = (F.col("a.question_id") == F.col("c.question_id")) & (F.col("m").isNull() | (F.col("m") == F.col("metric"))) & (F.col("p").isNull() | (F.col("p") == F.col("period")))
+    met = asked.join(sized.hint("merge").alias("c"), same, "left").drop(F.col("c.question_id"))
     one = W.partitionBy("question_id", "requirement_id")
     met = met.withColumn("year", F.coalesce(F.col("report_year").cast("string") == F.substring("p", 1, 4), F.lit(False)))
     met = met.withColumn("years", F.max("year").over(one)).filter(F.col("year") == F.col("years"))
@@ -74,9 +76,8 @@ def link_schema(requirements: DataFrame, cells: DataFrame) -> DataFrame:
     met = met.withColumn("single", ends("report_id") & ends("value") & (F.count("value").over(one) == F.count("*").over(one)))
     order = one.orderBy(F.coalesce(F.col("table_class") != "INCOME_STATEMENT", F.lit(True)), F.desc("cells"), "cell_id")
     met = met.withColumn("at", F.row_number().over(order)).filter(~F.coalesce("single", F.lit(False)) | (F.col("at") == 1))
-    met = met.withColumn("left", F.count("*").over(one)).select("question_id", "requirement_id", "cell_id", F.when(F.col("left") == 1, "RESOLVED").otherwise("AMBIGUOUS").alias("status"))
-    keys = ["question_id", "requirement_id"]
-    return requirements.select(*keys).join(met, keys, "left").select(*keys, "cell_id", F.coalesce("status", F.lit("UNRESOLVED")).alias("status"))
+    status = F.when(F.col("found").isNull(), "UNRESOLVED").when(F.count("*").over(one) == 1, "RESOLVED").otherwise("AMBIGUOUS")
+    return met.select("question_id", "requirement_id", "cell_id", status.alias("status"))
 
 
 def only_match(matches: Sequence[tuple[str, Column]]) -> Column:

@@ -47,3 +47,12 @@ def test_only_match_of_null_and_two_is_null(spark):
     rows = spark.createDataFrame([("ab",), ("a",), (None,)], "x string")
     got = rows.select(L.only_match([("A", F.col("x").contains("a")), ("B", F.col("x").contains("b"))])).collect()
     assert [r[0] for r in got] == [None, "A", None]
+
+
+def test_schema_link_sends_no_side_to_the_driver(spark):
+    """However small Spark believes the cells to be: rows that are made from a file are taken for its size."""
+    asked = spark.createDataFrame([("q", "1", "NET", "2023")], "question_id string, requirement_id string, metric string, period string")
+    cells = spark.createDataFrame([("q", "a", "T", "r", 2023, None, "NET", "2023", 5.0), ("q", "b", None, "r", 2023, None, "NET", "2023", 6.0)], CELLS)
+    got = L.link_schema(asked, cells)
+    assert [tuple(r) for r in got.collect()] == [("q", "1", "a", "RESOLVED")]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
