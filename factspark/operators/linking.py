@@ -22,15 +22,17 @@ def candidate_hints(candidates: DataFrame, hints: DataFrame, links: DataFrame) -
     """
     table, text = candidates.filter("source_type = 'TABLE'"), candidates.filter("source_type = 'TEXT'")
     kind = F.col("kind")
+    # all sides grow with the reports: none may be taken for small and sent to the driver
+    links = links.hint("merge")
     by_ref = hints.select(F.col("source_ref").alias("ref"), "hint_id", "kind")
     own = [
-        table.select("candidate_id", F.explode("cells").alias("ref")).join(by_ref.filter(kind.isin("HEADER", "CELL")), "ref"),
-        table.select("candidate_id", F.col("table_id").alias("ref")).join(by_ref.filter(kind == "CAPTION"), "ref"),
-        text.select("candidate_id", F.col("paragraph_id").alias("ref")).join(by_ref.filter(kind == "TEXT"), "ref"),
+        table.select("candidate_id", F.explode("cells").alias("ref")).join(by_ref.filter(kind.isin("HEADER", "CELL")).hint("merge"), "ref"),
+        table.select("candidate_id", F.col("table_id").alias("ref")).join(by_ref.filter(kind == "CAPTION").hint("merge"), "ref"),
+        text.select("candidate_id", F.col("paragraph_id").alias("ref")).join(by_ref.filter(kind == "TEXT").hint("merge"), "ref"),
     ]
     other = [
-        table.select("candidate_id", "table_id").join(links, "table_id").select("candidate_id", F.col("paragraph_id").alias("ref")).join(by_ref.filter(kind == "TEXT"), "ref"),
-        text.select("candidate_id", "paragraph_id").join(links, "paragraph_id").select("candidate_id", "table_id").join(hints.filter(kind != "TEXT").select("table_id", "hint_id"), "table_id"),
+        table.select("candidate_id", "table_id").join(links, "table_id").select("candidate_id", F.col("paragraph_id").alias("ref")).join(by_ref.filter(kind == "TEXT").hint("merge"), "ref"),
+        text.select("candidate_id", "paragraph_id").join(links, "paragraph_id").select("candidate_id", "table_id").join(hints.filter(kind != "TEXT").select("table_id", "hint_id").hint("merge"), "table_id"),
     ]
     named = [df.select("candidate_id", "hint_id", F.lit(name).alias("association")) for name, part in (("DIRECT", own), ("LINKED", other)) for df in part]
     return reduce(DataFrame.unionByName, named).distinct()
@@ -40,7 +42,7 @@ def narrative_tables(candidates: DataFrame, links: DataFrame) -> DataFrame:
     """TEXT candidates (candidate_id, paragraph_id) with table_ids, the sorted distinct tables that their paragraph is linked to; empty if none."""
     text = candidates.filter("source_type = 'TEXT'")
     named = links.groupBy("paragraph_id").agg(F.array_sort(F.collect_set("table_id")).alias("table_ids"))  # of one paragraph
-    return text.join(named, "paragraph_id", "left").select("candidate_id", F.coalesce("table_ids", F.array().cast("array<string>")).alias("table_ids"))
+    return text.join(named.hint("merge"), "paragraph_id", "left").select("candidate_id", F.coalesce("table_ids", F.array().cast("array<string>")).alias("table_ids"))
 
 
 def match_basis(metric: Column, period: Column, row_labels: Column, column_labels: Column) -> Column:

@@ -56,3 +56,11 @@ def test_schema_link_sends_no_side_to_the_driver(spark):
     got = L.link_schema(asked, cells)
     assert [tuple(r) for r in got.collect()] == [("q", "1", "a", "RESOLVED")]
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hints_send_no_side_to_the_driver(spark):
+    candidates = spark.createDataFrame([("t", "TABLE", "T1", None, ["c1"]), ("p", "TEXT", None, "P1", None)], "candidate_id string, source_type string, table_id string, paragraph_id string, cells array<string>")
+    hints = spark.createDataFrame([("h1", "c1", "T1", "CELL"), ("h2", "P1", None, "TEXT")], "hint_id string, source_ref string, table_id string, kind string")
+    got = L.candidate_hints(candidates, hints, spark.createDataFrame([("T1", "P1")], "table_id string, paragraph_id string"))
+    assert sorted(map(tuple, got.collect())) == [("p", "h1", "LINKED"), ("p", "h2", "DIRECT"), ("t", "h1", "DIRECT"), ("t", "h2", "LINKED")]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
