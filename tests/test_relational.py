@@ -30,3 +30,13 @@ def test_search_filters_before_the_ranking(spark, tmp_path):
         got.setdefault(r.query_id, []).append((r["rank"], r.doc_id))
     assert sorted(got[1]) == [(1, 1), (2, 6)] and len(got[2]) == 2 and set(got) == {1, 2}
     assert 2 in {r.doc_id for r in T.search_index(f"{tmp_path}/i", asked, 9).filter("query_id = 2").collect()}
+
+
+def test_rows_of_customers_are_made_in_many_tasks(spark, monkeypatch):
+    from factspark import catalog_statements as C
+    from factspark.catalog import Tables
+
+    monkeypatch.setattr(C, "CUSTOMERS_A_TASK", 50, raising=False)
+    rows = C.per_customer(Tables(spark, "/root/testdata/sf0.001"), [("a", 1), ("b", 2)], "k string, n int", "k")
+    sizes = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sum(sizes) == 300 and max(sizes) < 200
