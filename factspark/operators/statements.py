@@ -93,7 +93,7 @@ def as_costs(lines: DataFrame) -> DataFrame:
     probe = (F.col("statement") == "B02") & F.col("code").isin(*PROBES) & (F.col("col") == "current") & (F.col("value") != 0)
     habit = lines.filter(probe).groupBy("report_id").agg((F.count_if(F.col("value") < 0) * 2 > F.count("*")).alias("flipped")).filter("flipped")
     turn = F.col("flipped").isNotNull() & (F.col("statement") == "B02") & F.col("code").isin(*EXPENSES)
-    return lines.join(habit, "report_id", "left").withColumn("value", F.when(turn, -F.col("value")).otherwise(F.col("value"))).drop("flipped")
+    return lines.join(habit.hint("merge"), "report_id", "left").withColumn("value", F.when(turn, -F.col("value")).otherwise(F.col("value"))).drop("flipped")
 
 
 def check_identities(lines: DataFrame) -> DataFrame:
@@ -102,17 +102,18 @@ def check_identities(lines: DataFrame) -> DataFrame:
     An absent part counts as zero; MISSING without the total or without any part.
     """
     rules = lines.sparkSession.createDataFrame(identity_terms(), "identity string, checked string, statement string, code string, sign int, col string")
-    reports = lines.select("report_id").distinct()
-    names = rules.select("identity", "checked").distinct()
-    met = as_costs(lines).join(F.broadcast(rules), ["statement", "code", "col"])  # 35 checks of at most eight terms
+    names = [F.struct(F.lit(i).alias("identity"), F.lit(c).alias("checked")) for i, c in sorted({(i, c) for i, c, *_ in identity_terms()})]
+    met = as_costs(lines).join(F.broadcast(rules), ["statement", "code", "col"], "left")  # 35 checks of at most eight terms
     total, part = F.col("sign") == 0, F.col("sign") != 0
     sums = met.groupBy("report_id", "identity", "checked").agg(
         F.max(F.when(total, F.col("value"))).alias("total"), F.sum(F.when(part, F.col("sign") * F.col("value"))).alias("parts"), F.max("unit").alias("unit")
     )
-    every = reports.crossJoin(F.broadcast(names)).join(sums, ["report_id", "identity", "checked"], "left")
     off = F.abs(F.col("parts") - F.col("total"))
     status = F.when(F.col("total").isNull() | F.col("parts").isNull(), "MISSING").when(off <= 2 * F.col("unit") + F.abs(F.col("total")) * 1e-9, "PASS").otherwise("FAIL")
-    return every.select("report_id", "identity", F.col("checked").alias("col"), status.alias("status"))
+    # the few checks of one report in one row, so that those without lines need no join of every report with every check
+    told = sums.groupBy("report_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("identity").isNotNull(), F.struct(F.struct("identity", "checked"), status.alias("status"))))).alias("m"))
+    every = told.select("report_id", "m", F.explode(F.array(*names)).alias("n"))
+    return every.select("report_id", "n.identity", F.col("n.checked").alias("col"), F.coalesce(F.try_element_at("m", "n"), F.lit("MISSING")).alias("status"))
 
 
 def guard(metrics: DataFrame, rules: Sequence[tuple[str, str, dict[str, int]]] = QUALITY, unit: float = 1.0) -> DataFrame:

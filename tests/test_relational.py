@@ -40,3 +40,15 @@ def test_rows_of_customers_are_made_in_many_tasks(spark, monkeypatch):
     rows = C.per_customer(Tables(spark, "/root/testdata/sf0.001"), [("a", 1), ("b", 2)], "k string, n int", "k")
     sizes = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
     assert sum(sizes) == 300 and max(sizes) < 200
+
+
+def test_identities_join_no_report_with_every_check(spark):
+    from factspark.operators import statements as M
+
+    lines = spark.createDataFrame([("r", "B02", "20", "current", 6.0, 1), ("r", "B02", "10", "current", 10.0, 1), ("r", "B02", "11", "current", -4.0, 1), ("s", "B09", "1", "current", 1.0, 1)], "report_id string, statement string, code string, col string, value double, unit int")
+    got = M.check_identities(lines)
+    told = got.groupBy("report_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "MISSING").alias("none"))
+    names = {(i, c) for i, c, *_ in M.identity_terms()}
+    assert {r.report_id: (r.n, r.none) for r in told.collect()} == {"r": (len(names), len(names) - 1), "s": (len(names), len(names))}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
