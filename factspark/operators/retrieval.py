@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .relational import top_n
 
@@ -68,15 +73,80 @@ def search_index(index: str, queries: DataFrame, k: int, where: Column | None =
     return top_n(best, ["query_id"], k, F.desc("score"), F.col("doc_id"))
 
 
+#: Rows and queries that meet in one task of vector_search(), and queries scored at once there.
+VECTORS_A_BLOCK, QUERIES_A_BLOCK, STRIP = 8192, 4096, 128
+
+
+def _plain(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, matrix): the vectors of the commonest length whose components are all finite numbers."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(vectors), -1))
+    flat = np.asarray(pc.fill_null(pc.cast(pc.list_flatten(vectors), pa.float64()), np.nan), dtype=np.float64)
+    width = np.bincount(sizes[sizes > 0]).argmax() if (sizes > 0).any() else 0
+    starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+    rows = np.flatnonzero(sizes == width) if width else np.empty(0, dtype=np.int64)
+    matrix = flat[starts[rows][:, None] + np.arange(width)] if len(rows) else np.empty((0, width))
+    fine = np.isfinite(matrix).all(axis=1)
+    return rows[fine], matrix[fine]
+
+
+def _best_of_block(k: int, schema: pa.Schema):
+    """The k best rows of a block for each of its queries. A product of matrices leaves out what is surely behind; the rest are scored term by term, as dot() does."""
+
+    def exact(a: list | None, b: list | None) -> float | None:
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return None
+        return float(sum((float(x) * float(y) for x, y in zip(a, b)), 0.0))
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        place = np.empty(len(rows), dtype=np.int64)
+        place[np.asarray(pc.sort_indices(rows["vec_id"]))] = np.arange(len(rows))  # ties go to smaller ids
+        vs, qs = (t["v"].combine_chunks() if len(t) else pa.array([], t.schema.field("v").type) for t in (rows, queries))
+        (vi, v), (qi, q) = _plain(vs), _plain(qs)
+        if v.shape[1] != q.shape[1]:
+            vi, v, qi, q = vi[:0], v[:0], qi[:0], q[:0]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        reach = np.sqrt((v * v).sum(axis=1).max(initial=0.0)) * np.sqrt((q * q).sum(axis=1)) * (4 * max(1, v.shape[1]) * np.finfo(float).eps)
+        for at in range(0, len(q) if len(v) else 0, STRIP):
+            part = q[at : at + STRIP]
+            near = part @ v.T
+            least = np.partition(near, -k, axis=1)[:, -k] if len(v) > k else np.full(len(part), -np.inf)
+            who, row = np.nonzero(near >= (least - reach[at : at + STRIP])[:, None])
+            score = np.zeros(len(who))
+            for c in range(v.shape[1]):
+                score += v[row, c] * part[who, c]
+            order = np.lexsort((place[vi[row]], -score, who))
+            who, row, score = who[order], row[order], score[order]
+            first = np.arange(len(who)) - np.searchsorted(who, who) < k
+            found.append((qi[at + who[first]], vi[row[first]], score[first]))
+        out = [pa.table([queries["query_id"].take(pa.array(a)), rows["vec_id"].take(pa.array(b)), pa.array(s, pa.float64())], schema=schema) for a, b, s in found]
+        # what holds no number, none that is finite, or another length: pair by pair
+        odd_v, odd_q = np.setdiff1d(np.arange(len(rows)), vi), np.setdiff1d(np.arange(len(queries)), qi)
+        pairs = [(a, b) for a in qi for b in odd_v] + [(a, b) for a in odd_q for b in range(len(rows))]
+        if pairs:
+            a, b = (pa.array(x, pa.int64()) for x in zip(*pairs))
+            scores = pa.array([exact(vs[int(y)].as_py(), qs[int(x)].as_py()) for x, y in pairs], pa.float64())
+            out.append(pa.table([queries["query_id"].take(a), rows["vec_id"].take(b), scores], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    return run
+
+
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k largest inner products of every query with all rows.
+    """(query_id, rank, vec_id, score): the k largest inner products of every query (query_id, q) with all rows.
 
-    The stated queries (query_id, q) are a bounded set and go to every task; Spark
-    keeps a task's own k best of a query before anything is shuffled.
+    Blocks of rows meet blocks of queries, a group each, so that a task's memory
+    doesn't grow with either table; of a block only its k best rows go on.
     """
-    asked = F.broadcast(queries.select("query_id", "q"))  # a stated, bounded query set
-    scored = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("_v")).join(asked, F.lit(True)).select("query_id", "vec_id", dot(F.col("_v"), F.col("q")).alias("score"))
-    return top_n(scored, ["query_id"], k, F.desc("score"), F.col("vec_id"))
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"))
+    asked = queries.select("query_id", F.col("q").alias("v"))
+    down, across = 1 + rows.count() // VECTORS_A_BLOCK, 1 + asked.count() // QUERIES_A_BLOCK
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = rows.select("*", dealt("vec_id", down).alias("_down"), every(across).alias("_across"))
+    asked = asked.select("*", every(down).alias("_down"), dealt("query_id", across).alias("_across"))
+    fields = StructType([StructField("query_id", asked.schema["query_id"].dataType), StructField("vec_id", rows.schema["vec_id"].dataType), StructField("score", DoubleType())])
+    blocks = rows.groupBy("_down", "_across").cogroup(asked.groupBy("_down", "_across"))
+    return top_n(blocks.applyInArrow(_best_of_block(k, to_arrow_schema(fields)), fields), ["query_id"], k, F.desc("score"), F.col("vec_id"))
 
 
 def checked_ranks(ranked: DataFrame, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
@@ -100,7 +170,10 @@ DEPTH = 5
 
 
 def hybrid(lexical: DataFrame, semantic: DataFrame, relevance: DataFrame, k: int) -> DataFrame:
-    """Fused candidates of both lists at DEPTH times k, ordered anew by relevance (query_id, doc_id, logit): query_id, rank, doc_id, logit, rrf."""
+    """Fused candidates of both lists at DEPTH times k, ordered anew by relevance (query_id, doc_id, logit): query_id, rank, doc_id, logit, rrf.
+
+    Without a query_id, relevance is that of a document to every query.
+    """
     deep = [r.filter(F.col("rank") <= DEPTH * k) for r in (lexical, semantic)]
     near = fused(deep, DEPTH * k).withColumnRenamed("score", "rrf").drop("rank")
-    return top_n(near.join(relevance, ["query_id", "doc_id"]), ["query_id"], k, F.desc("logit"), F.desc("rrf"), F.col("doc_id"))
+    return top_n(near.join(relevance, [c for c in ("query_id", "doc_id") if c in relevance.columns]), ["query_id"], k, F.desc("logit"), F.desc("rrf"), F.col("doc_id"))

@@ -52,3 +52,27 @@ def test_identities_join_no_report_with_every_check(spark):
     assert {r.report_id: (r.n, r.none) for r in told.collect()} == {"r": (len(names), len(names) - 1), "s": (len(names), len(names))}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_vector_search_over_blocks(spark, monkeypatch):
+    """Copies at the border, nulls, other lengths and infinities, over several blocks of rows and of queries; no nested loop."""
+    import math
+
+    monkeypatch.setattr(T, "VECTORS_A_BLOCK", 7, raising=False)
+    monkeypatch.setattr(T, "QUERIES_A_BLOCK", 2, raising=False)
+    big = 2**60
+    rows = [(big + i, [float(i % 5), 0.1 * (i % 3)]) for i in range(40)] + [(1, None), (2, [1.0]), (3, [None, 1.0]), (4, [math.inf, 1.0]), (5, [math.nan, 0.0])]
+    asked = [(big + 1, [1.0, 0.3]), (big + 2, [-1.0, 0.7]), (3, [0.0, 0.0]), (4, None), (5, [2.0])]
+    v, q = spark.createDataFrame(rows, "vec_id long, embedding array<float>"), spark.createDataFrame(asked, "query_id long, q array<float>")
+    got = T.vector_search(v, q, 4)
+    scored = v.crossJoin(q).select("query_id", "vec_id", T.dot(F.col("embedding"), F.col("q")).alias("score"))
+    want = R.top_n(scored, ["query_id"], 4, F.desc("score"), F.col("vec_id"))
+    told = lambda df: sorted((r.query_id, r.rank, r.vec_id, str(r.score)) for r in df.collect())
+    assert told(got) == told(want) and got.count() == 20
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_relevance_of_a_document_to_every_query(spark):
+    lists = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (2, 6, 1)], "query_id long, doc_id long, rank int")
+    out = T.hybrid(lists, lists, spark.createDataFrame([(5, 0.1), (6, 0.9)], "doc_id long, logit double"), 2)
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in out.collect()) == [(1, 1, 6), (1, 2, 5), (2, 1, 6)]
