@@ -9,6 +9,7 @@ from .catalog import query
 from .functions import scalar as S
 from .operators import documents as D
 from .operators import layout as Y
+from .sources.scratch import stored
 
 #: Heads of statements() by the customer's number: named periods, a span over years, code column first, none (a page that goes on).
 HEADS = [
@@ -40,7 +41,8 @@ def statements(t) -> DataFrame:
 
 
 def statement_cells(t) -> DataFrame:
-    return Y.cells(D.slots(D.pages(statements(t))))
+    """Written once, since the queries read cells several times, and as it is then no estimate of the parser's rows is needed."""
+    return stored(Y.cells(D.slots(D.pages(statements(t)))), "cells")
 
 
 WHO = "(SELECT *, o_custkey % 3 AS kind, o_custkey % 4 = 0 AND o_orderkey % 2 = 0 AS more FROM orders)"
@@ -82,4 +84,4 @@ def doc_table_chunks(t):
     c = statement_cells(t)
     key = F.max(F.regexp_extract("text", r"^Đơn hàng .* (\d+)$", 1).try_cast("long"))
     rows = c.groupBy(*Y.TABLE, "row").agg(key.alias("o_orderkey"))
-    return Y.table_chunks(c, 40).join(rows.filter("o_orderkey IS NOT NULL"), [*Y.TABLE, "row"]).select("report_id", "page_index", "o_orderkey", "chunk")
+    return Y.table_chunks(c, 40).join(rows.filter("o_orderkey IS NOT NULL").hint("merge"), [*Y.TABLE, "row"]).select("report_id", "page_index", "o_orderkey", "chunk")

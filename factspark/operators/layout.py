@@ -43,14 +43,14 @@ def body(cells: DataFrame) -> DataFrame:
     counts = rows.groupBy(*TABLE, "width").agg(F.count("*").alias("n"))
     every = W.partitionBy(*TABLE)
     common = counts.withColumn("share", F.col("n") / F.sum("n").over(every)).withColumn("place", F.row_number().over(every.orderBy(F.desc("n"), "width")))
-    return rows.join(common.filter((F.col("place") == 1) & (F.col("share") >= DOMINANT)).select(*TABLE, "width"), [*TABLE, "width"])
+    return rows.join(common.filter((F.col("place") == 1) & (F.col("share") >= DOMINANT)).select(*TABLE, "width").hint("merge"), [*TABLE, "width"])
 
 
 def bands(cells: DataFrame, body: DataFrame) -> DataFrame:
     """The cells of each table's header band: rows from the top, without a gap, that have text over the columns of figures."""
-    first = body.groupBy(*TABLE).agg(F.min("row").alias("first"), F.min("width").alias("width"))
-    figures = cells.filter("figure").join(body.select(*TABLE, "row"), [*TABLE, "row"], "left_semi").groupBy(*TABLE).agg(F.collect_set("column").alias("data"))  # columns of one table
-    named = cells.join(first.join(figures, TABLE), TABLE).filter("row < first AND text <> ''")
+    first = body.groupBy(*TABLE).agg(F.min("row").alias("first"), F.min("width").alias("width")).hint("merge")
+    figures = cells.filter("figure").join(body.select(*TABLE, "row").hint("merge"), [*TABLE, "row"], "left_semi").groupBy(*TABLE).agg(F.collect_set("column").alias("data"))  # columns of one table
+    named = cells.join(first.join(figures, TABLE).hint("merge"), TABLE).filter("row < first AND text <> ''")
     label = (F.col("across") > 1) | (S.parse_number(F.col("text"))[0] == "NOT_NUMERIC") | P.period_label(F.col("text")).isNotNull()
     over = F.exists("data", lambda c: (c >= F.col("column")) & (c < F.col("column") + F.col("across")))
     ranked = named.filter(over & label).withColumn("seen", F.dense_rank().over(W.partitionBy(*TABLE).orderBy("row")))
@@ -105,7 +105,7 @@ def layouts(cells: DataFrame, year: Column, carry: bool = True) -> DataFrame:
     right (INHERITED). The code column is named so or holds codes in most filled
     body cells; labels are the other columns left of the first value.
     """
-    rows = body(cells).groupBy(*TABLE).agg(F.min("row").alias("first"))
+    rows = body(cells).groupBy(*TABLE).agg(F.min("row").alias("first")).hint("merge")
     sized = cells.groupBy(*TABLE).agg(F.max(F.col("column") + F.col("across")).alias("width"))
     spread = cells.join(rows, TABLE).withColumn("_year", year).withColumn("at", F.explode(F.sequence("column", F.col("column") + F.col("across") - 1)))
     head, filled = F.col("row") < F.col("first"), (F.col("row") >= F.col("first")) & (F.col("text") != "")
@@ -122,7 +122,7 @@ def layouts(cells: DataFrame, year: Column, carry: bool = True) -> DataFrame:
         pick(F.col("coded") & none & (F.col("n") > 0) & ~F.col("note")).alias("coded"), pick(F.col("note") & none).alias("notes"), F.array_sort(F.collect_list("at")).alias("all"),
     )
     one = lambda a: F.when(F.size(a) == 1, F.col(a)[0])
-    told = by_table.join(sized, TABLE).withColumn("code", F.coalesce(F.try_element_at("named", F.lit(1)), F.try_element_at("coded", F.lit(1))))
+    told = by_table.join(sized.hint("merge"), TABLE).withColumn("code", F.coalesce(F.try_element_at("named", F.lit(1)), F.try_element_at("coded", F.lit(1))))
     own = told.withColumn("own", F.when(F.size("currents") == 1, F.struct((F.col("width") - F.col("currents")[0]).alias("current"), (F.col("width") - one("priors")).alias("prior"))))
     before = F.last("own", ignorenulls=True).over(W.partitionBy("report_id").orderBy("page_index", "table_index").rowsBetween(W.unboundedPreceding, -1))  # the tables of one report
     silent = (F.size("currents") == 0) & (F.size("priors") == 0)
@@ -141,8 +141,8 @@ def lines(cells: DataFrame, found: DataFrame) -> DataFrame:
 
     A cell that is merged over value columns is no single period's figure.
     """
-    rows = body(cells).groupBy(*TABLE).agg(F.min("row").alias("first"))
-    placed = cells.join(rows, TABLE).filter(F.col("row") >= F.col("first")).join(found.filter("current IS NOT NULL"), TABLE)
+    rows = body(cells).groupBy(*TABLE).agg(F.min("row").alias("first")).hint("merge")
+    placed = cells.join(rows, TABLE).filter(F.col("row") >= F.col("first")).join(found.filter("current IS NOT NULL").hint("merge"), TABLE)
     at = lambda role: F.max(F.when((F.col("column") == F.col(role)) & (F.col("across") == 1), F.col("text")))
     label = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.array_contains("labels", F.col("column")) & (F.col("text") != ""), F.struct("column", "text")))), lambda x: x["text"]), " ")
     out = placed.groupBy(*TABLE, "row").agg(label.alias("label"), at("code").alias("code"), at("note").alias("note"), at("current").alias("current"), at("prior").alias("prior"))
@@ -204,11 +204,11 @@ def table_chunks(cells: DataFrame, most: int) -> DataFrame:
     `most` or more leaves one token a chunk). Every token of the body is in one
     chunk. A table without a body is all body.
     """
-    rows = body(cells).groupBy(*TABLE).agg(F.min("row").alias("first"))
+    rows = body(cells).groupBy(*TABLE).agg(F.min("row").alias("first")).hint("merge")
     tokens = F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1))
     sized = cells.join(rows, TABLE, "left").withColumn("n", tokens)
     head = F.sum(F.when(F.col("row") < F.coalesce("first", F.lit(0)), F.col("n")).otherwise(0))
     by_row = sized.filter(F.col("row") >= F.coalesce("first", F.lit(0))).groupBy(*TABLE, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("column", "n"))), lambda x: x["n"]).alias("sizes"))
-    tables = by_row.groupBy(*TABLE).agg(F.collect_list(F.struct("row", "sizes")).alias("rows")).join(sized.groupBy(*TABLE).agg(head.alias("head")), TABLE)  # the sizes of one table
+    tables = by_row.groupBy(*TABLE).agg(F.collect_list(F.struct("row", "sizes")).alias("rows")).join(sized.groupBy(*TABLE).agg(head.alias("head")).hint("merge"), TABLE)  # the sizes of one table
     out = tables.select(*TABLE, F.explode(F.pandas_udf(_chunks(most), "array<struct<chunk: int, row: int, first: int, last: int, from: int, until: int>>")("rows", "head")).alias("c"))
     return out.select(*TABLE, "c.*")
