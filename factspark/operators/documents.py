@@ -1,7 +1,7 @@
 """From raw report text to pages, tables, cells, grids and facts.
 
 Pages and paragraphs are split by JVM expressions; tables need a tag scanner, so
-that step runs as mapInPandas over one page a row.
+that step runs as mapInArrow over one page a row.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,33 +97,54 @@ class _Cells(HTMLParser):
 
 def grid(cells: list[list]) -> list[tuple[int, int, int]] | None:
     """(row, column, cell) of every slot: cells go to the first free column of their row and cover their spans; None where spans overlap."""
-    taken: dict[tuple[int, int], int] = {}
+    rows: dict[int, dict[int, int]] = {}
+    free: dict[int, int] = {}  # no free column of the row lies before
     for i, (row, _, down, across, _) in enumerate(cells):
-        column = 0
-        while (row, column) in taken:
+        own = rows.setdefault(row, {})
+        column = free.get(row, 0)
+        while column in own:
             column += 1
-        slots = [(r, c) for r in range(row, row + down) for c in range(column, column + across)]
-        if any(s in taken for s in slots):
-            return None
-        taken |= dict.fromkeys(slots, i)
-    return sorted((r, c, i) for (r, c), i in taken.items())
-
-
-def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        out = []
-        for report, page, text in zip(f["report_id"], f["page_index"], f["content"]):
+        free[row] = column
+        for r in range(row, row + down):
+            taken = rows.setdefault(r, {})
+            for c in range(column, column + across):
+                if c in taken:
+                    return None
+                taken[c] = i
+    return [(r, c, i) for r in sorted(rows) for c, i in sorted(rows[r].items())]
+
+
+#: Slots that the parser gives on at once.
+SLOTS_A_BATCH = 20_000
+
+
+def _slots_of(text: str, start: int, end: int, closed: bool) -> Iterator[tuple[str, int, int, int, str, bool, bool]]:
+    """(status, row, column, cell, text, header, anchor) of the slots of one table."""
+    parser = _Cells()
+    parser.feed(text[start:end])
+    parser.close()
+    placed = grid(parser.cells)
+    status = "OVERLAP" if placed is None else "RECOVERED" if parser.issues or not closed else "PARSED"
+    heads = {r for r, *_ in parser.cells} - {r for r, _, _, _, head in parser.cells if not head}
+    for r, c, i in placed or ():
+        yield status, r, c, i, parser.cells[i][1], r in heads, r == parser.cells[i][0]
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A page is a Python text only while it is parsed, and its slots go on in parts."""
+    schema = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]]) for c in SLOTS.split(", ")])
+    out: list[tuple] = []
+    for batch in batches:
+        for report, page, content in zip(*(batch.column(c) for c in ("report_id", "page_index", "content"))):
+            report, page, text = report.as_py(), page.as_py(), content.as_py()
             for number, (start, end, closed) in enumerate(table_ranges(text)):
-                parser = _Cells()
-                parser.feed(text[start:end])
-                parser.close()
-                slots = grid(parser.cells)
-                status = "OVERLAP" if slots is None else "RECOVERED" if parser.issues or not closed else "PARSED"
-                heads = {r for r, *_ in parser.cells} - {r for r, _, _, _, head in parser.cells if not head}
-                for r, c, i in slots or []:
-                    row, cell, down, across, head = parser.cells[i]
-                    out.append((report, page, number, status, r, c, i, cell, r in heads, r == row))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in SLOTS.split(", ")])
+                for slot in _slots_of(text, start, end, closed):
+                    out.append((report, page, number, *slot))
+                    if len(out) == SLOTS_A_BATCH:
+                        yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+                        out = []
+    if out:
+        yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
 
 SLOTS = "report_id string, page_index int, table_index int, status string, grid_row int, grid_column int, cell int, text string, header boolean, anchor boolean"
@@ -131,7 +152,7 @@ SLOTS = "report_id string, page_index int, table_index int, status string, grid_
 
 def slots(paged: DataFrame) -> DataFrame:
     """One row a grid slot of every table of the pages; merged cells fill all their slots. header: the row has header cells only."""
-    return paged.filter(F.col("content").rlike("(?i)<\\s*table")).select(F.col("report_id").cast("string").alias("report_id"), "page_index", "content").mapInPandas(_parsed, SLOTS)
+    return paged.filter(F.col("content").rlike("(?i)<\\s*table")).select(F.col("report_id").cast("string").alias("report_id"), "page_index", "content").mapInArrow(_parsed, SLOTS)
 
 
 TABLE = ["report_id", "page_index", "table_index"]

@@ -92,3 +92,24 @@ def test_chunks_hold_every_token_once_within_the_budget(seed):
         whole = [p for p in (before[-1], after[0]) if p[1] == 0 and p[2] == len(sizes[p[0]]) and (p[3], p[4]) == (0, sum(sizes[p[0]]))]
         if len(whole) == 2 and before[-1][0] != after[0][0]:
             assert head + sum(y - x for _, _, _, x, y in before) + sum(sizes[after[0][0]]) > most
+
+
+def test_lines_send_no_side_to_the_driver(spark):
+    """However small Spark believes the parsed tables to be."""
+    c = cells(spark, row("Item", "Năm nay", "Năm trước") + "".join(row(f"line {c}", f"1.234.56{i}", "5.000.000") for i, c in enumerate("abc")))
+    got = Y.lines(c, Y.layouts(c, F.lit(2024)))
+    assert got.count() == 3
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slots_go_on_in_parts(monkeypatch):
+    """Several pages and tables in parts of any size give the same slots, spans and statuses."""
+    import pyarrow as pa
+
+    text = f"<table>{row('a', 'b')}<tr><td rowspan=2>c</td><td>d</td></tr><tr><td>e</td></tr></table><table><tr><td>open"
+    pages = pa.record_batch({"report_id": ["r", "s"], "page_index": pa.array([0, 4], pa.int32()), "content": [text, text]})
+    whole = [tuple(r.values()) for b in D._parsed(iter([pages])) for r in b.to_pylist()]
+    monkeypatch.setattr(D, "SLOTS_A_BATCH", 3)
+    parts = list(D._parsed(iter([pages])))
+    assert [tuple(r.values()) for b in parts for r in b.to_pylist()] == whole and max(b.num_rows for b in parts) == 3
+    assert whole[:7] == [("r", 0, 0, "PARSED", *s) for s in [(0, 0, 0, "a", False, True), (0, 1, 1, "b", False, True), (1, 0, 2, "c", False, True), (1, 1, 3, "d", False, True), (2, 0, 2, "c", False, False), (2, 1, 4, "e", False, True)]] + [("r", 0, 1, "RECOVERED", 0, 0, 0, "open", False, True)]
