@@ -76,3 +76,10 @@ def test_relevance_of_a_document_to_every_query(spark):
     lists = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (2, 6, 1)], "query_id long, doc_id long, rank int")
     out = T.hybrid(lists, lists, spark.createDataFrame([(5, 0.1), (6, 0.9)], "doc_id long, logit double"), 2)
     assert sorted((r.query_id, r["rank"], r.doc_id) for r in out.collect()) == [(1, 1, 6), (1, 2, 5), (2, 1, 6)]
+
+
+def test_lines_of_a_flag_are_not_sorted_in_one_task(spark):
+    from factspark import catalog
+
+    got = catalog.queries()["jn_header_contain"](spark, "/root/testdata/sf0.001")
+    assert got.count() > 0 and "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
