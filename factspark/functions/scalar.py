@@ -1,4 +1,4 @@
-"""Scalar functions as column expressions; JVM-side but for Unicode normalisation, which Spark lacks."""
+"""Scalar functions as column expressions; JVM-side but for the normalisation of other than Latin text, which Spark lacks."""
 
 from __future__ import annotations
 
@@ -50,14 +50,38 @@ def _folded_in_place(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else "".join(map(one, x)))
 
 
+def _folded_char(c: str) -> str:
+    return "".join(d for d in unicodedata.normalize("NFKD", c) if not unicodedata.combining(d)).translate({0x111: "d", 0x110: "D"}).casefold()
+
+
+# Latin letters, marks and punctuation whose folding is one character or none, and what it is; folding goes character by character.
+_BLOCKS = [(0xA0, 0x250), (0x300, 0x370), (0x1E00, 0x1F00), (0x2000, 0x2070), (0x20A0, 0x20C0)]
+_LATIN = [c for a, b in _BLOCKS for c in map(chr, range(a, b)) if len(_folded_char(c)) < 2 and not c.isspace() and _folded_char(c).lower() == _folded_char(c)]
+_KEPT = [c for c in _LATIN if _folded_char(c)]
+_FROM, _TO = "".join(_KEPT) + "".join(c for c in _LATIN if not _folded_char(c)), "".join(map(_folded_char, _KEPT))
+_RUNS = [(a, next(b for b in range(ord(a), 0x110000) if chr(b + 1) not in _LATIN)) for a in _LATIN if chr(ord(a) - 1) not in _LATIN]
+_COVERED = "^[\\x00-\\x7F" + "".join(f"\\x{{{ord(a):X}}}-\\x{{{b:X}}}" for a, b in _RUNS) + "]*+\\z"
+_SPACES = r"[\t-\r\x1C-\x20]{2,}|[\t-\r\x1C-\x1F]"
+
+
 def normalize(text: Column) -> Column:
     """NFKC, HTML entities decoded until none is left, white space single; null stays null."""
     return _normalized(text)
 
 
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def left_to_python(text: Column) -> Column:
+    """Texts that hold other than Latin characters; null for the rest, so that Python gets no more than it must."""
+    return F.when(~_ascii(text), F.when(~text.rlike(_COVERED), text))
+
+
 def fold(text: Column) -> Column:
     """Case-folded text of compatibility characters without marks, single-spaced; đ is d."""
-    return _folded(text)
+    spaced = lambda c: F.trim(F.regexp_replace(F.lower(c), _SPACES, " "))
+    return F.when(_ascii(text), spaced(text)).when(text.rlike(_COVERED), spaced(F.translate(text, _FROM, _TO))).otherwise(_folded(left_to_python(text)))
 
 
 def fold_punct(text: Column) -> Column:

@@ -83,3 +83,14 @@ def test_lines_of_a_flag_are_not_sorted_in_one_task(spark):
 
     got = catalog.queries()["jn_header_contain"](spark, "/root/testdata/sf0.001")
     assert got.count() > 0 and "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fold_agrees_with_python_and_leaves_it_only_other_scripts(spark):
+    from factspark.functions import scalar as S
+
+    odd = [chr(c) for c in range(1, 0x2100)] + ["가", "漢", "ﬁ", "😀", "𝐀", "Đơn vị\t\x1c TÍNH", "ạ́ B", " x ", "", None]
+    df = spark.createDataFrame([(i, t if t is None else f"a{t}B") for i, t in enumerate(odd)], "i int, t string")
+    assert df.select(S.fold(F.col("t")).alias("a"), S._folded(F.col("t")).alias("b")).filter("NOT a <=> b").count() == 0
+    # what Python is given: nothing of Latin texts
+    given = spark.createDataFrame([("Đơn vị tính: triệu đồng",), ("plain text",), ("漢 ß",)], "t string").select(S.left_to_python(F.col("t")).alias("t"))
+    assert [r.t for r in given.collect()] == [None, None, "漢 ß"]
