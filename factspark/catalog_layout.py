@@ -42,7 +42,7 @@ def statements(t) -> DataFrame:
 
 def statement_cells(t) -> DataFrame:
     """Written once, since the queries read cells several times, and as it is then no estimate of the parser's rows is needed."""
-    return stored(Y.cells(D.slots(D.pages(statements(t)))), "cells")
+    return stored(Y.figures(D.spans(D.pages(statements(t)))), "cells")
 
 
 WHO = "(SELECT *, o_custkey % 3 AS kind, o_custkey % 4 = 0 AND o_orderkey % 2 = 0 AS more FROM orders)"

@@ -97,6 +97,9 @@ class _Cells(HTMLParser):
 
 def grid(cells: list[list]) -> list[tuple[int, int, int]] | None:
     """(row, column, cell) of every slot: cells go to the first free column of their row and cover their spans; None where spans overlap."""
+    if all(down == across == 1 for _, _, down, across, _ in cells):
+        starts: dict[int, int] = {}
+        return [(row, i - starts.setdefault(row, i), i) for i, (row, *_) in enumerate(cells)]
     rows: dict[int, dict[int, int]] = {}
     free: dict[int, int] = {}  # no free column of the row lies before
     for i, (row, _, down, across, _) in enumerate(cells):
@@ -114,32 +117,91 @@ def grid(cells: list[list]) -> list[tuple[int, int, int]] | None:
     return [(r, c, i) for r in sorted(rows) for c, i in sorted(rows[r].items())]
 
 
+#: Tags of a table that is read without the parser: closed, not nested, in lower case, its spans plain numbers, its texts without references.
+TAG = re.compile(r"""<(/?)(table|tr|td|th)((?: [a-z]+(?:=(?:[0-9]+|"[^"<&\s]*"))?)*)>""")
+SPANS = re.compile(r"""(?<= )(rowspan|colspan)(?:=(?:([0-9]+)|"([^"]*)"))?(?= |$)""")
+
+
+def plain_cells(text: str) -> list[list] | None:
+    """What _Cells reads from a plain table, faster; None for any other."""
+    parts = TAG.split(text)
+    data = "".join(parts[::4])
+    if "<" in data or "&" in data or parts[0] or parts[-1] or parts[1:3] != ["", "table"] or parts[-4:-2] != ["/", "table"] or parts[2::4].count("table") > 2:
+        return None
+    cells: list[list] = []
+    row = -1
+    for close, tag, given, inside in zip(parts[5:-4:4], parts[6:-4:4], parts[7:-4:4], parts[8:-4:4]):
+        if close:
+            if given or inside.strip():
+                return None
+        elif tag == "tr":
+            row += 1
+            if inside.strip():
+                return None
+        else:
+            row = max(row, 0)
+            down = across = 1
+            if given:
+                for name, number, quoted in SPANS.findall(given):
+                    number = number or quoted
+                    if not number.isascii() or not number.isdigit() or not 1 <= int(number) <= MOST_SPAN:
+                        return None
+                    down, across = (int(number), across) if name == "rowspan" else (down, int(number))
+            cells.append([row, inside, down, across, tag == "th"])
+    return cells
+
+
 #: Slots that the parser gives on at once.
 SLOTS_A_BATCH = 20_000
 
 
-def _slots_of(text: str, start: int, end: int, closed: bool) -> Iterator[tuple[str, int, int, int, str, bool, bool]]:
-    """(status, row, column, cell, text, header, anchor) of the slots of one table."""
+def _cells_of(text: str, closed: bool) -> tuple[str, list[list]]:
+    """(status, cells) of one table."""
+    cells = plain_cells(text) if closed else None
+    if cells is not None:
+        return "PARSED", cells
     parser = _Cells()
-    parser.feed(text[start:end])
+    parser.feed(text)
     parser.close()
-    placed = grid(parser.cells)
-    status = "OVERLAP" if placed is None else "RECOVERED" if parser.issues or not closed else "PARSED"
-    heads = {r for r, *_ in parser.cells} - {r for r, _, _, _, head in parser.cells if not head}
+    return "RECOVERED" if parser.issues or not closed else "PARSED", parser.cells
+
+
+def _slots_of(text: str, closed: bool) -> Iterator[tuple[str, int, int, int, str, bool, bool]]:
+    """(status, row, column, cell, text, header, anchor) of the slots of one table."""
+    status, cells = _cells_of(text, closed)
+    placed = grid(cells)
+    heads = {r for r, *_ in cells} - {r for r, _, _, _, head in cells if not head}
     for r, c, i in placed or ():
-        yield status, r, c, i, parser.cells[i][1], r in heads, r == parser.cells[i][0]
+        yield status, r, c, i, cells[i][1], r in heads, r == cells[i][0]
+
+
+def _spans_of(text: str, closed: bool) -> Iterator[tuple[int, int, int, int, int, str]]:
+    """(cell, row, column, down, across, text) of the cells of one table."""
+    _, cells = _cells_of(text, closed)
+    at: dict[int, tuple[int, int]] = {}
+    for r, c, i in grid(cells) or ():
+        at.setdefault(i, (r, c))
+    for i, (r, c) in sorted(at.items()):
+        yield i, r, c, cells[i][2], cells[i][3], cells[i][1]
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A page is a Python text only while it is parsed, and its slots go on in parts."""
-    schema = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]]) for c in SLOTS.split(", ")])
+SLOTS = "report_id string, page_index int, table_index int, status string, grid_row int, grid_column int, cell int, text string, header boolean, anchor boolean"
+
+
+
+ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+
+
+def _parsed(batches: Iterator[pa.RecordBatch], rows_of=_slots_of, names: str = SLOTS) -> Iterator[pa.RecordBatch]:
+    """A page is a Python text only while it is parsed, and its rows go on in parts."""
+    schema = pa.schema([(c.split()[0], ARROW[c.split()[1]]) for c in names.split(", ")])
     out: list[tuple] = []
     for batch in batches:
         for report, page, content in zip(*(batch.column(c) for c in ("report_id", "page_index", "content"))):
             report, page, text = report.as_py(), page.as_py(), content.as_py()
             for number, (start, end, closed) in enumerate(table_ranges(text)):
-                for slot in _slots_of(text, start, end, closed):
-                    out.append((report, page, number, *slot))
+                for row in rows_of(text[start:end], closed):
+                    out.append((report, page, number, *row))
                     if len(out) == SLOTS_A_BATCH:
                         yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
                         out = []
@@ -147,12 +209,21 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
 
-SLOTS = "report_id string, page_index int, table_index int, status string, grid_row int, grid_column int, cell int, text string, header boolean, anchor boolean"
+CELLS = "report_id string, page_index int, table_index int, cell int, row int, column int, down int, across int, text string"
+
+
+def _tables(paged: DataFrame) -> DataFrame:
+    return paged.filter(F.col("content").rlike("(?i)<\\s*table")).select(F.col("report_id").cast("string").alias("report_id"), "page_index", "content")
 
 
 def slots(paged: DataFrame) -> DataFrame:
     """One row a grid slot of every table of the pages; merged cells fill all their slots. header: the row has header cells only."""
-    return paged.filter(F.col("content").rlike("(?i)<\\s*table")).select(F.col("report_id").cast("string").alias("report_id"), "page_index", "content").mapInArrow(_parsed, SLOTS)
+    return _tables(paged).mapInArrow(_parsed, SLOTS)
+
+
+def spans(paged: DataFrame) -> DataFrame:
+    """One row a cell of every table of the pages, in place of its slots: (table, cell, row, column, down, across, text)."""
+    return _tables(paged).mapInArrow(lambda batches: _parsed(batches, _spans_of, CELLS), CELLS)
 
 
 TABLE = ["report_id", "page_index", "table_index"]

@@ -17,19 +17,26 @@ DOMINANT = 0.9
 CODED = 0.6
 #: What a line code looks like.
 CODE = "^[0-9]{2,3}[a-z]?$"
+#: The characters that a printed number may consist of; what has others is not read as one.
+NUMBER = r"^[\s\xA0]*[-+(]?[0-9][0-9.,\s\xA0]*[)]?[\s\xA0]*%?[\s\xA0]*$"
 # Folded header words of code and note columns.
 CODE_WORDS, NOTE_WORDS = ("ma so", "ma", "code"), ("thuyet minh", "note", "notes")
 
 
 def cells(slots: DataFrame) -> DataFrame:
     """One row a cell of slots(): its place, spans, trimmed text, and whether that is a figure: a number that is no period, in no column of line codes."""
-    placed = slots.groupBy(*TABLE, "cell").agg(F.min("grid_row").alias("row"), F.min("grid_column").alias("column"), (F.max("grid_row") - F.min("grid_row") + 1).alias("down"), (F.max("grid_column") - F.min("grid_column") + 1).alias("across"), F.first("text").alias("text"))
+    return figures(slots.groupBy(*TABLE, "cell").agg(F.min("grid_row").alias("row"), F.min("grid_column").alias("column"), (F.max("grid_row") - F.min("grid_row") + 1).alias("down"), (F.max("grid_column") - F.min("grid_column") + 1).alias("across"), F.first("text").alias("text")))
+
+
+def figures(placed: DataFrame) -> DataFrame:
+    """cells() of placed cells, such as documents.spans() reads."""
     text = F.trim(F.regexp_replace("text", r"\s+", " "))
     placed = placed.withColumn("text", text).withColumn("named", (F.col("row") < 8) & S.fold(F.col("text")).isin(*CODE_WORDS))
     column = W.partitionBy(*TABLE, "column")
     share = F.count_if(F.col("text").rlike(CODE)).over(column) >= CODED * F.count_if(F.col("text") != "").over(column)
     codes = share | F.max("named").over(column)
-    return placed.withColumn("figure", (S.parse_number(F.col("text"))[0] == "PARSED") & P.period_label(F.col("text")).isNull() & ~codes).drop("named")
+    printed = F.col("text").rlike(NUMBER) & (S.parse_number(F.col("text"))[0] == "PARSED") & P.period_label(F.col("text")).isNull()
+    return placed.withColumn("figure", ~codes & printed).drop("named")
 
 
 def body(cells: DataFrame) -> DataFrame:

@@ -113,3 +113,37 @@ def test_slots_go_on_in_parts(monkeypatch):
     parts = list(D._parsed(iter([pages])))
     assert [tuple(r.values()) for b in parts for r in b.to_pylist()] == whole and max(b.num_rows for b in parts) == 3
     assert whole[:7] == [("r", 0, 0, "PARSED", *s) for s in [(0, 0, 0, "a", False, True), (0, 1, 1, "b", False, True), (1, 0, 2, "c", False, True), (1, 1, 3, "d", False, True), (2, 0, 2, "c", False, False), (2, 1, 4, "e", False, True)]] + [("r", 0, 1, "RECOVERED", 0, 0, 0, "open", False, True)]
+
+
+def parser_alone(text):
+    p = D._Cells()
+    p.feed(text)
+    p.close()
+    return ("RECOVERED" if p.issues else "PARSED"), p.cells
+
+
+def test_plain_tables_are_read_as_by_the_parser():
+    r = random.Random(3)
+    pieces = ["<tr>", "</tr>", "<td>", "</td>", "<th>", "</th>", "<td colspan=2>", '<td rowspan="2" class="a">', "<td xrowspan=2>", "<td rowspan>", "<td colspan=x>", "x", " ", "1.000", "a > b", "&amp;", "<br>", "<TD>", "<table>", "</table>", "<td title=\"c rowspan=3\">", "< b", "\n", "<!-- -->"]
+    read = 0
+    for n in range(6000):
+        some = pieces[: r.choice([8, 14, 24])]
+        text = "<table>" + "".join(r.choice(some) for _ in range(r.randint(0, 12))) + "</table>"
+        if D.table_ranges(text) == [(0, len(text), True)]:
+            read += D.plain_cells(text) is not None
+            assert D._cells_of(text, True) == parser_alone(text), text
+    assert read > 1000
+    assert D.plain_cells("<table><tr><td>a</td><td colspan=2>b</td></tr></table>") == [[0, "a", 1, 1, False], [0, "b", 1, 2, False]]
+
+
+def test_cells_read_at_once_are_those_of_the_slots(spark):
+    tables = [row("a", "", "", "") + "<tr><td rowspan=2 colspan=2>b</td><td>2024</td></tr>" + row("7", "(5)"), "<tr><td rowspan=2>x</td></tr>" + row("y") + "<tr><td colspan=x>z</td><td>1.000 %</td></tr>", row("1 000", " 5", "-", "5 %", "+3,5", "(2.000)", "12a", "")]
+    text = "".join(f"===== PAGE {i + 1} =====\n<table>{t}</table>\n" for i, t in enumerate(tables))
+    paged = D.pages(spark.createDataFrame([("r", text)], "report_id string, raw_text string"))
+    a, b = Y.cells(D.slots(paged)), Y.figures(D.spans(paged))
+    assert sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
+    from factspark.functions import scalar as S
+
+    printed = ["1 000", " 5 ", "(1.000,5) %", "- 5", "-5", "+7%", "5 %", "(5", "1,2,3", "", "%", "a5", "1 000"]
+    odd = spark.createDataFrame([(t,) for t in printed], "t string").filter((S.parse_number(F.col("t"))[0] == "PARSED") & ~F.col("t").rlike(Y.NUMBER))
+    assert odd.count() == 0
