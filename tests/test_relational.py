@@ -94,3 +94,13 @@ def test_fold_agrees_with_python_and_leaves_it_only_other_scripts(spark):
     # what Python is given: nothing of Latin texts
     given = spark.createDataFrame([("Đơn vị tính: triệu đồng",), ("plain text",), ("漢 ß",)], "t string").select(S.left_to_python(F.col("t")).alias("t"))
     assert [r.t for r in given.collect()] == [None, None, "漢 ß"]
+
+
+def test_ranks_are_dealt_out_once_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(T, "RANKS_A_TASK", 50, raising=False)
+    ranked = spark.range(600).selectExpr("id % 200 AS query_id", "id AS doc_id", "CAST(id DIV 200 + 1 AS int) AS rank")
+    got = T.checked_ranks(ranked)
+    assert {r.status for r in got.collect()} == {"OK"} and got.count() == 200
+    odd = spark.createDataFrame([("a", 1, 1), ("a", None, 2), ("b", 1, 1), ("b", 2, None), ("c", 2, 1), ("c", 1, 2), ("d", 1, 2), ("d", 2, 2), ("e", 1, 1), ("e", 1, 2), (None, 5, 1)], "query_id string, doc_id int, rank int")
+    assert {r.query_id: r.status for r in T.checked_ranks(odd).collect()} == {"a": "DUPLICATE", "b": "RANK_INVALID", "c": "OK", "d": "RANK_INVALID", "e": "DUPLICATE", None: "OK"}
+    assert got.rdd.getNumPartitions() == 13 and T.checked_ranks(ranked)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
