@@ -39,15 +39,20 @@ def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     The texts are read once, here; queries read their tokens' partitions only.
     """
     t = docs.select(F.col(id_col).alias("doc_id"), *keep, tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("ts"))
-    found = t.select("doc_id", *keep, F.size("ts").alias("length"), F.explode("ts").alias("token"))
-    counted = found.groupBy("token", "doc_id", *keep, "length").agg(F.count("*").alias("tf"))
-    bucket = F.pmod(F.xxhash64("token"), F.lit(INDEX_PARTS)).cast("int")
-    counted.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("token").write.partitionBy("bucket").parquet(f"{path}/postings")
+    sorted_ = t.select("doc_id", *keep, F.size("ts").alias("length"), F.sort_array("ts").alias("s"))
+    starts = sorted_.select("doc_id", *keep, "length", "s", F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1))).alias("at")).filter("length > 0")
+    runs = F.transform("at", lambda a, i: F.struct(F.get("s", a).alias("token"), (F.coalesce(F.get("at", i + 1), F.col("length")) - a).cast("long").alias("tf")))
+    counted = starts.select("doc_id", *keep, "length", F.inline(runs))  # a document's tokens are counted within its row: postings are shuffled once
+    hashed = F.pmod(F.xxhash64("token"), F.lit(INDEX_PARTS * 64))
+    placed = counted.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(INDEX_PARTS)).cast("int"))
+    placed.repartition("bucket", hashed).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
     t.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("mean")).write.parquet(f"{path}/totals")
 
 
 #: Partitions of a stored index.
 INDEX_PARTS = 16
+#: Words of all queries that may be named in the scan of an index; more are joined.
+WORDS = 1_000
 
 
 def search_index(index: str, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
@@ -62,7 +67,15 @@ def search_index(index: str, queries: DataFrame, k: int, where: Column | None =
     asked = asked.filter(F.size("ws") > 0).select("query_id", "t", F.size("ws").alias("need"), F.explode("ws").alias("token"))
     asked = asked.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(INDEX_PARTS)).cast("int"))
     totals = spark.read.parquet(f"{index}/totals")
-    posted = spark.read.parquet(f"{index}/postings").join(asked.select("bucket", "token").distinct(), ["bucket", "token"], "left_semi")  # broadcast by Spark while the words are few
+    words = asked.select("bucket", "token").distinct()
+    few = words.limit(WORDS + 1).collect()
+    posted = spark.read.parquet(f"{index}/postings")
+    if len(few) <= WORDS:  # named in the scan, which then reads their part of the buckets, and no posting is shuffled for them
+        posted = posted.filter(F.col("bucket").isin(*{r["bucket"] for r in few}) & F.col("token").isin(*{r["token"] for r in few})) if few else posted.filter("false")
+    else:
+        posted = posted.join(words, ["bucket", "token"], "left_semi")
+    kept = [c for c in posted.columns if c != "tf"]
+    posted = posted.groupBy(*kept).agg(F.sum("tf").alias("tf"))  # of rows that share an id
     df = posted.groupBy("token").agg(F.count("*").alias("df"))
     if where is not None:
         posted = posted.filter(where)

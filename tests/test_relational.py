@@ -104,3 +104,24 @@ def test_ranks_are_dealt_out_once_by_their_number(spark, monkeypatch):
     odd = spark.createDataFrame([("a", 1, 1), ("a", None, 2), ("b", 1, 1), ("b", 2, None), ("c", 2, 1), ("c", 1, 2), ("d", 1, 2), ("d", 2, 2), ("e", 1, 1), ("e", 1, 2), (None, 5, 1)], "query_id string, doc_id int, rank int")
     assert {r.query_id: r.status for r in T.checked_ranks(odd).collect()} == {"a": "DUPLICATE", "b": "RANK_INVALID", "c": "OK", "d": "RANK_INVALID", "e": "DUPLICATE", None: "OK"}
     assert got.rdd.getNumPartitions() == 13 and T.checked_ranks(ranked)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_postings_are_shuffled_once(spark, tmp_path):
+    """Tokens are counted within a document's row; rows that share an id and a length count as one document."""
+    docs = spark.createDataFrame([(1, "b a b"), (2, None), (3, "a"), (4, "a c"), (4, "c a"), (5, " ")], "doc_id int, text string")
+    T.write_index(docs, f"{tmp_path}/i")
+    got = spark.read.parquet(f"{tmp_path}/i/postings")
+    assert sorted((r.doc_id, r.token, r.tf, r.length) for r in got.collect()) == [(1, "a", 1, 3), (1, "b", 2, 3), (3, "a", 1, 1), (4, "a", 1, 2), (4, "a", 1, 2), (4, "c", 1, 2), (4, "c", 1, 2)]
+    found = T.search_index(f"{tmp_path}/i", spark.createDataFrame([(1, "c a")], "query_id int, text string"), 5)
+    assert [r.doc_id for r in found.collect()] == [4]
+    assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()  # no posting is shuffled to meet the words
+    assert T.search_index(f"{tmp_path}/i", spark.createDataFrame([(1, " ")], "query_id int, text string"), 5).count() == 0
+    most, T.WORDS = T.WORDS, 1
+    assert [r.doc_id for r in T.search_index(f"{tmp_path}/i", spark.createDataFrame([(1, "c a")], "query_id int, text string"), 5).collect()] == [4]
+    T.WORDS = most
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("index", "")
+    T.write_index(docs.coalesce(1), f"{tmp_path}/j")
+    stages = {s for j in tracker.getJobIdsForGroup("index") for s in tracker.getJobInfo(j).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(stages) <= 5, stages
