@@ -31,3 +31,15 @@ def test_windows_against_pairs(spark):
 def test_tables_of_odd_texts(spark):
     texts = spark.createDataFrame([(1, "a<table>b</table>c<TABLE x='>'>"), (2, None), (3, "")], "id int, text string")
     assert sorted((r.id, r.table_index, r["first"], r["last"]) for r in H.table_spans(texts, "text").collect()) == [(1, 0, 1, 17), (1, 1, 18, 31)]
+
+
+def test_a_character_is_made_plain_once(monkeypatch):
+    import unicodedata
+
+    asked = []
+    monkeypatch.setattr(H.unicodedata, "normalize", lambda form, c, real=unicodedata.normalize: asked.append(c) or real(form, c))
+    odd = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x20000)]))
+    slow = lambda c, b: "d" if b == "đ" else b if len(b) == 1 else c
+    assert H.plain(odd) == "".join(slow(c, unicodedata.normalize("NFD", c)[0].lower()) for c in odd)
+    asked.clear()
+    assert H.plain("ĐƠN vị " * 100) == "don vi " * 100 and asked == []
