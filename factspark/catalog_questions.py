@@ -175,8 +175,9 @@ m AS (SELECT *, (before AND NOT EXISTS (SELECT 1 FROM y WHERE y.o_custkey = p.o_
 SELECT question_id, failed = '' AS passed, failed FROM (SELECT question_id, CASE WHEN missing THEN 'REFERENCE_INPUT_UNAVAILABLE' ELSE CASE question_id % 6 WHEN 1 THEN 'FORMULA_RESULT' WHEN 2 THEN 'SOURCE_ROWS' WHEN 3 THEN 'RESULT_UNIT' WHEN 4 THEN 'FORMULA_PROGRAM' ELSE '' END END AS failed FROM m)""")
 def ver_t2p(t):
     """Answers of executed programs, some spoilt by the question's number, verified by results computed anew."""
-    made, facts = plans(t), stored(metric_facts(t), "facts")
+    made = plans(t)
     steps = G.programs(made)
+    facts = stored(G.facts_named(metric_facts(t), made, steps), "facts")
     only = steps.groupBy("question_id").agg(F.max("step").alias("last")).filter("last = 1").select("question_id")
     ran = G.executed(steps.join(only, "question_id", "left_semi"), made, facts)
     cited = G.requirements(made).join(facts, ["company", "scope", "metric", "year"]).groupBy("question_id").agg(F.array_sort(F.collect_set("fact_id")).alias("fact_ids"))

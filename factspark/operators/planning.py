@@ -132,6 +132,25 @@ def expected(plans: DataFrame, facts: DataFrame, id_col: str = "question_id") ->
     return out.select(id_col, "target", "output_year", F.when(reason.isNull(), F.col("value")).alias("value"), F.when(reason.isNull(), unit).alias("unit"), "fact_ids", reason.alias("reason"))
 
 
+def facts_named(facts: DataFrame, plans: DataFrame, programs: DataFrame, id_col: str = "question_id") -> DataFrame:
+    """The facts that the plans need or the programs read, all of a company, scope, metric and year; expected() and executed() tell the same from them.
+
+    Facts meet one row a company and year, so that facts which are made by
+    company and year are not dealt out once more.
+    """
+    key = ["company", "scope", "metric", "year"]
+    who = plans.select(id_col, F.get("companies", 0).alias("company"), "scope")
+    read = programs.filter("op <> 'COLLECT'").select(id_col, F.explode("inputs").alias("input")).select(id_col, *_place("input")).join(who, id_col)
+    named = requirements(plans, id_col).select(key).union(read.select(key))
+    wanted = named.groupBy("company", "year").agg(F.collect_set(F.struct("scope", "metric")).alias("_wanted"))  # of one vocabulary
+    return facts.join(wanted.hint("shuffle_hash"), ["company", "year"]).filter(F.array_contains("_wanted", F.struct("scope", "metric"))).select(*facts.columns)
+
+
+def _place(c: str) -> tuple[Column, Column]:
+    """(metric, year) of an input metric@year."""
+    return F.split_part(c, F.lit("@"), F.lit(1)).alias("metric"), F.split_part(c, F.lit("@"), F.lit(2)).cast("int").alias("year")
+
+
 def executed(programs: DataFrame, plans: DataFrame, facts: DataFrame, id_col: str = "question_id") -> DataFrame:
     """(id, step, value, probe): the results of the programs' steps but COLLECT, over the facts, and over the facts' perturbed values.
 
@@ -139,7 +158,7 @@ def executed(programs: DataFrame, plans: DataFrame, facts: DataFrame, id_col: st
     """
     who = plans.select(id_col, F.get("companies", 0).alias("company"), "scope")
     inputs = programs.filter("op <> 'COLLECT'").select(id_col, "step", "op", F.posexplode("inputs").alias("at", "input"))
-    named = inputs.select("*", F.split_part("input", F.lit("@"), F.lit(1)).alias("metric"), F.split_part("input", F.lit("@"), F.lit(2)).cast("int").alias("year")).join(who, id_col)
+    named = inputs.select("*", *_place("input")).join(who, id_col)
     met = named.join(facts.select("company", "scope", "metric", "year", F.col("value").cast("double").alias("value"), probe_of(facts).alias("probe")), ["company", "scope", "metric", "year"], "left")
 
     def run(c: str) -> Column:

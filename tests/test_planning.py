@@ -85,3 +85,25 @@ def test_verified_answers(spark, plans, facts):
     # inputs in the wrong places give another value
     turned = spark.createDataFrame([(3, 1, "FORMULA GROWTH_RATE", ["LNST@2021", "LNST@2020"])], "question_id long, step int, op string, inputs array<string>")
     assert G.executed(turned, plans, facts).first().value == -20.0
+
+
+def test_only_named_facts_go_on_and_tell_the_same(spark, plans, facts):
+    others = spark.createDataFrame([("x", "b", "RIENG", "LNST", 2020, 1.0, "VND"), ("y", "a", "HOP_NHAT", "LNST", 2020, 1.0, "VND"), ("z", "a", "RIENG", "COGS", 2020, 1.0, "VND"), ("v", "a", "RIENG", "EQUITY", 2020, 1.0, "VND"), ("n", None, None, None, None, 1.0, "VND")], facts.schema)
+    every = facts.union(others)
+    more = spark.createDataFrame([(1, 9, "IDENTITY", ["COGS@2020"])], G.programs(plans).schema)
+    steps = G.programs(plans).union(more)
+    named = G.facts_named(every, plans, steps)
+    assert {r.fact_id for r in named.collect()} == {f"{m}{y}" for m, y in VALUES} | {"z", "v"}
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(G.expected(plans, named)) == rows(G.expected(plans, every))
+    assert rows(G.executed(steps, plans, named)) == rows(G.executed(steps, plans, every))
+
+
+def test_t2p_writes_the_facts_that_questions_name(spark, monkeypatch):
+    from factspark import catalog_questions as Q
+    from factspark.catalog import Tables
+
+    t, sizes, stored = Tables(spark, "/root/testdata/sf0.001"), {}, Q.stored
+    monkeypatch.setattr(Q, "stored", lambda df, name: [out := stored(df, name), sizes.update({name: out.count()})][0])
+    Q.ver_t2p(t)
+    assert 0 < sizes["facts"] < Q.metric_facts(t).count() / 10
