@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalar import let
+
 # What metrics are called, without marks and in lower case.
 METRICS = {
     "GROSS_REVENUE": ["doanh thu ban hang va cung cap dich vu", "doanh thu gop", "gross revenue"],
@@ -81,16 +85,23 @@ def phrasing_pattern(form: str, before: list[str], after: list[str]) -> str:
     return f"(?<![a-z0-9]){barred}{out}(?![a-z0-9])" + "".join(f"(?! {w})" for w in after)
 
 
+def phrasing_needs(form: str) -> list[str]:
+    """Runs of words that every text in a form of PHRASINGS holds."""
+    return [run.strip() for run in re.split(r"\[[^]]*\]|\([^)]*\)|\{[^}]*\}", form) if run.strip()]
+
+
 def canonical_phrasing(folded: Column) -> Column:
     """Text without marks with the phrases of PHRASINGS in their uniform writing; later ones see what earlier ones wrote."""
     for form, uniform, before, after in PHRASINGS:
-        folded = F.regexp_replace(folded, phrasing_pattern(form, before, after), re.sub(r"\{(\d)\}", r"$\1", uniform))
+        pattern, to = phrasing_pattern(form, before, after), re.sub(r"\{(\d)\}", r"$\1", uniform)
+        folded = let(folded, lambda t: F.when(reduce(and_, map(t.contains, phrasing_needs(form))), F.regexp_replace(t, pattern, to)).otherwise(t))  # noqa: B023  called at once; the words are told sooner than the pattern
     return folded
 
 
 def says(text: Column, *phrases: str) -> Column:
     """Whether a text holds one of the phrases as whole words."""
-    return text.rlike(r"(?<![\p{L}\p{N}_])(" + "|".join(re.escape(p) for p in phrases) + r")(?![\p{L}\p{N}_])")
+    whole = r"(?<![\p{L}\p{N}_])(" + "|".join(re.escape(p) for p in phrases) + r")(?![\p{L}\p{N}_])"
+    return let(text, lambda t: reduce(or_, map(t.contains, phrases)) & t.rlike(whole))  # that none is there is told sooner than by the expression
 
 
 def terms() -> list[tuple[str, str, str]]:

@@ -19,27 +19,18 @@ RANGE_MARKS, RANGE_WORDS, YEAR_WORDS = ("-", "–"), ("đến", "den", "tới",
 def years(text: Column) -> Column:
     """Distinct years of a text in order; a range of up to 30 years stands for all between.
 
-    The text is read piece by piece: years, dashes and words. Two years make a
-    range if nothing but a dash or a joining word, and a word for year behind
-    it, stands between them; a year ends one range at most.
+    Two years make a range if nothing but a dash or a joining word, and a word for
+    year behind it, stands between them; a year ends one range at most.
     """
-    pieces = F.regexp_extract_all(text, F.lit(r"((?<!\d)(?:19|20)\d{2}(?!\d)|[-–]|\p{L}+|\d+|[^\s\p{L}\d])"), 1)
-    empty = F.array().cast("array<int>")
-
-    def read(state: Column, p: Column) -> Column:
-        year = F.when(p.rlike(r"^(19|20)\d{2}$"), p.cast("int"))
-        open_, joined = state["open"], state["joined"]
-        range_ = year.isNotNull() & open_.isNotNull() & joined
-        spread = F.when(range_ & (F.abs(year - open_) <= LONGEST_RANGE), F.sequence(F.least(year, open_), F.greatest(year, open_)))
-        joins = open_.isNotNull() & ~joined & p.isin(*RANGE_MARKS, *RANGE_WORDS)
-        waits = open_.isNotNull() & joined & p.isin(*YEAR_WORDS) & ~state["waits"]
-        return F.struct(
-            F.concat(state["found"], F.coalesce(spread, F.when(year.isNotNull(), F.array(year)), empty)).alias("found"),
-            F.when(range_, F.lit(None).cast("int")).when(year.isNotNull(), year).when(joins | waits, open_).alias("open"), (joins | waits).alias("joined"), waits.alias("waits"),
-        )
-
-    start = F.struct(empty.alias("found"), F.lit(None).cast("int").alias("open"), F.lit(False).alias("joined"), F.lit(False).alias("waits"))
-    return F.array_sort(F.array_distinct(F.aggregate(pieces, start, read)["found"]))
+    word = lambda words: "(?:" + "|".join(words) + r")(?!\p{L})"
+    joined = rf"\s*(?:[{''.join(RANGE_MARKS)}]|{word(RANGE_WORDS)})\s*(?:{word(YEAR_WORDS)}\s*)?{YEAR}"
+    found = F.regexp_extract_all(text, F.lit(f"{YEAR}(?:{joined})?"), 0)
+
+    def spread(x: Column) -> Column:
+        first, last = F.left(x, F.lit(4)).cast("int"), F.right(x, F.lit(4)).cast("int")
+        return F.when(F.abs(last - first) <= LONGEST_RANGE, F.sequence(F.least(first, last), F.greatest(first, last))).otherwise(F.array(first, last))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(found, spread))))
 
 
 def report_years(periods: Column) -> Column:

@@ -76,3 +76,35 @@ def test_questions(spark):
 ])
 def test_canonical_phrasing(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(X.canonical_phrasing(F.col("t"))).first()[0] == want
+
+
+@pytest.mark.parametrize("rows, starts", [(100, 100), (0, 100), (0, 0)])
+def test_mentions_with_any_and_with_known_first_words(spark, rows, starts):
+    texts, lexicon = tables(spark)
+    lexicon = lexicon.filter("phrase <> 'd/e'").union(spark.createDataFrame([("metric", "G", "revenue net revenue"), ("company", "4", "corp abc corp")], lexicon.schema))
+    got = {tuple(r) for r in U.mentions(texts, lexicon, "id", "text", rows=rows, starts=starts).collect()}
+    known = [tuple(r) for r in lexicon.collect() if r.phrase and r.phrase[0].isalnum()]
+    assert got == {(i, a, b, p, k, c) for i, t in TEXTS for a, b, p in brute_force(t, {x[2] for x in known}) for k, c, q in known if q == p} and len(got) > 2000
+
+
+def test_spans_leave_a_worker_in_parts():
+    import pyarrow as pa
+
+    texts = pa.record_batch([pa.array([1, 2, 3]), pa.array(["a b " * 30_000, None, "a b"])], names=["id", "text"])
+    parts = list(U._rows_of(lambda: lambda text: U._spans_of_words([1, 2], {"a": [1, 2]}, text))(iter([texts])))
+    assert max(p.num_rows for p in parts) == U.SPANS_A_BATCH and sum(p.num_rows for p in parts) == 60_002
+    assert parts[-1].to_pylist()[-1] == {"id": 3, "first": 0, "last": 3, "phrase": "a b"}
+
+
+def test_terms_of_questions_take_no_join(spark):
+    asked = spark.createDataFrame([(1, "ROE năm 1999 đến năm 2001, 2003-2005-2006")], "question_id long, question string")
+    told = U.understand(asked, spark.createDataFrame([("fpt", "FPT")], "concept string, phrase string"))
+    assert "Join" not in told.select("question_id", "metrics", "operation", "ranking")._jdf.queryExecution().optimizedPlan().toString()
+    assert told.first().years == [1999, 2000, 2001, 2003, 2004, 2005, 2006]
+
+
+def test_named_tells_what_mentions_tell(spark):
+    texts, lexicon = tables(spark)
+    want = {r.id: r.spans for r in U.spans_of(U.mentions(texts, lexicon, "id", "text"), "id").collect()}
+    got = {r.id: r.spans for r in texts.select("id", U.named(F.col("text"), LEXICON).alias("spans")).collect()}
+    assert got == {i: want.get(i, []) for i, _ in TEXTS}
