@@ -7,8 +7,11 @@ that step runs as mapInArrow over one page a row.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -95,49 +98,91 @@ class _Cells(HTMLParser):
         return int(raw)
 
 
-def grid(cells: list[list]) -> list[tuple[int, int, int]] | None:
-    """(row, column, cell) of every slot: cells go to the first free column of their row and cover their spans; None where spans overlap."""
-    if all(down == across == 1 for _, _, down, across, _ in cells):
-        starts: dict[int, int] = {}
-        return [(row, i - starts.setdefault(row, i), i) for i, (row, *_) in enumerate(cells)]
-    rows: dict[int, dict[int, int]] = {}
-    free: dict[int, int] = {}  # no free column of the row lies before
-    for i, (row, _, down, across, _) in enumerate(cells):
-        own = rows.setdefault(row, {})
-        column = free.get(row, 0)
-        while column in own:
-            column += 1
-        free[row] = column
-        for r in range(row, row + down):
-            taken = rows.setdefault(r, {})
-            for c in range(column, column + across):
-                if c in taken:
-                    return None
-                taken[c] = i
-    return [(r, c, i) for r in sorted(rows) for c, i in sorted(rows[r].items())]
+class Overlap(ValueError):
+    """Spans of a table overlap."""
+
+
+class NotPlain(ValueError):
+    """A table has what only the parser reads."""
+
+
+def placed(cells: Iterable[list]) -> Iterator[tuple[int, int, int, list, bool]]:
+    """(row, column, number of the cell, cell, header) of every slot, by row and column.
+
+    Cells come row by row, go to the first free column of their row and cover
+    their spans; only rows that spans reach into are held. header: all cells that
+    begin in the row are header cells. Raises Overlap where spans overlap.
+    """
+    below: dict[int, dict[int, tuple[int, list]]] = {}
+    number, last = 0, -1
+    for row, group in groupby(cells, itemgetter(0)):
+        for r in range(last + 1, row) if below else ():
+            yield from ((r, c, *x, False) for c, x in sorted(below.pop(r, {}).items()))
+        own, last = list(group), row
+        head = all(cell[4] for cell in own)
+        taken = below.pop(row, {})
+        if not taken and all(cell[2] == cell[3] == 1 for cell in own):
+            for c, cell in enumerate(own):
+                yield row, c, number + c, cell, head
+            number += len(own)
+            continue
+        column = 0
+        for cell in own:
+            while column in taken:
+                column += 1
+            for r in range(row, row + cell[2]):
+                line = taken if r == row else below.setdefault(r, {})
+                for c in range(column, column + cell[3]):
+                    if c in line:
+                        raise Overlap
+                    line[c] = number, cell
+            number += 1
+        yield from ((row, c, *x, head) for c, x in sorted(taken.items()))
+    for r in sorted(below):
+        yield from ((r, c, *x, False) for c, x in sorted(below[r].items()))
 
 
 #: Tags of a table that is read without the parser: closed, not nested, in lower case, its spans plain numbers, its texts without references.
 TAG = re.compile(r"""<(/?)(table|tr|td|th)((?: [a-z]+(?:=(?:[0-9]+|"[^"<&\s]*"))?)*)>""")
 SPANS = re.compile(r"""(?<= )(rowspan|colspan)(?:=(?:([0-9]+)|"([^"]*)"))?(?= |$)""")
-
-
-def plain_cells(text: str) -> list[list] | None:
-    """What _Cells reads from a plain table, faster; None for any other."""
-    parts = TAG.split(text)
-    data = "".join(parts[::4])
-    if "<" in data or "&" in data or parts[0] or parts[-1] or parts[1:3] != ["", "table"] or parts[-4:-2] != ["/", "table"] or parts[2::4].count("table") > 2:
-        return None
-    cells: list[list] = []
-    row = -1
-    for close, tag, given, inside in zip(parts[5:-4:4], parts[6:-4:4], parts[7:-4:4], parts[8:-4:4]):
-        if close:
+#: Characters that are read at a time; a table of more is read twice, so that its cells are never held at once.
+PIECE = 1 << 18
+
+
+def _tags(text: str) -> Iterator[tuple[str, str, str, str]]:
+    """(close, tag, attributes, text up to the next tag) of a plain table. No tag holds a second '<', so pieces end before one."""
+    at = 0
+    while at < len(text):
+        end = text.find("<", at + PIECE)
+        end = len(text) if end < 0 else end
+        parts = TAG.split(text[at:end])
+        data = "".join(parts[::4])
+        if parts[0] or "<" in data or "&" in data:
+            raise NotPlain
+        yield from zip(parts[1::4], parts[2::4], parts[3::4], parts[4::4])
+        at = end
+
+
+def _plain(text: str) -> Iterator[list]:
+    """What _Cells reads from a plain table, faster; raises NotPlain for any other, at the latest at its end."""
+    tags = _tags(text)
+    if next(tags, ("", ""))[:2] != ("", "table"):
+        raise NotPlain
+    row, ended = -1, False
+    for close, tag, given, inside in tags:
+        if ended:
+            raise NotPlain
+        if tag == "table":
+            if not close or inside:
+                raise NotPlain
+            ended = True
+        elif close:
             if given or inside.strip():
-                return None
+                raise NotPlain
         elif tag == "tr":
             row += 1
             if inside.strip():
-                return None
+                raise NotPlain
         else:
             row = max(row, 0)
             down = across = 1
@@ -145,10 +190,19 @@ def plain_cells(text: str) -> list[list] | None:
                 for name, number, quoted in SPANS.findall(given):
                     number = number or quoted
                     if not number.isascii() or not number.isdigit() or not 1 <= int(number) <= MOST_SPAN:
-                        return None
+                        raise NotPlain
                     down, across = (int(number), across) if name == "rowspan" else (down, int(number))
-            cells.append([row, inside, down, across, tag == "th"])
-    return cells
+            yield [row, inside, down, across, tag == "th"]
+    if not ended:
+        raise NotPlain
+
+
+def plain_cells(text: str) -> list[list] | None:
+    """The cells of a plain table; None for any other."""
+    try:
+        return list(_plain(text))
+    except NotPlain:
+        return None
 
 
 #: Slots that the parser gives on at once.
@@ -166,29 +220,54 @@ def _cells_of(text: str, closed: bool) -> tuple[str, list[list]]:
     return "RECOVERED" if parser.issues or not closed else "PARSED", parser.cells
 
 
+def _by_parser(text: str, parser: _Cells) -> Iterator[list]:
+    """The parser's cells; only the last one can still get text from what follows."""
+    for at in range(0, len(text), PIECE):
+        parser.feed(text[at : at + PIECE])
+        done, parser.cells = parser.cells[:-1], parser.cells[-1:]
+        yield from done
+    parser.close()
+    yield from parser.cells
+
+
+def _placed_of(text: str, closed: bool) -> tuple[str, Iterable[tuple[int, int, int, list, bool]]]:
+    """(status, slots) of one table; none where spans overlap, which is known at its end only."""
+    try:
+        if len(text) <= PIECE:
+            status, cells = _cells_of(text, closed)
+            return status, list(placed(cells))
+        if closed:
+            try:
+                deque(placed(_plain(text)), 0)
+                return "PARSED", placed(_plain(text))
+            except NotPlain:
+                pass
+        parser = _Cells()
+        deque(placed(_by_parser(text, parser)), 0)
+        return "RECOVERED" if parser.issues or not closed else "PARSED", placed(_by_parser(text, _Cells()))
+    except Overlap:
+        return "", ()
+
+
 def _slots_of(text: str, closed: bool) -> Iterator[tuple[str, int, int, int, str, bool, bool]]:
     """(status, row, column, cell, text, header, anchor) of the slots of one table."""
-    status, cells = _cells_of(text, closed)
-    placed = grid(cells)
-    heads = {r for r, *_ in cells} - {r for r, _, _, _, head in cells if not head}
-    for r, c, i in placed or ():
-        yield status, r, c, i, cells[i][1], r in heads, r == cells[i][0]
+    status, found = _placed_of(text, closed)
+    for r, c, i, cell, head in found:
+        yield status, r, c, i, cell[1], head, r == cell[0]
 
 
 def _spans_of(text: str, closed: bool) -> Iterator[tuple[int, int, int, int, int, str]]:
     """(cell, row, column, down, across, text) of the cells of one table."""
-    _, cells = _cells_of(text, closed)
-    at: dict[int, tuple[int, int]] = {}
-    for r, c, i in grid(cells) or ():
-        at.setdefault(i, (r, c))
-    for i, (r, c) in sorted(at.items()):
-        yield i, r, c, cells[i][2], cells[i][3], cells[i][1]
+    after = 0
+    for r, c, i, cell, _ in _placed_of(text, closed)[1]:
+        if i == after:  # its first slot
+            yield i, r, c, cell[2], cell[3], cell[1]
+            after += 1
 
 
 SLOTS = "report_id string, page_index int, table_index int, status string, grid_row int, grid_column int, cell int, text string, header boolean, anchor boolean"
 
 
-
 ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
 
 

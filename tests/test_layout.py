@@ -147,3 +147,28 @@ def test_cells_read_at_once_are_those_of_the_slots(spark):
     printed = ["1 000", " 5 ", "(1.000,5) %", "- 5", "-5", "+7%", "5 %", "(5", "1,2,3", "", "%", "a5", "1 000"]
     odd = spark.createDataFrame([(t,) for t in printed], "t string").filter((S.parse_number(F.col("t"))[0] == "PARSED") & ~F.col("t").rlike(Y.NUMBER))
     assert odd.count() == 0
+
+
+def test_long_tables_are_read_without_holding_their_cells(monkeypatch):
+    """Tables of more than a piece, plain or not, give the slots and spans of shorter ones, in memory that grows by their text only."""
+    import tracemalloc
+
+    r = random.Random(4)
+    pieces = ["<tr>", "</tr>", "<td>", "</td>", "<th>", "<td colspan=2>", "<td rowspan=3 colspan=2>", "x", " ", "&am", "p;", "<br>", "<td colspan=x>", "<!-- -->"]
+    for _ in range(2000):
+        some = pieces[: r.choice([9, 14])]
+        text = "<table>" + "".join(r.choice(some) for _ in range(r.randint(0, 20))) + "</table>"
+        found = []
+        for size in (1 << 18, 1, 7):
+            monkeypatch.setattr(D, "PIECE", size, raising=False)
+            found.append((list(D._slots_of(text, True)), list(D._spans_of(text, True))))
+        assert found[0] == found[1] == found[2], text
+    monkeypatch.setattr(D, "PIECE", 1 << 12, raising=False)
+    head = "<tr><th rowspan=2>Name</th><th colspan=2>Customer</th></tr><tr><th>Key</th><th>Balance</th></tr>"
+    for odd in ("", "&amp;"):
+        text = f"<table>{head}" + row(f"a{odd}", "1", "2") * 5000 + "</table>"
+        tracemalloc.start()
+        n = sum(1 for _ in D._slots_of(text, True))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == 15006 and most < 2 * len(text), most
