@@ -46,42 +46,24 @@ def _first_of_runs(at: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _frequent(seq: np.ndarray, counts: np.ndarray, least: int, fresh: np.ndarray | None) -> tuple[np.ndarray, list[int], np.ndarray]:
-    """Sorted keys (first << 32 | second) of pairs that occur `least` times, taken from the most frequent on, the keys left for later, and the places counted.
+def _frequent(keys: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys (first * n + second) of pairs that occur `least` times, taken from the most frequent on, and the keys left for later.
 
-    An id of a pair occurs at least as often as the pair, so by the counts of
-    ids rarer ones are left out before pairs are sorted and counted. Where `fresh` marks ids, all
-    other pairs are known to be rarer. No id is the first of one chosen pair and
-    the second of another.
+    No id is the first of one chosen pair and the second of another.
     """
-    often = (counts >= least)[seq]
-    both = often[:-1] & often[1:]
-    if fresh is not None:
-        new = fresh[seq]
-        both &= new[:-1] | new[1:]
-    twins = np.flatnonzero(both & (seq[1:] == seq[:-1]))
-    both[twins[~_first_of_runs(twins)]] = False
-    at = np.flatnonzero(both)
-    keys = seq[at]
-    keys <<= 32
-    keys |= seq[at + 1]
-    keys.sort()
-    if not len(keys):
-        return keys, [], at
-    edge = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1]
+    keys = np.sort(keys)
+    edge = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1] if len(keys) else np.zeros(0, np.int64)
     times = np.diff(np.r_[edge, len(keys)])
     enough = np.flatnonzero(times >= least)
-    found = keys[edge[enough]]
-    firsts, seconds, chosen, later = set(), set(), [], []
-    for key in found[np.argsort(-times[enough], kind="stable")].tolist():
-        a, b = key >> 32, key & 0xFFFFFFFF
+    found = keys[edge[enough[np.argsort(-times[enough], kind="stable")]]]
+    firsts, seconds, chosen = set(), set(), np.ones(len(found), bool)
+    for i, (a, b) in enumerate(zip((found // n).tolist(), (found % n).tolist())):
         if b in firsts or a in seconds or (a == b and (a in firsts or a in seconds)):
-            later.append(key)
+            chosen[i] = False
             continue
         firsts.add(a)
         seconds.add(b)
-        chosen.append(key)
-    return np.sort(np.array(chosen, np.int64)), later, at
+    return np.sort(found[chosen]), found[~chosen]
 
 
 def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,42 +71,60 @@ def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
 
     Pairs are counted exactly and replaced, frequent ones first: the number of
     times that a pair must occur falls with each round until it is LEAST, and
-    rounds go on until no pair occurs so often.
+    rounds go on until no pair occurs so often. An id of a pair occurs at least
+    as often as the pair, so by the counts of ids rarer ones are left out before
+    pairs are sorted and counted; the others are ranked, so that a key is short.
     """
     seq, rules, base = ids.astype(np.int64), [], terminals
     counts, fresh = np.bincount(seq, minlength=terminals), None
     least = max(LEAST, int(counts.max() * SHARE))
     while len(seq) >= 2 * LEAST:
-        pairs, later, at = _frequent(seq, counts, least, fresh)
+        often = np.flatnonzero(counts >= least)
+        n = len(often) + 1
+        rank = np.zeros(base, np.uint32 if n * n <= 1 << 32 else np.uint64)
+        rank[often] = np.arange(1, n)
+        rank = rank.take(seq)
+        some = rank != 0
+        both = some[:-1] & some[1:]
+        if fresh is not None:
+            new = fresh.take(seq)
+            both &= new[:-1] | new[1:]
+        twins = np.flatnonzero(both & (rank[1:] == rank[:-1]))
+        both[twins[~_first_of_runs(twins)]] = False
+        keys = rank[:-1] * rank.dtype.type(n)
+        keys += rank[1:]
+        pairs, later = _frequent(keys[both], n, least)
         if not len(pairs) and least == LEAST:
             break
-        if least == LEAST:
+        if least == LEAST:  # all pairs without a marked id are rarer from here on
             fresh = np.zeros(base + len(pairs), bool)
             fresh[base:] = True
-            fresh[[key >> 32 for key in later]] = True
+            fresh[often[later // n - 1]] = True
         least = max(LEAST, int(least * SHARE))
         if not len(pairs):
             continue
-        first, second = np.zeros(base, bool), np.zeros(base, bool)
-        first[pairs >> 32] = True
-        second[pairs & 0xFFFFFFFF] = True
-        left, right = seq[at], seq[at + 1]
-        some = np.flatnonzero(first[left] & second[right])
-        at, keys = at[some], left[some] << 32 | right[some]
+        a, b = often[pairs // n - 1], often[pairs % n - 1]
+        side = np.zeros(base, np.uint8)  # 1: first of a chosen pair, 2: second, 3: both
+        side[a] = 1
+        side[b] |= 2
+        side = side.take(seq)
+        both &= (side[:-1] & (side[1:] >> 1)).view(bool)
+        at = np.flatnonzero(both)
+        keys = keys.take(at)
         which = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
-        right = np.flatnonzero(pairs[which] == keys)
-        right = right[_first_of_runs(at[right])]
-        hit = at[right]
-        seq[hit] = base + which[right]
-        used = np.bincount(which[right], minlength=len(pairs))
-        np.subtract.at(counts, pairs >> 32, used)
-        np.subtract.at(counts, pairs & 0xFFFFFFFF, used)
+        hit = np.flatnonzero(pairs.take(which) == keys)
+        hit = hit[_first_of_runs(at.take(hit))]
+        at, which = at.take(hit), which.take(hit)
+        seq[at] = base + which
+        used = np.bincount(which, minlength=len(pairs))
+        np.subtract.at(counts, a, used)
+        np.subtract.at(counts, b, used)
         counts = np.r_[counts, used]
         keep = np.ones(len(seq), bool)
-        keep[hit + 1] = False
+        keep[at + 1] = False
         seq = seq[keep]
         base += len(pairs)
-        rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1).astype(np.uint32))
+        rules.append(np.stack([a, b], axis=1).astype(np.uint32))
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq.astype(np.uint32)
 
 
@@ -169,40 +169,35 @@ def _opened(seq: np.ndarray, deep: np.ndarray, rules: np.ndarray, terminals: int
 
 
 class Expansions:
-    """What the rules of up to TABLE_IDS ids expand to, laid out once; longer ones are opened until they are so short."""
+    """What symbols of up to TABLE_IDS ids expand to, laid out once, ids themselves first; longer ones are opened until they are so short."""
 
     def __init__(self, rules: np.ndarray, lengths: np.ndarray, terminals: int) -> None:
-        self.rules, self.lengths, self.terminals = rules, lengths.astype(np.int64), terminals
-        short = lengths <= TABLE_IDS
-        self.at = np.cumsum(np.where(short, self.lengths, 0)) - np.where(short, self.lengths, 0)
-        self.flat = np.empty(int(self.lengths[short].sum()), np.int64)
-        for i in np.flatnonzero(short).tolist():
-            to = int(self.at[i])
-            for symbol in rules[i].tolist():
-                if symbol < terminals:
-                    self.flat[to] = symbol
-                    to += 1
-                else:
-                    a, n = int(self.at[symbol - terminals]), int(lengths[symbol - terminals])
-                    self.flat[to : to + n] = self.flat[a : a + n]
-                    to += n
+        self.rules, self.terminals = rules, terminals
+        self.lengths = np.r_[np.ones(terminals, np.int64), lengths]
+        self.longest = int(self.lengths.max(initial=1))
+        laid = np.where(self.lengths <= TABLE_IDS, self.lengths, 0)
+        self.at = np.cumsum(laid) - laid
+        self.flat = np.empty(int(laid.sum()), np.uint32)
+        self.flat[:terminals] = np.arange(terminals)
+        at, each = self.at.tolist(), self.lengths.tolist()
+        for i, pair in enumerate(rules.tolist(), terminals):
+            if each[i] > TABLE_IDS:
+                continue
+            to = at[i]
+            for symbol in pair:
+                n = each[symbol]
+                self.flat[to : to + n] = self.flat[at[symbol] : at[symbol] + n]
+                to += n
 
     def ids(self, symbols: np.ndarray) -> np.ndarray:
         seq = symbols.astype(np.int64)
-        while True:
-            deep = seq >= self.terminals
-            rule = np.where(deep, seq - self.terminals, 0)
-            n = np.where(deep, self.lengths[rule], 1) if len(self.rules) else np.ones(len(seq), np.int64)
-            long = n > TABLE_IDS
-            if not long.any():
-                break
+        n = self.lengths.take(seq)
+        while self.longest > TABLE_IDS and (long := n > TABLE_IDS).any():
             seq = _opened(seq, long, self.rules, self.terminals)
-        out = np.repeat(seq, n)
-        spread = np.repeat(deep, n)
-        if spread.any():
-            place = np.arange(len(out)) - np.repeat(np.cumsum(n) - n - np.where(deep, self.at[rule], 0), n)
-            out[spread] = self.flat[place[spread]]
-        return out.astype(np.uint32)
+            n = self.lengths.take(seq)
+        place = np.repeat(self.at.take(seq) - np.cumsum(n) + n, n)
+        place += np.arange(len(place))
+        return self.flat.take(place)
 
 
 def write_shard(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, terminals: int) -> bytes:
@@ -241,7 +236,6 @@ class Shard:
         self.index, ids = take("<u8", index), take("<i8", docs)
         self.doc_ids = [None if null else int(i) for i, null in zip(ids, take("u1", docs))]
         self.counts = take("<u4", docs)
-        self.held: tuple = (-1, None, None)
         self.expansions = Expansions(self.rules, self.lengths, self.terminals)
 
     def symbols(self, first: int, last: int) -> np.ndarray:
@@ -250,30 +244,17 @@ class Shard:
     def all_ids(self) -> np.ndarray:
         return self.expansions.ids(self.symbols(0, self.n_symbols))
 
-    def _block(self, block: int) -> tuple[np.ndarray, np.ndarray]:
-        """(symbols, places after each) of a block of the index; the last block is remembered."""
-        if self.held[0] != block:
-            part = self.symbols(block * INDEX_STEP, (block + 1) * INDEX_STEP)
-            each = np.ones(len(part), np.int64)
-            deep = part >= self.terminals
-            each[deep] = self.lengths[part[deep] - self.terminals]
-            self.held = (block, part, int(self.index[block]) + np.cumsum(each))
-        return self.held[1:]
-
     def ids(self, start: int, n: int) -> np.ndarray:
         """n ids from a position on: the index and the expansion lengths tell which symbols cover them, and only these are expanded."""
-        out = []
-        block = int(np.searchsorted(self.index, start, "right")) - 1
-        at, stop = start, start + n
-        while at < stop and block < len(self.index):
-            part, ends = self._block(block)
-            a = int(np.searchsorted(ends, at, "right"))
-            b = int(np.searchsorted(ends, stop, "left")) + 1
-            found = self.expansions.ids(part[a:b])
-            before = int(ends[a - 1]) if a else int(self.index[block])
-            out.append(found[at - before : stop - before])
-            at, block = min(stop, int(ends[min(b, len(ends)) - 1])), block + 1
-        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+        stop = min(start + n, int(self.counts.sum(dtype=np.int64)))
+        if stop <= start:
+            return np.zeros(0, np.uint32)
+        block, last = np.searchsorted(self.index, [start, stop - 1], "right").tolist()
+        part = self.symbols((block - 1) * INDEX_STEP, last * INDEX_STEP)
+        ends = int(self.index[block - 1]) + np.cumsum(self.expansions.lengths.take(part))
+        a, b = np.searchsorted(ends, [start, stop - 1], "right").tolist()
+        before = int(ends[a - 1]) if a else int(self.index[block - 1])
+        return self.expansions.ids(part[a : b + 1])[start - before : stop - before]
 
 
 def _shards(name: str, end_id: int):

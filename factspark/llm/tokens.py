@@ -75,13 +75,12 @@ class WordMerges:
                 merges[body] = ranks[token]
             ids[merges[body]] = ident
         one = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=merges, special_tokens={})._core_bpe.encode_single_piece
-        return one, ids, renamed
+        return one, [struct.pack("<I", i) for i in ids], renamed
 
     def word(self, data: bytes) -> bytes:
         """ids of one word of lower-case letters, in UTF-8."""
         one, ids, renamed = self.letters
-        found = one(data[:-1] + renamed[data[-1]])
-        return struct.pack(f"<{len(found)}I", *map(ids.__getitem__, found))
+        return b"".join([ids[x] for x in one(data[:-1] + renamed[data[-1]])])
 
     def encode(self, chunk: str) -> bytes:
         """ids of a lower-case chunk that PLAIN_WORDS matches."""
@@ -89,8 +88,8 @@ class WordMerges:
         for word in WORD.findall(chunk):
             one, ids, renamed = self.letters if word.isalpha() else self.ascii
             data = word.encode()
-            out += map(ids.__getitem__, one(data[:-1] + renamed[data[-1]]))
-        return struct.pack(f"<{len(out)}I", *out)
+            out += [ids[x] for x in one(data[:-1] + renamed[data[-1]])]
+        return b"".join(out)
 
 
 class WordCache(dict):

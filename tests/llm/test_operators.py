@@ -181,6 +181,19 @@ def test_repair_round_trip(ids):
         assert (shard.ids(a, 55) == data[a : a + 55]).all()
 
 
+def test_repair_reads_a_range_at_once(monkeypatch):
+    """Any range of ids is unpacked by one call however many blocks of the index it covers, and no block beside it."""
+    ids = np.random.default_rng(8).integers(0, 300, 30_000).astype("<u4")
+    ids[9000:12000] = 7
+    shard = repair.Shard(repair.write_shard([1, 2], [29_000, 1000], ids, 49408))
+    calls, unpacked = [], repair.unpacked
+    monkeypatch.setattr(repair, "unpacked", lambda data, bits, first, n: calls.append(n) or unpacked(data, bits, first, n))
+    for start, n in [(0, 30_000), (0, 1), (29_999, 1), (29_999, 9), (30_000, 5), (8990, 3020), (10_000, 0), (1023, 2), (5000, 20_000)]:
+        calls.clear()
+        assert (shard.ids(start, n) == ids[start : start + n]).all() and len(shard.ids(start, n)) == len(ids[start : start + n])
+        assert len(calls) <= 2 and all(c <= n + 2 * repair.INDEX_STEP for c in calls)
+
+
 def test_repair_leaves_no_frequent_pair():
     rng = np.random.default_rng(2)
     passage = rng.integers(0, 40000, 700)
